@@ -183,31 +183,33 @@ def shared_passages(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     shared = materialize(kept.join(common, F.col("key") == F.col("k"), "left_semi"))
     discard(kept, common)
     pairs = neighbours(shared, parts)
-    anchors = materialize(pairs.groupBy("doc_b", "doc_a", (F.col("pos_b") - F.col("pos_a")).alias("shift")).agg(F.sort_array(F.collect_set("pos_b")).alias("at")))
+    # A pair of texts once, with all places where they met: as many as the text has kept suffixes at most.
+    anchors = materialize(pairs.groupBy("doc_b", "doc_a").agg(F.sort_array(F.collect_list(F.struct("pos_b", "pos_a"))).alias("at")))
     a = docs.where("doc_id is not null and text is not null").withColumnsRenamed({"doc_id": "id_a", "text": "text_a"})
     b = docs.where("doc_id is not null and text is not null").withColumnsRenamed({"doc_id": "id_b", "text": "text_b"})
-    both = anchors.join(a, F.col("doc_a") == F.col("id_a")).join(b, F.col("doc_b") == F.col("id_b")).select("doc_b", "doc_a", "shift", "at", "text_b", "text_a")
+    both = anchors.join(a, F.col("doc_a") == F.col("id_a")).join(b, F.col("doc_b") == F.col("id_b")).select("doc_b", "doc_a", F.col("at.pos_b").alias("at_b"), F.col("at.pos_a").alias("at_a"), "text_b", "text_a")
 
     def run(batches):
         names = ["doc_id", "first", "last", "start", "length", "other_id", "later"]
         for batch in batches:
             for i in range(batch.num_rows):
-                doc_b, doc_a, shift, at = (batch.column(k)[i].as_py() for k in range(4))
+                doc_b, doc_a, at_b, at_a = (batch.column(k)[i].as_py() for k in range(4))
                 raw = [batch.column(k)[i].as_py().encode() for k in (4, 5)]
                 wb, wa = map(word_hashes, raw)
                 spans, end = [], -1
-                for p in at:
-                    if p >= end and p - shift < len(wa) and p < len(wb):
-                        lo, hi = _extend(wb, wa, p, p - shift)
-                        end = max(hi, p + 1)
+                for p, r in zip(at_b, at_a, strict=True):
+                    if p >= end and p < len(wb) and r < len(wa):  # else inside of what was found
+                        lo, hi = _extend(wb, wa, p, r)
                         if hi - lo >= least:
-                            spans.append((lo, hi))
+                            spans.append((lo, hi, p - r))
+                            end = hi
                 if not spans:
                     continue
                 out = []
-                for side, own, by, other in ((0, doc_b, 0, doc_a), (1, doc_a, shift, doc_b)):
+                for side, own, other in ((0, doc_b, doc_a), (1, doc_a, doc_b)):
                     edges = [m.span() for m in _WORD.finditer(raw[side])]
-                    for lo, hi in spans:
+                    for lo, hi, shift in spans:
+                        by = side * shift
                         s, e = edges[lo - by][0], edges[hi - by - 1][1]
                         start = len(raw[side][:s].decode())
                         out.append((own, lo - by, hi - by, start, len(raw[side][s:e].decode()), other, own > other))
