@@ -98,7 +98,7 @@ def _url_sql(rounds: int = 8, damping: float = 0.85, least: float = 0.5) -> str:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_epsilon_join": """WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0
-            AND list_bool_and(list_transform(embedding, y -> y IS NOT NULL AND isfinite(y))) AND list_bool_or(list_transform(embedding, y -> y <> 0))),
+            AND list_bool_and(list_transform(embedding, lambda y: y IS NOT NULL AND isfinite(y))) AND list_bool_or(list_transform(embedding, lambda y: y <> 0))),
           link AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a, v b WHERE a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.9),
           reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
           SELECT e.vec_id, (SELECT count(*) FROM link WHERE a = e.vec_id) AS n_links, m.c AS component_id, e.vec_id = m.c AS kept

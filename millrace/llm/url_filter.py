@@ -81,7 +81,7 @@ def judge_pages(pages: DataFrame, *, id: str = "page_id", url: str = "url", html
     # Sums by host are made in each task before they meet.
     seeds = own.where("host <> ''").groupBy("host").agg(F.avg((F.coalesce("by_rule", F.lit("")) == "allow").cast("double")).alias("trust"), F.avg((F.coalesce("by_rule", F.lit("")) == "block").cast("double")).alias("distrust"))
     ranks = propagate(host_edges(own.select("host", "html")), seeds, damping=damping, rounds=rounds)
-    bad = materialize(ranks.where(F.round(F.coalesce("distrust", F.lit(0.0)) - F.coalesce("trust", F.lit(0.0)), 9) >= (1 - damping) * least).select(F.col("host").alias("bad")))
+    bad = materialize(ranks.where(F.round(F.coalesce("distrust", F.lit(0.0)) - F.coalesce("trust", F.lit(0.0)), 9) >= round((1 - damping) * least, 9)).select(F.col("host").alias("bad")))
     own = own.drop("html", "url")
     judged = own.join(bad, own["host"] == bad["bad"], "left")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("bad").isNotNull(), "block").otherwise("allow")).alias("verdict"))
