@@ -1,17 +1,811 @@
-"""Queries over the driver's tables, one for each operator, with the SQL that says the same."""
+"""Queries over the driver's tables, one or more for each operator, with the SQL that says the same.
+
+Listings are the fixture view L, points of interest its P; see plans.fixture.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.functions import geo, scalars, text
+from millrace.functions import values as V
+from millrace.operators import bm25, evaluate, events, filters, geojoin, intent, quality, ranking, signals, vectors, weights
+from millrace.plans import search, values_sql
+from millrace.plans.fixture import L, P, listings, pois, read
+from millrace.plans.schema import intents
+from millrace.sources import listings as sources
+from millrace.sources import stores
+from millrace.streaming import sessions
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _rows(spark: SparkSession, sql: str) -> DataFrame:
+    """A literal table, by SQL that DuckDB reads as well."""
+    return spark.sql(f"SELECT * FROM {sql}")
+
+
+def _found(spark, sf_dir, *asked: dict) -> DataFrame:
+    """Ids that pass each intent as asked, without relaxation."""
+    own = intents(spark, [a | {"query_id": i} for i, a in enumerate(asked, 1)])
+    return filters.matched(listings(spark, sf_dir), own).where("level = 0").select("query_id", "listing_id")
+
+
+def _where(*conditions: str, with_: str = L) -> str:
+    """The same in SQL: a condition for each intent, beside what every intent excludes."""
+    plain = f"(object_category IS NULL OR object_category NOT IN ({', '.join(repr(c) for c in V.NON_RESIDENTIAL)}))"
+    titles = " AND ".join(f"NOT contains(lower(coalesce(title, '')), '{w}')" for w in (*V.EXCHANGE_TITLES, *V.SUBLET_TITLES))
+    parts = [f"SELECT {i}::BIGINT AS query_id, listing_id FROM L WHERE {c.replace('$category', plain).replace('$titles', titles)}" for i, c in enumerate(conditions, 1)]
+    return f"WITH {with_} " + " UNION ALL ".join(parts)
+
+
+# ---- Hard filters ----
+
+
+@query(_where("(lower(city) = 'nation_2' OR starts_with(lower(city), 'nation_2 ') OR lower(city) = 'nation_11' OR starts_with(lower(city), 'nation_11 ')) AND $category AND $titles", "$category AND $titles AND postal_code IN ('8007', '8031')"))
+def filter_city_prefix(spark, sf_dir):
+    return _found(spark, sf_dir, {"city": ["Nation_2", " NATION_11 ", ""]}, {"postal_code": ["8007", " 8031"], "city": [" "]})
+
+
+@query(_where("(canton = 'AS' OR canton IS NULL) AND $category AND $titles", "(offer_type = 'SALE' OR offer_type IS NULL) AND $category AND $titles", "(object_category IN ('Haus', 'Parkplatz') OR object_category IS NULL) AND $titles"))
+def filter_null_permissive(spark, sf_dir):
+    return _found(spark, sf_dir, {"canton": "as"}, {"offer_type": "sale"}, {"object_category": ["Haus", "Parkplatz"]})
+
+
+@query(_where("price BETWEEN 1400 AND 2600 AND $category AND $titles", "rooms >= 2.5 AND rooms <= 4 AND area >= 40 AND area <= 90 AND $category AND $titles"))
+def filter_ranges(spark, sf_dir):
+    return _found(spark, sf_dir, {"min_price": 1400, "max_price": 2600}, {"min_rooms": 2.5, "max_rooms": 4.0, "min_area": 40, "max_area": 90, "min_floor": 3})
+
+
+@query(_where("$category AND $titles"))
+def filter_default_exclusion(spark, sf_dir):
+    return _found(spark, sf_dir, {})
+
+
+@query(_where("$category AND NOT contains(lower(title), 'untermiete') AND NOT contains(lower(title), 'sublet') AND NOT contains(lower(title), 'sous-loc') AND NOT contains(lower(title), 'subaffitto')", "$category AND NOT contains(lower(title), 'tausch') AND NOT contains(lower(title), 'swap')"))
+def filter_title_exclusion(spark, sf_dir):
+    return _found(spark, sf_dir, {"include_exchange": True}, {"include_sublet": True})
+
+
+@query(_where("feature_balcony = 1 AND feature_elevator = 1 AND $category AND $titles", "feature_garage = 1 AND $category AND $titles"))
+def filter_features(spark, sf_dir):
+    return _found(spark, sf_dir, {"features": ["balcony", "elevator", "sauna"]}, {"features": [" garage ", ""]})
+
+
+_KM = "2 * 6371E0 * atan2(sqrt(h), sqrt(1 - h))"
+_H = "sin(radians({b} - {a}) / 2) ** 2 + cos(radians({a})) * cos(radians({b})) * sin(radians({d} - {c}) / 2) ** 2"
+
+
+def _h(a, c, b, d) -> str:
+    return _H.format(a=a, b=b, c=c, d=d)
+
+
+@query(f"WITH {L}, d AS (SELECT listing_id, {_KM} AS km FROM (SELECT *, {_h('46.9E0', '7.4E0', 'latitude', 'longitude')} AS h FROM L WHERE latitude IS NOT NULL AND {{}})) SELECT listing_id, row_number() OVER (ORDER BY km, listing_id)::INT AS cand_ord, round(km, 6) AS km FROM d WHERE km <= 60".replace("{}", _where("$category AND $titles").split("WHERE ")[-1]))
+def radius_search(spark, sf_dir):
+    own = intents(spark, [{"query_id": 1, "latitude": 46.9, "longitude": 7.4, "radius_km": 60.0, "sort_by": "price_asc"}])
+    return filters.numbered(filters.matched(listings(spark, sf_dir), own)).select("listing_id", "cand_ord", F.round("sort_value", 6).alias("km"))
+
+
+_PLAIN = _where("$category AND $titles").split("WHERE ")[-1]
+
+
+@query(
+    f"WITH {L}, b AS (SELECT * FROM L WHERE {_PLAIN}) "
+    + " UNION ALL ".join(f"SELECT {i}::BIGINT AS query_id, listing_id, row_number() OVER (ORDER BY {o}, listing_id)::INT AS cand_ord FROM b" for i, o in enumerate(("price ASC NULLS LAST", "price DESC NULLS LAST", "rooms ASC NULLS LAST", "rooms DESC NULLS LAST", "1"), 1))
+)
+def sort_price_nulls_last(spark, sf_dir):
+    own = intents(spark, [{"query_id": i, "sort_by": s} for i, s in enumerate(("price_asc", "price_desc", "rooms_asc", "rooms_desc", None), 1)])
+    return filters.numbered(filters.matched(listings(spark, sf_dir), own)).select("query_id", "listing_id", "cand_ord")
+
+
+@query(f"WITH {L}, b AS (SELECT listing_id, row_number() OVER (ORDER BY price NULLS LAST, listing_id)::INT AS cand_ord FROM L WHERE {_PLAIN}) SELECT listing_id, cand_ord FROM b WHERE cand_ord > 7 AND cand_ord <= 19")
+def page_offset(spark, sf_dir):
+    return filters.hard_filter(listings(spark, sf_dir), intents(spark, [{"query_id": 1, "sort_by": "price_asc", "offset": 7, "limit": 12}])).select("listing_id", "cand_ord")
+
+
+@query(f"WITH {L}, b AS (SELECT listing_id, row_number() OVER (ORDER BY listing_id)::INT AS rank FROM L WHERE {_PLAIN}) SELECT listing_id, rank FROM b WHERE rank <= 12 AND rank > 7")
+def page_shrinks(spark, sf_dir):
+    ranked = filters.numbered(filters.matched(listings(spark, sf_dir), intents(spark, [{"query_id": 1}]))).withColumnRenamed("cand_ord", "rank")
+    return ranking.result_page(ranked, F.lit(12), F.lit(7)).select("listing_id", "rank")
+
+
+@query(f"WITH {L}, b AS (SELECT listing_id, row_number() OVER (ORDER BY listing_id)::INT AS cand_ord FROM L WHERE {_PLAIN}) SELECT * FROM b WHERE cand_ord <= 200")
+def candidate_cap(spark, sf_dir):
+    return filters.hard_filter(listings(spark, sf_dir), intents(spark, [{"query_id": 1}]), cap=V.CANDIDATE_CAP, page=False).select("listing_id", "cand_ord")
+
+
+_RELAX = {"max_area": 21, "min_area": 20, "features": ["balcony", "garage"], "max_price": 900, "min_price": 850, "max_rooms": 1.0, "min_rooms": 1.0, "canton": "AS", "limit": 500}
+
+
+def _relaxed(step: int) -> str:
+    at = lambda k, strict, loose: loose if step >= k else strict
+    return " AND ".join((at(1, "area <= 21", "true"), at(2, "area >= 20", "true"), at(3, "feature_balcony = 1 AND feature_garage = 1", "true"), at(4, "price <= 900", "price <= 1080"), at(5, "price >= 850", "price >= 680"), at(6, "rooms <= 1", "rooms <= 1.5"), at(7, "rooms >= 1", "rooms >= 0.5")))
+
+
+_LEVELS = f"WITH {L}, b AS (SELECT *, CASE {' '.join(f'WHEN {_relaxed(k)} THEN {k}' for k in range(8))} END::INT AS level FROM L WHERE (canton = 'AS' OR canton IS NULL) AND {_PLAIN})"
+
+
+@query(f"{_LEVELS} SELECT listing_id, level FROM b WHERE level IS NOT NULL")
+def relaxation_levels(spark, sf_dir):
+    return filters.matched(listings(spark, sf_dir), intents(spark, [_RELAX | {"query_id": 1}])).select("listing_id", "level")
+
+
+@query(f"{_LEVELS}, c AS (SELECT coalesce(min(k) FILTER (n >= 5), 7)::INT AS chosen FROM (SELECT k, (SELECT count(*) FROM b WHERE level <= k) AS n FROM range(8) t(k))) SELECT listing_id, chosen, list_slice(['max_area', 'min_area', 'features', 'max_price', 'min_price', 'max_rooms', 'min_rooms'], 1, chosen)::VARCHAR AS relaxed FROM b, c WHERE level <= chosen")
+def relaxation_chosen(spark, sf_dir):
+    own = filters.hard_filter(listings(spark, sf_dir), intents(spark, [_RELAX | {"query_id": 1}]))
+    return own.select("listing_id", "chosen", F.concat(F.lit("["), F.concat_ws(", ", "relaxed"), F.lit("]")).alias("relaxed"))
+
+
+# ---- Quality, tenancy, locality ----
+
+_ASKED = "(VALUES (1, 'flat for my family, long-term'), (2, 'furnished studio for 6 months'), (3, 'anything')) AS t(query_id, raw_query)"
+
+
+def _pool(spark, sf_dir, where: str) -> DataFrame:
+    """Every listing that where keeps, beside the three queries of _ASKED."""
+    return listings(spark, sf_dir).where(where).join(F.broadcast(_rows(spark, _ASKED)), F.lit(True))
+
+
+_SWAP, _WANT, _FOREIGN = "tauschwohnung|apartment swap", "suche wohnung", "^fr-ferney-voltaire"
+_REASON = f"CASE WHEN regexp_matches(x, '(?i)\\b({_SWAP})\\b') THEN 'swap_listing' WHEN regexp_matches(x, '(?i)\\b({_WANT})\\b') THEN 'wanted_listing' WHEN regexp_matches(title, '(?i){_FOREIGN}') THEN 'non_swiss_title' END"
+_BEFRISTET = "regexp_matches(x, '(?i)\\bbefristet\\b')"
+
+
+@query(
+    f"""WITH {L}, q AS (SELECT * FROM {_ASKED}), c AS (SELECT query_id, {_REASON} AS why, {_BEFRISTET} AS short FROM (SELECT *, concat_ws(' ', title, description) AS x FROM L WHERE CAST(listing_id AS INT) % 3 <> 1), q)
+    SELECT query_id, coalesce(why, CASE WHEN query_id = 1 THEN 'temporary:befristet' ELSE '_short_term_kept_by_intent' END) AS reason, count(*) AS n FROM c WHERE why IS NOT NULL OR (short AND query_id < 3) GROUP BY 1, 2"""
+)
+def quality_drop_counts(spark, sf_dir):
+    return quality.drop_counts(_pool(spark, sf_dir, "listing_id % 3 <> 1"), F.col("raw_query"))
+
+
+_SHORT_POOL = "(CAST(listing_id AS INT) % 37 = 0 OR CAST(listing_id AS INT) % 333 < {})"
+
+
+@query(
+    f"""WITH {L}, q AS (SELECT * FROM {_ASKED}), c AS (SELECT query_id, listing_id, {_BEFRISTET} AS short FROM (SELECT *, concat_ws(' ', title, description) AS x FROM L WHERE {_SHORT_POOL.format(9)}), q WHERE {_REASON} IS NULL),
+    k AS (SELECT *, count(*) FILTER (NOT short OR query_id <> 1) OVER (PARTITION BY query_id) AS n FROM c) SELECT query_id, listing_id FROM k WHERE NOT short OR query_id <> 1 OR n < 5"""
+)
+def short_term_guard(spark, sf_dir):
+    return quality.quality_filter(_pool(spark, sf_dir, _SHORT_POOL.format(9)), F.col("raw_query")).select("query_id", "listing_id")
+
+
+@query(f"WITH {L} SELECT 1 AS query_id, listing_id FROM L WHERE CAST(listing_id AS INT) % 37 = 0 AND CAST(listing_id AS INT) % 41 <> 0 AND CAST(listing_id AS INT) % 43 <> 0 AND CAST(listing_id AS INT) < 370")
+def short_term_restored(spark, sf_dir):
+    """Four rows or fewer would be left, so short lets stay."""
+    pool = _pool(spark, sf_dir, "listing_id % 37 = 0 AND listing_id < 370").where("query_id = 1")
+    return quality.quality_filter(pool, F.col("raw_query")).select("query_id", "listing_id")
+
+
+_HINTS = "(VALUES (1, 'weg 1'), (2, 'no such street'), (3, 'thandhe')) AS t(query_id, hint)"
+
+
+@query(
+    f"""WITH {L}, q AS (SELECT * FROM {_HINTS}), c AS (SELECT query_id, listing_id, contains(lower(concat_ws(' ', title, description, street, postal_code)), hint) AS hit FROM L, q),
+    k AS (SELECT *, count(*) FILTER (hit) OVER (PARTITION BY query_id) AS n FROM c) SELECT query_id, listing_id FROM k WHERE hit OR n < 5"""
+)
+def locality_guard(spark, sf_dir):
+    asked = _rows(spark, _HINTS).select("query_id", F.array(F.concat(F.lit("  "), F.upper("hint")), F.lit(" ")).alias("hints"))
+    return quality.locality_filter(listings(spark, sf_dir).join(F.broadcast(asked), F.lit(True)), F.col("hints")).select("query_id", "listing_id")
+
+
+_SOFT = "(VALUES (1, 'quiet flat', 60), (2, 'room in a shared flat for 3 months', 0), (3, 'wg', 100000)) AS t(query_id, raw_query, min_area)"
+
+
+@query(
+    f"""WITH {L}, q AS (SELECT * FROM {_SOFT}), c AS (SELECT query_id, listing_id, area, min_area, regexp_matches(x, '(?i)\\b(tauschwohnung|swap\\s+apartment)\\b') AS ex, regexp_matches(x, '(?i)\\b(co-?living|wg[-\\s]?zimmer)\\b') AS sh, regexp_matches(x, '(?i)\\bbefristet\\b') AS te FROM (SELECT *, concat_ws(' ', title, description) AS x FROM L), q),
+    a AS (SELECT * FROM c WHERE NOT ex AND (query_id > 1 OR NOT sh)), b AS (SELECT * FROM a WHERE query_id = 2 OR NOT te),
+    d AS (SELECT *, min_area = 0 OR coalesce(area, 0) >= min_area * 0.97E0 AS keep FROM b) SELECT query_id, listing_id FROM (SELECT *, count(*) FILTER (keep) OVER (PARTITION BY query_id) AS n FROM d) WHERE keep OR n = 0"""
+)
+def soft_filter_chain(spark, sf_dir):
+    pool = listings(spark, sf_dir).join(F.broadcast(_rows(spark, _SOFT)), F.lit(True))
+    return quality.soft_filters(pool, F.col("raw_query"), F.col("min_area")).select("query_id", "listing_id")
+
+
+_WISHES = "(VALUES (1, 'Familie mit kinder'), (2, 'möblierte Wohnung befristet'), (3, 'for 3 months'), (4, 'WG room'), (5, ''), (6, 'retired couple, sublet')) AS t(query_id, raw_query)"
+
+
+@query(
+    """SELECT * FROM (VALUES (1, false, true, false, false), (2, true, false, false, false), (3, true, false, true, false), (4, false, false, false, true), (5, false, false, false, false), (6, true, false, false, false)) t(query_id, short_term, long_term, temporary, shared)"""
+)
+def query_wishes(spark, sf_dir):
+    c = F.col("raw_query")
+    return _rows(spark, _WISHES).select("query_id", quality.wants_short_term(c).alias("short_term"), quality.wants_long_term(c).alias("long_term"), quality.wants_temporary(c).alias("temporary"), quality.wants_shared(c).alias("shared"))
+
+
+# ---- Scalars of ingest ----
+
+
+@query(f"SELECT i, CASE WHEN trim(c) <> '' AND upper(trim(c)) <> 'NULL' THEN trim(c) END AS cleaned FROM {values_sql.TEXTS}")
+def clean_null_text(spark, sf_dir):
+    return _rows(spark, values_sql.TEXTS).select("i", scalars.clean_text(F.col("c")).alias("cleaned"))
+
+
+@query(f"SELECT i, CASE WHEN list_contains([a, b, c], true) THEN true WHEN list_contains([a, b, c], false) THEN false END AS any_true FROM {values_sql.FLAGS}")
+def tri_state_or(spark, sf_dir):
+    return _rows(spark, values_sql.FLAGS).select("i", scalars.tri_or(F.col("a"), F.col("b"), F.col("c")).alias("any_true"))
+
+
+@query(
+    """WITH r AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_retailprice END AS gross, CASE WHEN p_partkey % 6 = 0 THEN -1E0 ELSE p_retailprice * 2 END AS price, CASE WHEN p_partkey % 12 = 0 THEN NULL ELSE p_retailprice / 2 END AS net, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_size::DOUBLE END AS extra FROM part)
+    SELECT p_partkey, CASE WHEN round_even(gross, 0) > 0 THEN round_even(gross, 0) WHEN round_even(price, 0) > 0 THEN round_even(price, 0) WHEN round_even(net, 0) > 0 THEN round_even(net, 0) + coalesce(round_even(extra, 0), 0) END::INT AS price FROM r"""
+)
+def derive_price(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    s = lambda c: c.cast("string")
+    k, retail = F.col("p_partkey"), F.col("p_retailprice")
+    return p.select("p_partkey", scalars.derive_price(s(F.when(k % 3 != 0, retail)), s(F.when(k % 6 == 0, -1.0).otherwise(retail * 2)), s(F.when(k % 12 != 0, retail / 2)), s(F.when(k % 5 != 0, F.col("p_size").cast("double")))).alias("price"))
+
+
+@query("SELECT o_orderkey, o_orderdate::DATE AS day FROM orders WHERE o_orderkey % 3 < 2 UNION ALL SELECT o_orderkey, NULL::DATE FROM orders WHERE o_orderkey % 3 = 2")
+def parse_date_formats(spark, sf_dir):
+    o, k = read(spark, sf_dir, "orders"), F.col("o_orderkey") % 3
+    day = F.when(k == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(k == 1, F.date_format("o_orderdate", " d.M.yyyy")).otherwise(F.date_format("o_orderdate", "yyyy-MM"))
+    return o.select("o_orderkey", scalars.parse_date(day).alias("day"))
+
+
+@query(f"WITH {L} SELECT listing_id, CASE WHEN CAST(listing_id AS INT) % 29 = 0 AND starts_with(title, '3.5-Zimmer') THEN 3.5::DOUBLE END AS rooms FROM L WHERE NOT regexp_matches(description, '(?i)[0-9]\\s*[-‑]?\\s*(zimmer|zi\\.|pi[eè]ce|local|room)')")
+def rooms_from_title(spark, sf_dir):
+    own = listings(spark, sf_dir).where(~F.col("description").rlike(r"(?i)[0-9]\s*[-‑]?\s*(zimmer|zi\.|pi[eè]ce|local|room)"))
+    return own.select("listing_id", scalars.rooms_in(F.col("title")).alias("rooms"))
+
+
+@query(f"SELECT i, f AS as_float, n AS as_int, b AS as_bool, t AS truthy FROM {values_sql.NUMBERS_OUT}")
+def parse_float_separators(spark, sf_dir):
+    c = F.col("c")
+    return _rows(spark, values_sql.NUMBERS).select("i", scalars.parse_float(c).alias("as_float"), scalars.parse_int(c).alias("as_int"), scalars.parse_bool(c).alias("as_bool"), scalars.truthy(c).alias("truthy"))
+
+
+@query("SELECT page_id, md5(regexp_replace(regexp_replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '*', ''), '[ \\t]{2,}', ' ', 'g'), '^\\s+|\\s+$', '', 'g')) AS digest FROM pages")
+def strip_markup_pages(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", F.md5(scalars.strip_markup(F.col("html"))).alias("digest"))
+
+
+@query("SELECT event_id, props->>'$.k' AS k, (props->>'$.page') AS page FROM events")
+def json_props(spark, sf_dir):
+    own = F.from_json("props", "k string, page string")
+    return read(spark, sf_dir, "events").select("event_id", own["k"].alias("k"), own["page"].alias("page"))
+
+
+@query(f"SELECT i, urls, hero FROM {values_sql.IMAGES_OUT}")
+def image_url_lists(spark, sf_dir):
+    urls = scalars.image_urls(F.col("c"))
+    return _rows(spark, values_sql.IMAGES).select("i", F.concat_ws(",", urls).alias("urls"), F.try_element_at(urls, F.lit(1)).alias("hero"))
+
+
+@query(f"SELECT i, CASE WHEN len(l) > 0 THEN array_to_string(l, ',') END AS features FROM (SELECT i, CASE i WHEN 1 THEN ['balcony', 'elevator'] WHEN 2 THEN ['garage'] WHEN 3 THEN []::VARCHAR[] WHEN 4 THEN ['new_build', 'pets_allowed', 'temporary'] END AS l FROM {values_sql.FEATURES})")
+def feature_synonyms(spark, sf_dir):
+    own = scalars.canonical_features(F.split("c", ";"))
+    return _rows(spark, values_sql.FEATURES).select("i", F.when(own.isNotNull(), F.concat_ws(",", own)).alias("features"))
+
+
+@query(f"SELECT i, place, city, slug, file, key FROM {values_sql.NAMES_OUT}")
+def canonical_names(spark, sf_dir):
+    c = F.col("c")
+    return _rows(spark, values_sql.NAMES).select("i", scalars.place_city(c).alias("place"), scalars.canonical_city(c).alias("city"), scalars.slugify(c).alias("slug"), scalars.file_slug(c).alias("file"), scalars.image_key(c).alias("key"))
+
+
+@query("SELECT page_id, left(regexp_replace(trim(regexp_replace(lower(url), '[^a-z0-9_\\s-]', '', 'g')), '[-\\s]+', '_', 'g'), 60) AS slug, left(regexp_replace(lower(url), '[^a-z0-9_]+', '_', 'g'), 60) AS file FROM pages")
+def slugify(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", scalars.slugify(F.col("url")).alias("slug"), scalars.file_slug(F.col("url")).alias("file"))
+
+
+@query(
+    f"""WITH {L} SELECT listing_id, md5(concat('City: ', coalesce(city, '?'), ' (', coalesce(canton, '?'), ')\nType: ', coalesce(object_category, '?'), ' | ', coalesce(rooms::VARCHAR, '?'), ' rooms | ', coalesce(area::VARCHAR, '?'), ' m² | CHF ', coalesce(price::VARCHAR, '?'), '/mo | offer=', coalesce(offer_type, '?'),
+    '\nDistances: ', coalesce(nullif(concat_ws(', ', 'transit=' || geo_transit_m || 'm', 'supermarket=' || geo_supermarket_m || 'm', 'school=' || geo_school_m || 'm', 'uni/anchor=' || geo_university_m || 'm'), ''), '(no POI distances)'), '\nFeatures: none\nTitle: ', coalesce(nullif(title, ''), '(no title)'),
+    '\nDesc: ', coalesce(nullif(left(d, 500) || CASE WHEN length(d) > 500 THEN '…' ELSE '' END, ''), '(no description)'))) AS digest FROM (SELECT *, regexp_replace(trim(description, ' \n\t'), '\\s+', ' ', 'g') AS d FROM L)"""
+)
+def judge_texts(spark, sf_dir):
+    c = F.col
+    near = [("transit", c("geo_transit_m")), ("supermarket", c("geo_supermarket_m")), ("school", c("geo_school_m")), ("uni/anchor", c("geo_university_m"))]
+    said = scalars.judge_text(c("city"), c("canton"), c("object_category"), c("rooms"), c("area"), c("price"), c("offer_type"), near, F.array().cast("array<string>"), c("title"), c("description"))
+    return listings(spark, sf_dir).select("listing_id", F.md5(said).alias("digest"))
+
+
+@query(f"WITH {L} SELECT count(*) FILTER (rooms IS NULL AND starts_with(title, '3.5-Zimmer')) AS rooms_filled, count(*) FILTER (contains(description, '*') OR regexp_matches(description, '<[^>]+>|[ \\t]{{2,}}|^\\s|\\s$')) AS descriptions_cleaned FROM L WHERE NOT regexp_matches(title, '(?i)[0-9]\\s*(zimmer|zi\\.|pi[eè]ce|local|room)') OR starts_with(title, '3.5-Zimmer')")
+def backfill_counts(spark, sf_dir):
+    own = listings(spark, sf_dir).where(~F.col("title").rlike(r"(?i)[0-9]\s*(zimmer|zi\.|pi[eè]ce|local|room)") | F.col("title").startswith("3.5-Zimmer"))
+    return sources.backfill_counts(own)
+
+
+@query()
+def typed_listings(spark, sf_dir):
+    """The row parser over raw rows made from the fixture."""
+    own = listings(spark, sf_dir)
+    given = {"id": F.concat(F.lit(" "), F.col("listing_id")), "title": F.col("title"), "object_city": F.col("city"), "object_state": F.lower("canton"), "rent_net": F.col("price").cast("string"), "rent_extra": F.lit("150"), "number_of_rooms": F.col("rooms").cast("string"), "geo_lat": F.col("latitude").cast("string"), "object_description": F.col("description"), "prop_balcony": F.when(F.col("feature_balcony") == 1, "true").when(F.col("feature_balcony") == 0, "false"), "offer_type": F.lower("offer_type")}
+    return sources.prepare(own.select(*(given.get(c, F.lit(None).cast("string")).alias(c) for c in V.RAW_COLUMNS))).drop("raw", "orig_data", "location_address")
+
+
+# ---- Signals, weights, fusion ----
+
+_SCORED = f"{L}, s AS (SELECT 1 + CAST(listing_id AS INT) % 4 AS query_id, listing_id, CASE WHEN CAST(listing_id AS INT) % 10 = 9 THEN NULL ELSE area - 60 END AS v, price FROM L)"
+
+
+def _scored(spark, sf_dir) -> DataFrame:
+    return listings(spark, sf_dir).select((F.col("listing_id").cast("int") % 4 + 1).alias("query_id"), "listing_id", F.when(F.col("listing_id").cast("int") % 10 != 9, F.col("area") - 60).alias("v"), "price")
+
+
+@query(f"WITH {_SCORED}, m AS (SELECT *, min(v) OVER w AS lo, max(v) OVER w AS hi, min(greatest(v, 0)) FILTER (v IS NOT NULL) OVER w AS lo0, max(greatest(v, 0)) FILTER (v IS NOT NULL) OVER w AS hi0 FROM s WINDOW w AS (PARTITION BY query_id)) SELECT query_id, listing_id, round(CASE WHEN v IS NOT NULL THEN CASE WHEN hi > lo THEN (v - lo) / (hi - lo) ELSE 0 END END, 6) AS scaled, round(CASE WHEN v IS NOT NULL THEN CASE WHEN hi0 > lo0 THEN (greatest(v, 0) - lo0) / (hi0 - lo0) ELSE 0 END END, 6) AS clipped FROM m")
+def minmax_signal(spark, sf_dir):
+    return _scored(spark, sf_dir).select("query_id", "listing_id", F.round(signals.min_max(F.col("v")), 6).alias("scaled"), F.round(signals.clipped(F.col("v")), 6).alias("clipped"))
+
+
+@query(f"WITH {_SCORED} SELECT query_id, listing_id, round(CASE WHEN max(v) OVER (PARTITION BY query_id) > 0 THEN v / max(v) OVER (PARTITION BY query_id) ELSE v END, 6) AS share FROM s")
+def max_norm_signal(spark, sf_dir):
+    return _scored(spark, sf_dir).select("query_id", "listing_id", F.round(signals.max_norm(F.col("v")), 6).alias("share"))
+
+
+def _band_sql(raw: str) -> str:
+    return f"WITH {_SCORED}, r AS (SELECT query_id, listing_id, {raw} AS x FROM (SELECT *, median(price) OVER (PARTITION BY query_id) AS med FROM s)) SELECT query_id, listing_id, round(CASE WHEN x IS NOT NULL THEN CASE WHEN max(x) OVER w > min(x) OVER w THEN (x - min(x) OVER w) / (max(x) OVER w - min(x) OVER w) ELSE 0 END END, 6) AS band FROM r WINDOW w AS (PARTITION BY query_id)"
+
+
+def _band(spark, sf_dir, kind) -> DataFrame:
+    return _scored(spark, sf_dir).select("query_id", "listing_id", F.round(signals.price_band(F.col("price"), F.lit(kind)), 6).alias("band"))
+
+
+@query(_band_sql("-price::DOUBLE"))
+def price_band_cheap(spark, sf_dir):
+    return _band(spark, sf_dir, "cheap")
+
+
+@query(_band_sql("-abs(price - med)::DOUBLE"))
+def price_band_mid(spark, sf_dir):
+    return _band(spark, sf_dir, "mid")
+
+
+@query(_band_sql("price::DOUBLE"))
+def price_band_premium(spark, sf_dir):
+    return _band(spark, sf_dir, "premium")
+
+
+_WEIGHT_CASES = [
+    {"query_id": 1},
+    {"query_id": 2, "language": "de"},
+    {"query_id": 3, "near_public_transport": True, "weights": {"bm25": 0.4, "dense_text": 0.5, "feature_match": 0.6, "brightness": 0.7, "transit": 0.6}},
+    {"query_id": 4, "vlm_active": True, "price_intent": "cheap", "anchors": ["ETH"], "family_friendly": True, "weights": {"brightness": 0.2, "modernity": 0.9, "geo_anchor": 0.5, "transit": 3.0}},
+    {"query_id": 5, "weights": {"dense_text": 0.0, "bm25": -1.0}},
+]
+_DENSE3, _SUM3 = "0.35E0 + 0.5E0 * 0.7E0", "(0.35E0 + 0.5E0 * 0.7E0 + 0.4E0 + 0.6E0)"
+_SUM4 = "(0.35E0 + 0.2E0 + 0.9E0 + 0.05E0 + 0.5E0 + 0.1E0)"
+
+
+@query(
+    f"""SELECT query_id, round(dense, 6) AS dense, round(bm25, 6) AS bm25, round(vlm, 6) AS vlm, round(transit, 6) AS geo_transit, round(school, 6) AS geo_school, round(anchor, 6) AS geo_anchor, round(price, 6) AS price_band, round(lang, 6) AS lang_match FROM (VALUES
+    (1::BIGINT, 0.35E0 / 0.55E0, 0.2E0 / 0.55E0, 0E0, 0E0, 0E0, 0E0, 0E0, 0E0), (2, 0.35E0 / 0.6E0, 0.2E0 / 0.6E0, 0, 0, 0, 0, 0, 0.05E0 / 0.6E0), (3, ({_DENSE3}) / {_SUM3}, 0.4E0 / {_SUM3}, 0, 0.6E0 / {_SUM3}, 0, 0, 0, 0),
+    (4, 0.35E0 / {_SUM4}, 0.2E0 / {_SUM4}, 0.9E0 / {_SUM4}, 0, 0.05E0 / {_SUM4}, 0.5E0 / {_SUM4}, 0.1E0 / {_SUM4}, 0), (5, 0.35E0 / 0.55E0, 0.2E0 / 0.55E0, 0, 0, 0, 0, 0, 0)) t(query_id, dense, bm25, vlm, transit, school, anchor, price, lang)"""
+)
+def weights_resolved(spark, sf_dir):
+    return weights.with_weights(intents(spark, _WEIGHT_CASES)).select("query_id", *(F.round(f"w_{k}", 6).alias(k) for k in V.SIGNALS))
+
+
+@query("SELECT * FROM (VALUES (1::BIGINT, 'bm25=0.4,dense_text=0.6'), (2, 'bm25=0.4,dense_text=0.6'), (3, 'bm25=0.4,dense_text=0.6,transit=0.8'), (4, 'bm25=0.4,dense_text=0.6,feature_match=0.6,geo_anchor=0.9,price_band=0.75'), (5, 'bm25=0.4,dense_text=0.6')) t(query_id, weights)")
+def weights_derived(spark, sf_dir):
+    own = weights.derived_weights()
+    said = F.transform(F.array_sort(F.map_entries(own)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return intents(spark, _WEIGHT_CASES).select("query_id", F.concat_ws(",", said).alias("weights"))
+
+
+_WANTS = [{"query_id": 1, "raw_query": "flat near tram", "near_public_transport": True, "price_intent": "cheap", "language": "en", "limit": 30}, {"query_id": 2, "raw_query": "wg close to ETH", "anchors": ["ETH"], "near_schools": True, "limit": 30}]
+
+
+def _fusion_sql(select: str) -> str:
+    """Signals and weights of _WANTS by hand: text and image signals are not there."""
+    mm = lambda x: f"CASE WHEN {x} IS NOT NULL THEN CASE WHEN max({x}) OVER w > min({x}) OVER w THEN ({x} - min({x}) OVER w) / (max({x}) OVER w - min({x}) OVER w) ELSE 0 END ELSE 0 END"
+    detect = values_sql.detect_sql("x")
+    return f"""WITH {L}, b AS (SELECT *, row_number() OVER (ORDER BY listing_id) AS cand_ord FROM L WHERE {_PLAIN}), pool AS (SELECT *, concat_ws(' ', title, description) AS x FROM b WHERE cand_ord <= 200),
+    ok AS (SELECT * FROM pool WHERE {_REASON} IS NULL),
+    q AS (SELECT * FROM (VALUES (1::BIGINT), (2::BIGINT)) t(query_id)),
+    raw AS (SELECT query_id, listing_id, cand_ord, object_category, CASE WHEN query_id = 1 THEN exp(-coalesce(geo_transit_m, distance_public_transport) / 500E0) END AS tr, CASE WHEN query_id = 2 THEN exp(-geo_school_m / 1000E0) END AS sc, CASE WHEN query_id = 2 THEN exp(-geo_university_m / 800E0) END AS an,
+      CASE WHEN query_id = 1 THEN -price::DOUBLE END AS pr, CASE WHEN query_id = 1 THEN CASE WHEN {detect} = 'en' THEN 1E0 ELSE 0E0 END END AS la FROM ok, q),
+    sig AS (SELECT *, {mm('tr')} AS s_tr, {mm('sc')} AS s_sc, {mm('an')} AS s_an, {mm('pr')} AS s_pr, {mm('la')} AS s_la FROM raw WINDOW w AS (PARTITION BY query_id)),
+    wt AS (SELECT *, CASE query_id WHEN 1 THEN 0.8E0 ELSE 0.75E0 END AS total FROM sig),
+    sc AS (SELECT *, (s_tr * 0.1E0 + s_sc * 0.05E0 + s_an * 0.15E0 + s_pr * 0.1E0 + s_la * 0.05E0) / total * CASE WHEN query_id = 1 AND object_category IN ('WG-Zimmer', 'Einzelzimmer') THEN 0.4E0 ELSE 1E0 END AS score FROM wt),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, cand_ord)::INT AS rank FROM sc) {select}"""
+
+
+def _fused(spark, sf_dir) -> DataFrame:
+    own = weights.with_weights(intents(spark, _WANTS))
+    scored = search.score(search.candidates(listings(spark, sf_dir), own), None, None)
+    return ranking.top_k(scored.withColumn("score", F.round("score", 9)), 30)
+
+
+@query(_fusion_sql("SELECT query_id, rank, listing_id, round(score, 6) AS score FROM rk WHERE rank <= 30"))
+def fusion_topk(spark, sf_dir):
+    return _fused(spark, sf_dir).select("query_id", "rank", "listing_id", F.round("score", 6).alias("score"))
+
+
+@query(
+    _fusion_sql(
+        """, parts AS (SELECT query_id, listing_id, unnest([{'c': s_tr * 0.1E0, 'at': 3, 'n': 'geo_transit', 'v': s_tr}, {'c': s_sc * 0.05E0, 'at': 4, 'n': 'geo_school', 'v': s_sc}, {'c': s_an * 0.15E0, 'at': 5, 'n': 'geo_anchor', 'v': s_an}, {'c': s_pr * 0.1E0, 'at': 6, 'n': 'price_band', 'v': s_pr}, {'c': s_la * 0.05E0, 'at': 7, 'n': 'lang_match', 'v': s_la}]) AS p FROM rk WHERE rank <= 30),
+        o AS (SELECT query_id, listing_id, p, row_number() OVER (PARTITION BY query_id, listing_id ORDER BY p.c DESC, p.at) AS k FROM parts WHERE p.c > 0)
+        SELECT query_id, listing_id, count(*)::INT AS n, string_agg(p.n, ',' ORDER BY k) AS names FROM o WHERE k <= 3 GROUP BY 1, 2"""
+    )
+)
+def top3_reason(spark, sf_dir):
+    s, w = search._columns()
+    top = ranking.top_signals(ranking.contributions(s, w))
+    return _fused(spark, sf_dir).select("query_id", "listing_id", F.size(top).alias("n"), F.concat_ws(",", F.transform(top, lambda p: p["signal"])).alias("names")).where("n > 0")
+
+
+@query("SELECT * FROM (VALUES (1, 'bright airy'), (2, 'Flat with a nice VIEW'), (3, NULL)) t(i, prompt)")
+def visual_prompt(spark, sf_dir):
+    own = _rows(spark, "(VALUES (1, 'flat', 'bright;airy'), (2, 'Flat with a nice VIEW', ''), (3, 'flat in Bern', '')) AS t(i, q, d)")
+    return own.select("i", signals.visual_prompt(F.col("q"), F.split("d", ";")).alias("prompt"))
+
+
+@query("SELECT * FROM (VALUES (1::BIGINT, 'a', 3::BIGINT, 'ok'), (1, 'b', 1, 'ok'), (2, 'a', 0, 'empty'), (2, 'b', 0, 'empty')) t(query_id, stage, rows, state)")
+def stage_trace(spark, sf_dir):
+    own = _rows(spark, "(VALUES (1L, 5), (1L, 6), (1L, 7)) AS t(query_id, x)")
+    return ranking.stage_trace({"a": own, "b": own.where("x = 5")}, _rows(spark, "(VALUES (1L), (2L)) AS t(query_id)"))
+
+
+@query(f"WITH {L}, b AS (SELECT listing_id, title, description, row_number() OVER (ORDER BY listing_id) AS o FROM L WHERE {_PLAIN}), p AS (SELECT *, concat_ws(' ', title, description) AS x FROM b WHERE o <= 20) SELECT listing_id, row_number() OVER (ORDER BY o)::INT AS rank, 1E0 AS score, 'Matched hard filters; soft ranking stub.' AS reason FROM p WHERE NOT regexp_matches(x, '(?i)\\b(tauschwohnung|swap\\s+apartment|co-?living|wg[-\\s]?zimmer|befristet)\\b')")
+def filter_search(spark, sf_dir):
+    return search.filter_search(listings(spark, sf_dir), intents(spark, [{"query_id": 1}])).select("listing_id", "rank", "score", "reason")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    """Three intents, filtered, relaxed, scored by BM25, cosine, distance, price and language, five results each."""
+    own = listings(spark, sf_dir)
+    vec = read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("listing_id"), F.lit("m").alias("model_id"), F.col("embedding").alias("vector"))
+    probe = {r.vec_id: list(map(float, r.embedding)) for r in read(spark, sf_dir, "embeddings").where("vec_id in (1, 2, 3)").collect()}
+    asked = intents(
+        spark,
+        [
+            {"query_id": 1, "raw_query": "the and thing for my family", "language": "en", "canton": "AS", "max_price": 2500, "near_public_transport": True, "query_vector": probe.get(1), "limit": 5},
+            {"query_id": 2, "raw_query": "der und die wohnung", "language": "de", "price_intent": "cheap", "min_rooms": 2.0, "query_vector": probe.get(2), "limit": 5},
+            {"query_id": 3, "raw_query": "les pour dans", "anchors": ["ETH"], "max_area": 21, "features": ["balcony"], "query_vector": probe.get(3), "limit": 5},
+        ],
+    )
+    index = bm25.build_index(own.select("listing_id", bm25.corpus_text().alias("text")), id="listing_id", text="text")
+    return search.search(own, asked, index, vec)
+
+
+@query()
+def unified_search(spark, sf_dir):
+    return flagship(spark, sf_dir)
+
+
+# ---- Text retrieval ----
+
+
+@query(f"SELECT doc_id, {values_sql.detect_sql('text')} AS lang FROM documents")
+def detect_lang(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", text.detect_language(F.col("text")).alias("lang"))
+
+
+@query(f"SELECT doc_id, len({values_sql.tokens_sql('text')})::INT AS dl FROM documents")
+def tokens_per_doc(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.size(text.tokens(F.col("text"))).alias("dl"))
+
+
+def _index(spark, sf_dir) -> bm25.Bm25Index:
+    return bm25.build_index(read(spark, sf_dir, "documents"), id="doc_id", text="text")
+
+
+_BM25 = f"""WITH tok AS (SELECT doc_id, {values_sql.tokens_sql('text')} AS ts FROM documents), n AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM tok),
+    post AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(ts) AS term FROM tok) GROUP BY 1, 2), dfs AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
+    raw AS (SELECT term, df, ln(n - df + 0.5E0) - ln(df + 0.5E0) AS r FROM dfs, n), idf AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25E0 * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw)"""
+_TERMS = "(VALUES (1, 'thand the erin erin'), (2, 'der sch heit, ung'), (3, 'qqq')) AS t(query_id, raw_query)"
+_BM25_SCORE = f"""{_BM25}, q AS (SELECT query_id, unnest({values_sql.tokens_sql('raw_query')}) AS term FROM {_TERMS}),
+    sc AS (SELECT query_id, p.doc_id, sum(idf * tf * 2.5E0 / (tf + 1.5E0 * (0.25E0 + 0.75E0 * len(ts) / avgdl))) AS s FROM q JOIN post p USING (term) JOIN idf USING (term) JOIN tok t ON t.doc_id = p.doc_id, n GROUP BY 1, 2)"""
+
+
+@query(f"{_BM25} SELECT term, df, round(idf, 6) AS idf FROM idf")
+def bm25_idf(spark, sf_dir):
+    return _index(spark, sf_dir).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(f"{_BM25_SCORE} SELECT query_id, doc_id, round(s, 6) AS bm25 FROM sc")
+def bm25_scores(spark, sf_dir):
+    return bm25.score(_index(spark, sf_dir), _rows(spark, _TERMS)).select("query_id", "doc_id", F.round("bm25", 6).alias("bm25"))
+
+
+@query(f"{_BM25_SCORE}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, doc_id)::INT AS rank, max(s) OVER (PARTITION BY query_id) AS hi FROM sc) SELECT query_id, doc_id, rank, round(CASE WHEN hi > 0 THEN s / hi ELSE s END, 6) AS score FROM r WHERE rank <= 10")
+def bm25_topk(spark, sf_dir):
+    return bm25.search(_index(spark, sf_dir), _rows(spark, _TERMS), 10).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {L} SELECT listing_id, md5(concat_ws('\n', nullif(title, ''), nullif(city, ''), nullif(canton, ''), nullif(object_category, ''), nullif(description, ''))) AS corpus, md5(concat_ws('\n\n', nullif(title, ''), nullif(concat_ws(', ', city, canton), ''), nullif(concat_ws(' · ', rooms || ' rooms', 'CHF ' || price || '/mo', object_category), ''), nullif(description, ''))) AS embedding FROM L")
+def listing_documents(spark, sf_dir):
+    return listings(spark, sf_dir).select("listing_id", F.md5(bm25.corpus_text()).alias("corpus"), F.md5(bm25.embedding_text()).alias("embedding"))
+
+
+# ---- Vectors ----
+
+
+def _vectors(spark, sf_dir) -> DataFrame:
+    return read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"), "label")
+
+
+def _probes(spark, sf_dir, *ids: int) -> DataFrame:
+    return _vectors(spark, sf_dir).where(F.col("vec_id").isin(*ids)).select(F.col("vec_id").alias("query_id"), F.col("vector").cast("array<double>").alias("query_vector"))
+
+
+_COS = "list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
+
+
+@query(f"SELECT query_id, vec_id, rank, round(c, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, vec_id)::INT AS rank FROM (SELECT b.vec_id AS query_id, a.vec_id, {_COS} AS c FROM embeddings a, embeddings b WHERE b.vec_id IN (3, 7))) WHERE rank <= 10")
+def cosine_topk(spark, sf_dir):
+    found = vectors.best(vectors.similarities(_vectors(spark, sf_dir), _probes(spark, sf_dir, 3, 7), id="vec_id"), 10, id="vec_id")
+    return found.select("query_id", "vec_id", "rank", F.round("cosine", 6).alias("cosine"))
+
+
+@query(f"SELECT query_id, label, round(c, 6) AS score, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY round(c, 9) DESC, vec_id) AS k FROM (SELECT b.vec_id AS query_id, a.label, a.vec_id, {_COS} AS c FROM embeddings a, embeddings b WHERE b.vec_id IN (3, 7))) WHERE k = 1")
+def maxpool_by_label(spark, sf_dir):
+    scored = vectors.similarities(_vectors(spark, sf_dir), _probes(spark, sf_dir, 3, 7), id="vec_id").join(_vectors(spark, sf_dir).select("vec_id", "label"), "vec_id")
+    return vectors.max_pool(scored, key="label", path="vec_id").select("query_id", "label", F.round("score", 6).alias("score"), "vec_id")
+
+
+@query("SELECT label, i::INT AS i, round(avg(x), 6) AS m FROM (SELECT label, unnest(range(len(embedding))) AS i, unnest(embedding::DOUBLE[]) AS x FROM embeddings) GROUP BY 1, 2")
+def mean_vector(spark, sf_dir):
+    own = vectors.mean_vector(_vectors(spark, sf_dir), "label")
+    return own.select("label", F.posexplode("mean").alias("i", "m")).select("label", "i", F.round("m", 6).alias("m"))
+
+
+@query(
+    """WITH u AS (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding::DOUBLE[]) AS x FROM embeddings), m AS (SELECT i, avg(x) AS m FROM u WHERE vec_id BETWEEN 10 AND 14 GROUP BY 1), b AS (SELECT u.i, 0.8E0 * x + 0.2E0 * m AS v FROM u JOIN m USING (i) WHERE vec_id = 3)
+    SELECT i::INT AS i, round(v / sqrt((SELECT sum(v * v) FROM b)), 6) AS v FROM b"""
+)
+def feedback_blend(spark, sf_dir):
+    asked = _probes(spark, sf_dir, 3).withColumn("session_id", F.lit("s"))
+    clicks = _vectors(spark, sf_dir).where("vec_id between 10 and 14").select(F.lit("s").alias("session_id"), F.col("vec_id").alias("listing_id"))
+    out = search.feedback(asked, clicks, _vectors(spark, sf_dir).select(F.col("vec_id").alias("listing_id"), "vector"))
+    return out.select(F.posexplode("query_vector").alias("i", "v")).select("i", F.round("v", 6).alias("v"))
+
+
+@query("SELECT vec_id, i::INT AS i, round(x / CASE WHEN n = 0 THEN 1 ELSE n END, 6) AS x FROM (SELECT vec_id, unnest(range(64)) AS i, unnest(list_transform(embedding::DOUBLE[], lambda y: y * (vec_id % 4))) AS x, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) * (vec_id % 4) AS n FROM embeddings WHERE vec_id < 40)")
+def l2_normalise(spark, sf_dir):
+    own = _vectors(spark, sf_dir).where("vec_id < 40").withColumn("v", F.transform("vector", lambda x: x.cast("double") * (F.col("vec_id") % 4)))
+    return own.select("vec_id", F.posexplode(vectors.unit(F.col("v"))).alias("i", "x")).select("vec_id", "i", F.round("x", 6).alias("x"))
+
+
+@query(
+    f"""WITH d AS (SELECT a.vec_id AS id, {_COS} AS s FROM embeddings a, embeddings b WHERE b.vec_id = 3 ORDER BY round(s, 9) DESC, id LIMIT 100), l AS ({_BM25_SCORE} SELECT doc_id AS id, s FROM sc WHERE query_id = 1 ORDER BY round(s, 9) DESC, id LIMIT 100)
+    SELECT coalesce(d.id, l.id) AS id, round(0.6E0 * coalesce(d.s / (SELECT max(s) FROM d), 0) + 0.4E0 * coalesce(l.s / (SELECT max(s) FROM l), 0), 6) AS score FROM d FULL JOIN l ON d.id = l.id"""
+)
+def hybrid_full_outer(spark, sf_dir):
+    dense = vectors.best(vectors.similarities(_vectors(spark, sf_dir), _probes(spark, sf_dir, 3), id="vec_id"), 100, id="vec_id").select(F.lit(1).alias("query_id"), F.col("vec_id").alias("id"), F.col("cosine").alias("score"))
+    lexical = bm25.search(_index(spark, sf_dir), _rows(spark, _TERMS).where("query_id = 1"), 100).select("query_id", F.col("doc_id").alias("id"), "score")
+    return vectors.hybrid(dense, lexical, 0.6, id="id").select("id", F.round("score", 6).alias("score"))
+
+
+def _store(spark, sf_dir) -> DataFrame:
+    return _vectors(spark, sf_dir).select(F.col("vec_id").cast("string").alias("listing_id"), F.when(F.col("vec_id") % 3 == 0, "old").otherwise("new").alias("model_id"), "vector")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS listing_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id % 3 <> 0)")
+def embedding_backlog(spark, sf_dir):
+    own = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("listing_id"))
+    return vectors.backlog(own, _store(spark, sf_dir), "new")
+
+
+@query("SELECT CAST(vec_id AS VARCHAR) AS listing_id, CASE WHEN vec_id BETWEEN 5 AND 9 THEN 'next' WHEN vec_id % 3 = 0 THEN 'old' ELSE 'new' END AS model_id FROM embeddings")
+def vector_upsert(spark, sf_dir):
+    fresh = _store(spark, sf_dir).where("cast(listing_id as int) between 5 and 9").withColumn("model_id", F.lit("next"))
+    return vectors.upsert(_store(spark, sf_dir), fresh).select("listing_id", "model_id")
+
+
+@query("SELECT (SELECT count(*) FROM embeddings WHERE vec_id % 3 = 0) AS n, (SELECT count(*) FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id WHERE vec_id % 3 = 0) AS found")
+def vector_counts(spark, sf_dir):
+    ids = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("listing_id"))
+    return vectors.count_vectors(_store(spark, sf_dir), "old").join(vectors.fetch(_store(spark, sf_dir), ids, "old").agg(F.count("*").alias("found")), F.lit(True))
+
+
+@query(
+    f"""WITH q AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id IN (3, 7)), im AS (SELECT vec_id, CASE WHEN vec_id % 3 = 2 THEN NULL ELSE vec_id % 50 END AS lid, embedding FROM embeddings)
+    SELECT query_id, CAST(lid AS VARCHAR) AS listing_id, round(max(list_inner_product(a.embedding::DOUBLE[], q.embedding::DOUBLE[])), 6) AS vlm FROM im a, q WHERE lid IN (SELECT doc_id FROM documents) GROUP BY 1, 2"""
+)
+def image_signal(spark, sf_dir):
+    k = F.col("vec_id")
+    lid = (k % 50).cast("string")
+    path = F.when(k % 3 == 0, F.concat(F.lit("comparis/platform_id="), (100000 + k % 50).cast("string"), F.lit("/x.jpg"))).when(k % 3 == 1, F.concat(F.lit("sred/"), lid, F.lit("_tile2"))).otherwise(F.concat(F.lit("elsewhere/"), lid))
+    images = _vectors(spark, sf_dir).select(path.alias("path"), "vector")
+    found = vectors.score_images(images, _probes(spark, sf_dir, 3, 7), listings(spark, sf_dir).select("listing_id", "platform_id"))
+    return found.select("query_id", "listing_id", F.round("vlm", 6).alias("vlm"))
+
+
+@query(f"WITH {L} SELECT unnest([platform_id, 'sred_' || listing_id, listing_id]) AS shard_key, listing_id FROM L")
+def shard_key_map(spark, sf_dir):
+    return vectors.shard_keys(listings(spark, sf_dir))
+
+
+# ---- Geography ----
+
+_M = "2 * 6371000E0 * asin(least(1E0, sqrt({h})))"
+
+
+@query(f"WITH {L}, {P} SELECT listing_id, poi_type, trunc(min({_M.format(h=_h('latitude', 'longitude', 'lat', 'lon'))}))::INT AS metres FROM L, P WHERE latitude IS NOT NULL GROUP BY 1, 2")
+def nearest_poi_per_type(spark, sf_dir):
+    return geojoin.nearest(listings(spark, sf_dir), pois(spark, sf_dir)).select("listing_id", "poi_type", "metres")
+
+
+@query(
+    f"""WITH {P}, pt AS (SELECT * FROM (VALUES (1, 46.8E0, 8.2E0), (2, 47.4E0, 8.55E0), (3, 60E0, 20E0)) t(point_id, la, lo)), d AS (SELECT point_id, name, kind, {_M.format(h=_h('la', 'lo', 'lat', 'lon'))} AS m FROM pt, P),
+    r AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY m, name) AS k FROM d) SELECT point_id, k::INT AS rank, trunc(m)::INT AS distance_m, name, kind FROM r WHERE k <= 5 AND trunc(m) <= 25000"""
+)
+def k_nearest_within_radius(spark, sf_dir):
+    points = _rows(spark, "(VALUES (1, 46.8D, 8.2D), (2, 47.4D, 8.55D), (3, 60D, 20D)) AS t(point_id, latitude, longitude)")
+    return geojoin.k_nearest(points, pois(spark, sf_dir), 5, 25_000.0).select("point_id", "rank", "distance_m", "name", "kind")
+
+
+@query(f"WITH {L} SELECT listing_id, round(exp(-geo_transit_m / 500E0), 6) AS transit, round(exp(-geo_school_m / 1000E0), 6) AS school, round(exp(-geo_university_m / 800E0), 6) AS anchor FROM L")
+def geo_decay(spark, sf_dir):
+    return listings(spark, sf_dir).select("listing_id", *(F.round(geo.decay(F.col(c).cast("double"), V.TAU[k]), 6).alias(n) for c, k, n in (("geo_transit_m", "geo_transit", "transit"), ("geo_school_m", "geo_school", "school"), ("geo_university_m", "geo_anchor", "anchor"))))
+
+
+@query(f"WITH {L}, a AS (SELECT * FROM (VALUES {', '.join(f'({n!r}, {a}E0, {b}E0)' for n, (a, b) in V.ANCHORS.items())}) t(name, la, lo)), d AS (SELECT listing_id, name, {_M.format(h=_h('latitude', 'longitude', 'la', 'lo'))} AS m FROM L, a WHERE latitude IS NOT NULL) SELECT listing_id, arg_min(name, m) AS name, round(min(m), 3) AS metres FROM d GROUP BY 1")
+def nearest_anchor(spark, sf_dir):
+    near = geojoin.nearest_anchor(F.col("latitude"), F.col("longitude"))
+    return listings(spark, sf_dir).where("latitude is not null and longitude is not null").select("listing_id", near["name"].alias("name"), F.round(near["metres"], 3).alias("metres"))
+
+
+@query(f"WITH {L}, {P}, n AS (SELECT listing_id, poi_type, trunc(min({_M.format(h=_h('latitude', 'longitude', 'lat', 'lon'))}))::INT AS m FROM L, P WHERE latitude IS NOT NULL AND (geo_transit_m IS NULL OR geo_supermarket_m IS NULL OR geo_school_m IS NULL OR geo_university_m IS NULL) GROUP BY 1, 2) SELECT l.listing_id, coalesce((SELECT m FROM n WHERE n.listing_id = l.listing_id AND poi_type = 'transit'), geo_transit_m) AS geo_transit_m, coalesce((SELECT m FROM n WHERE n.listing_id = l.listing_id AND poi_type = 'school'), geo_school_m) AS geo_school_m FROM L l")
+def geo_enrichment(spark, sf_dir):
+    return geojoin.enrich(listings(spark, sf_dir), pois(spark, sf_dir)).select("listing_id", "geo_transit_m", "geo_school_m")
+
+
+# ---- Sessions ----
+
+
+def _events(spark, sf_dir) -> DataFrame:
+    e = read(spark, sf_dir, "events")
+    kind = F.when(F.col("event_type") == "click", "click").when(F.col("event_type") == "purchase", "save").otherwise(F.col("event_type"))
+    return e.select(F.col("event_id").alias("id"), F.col("user_id").alias("session_id"), kind.alias("event_type"), (F.col("event_id") % 200).alias("listing_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"))
+
+
+@query("SELECT session_id, listing_id, ts, rank FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, listing_id)::INT AS rank FROM (SELECT user_id AS session_id, event_id % 200 AS listing_id, max((epoch_us(ts) // 1000)) AS ts FROM events WHERE event_type IN ('click', 'purchase') GROUP BY 1, 2)) WHERE rank <= 3")
+def recent_distinct_clicks(spark, sf_dir):
+    return events.recent_clicks(_events(spark, sf_dir), 3).select("session_id", "listing_id", "ts", "rank")
+
+
+@query("SELECT session_id, id, rank FROM (SELECT user_id AS session_id, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC)::INT AS rank FROM events) WHERE rank <= 5")
+def recent_events(spark, sf_dir):
+    return events.recent_events(_events(spark, sf_dir), 5).select("session_id", "id", "rank")
+
+
+@query("SELECT session_id, listing_id, ts, dwell_ms FROM (SELECT user_id AS session_id, event_id % 200 AS listing_id, (epoch_us(ts) // 1000) AS ts, lead((epoch_us(ts) // 1000)) OVER (PARTITION BY user_id ORDER BY ts, event_id) - (epoch_us(ts) // 1000) AS dwell_ms FROM events) WHERE dwell_ms >= 3000")
+def dwell_gaps(spark, sf_dir):
+    return events.dwell(_events(spark, sf_dir))
+
+
+@query("SELECT time_bucket(INTERVAL '1 hour', ts::TIMESTAMP)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
+def windowed_events(spark, sf_dir):
+    """Extra: the windows of the stream, over the table at rest."""
+    return sessions.window_counts(read(spark, sf_dir, "events")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
+
+
+@query("WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts)::TIMESTAMP AS start, count(*) AS n FROM s GROUP BY user_id, k")
+def user_sessions(spark, sf_dir):
+    """Extra: session windows."""
+    return sessions.sessions(read(spark, sf_dir, "events")).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+# ---- Evaluation and analytics ----
+
+_GRADES = "g AS (SELECT d.source AS query_id, d.lang AS lang, l.doc_id, greatest(0, 5 * quality - 5 * toxic)::INT AS score FROM labels l JOIN documents d USING (doc_id)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY doc_id)::INT AS rank FROM g), t AS (SELECT * FROM r WHERE rank <= 5)"
+_NDCG = "b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS best FROM t), nd AS (SELECT query_id, CASE WHEN sum(score / log2(best + 1)) > 0 THEN sum(score / log2(rank + 1)) / sum(score / log2(best + 1)) ELSE 0 END AS ndcg FROM b GROUP BY 1)"
+
+
+def _judged(spark, sf_dir) -> DataFrame:
+    own = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents"), "doc_id").select(F.col("source").alias("query_id"), "lang", "doc_id", F.greatest(F.lit(0), 5 * F.col("quality") - 5 * F.col("toxic")).alias("score"))
+    from pyspark.sql import Window
+
+    return own.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id"))).where("rank <= 5")
+
+
+@query(f"WITH {_GRADES}, {_NDCG} SELECT query_id, round(ndcg, 6) AS ndcg FROM nd")
+def ndcg(spark, sf_dir):
+    return evaluate.ndcg(_judged(spark, sf_dir), ["query_id"]).select("query_id", F.round("ndcg", 6).alias("ndcg"))
+
+
+@query(
+    f"""WITH {_GRADES}, {_NDCG}, ql AS (SELECT query_id, min(lang) AS lang FROM t GROUP BY 1), tl AS (SELECT t.* EXCLUDE (lang), ql.lang FROM t JOIN ql USING (query_id)), nl AS (SELECT nd.*, ql.lang FROM nd JOIN ql USING (query_id))
+    SELECT s.lang, n, mean_score, share_3, share_4, mean_ndcg FROM (SELECT lang, count(*) AS n, round(avg(score), 3) AS mean_score, round(avg((score >= 3)::INT), 3) AS share_3, round(avg((score >= 4)::INT), 3) AS share_4 FROM tl GROUP BY 1) s JOIN (SELECT lang, round(avg(ndcg), 3) AS mean_ndcg FROM nl GROUP BY 1) m USING (lang)
+    UNION ALL SELECT NULL, count(*), round(avg(score), 3), round(avg((score >= 3)::INT), 3), round(avg((score >= 4)::INT), 3), (SELECT round(avg(ndcg), 3) FROM nl) FROM tl"""
+)
+def judge_metrics_by_lang(spark, sf_dir):
+    judged = _judged(spark, sf_dir)
+    langs = judged.groupBy("query_id").agg(F.min("lang").alias("lang"))
+    return evaluate.judge_rollup(judged.drop("lang").join(langs, "query_id"), evaluate.ndcg(judged, ["query_id"]).join(langs, "query_id"), "lang").select("lang", "n", "mean_score", "share_3", "share_4", "mean_ndcg")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS custom_id, lang, quality FROM documents JOIN labels USING (doc_id)")
+def judgement_join(spark, sf_dir):
+    return evaluate.join_judgements(read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("custom_id"), "lang"), read(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("custom_id"), "quality"))
+
+
+@query("WITH o AS (SELECT doc_id, lang, (doc_id * 7919) % 100003 AS o FROM documents), p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY o) AS r, (SELECT count(DISTINCT lang) FROM documents) AS s FROM o) SELECT doc_id, lang FROM p WHERE r <= 42 ORDER BY r <= 42 // s DESC, o LIMIT 42")
+def stratified_sample(spark, sf_dir):
+    return evaluate.stratified_sample(read(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", 42, F.col("doc_id") * 7919 % 100003)
+
+
+@query("SELECT source, count(*) AS n FROM documents GROUP BY 1")
+def source_counts(spark, sf_dir):
+    return evaluate.counts_by(read(spark, sf_dir, "documents"), "source")
+
+
+@query(f"WITH {L} SELECT city, count(*) AS n FROM L WHERE city IS NOT NULL GROUP BY 1 ORDER BY n DESC, city LIMIT 10")
+def top_cities(spark, sf_dir):
+    return evaluate.top_values(listings(spark, sf_dir), "city", 10)
+
+
+@query(f"WITH {L} SELECT scrape_source, count(*) AS n, round(avg(price), 6) AS avg_price, min(price) AS min_price, max(price) AS max_price, round(avg(rooms), 6) AS avg_rooms FROM L GROUP BY 1")
+def price_stats_by_source(spark, sf_dir):
+    return evaluate.price_stats(listings(spark, sf_dir), "scrape_source").withColumns({c: F.round(c, 6) for c in ("avg_price", "avg_rooms")})
+
+
+@query(f"WITH {L} SELECT {', '.join(f'count(*) FILTER (feature_{f} = 1) AS feature_{f}_yes, count(*) FILTER (feature_{f} = 0) AS feature_{f}_no, count(*) FILTER (feature_{f} IS NULL) AS feature_{f}_unknown' for f in V.FEATURES)} FROM L")
+def feature_coverage(spark, sf_dir):
+    return evaluate.coverage(listings(spark, sf_dir), [f"feature_{f}" for f in V.FEATURES])
+
+
+# ---- Intents, sources ----
+
+
+@query()
+def heuristic_intent(spark, sf_dir):
+    return intent.understand(_rows(spark, values_sql.QUERIES))
+
+
+@query("SELECT * FROM (VALUES (1::BIGINT, 'Zürich', '8008,8049', 3.0::DOUBLE), (2, 'Genève,Bern', NULL, 2.0), (3, 'Biel/Bienne', '2500', 4.5)) t(query_id, city, postal_code, min_rooms)")
+def intent_assembly(spark, sf_dir):
+    own = intents(
+        spark,
+        [
+            {"query_id": 1, "raw_query": "2 bedrooms in Seefeld", "language": "en", "city": ["Seefeld", "höngg", "zurich"], "min_rooms": 2.0},
+            {"query_id": 2, "raw_query": "2 bedrooms", "language": "de", "city": ["geneva", "", " Bern "], "min_rooms": 2.0},
+            {"query_id": 3, "raw_query": "4.5 rooms", "language": "en", "city": ["biel"], "postal_code": ["2500"], "min_rooms": 4.5},
+        ],
+    )
+    return intent.assemble(own).select("query_id", F.concat_ws(",", "city").alias("city"), F.when(F.col("postal_code").isNotNull(), F.concat_ws(",", "postal_code")).alias("postal_code"), "min_rooms")
+
+
+@query("SELECT * FROM (VALUES (1::BIGINT, 'Bern', 'ZH', 2000, 3.0::DOUBLE)) t(query_id, city, canton, max_price, min_rooms)")
+def intent_reconcile(spark, sf_dir):
+    first = intents(spark, [{"query_id": 1, "raw_query": "2 bedrooms", "language": "en", "city": [], "canton": "", "max_price": 2000}])
+    second = intents(spark, [{"query_id": 1, "city": ["Bern"], "canton": "ZH", "max_price": 900, "min_rooms": 2.0}])
+    return intent.reconcile(first, second).select("query_id", F.concat_ws(",", "city").alias("city"), "canton", "max_price", "min_rooms")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, concat('SRED listing ', doc_id) AS title, CAST(n_chars AS VARCHAR) AS rent_gross, 'SRED' AS scrape_source FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT CAST(doc_id AS VARCHAR), source, CAST(n_chars AS VARCHAR), 'SRED' FROM documents WHERE doc_id % 2 = 1")
+def foreign_source(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    own = d.select(F.concat(F.lit(" "), F.col("doc_id").cast("string"), F.lit(".0")).alias("listing_id"), F.when(F.col("doc_id") % 2 == 1, F.col("source")).otherwise("  ").alias("header"), F.col("text").alias("ad_description"), F.col("n_chars").cast("string").alias("price"), *(F.lit("").alias(c) for c in ("living_space", "rooms", "lat", "lon")))
+    even = F.col("listing_id").rlike(r"[02468]\.0$")
+    return sources.normalise_foreign({"train": own.where(even), "test": own.where(~even)}).select("id", "title", "rent_gross", "scrape_source")
+
+
+@query("SELECT CAST(vec_id AS VARCHAR) AS id, tile::INT AS tile FROM (SELECT vec_id, unnest(range(4)) AS tile FROM embeddings WHERE vec_id % 2 = 0) WHERE NOT (vec_id % 4 = 0 AND tile < 2) UNION ALL SELECT CAST(vec_id AS VARCHAR), NULL FROM embeddings WHERE vec_id % 2 = 1 AND vec_id % 5 <> 0")
+def image_backlog(spark, sf_dir):
+    k = F.col("vec_id")
+    s = k.cast("string")
+    images = _vectors(spark, sf_dir).select(F.when(k % 2 == 0, F.concat(F.lit("sred/"), s, F.lit(".jpeg"))).otherwise(F.concat(F.lit("c/"), s, F.lit(".jpg"))).alias("path"))
+    done = _vectors(spark, sf_dir).select(F.explode(F.when(k % 4 == 0, F.array(F.concat(F.lit("sred/"), s, F.lit("_tile0")), F.concat(F.lit("sred/"), s, F.lit("_tile1")))).when((k % 2 == 1) & (k % 5 == 0), F.array(F.concat(F.lit("c/"), s, F.lit(".jpg")))).otherwise(F.array().cast("array<string>"))).alias("path"))
+    return stores.pending_tiles(images, done).select(F.regexp_extract("path", r"(\d+)\.", 1).alias("id"), "tile")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS listing_id, concat('https://b.example/img/', doc_id, '/a%20b.jpg,https://b.example/img/', doc_id, '/z.PNG') AS urls FROM documents WHERE doc_id < 50")
+def image_object_urls(spark, sf_dir):
+    own = read(spark, sf_dir, "documents").where("doc_id < 50").select(F.explode(F.array(*(F.concat(F.lit("img/"), F.col("doc_id").cast("string"), F.lit(n)) for n in ("/z.PNG", "/a b.jpg", "/readme.txt")))).alias("key"))
+    return stores.image_objects(own, "https://b.example").select("listing_id", F.concat_ws(",", "urls").alias("urls"))
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
