@@ -23,7 +23,7 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """table: for state and letter class, 2 * the next state + 1 if a new phrase begins there; starts: each language's first state."""
+    """table: for state and letter class, 2 * the next state + 1 if a new phrase begins there; starts: each language's state before a phrase."""
 
     languages: tuple[str, ...]
     classes: np.ndarray  # of each code point: 0 no letter, 1 a letter that no sample has
@@ -100,11 +100,14 @@ def build_model(samples: dict[str, list[str]], *, sample_chars: int = 64_000, al
         kinds, _ = _normalised(np.frombuffer(joined, dtype=np.uint8), np.array([0, len(joined)]), classes)
         kinds = kinds[:sample_chars]
         go = _automaton(kinds[kinds != 1] if (kinds == 1).any() else kinds, width)
-        root = go[0]
+        # One more state stands before a phrase: whatever comes next begins one. A letter that no state knows is a phrase of its own.
+        between = len(go)
+        root = np.where(go[0] < 0, between, go[0])
+        go = np.vstack([go, np.full(width, -1, dtype=np.int32)])
         miss = go < 0
-        to = np.where(miss, np.where(root < 0, 0, root)[None, :], go).astype(np.int64) + size
+        to = np.where(miss, root[None, :], go).astype(np.int64) + size
         tables.append((2 * to + miss).astype(np.int32))
-        starts.append(size)
+        starts.append(size + between)
         charge.append(np.log2(max(2, len(kinds))))
         size += len(go)
     return LanguageModel(languages, classes, width, np.concatenate(tables) if tables else np.zeros((1, width), np.int32), np.array(starts, dtype=np.int32), np.array(charge))
@@ -129,7 +132,7 @@ def phrases(model: LanguageModel, texts: pa.Array, block: int = 1024):
     start, length, owner = start[order], length[order], owner[order]
     flat = model.table.ravel()
     states = [np.full(len(start), s, dtype=np.int64) for s in model.starts]
-    found = np.ones((langs, len(start)), dtype=np.int64)
+    found = np.zeros((langs, len(start)), dtype=np.int64)
     live = np.searchsorted(-length, -np.arange(1, block + 1), side="right") if len(length) else []
     for step, m in enumerate(live):
         if not m:
@@ -145,7 +148,7 @@ def phrases(model: LanguageModel, texts: pa.Array, block: int = 1024):
     return total, letters
 
 
-def labelled_sample(docs: DataFrame, where: Column, *, id: str = "doc_id", text: str = "text", lang: str = "lang", sample_chars: int = 64_000, most_texts: int = 1_000) -> dict[str, list[str]]:
+def labelled_sample(docs: DataFrame, where: Column, *, id: str = "doc_id", text: str = "text", lang: str = "lang", sample_chars: int = 64_000, most_texts: int = 400) -> dict[str, list[str]]:
     """At most most_texts whole texts for each language, by the order of a hash of their ids, until they hold sample_chars characters.
 
     Only texts of up to a quarter of sample_chars are taken, so that several texts speak for a language.
