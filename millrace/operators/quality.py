@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from millrace.functions import values as V
 from millrace.functions.scalars import any_of, matches
 
-_BY_QUERY = Window.partitionBy("query_id")
 
 
 def text_of(title: Column, description: Column) -> Column:
@@ -21,7 +20,7 @@ def text_of(title: Column, description: Column) -> Column:
 def guarded(df: DataFrame, keep: Column, least: int = 1) -> DataFrame:
     """Rows to keep; all rows of a query in which fewer than least would be left."""
     flagged = df.withColumn("_keep", F.coalesce(keep, F.lit(False)))
-    return flagged.withColumn("_kept", F.count_if("_keep").over(_BY_QUERY)).where(F.col("_keep") | (F.col("_kept") < least)).drop("_keep", "_kept")
+    return flagged.withColumn("_kept", F.count_if("_keep").over(Window.partitionBy("query_id"))).where(F.col("_keep") | (F.col("_kept") < least)).drop("_keep", "_kept")
 
 
 def wants_temporary(query: Column) -> Column:
@@ -85,7 +84,7 @@ def drop_counts(df: DataFrame, query: Column, availability: Column | None = None
     """(query_id, reason, n): how many rows went and why; restored and kept short lets are counted under a name of their own."""
     phrase = short_term_phrase()
     flagged = df.select("query_id", drop_reason().alias("why"), phrase.alias("phrase"), wants_long_term(query, availability).alias("long"), wants_short_term(query, availability).alias("short"))
-    left = F.count_if(F.col("why").isNull() & F.col("phrase").isNull()).over(_BY_QUERY)
+    left = F.count_if(F.col("why").isNull() & F.col("phrase").isNull()).over(Window.partitionBy("query_id"))
     short = F.col("why").isNull() & F.col("phrase").isNotNull()
     reason = F.coalesce("why", F.when(short & F.col("short"), "_short_term_kept_by_intent").when(short & F.col("long") & (F.col("left") < least), "_short_term_restored").when(short & F.col("long"), F.concat(F.lit("temporary:"), F.col("phrase"))))
     return flagged.withColumn("left", left).select("query_id", reason.alias("reason")).where("reason is not null").groupBy("query_id", "reason").agg(F.count("*").alias("n"))

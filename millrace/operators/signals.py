@@ -10,18 +10,19 @@ from millrace.functions.geo import decay
 from millrace.functions.text import detect_language
 from millrace.operators.quality import text_of
 
-BY_QUERY = Window.partitionBy("query_id")
+def _by(by):
+    return by if by is not None else Window.partitionBy("query_id")
 
 
-def min_max(c: Column, by=BY_QUERY) -> Column:
+def min_max(c: Column, by=None) -> Column:
     """To 0..1 within the query; all 0 if there is no spread; null, that is unscored, stays null."""
-    low, high = F.min(c).over(by), F.max(c).over(by)
+    low, high = F.min(c).over(_by(by)), F.max(c).over(_by(by))
     return F.when(c.isNotNull(), F.when(high > low, (c - low) / (high - low)).otherwise(0.0))
 
 
-def max_norm(c: Column, by=BY_QUERY) -> Column:
+def max_norm(c: Column, by=None) -> Column:
     """Shares of the query's largest value; unchanged if that is not over 0."""
-    high = F.max(c).over(by)
+    high = F.max(c).over(_by(by))
     return F.when(high > 0, c / high).otherwise(c)
 
 
@@ -30,10 +31,10 @@ def clipped(c: Column) -> Column:
     return min_max(F.when(c.isNotNull(), F.greatest(F.lit(0.0), c)))
 
 
-def price_band(price: Column, intent: Column, by=BY_QUERY) -> Column:
+def price_band(price: Column, intent: Column, by=None) -> Column:
     """cheap favours low prices, premium high ones, mid those near the median; without price or intent unscored."""
     p = F.when(price.isNotNull() & intent.isNotNull(), price.cast("double"))
-    raw = F.when(intent == "cheap", -p).when(intent == "premium", p).when(intent == "mid", -F.abs(p - F.median(p).over(by)))
+    raw = F.when(intent == "cheap", -p).when(intent == "premium", p).when(intent == "mid", -F.abs(p - F.median(p).over(_by(by))))
     return min_max(raw, by)
 
 
