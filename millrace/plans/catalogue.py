@@ -153,9 +153,9 @@ def relaxation_chosen(spark, sf_dir):
 _ASKED = "(VALUES (1, 'flat for my family, long-term'), (2, 'furnished studio for 6 months'), (3, 'anything')) AS t(query_id, raw_query)"
 
 
-def _pool(spark, sf_dir, where: str) -> DataFrame:
-    """Every listing that where keeps, beside the three queries of _ASKED."""
-    return listings(spark, sf_dir).where(where).join(F.broadcast(_rows(spark, _ASKED)), F.lit(True))
+def _pool(spark, sf_dir) -> DataFrame:
+    """Every listing beside the three queries of _ASKED."""
+    return listings(spark, sf_dir).join(F.broadcast(_rows(spark, _ASKED)), F.lit(True))
 
 
 _SWAP, _WANT, _FOREIGN = "tauschwohnung|apartment swap", "suche wohnung", "^fr-ferney-voltaire"
@@ -164,29 +164,29 @@ _BEFRISTET = "regexp_matches(x, '(?i)\\bbefristet\\b')"
 
 
 @query(
-    f"""WITH {L}, q AS (SELECT * FROM {_ASKED}), c AS (SELECT query_id, {_REASON} AS why, {_BEFRISTET} AS short FROM (SELECT *, concat_ws(' ', title, description) AS x FROM L WHERE CAST(listing_id AS INT) % 3 <> 1), q)
+    f"""WITH {L}, q AS (SELECT * FROM {_ASKED}), c AS (SELECT query_id, {_REASON} AS why, {_BEFRISTET} AS short FROM (SELECT *, concat_ws(' ', title, description) AS x FROM L), q)
     SELECT query_id, coalesce(why, CASE WHEN query_id = 1 THEN 'temporary:befristet' ELSE '_short_term_kept_by_intent' END) AS reason, count(*) AS n FROM c WHERE why IS NOT NULL OR (short AND query_id < 3) GROUP BY 1, 2"""
 )
 def quality_drop_counts(spark, sf_dir):
-    return quality.drop_counts(_pool(spark, sf_dir, "listing_id % 3 <> 1"), F.col("raw_query"))
-
-
-_SHORT_POOL = "(CAST(listing_id AS INT) % 37 = 0 OR CAST(listing_id AS INT) % 333 < {})"
+    return quality.drop_counts(_pool(spark, sf_dir), F.col("raw_query"))
 
 
 @query(
-    f"""WITH {L}, q AS (SELECT * FROM {_ASKED}), c AS (SELECT query_id, listing_id, {_BEFRISTET} AS short FROM (SELECT *, concat_ws(' ', title, description) AS x FROM L WHERE {_SHORT_POOL.format(9)}), q WHERE {_REASON} IS NULL),
+    f"""WITH {L}, q AS (SELECT * FROM {_ASKED}), c AS (SELECT query_id, listing_id, {_BEFRISTET} AS short FROM (SELECT *, concat_ws(' ', title, description) AS x FROM L), q WHERE {_REASON} IS NULL),
     k AS (SELECT *, count(*) FILTER (NOT short OR query_id <> 1) OVER (PARTITION BY query_id) AS n FROM c) SELECT query_id, listing_id FROM k WHERE NOT short OR query_id <> 1 OR n < 5"""
 )
 def short_term_guard(spark, sf_dir):
-    return quality.quality_filter(_pool(spark, sf_dir, _SHORT_POOL.format(9)), F.col("raw_query")).select("query_id", "listing_id")
+    return quality.quality_filter(_pool(spark, sf_dir), F.col("raw_query")).select("query_id", "listing_id")
 
 
-@query(f"WITH {L} SELECT 1 AS query_id, listing_id FROM L WHERE CAST(listing_id AS INT) % 37 = 0 AND CAST(listing_id AS INT) % 41 <> 0 AND CAST(listing_id AS INT) % 43 <> 0 AND CAST(listing_id AS INT) < 370")
+@query(
+    f"""WITH {L}, c AS (SELECT CAST(listing_id AS INT) // 6 AS query_id, listing_id, {_BEFRISTET} AS short FROM (SELECT *, concat_ws(' ', title, description) AS x FROM L) WHERE {_REASON} IS NULL),
+    k AS (SELECT *, count(*) FILTER (NOT short) OVER (PARTITION BY query_id) AS n FROM c) SELECT query_id, listing_id FROM k WHERE NOT short OR n < 5"""
+)
 def short_term_restored(spark, sf_dir):
-    """Four rows or fewer would be left, so short lets stay."""
-    pool = _pool(spark, sf_dir, "listing_id % 37 = 0 AND listing_id < 370").where("query_id = 1")
-    return quality.quality_filter(pool, F.col("raw_query")).select("query_id", "listing_id")
+    """Pools of six: where fewer than five would be left, short lets stay."""
+    pool = listings(spark, sf_dir).withColumn("query_id", F.expr("cast(cast(listing_id as int) div 6 as int)"))
+    return quality.quality_filter(pool, F.lit("a home for my family")).select("query_id", "listing_id")
 
 
 _HINTS = "(VALUES (1, 'weg 1'), (2, 'no such street'), (3, 'thandhe')) AS t(query_id, hint)"
@@ -249,17 +249,19 @@ def derive_price(spark, sf_dir):
     return p.select("p_partkey", scalars.derive_price(s(F.when(k % 3 != 0, retail)), s(F.when(k % 6 == 0, -1.0).otherwise(retail * 2)), s(F.when(k % 12 != 0, retail / 2)), s(F.when(k % 5 != 0, F.col("p_size").cast("double")))).alias("price"))
 
 
-@query("SELECT o_orderkey, o_orderdate::DATE AS day FROM orders WHERE o_orderkey % 3 < 2 UNION ALL SELECT o_orderkey, NULL::DATE FROM orders WHERE o_orderkey % 3 = 2")
+@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 2 THEN NULL ELSE o_orderdate::DATE END AS day FROM orders")
 def parse_date_formats(spark, sf_dir):
     o, k = read(spark, sf_dir, "orders"), F.col("o_orderkey") % 3
     day = F.when(k == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(k == 1, F.date_format("o_orderdate", " d.M.yyyy")).otherwise(F.date_format("o_orderdate", "yyyy-MM"))
     return o.select("o_orderkey", scalars.parse_date(day).alias("day"))
 
 
-@query(f"WITH {L} SELECT listing_id, CASE WHEN CAST(listing_id AS INT) % 29 = 0 AND starts_with(title, '3.5-Zimmer') THEN 3.5::DOUBLE END AS rooms FROM L WHERE NOT regexp_matches(description, '(?i)[0-9]\\s*[-‑]?\\s*(zimmer|zi\\.|pi[eè]ce|local|room)')")
+_ROOMS = "try_cast(replace(nullif(regexp_extract(title, '(?i)" + V.ROOMS_IN_TITLE.replace("-‑", "‑-") + "', 1), ''), ',', '.') AS DOUBLE)"
+
+
+@query(f"WITH {L} SELECT listing_id, {_ROOMS} AS rooms FROM L")
 def rooms_from_title(spark, sf_dir):
-    own = listings(spark, sf_dir).where(~F.col("description").rlike(r"(?i)[0-9]\s*[-‑]?\s*(zimmer|zi\.|pi[eè]ce|local|room)"))
-    return own.select("listing_id", scalars.rooms_in(F.col("title")).alias("rooms"))
+    return listings(spark, sf_dir).select("listing_id", scalars.rooms_in(F.col("title")).alias("rooms"))
 
 
 @query(f"SELECT i, f AS as_float, n AS as_int, b AS as_bool, t AS truthy FROM {values_sql.NUMBERS_OUT}")
@@ -314,10 +316,22 @@ def judge_texts(spark, sf_dir):
     return listings(spark, sf_dir).select("listing_id", F.md5(said).alias("digest"))
 
 
-@query(f"WITH {L} SELECT count(*) FILTER (rooms IS NULL AND starts_with(title, '3.5-Zimmer')) AS rooms_filled, count(*) FILTER (contains(description, '*') OR regexp_matches(description, '<[^>]+>|[ \\t]{{2,}}|^\\s|\\s$')) AS descriptions_cleaned FROM L WHERE NOT regexp_matches(title, '(?i)[0-9]\\s*(zimmer|zi\\.|pi[eè]ce|local|room)') OR starts_with(title, '3.5-Zimmer')")
+@query(
+    f"""WITH {L} SELECT listing_id, md5(concat('Title: ', title, '\nScore: ', printf('%.3f', coalesce(price, 0) / 1000E0), ' (why)\nPrice: CHF ', coalesce(price::VARCHAR, 'None'), '/mo\nRooms: ', coalesce(rooms::VARCHAR, 'None'), ' | Area: ', coalesce(round_even(area, 0)::INT::VARCHAR, 'None'), ' sqm\nAddress: ', coalesce(street, 'None'), ', ', coalesce(postal_code, 'None'), ' ', coalesce(city, 'None'), ', ', coalesce(canton, 'None'),
+    '\nAvailable: None\nFeatures: balcony', CASE WHEN coalesce(geo_transit_m, geo_supermarket_m, geo_school_m, geo_university_m) IS NULL THEN '' ELSE '\nNearby (distance): ' || concat_ws(', ', 'transit ' || geo_transit_m || 'm', 'supermarket ' || geo_supermarket_m || 'm', 'school ' || geo_school_m || 'm', 'university ' || geo_university_m || 'm') END,
+    '\nDescription: ', left(description, 300), '\nListing URL: None\nImage URLs:\n  https://a/', listing_id)) AS digest FROM L"""
+)
+def result_cards(spark, sf_dir):
+    c, none = F.col, F.lit(None).cast("string")
+    near = [("transit", c("geo_transit_m")), ("supermarket", c("geo_supermarket_m")), ("school", c("geo_school_m")), ("university", c("geo_university_m"))]
+    images = F.array(F.lit("http://b/x"), F.concat(F.lit("https://a/"), c("listing_id")))
+    said = scalars.card_text(c("title"), F.coalesce("price", F.lit(0)) / 1000.0, F.lit("why"), c("price"), c("rooms"), scalars.half_even(c("area")), c("street"), c("postal_code"), c("city"), c("canton"), none, F.array(F.lit("balcony")), near, c("description"), none, images)
+    return listings(spark, sf_dir).select("listing_id", F.md5(said).alias("digest"))
+
+
+@query(f"WITH {L} SELECT count(*) FILTER (rooms IS NULL AND {_ROOMS} IS NOT NULL) AS rooms_filled, count(*) FILTER (contains(description, '*') OR regexp_matches(description, '<[^>]+>|[ \\t]{{2,}}|^\\s|\\s$')) AS descriptions_cleaned FROM L")
 def backfill_counts(spark, sf_dir):
-    own = listings(spark, sf_dir).where(~F.col("title").rlike(r"(?i)[0-9]\s*(zimmer|zi\.|pi[eè]ce|local|room)") | F.col("title").startswith("3.5-Zimmer"))
-    return sources.backfill_counts(own)
+    return sources.backfill_counts(listings(spark, sf_dir))
 
 
 @query()
@@ -530,22 +544,23 @@ def _vectors(spark, sf_dir) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"), "label")
 
 
-def _probes(spark, sf_dir, *ids: int) -> DataFrame:
-    return _vectors(spark, sf_dir).where(F.col("vec_id").isin(*ids)).select(F.col("vec_id").alias("query_id"), F.col("vector").cast("array<double>").alias("query_vector"))
+def _probes(spark, sf_dir) -> DataFrame:
+    """The stated set of query vectors: every row whose id is divisible by 20."""
+    return _vectors(spark, sf_dir).where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("vector").cast("array<double>").alias("query_vector"))
 
 
 _COS = "list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 
 
-@query(f"SELECT query_id, vec_id, rank, round(c, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, vec_id)::INT AS rank FROM (SELECT b.vec_id AS query_id, a.vec_id, {_COS} AS c FROM embeddings a, embeddings b WHERE b.vec_id IN (3, 7))) WHERE rank <= 10")
+@query(f"SELECT query_id, vec_id, rank, round(c, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, vec_id)::INT AS rank FROM (SELECT b.vec_id AS query_id, a.vec_id, {_COS} AS c FROM embeddings a, embeddings b WHERE b.vec_id % 20 = 0)) WHERE rank <= 10")
 def cosine_topk(spark, sf_dir):
-    found = vectors.best(vectors.similarities(_vectors(spark, sf_dir), _probes(spark, sf_dir, 3, 7), id="vec_id"), 10, id="vec_id")
+    found = vectors.best(vectors.similarities(_vectors(spark, sf_dir), _probes(spark, sf_dir), id="vec_id"), 10, id="vec_id")
     return found.select("query_id", "vec_id", "rank", F.round("cosine", 6).alias("cosine"))
 
 
-@query(f"SELECT query_id, label, round(c, 6) AS score, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY round(c, 9) DESC, vec_id) AS k FROM (SELECT b.vec_id AS query_id, a.label, a.vec_id, {_COS} AS c FROM embeddings a, embeddings b WHERE b.vec_id IN (3, 7))) WHERE k = 1")
+@query(f"SELECT query_id, label, round(c, 6) AS score, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY round(c, 9) DESC, vec_id) AS k FROM (SELECT b.vec_id AS query_id, a.label, a.vec_id, {_COS} AS c FROM embeddings a, embeddings b WHERE b.vec_id % 20 = 0)) WHERE k = 1")
 def maxpool_by_label(spark, sf_dir):
-    scored = vectors.similarities(_vectors(spark, sf_dir), _probes(spark, sf_dir, 3, 7), id="vec_id").join(_vectors(spark, sf_dir).select("vec_id", "label"), "vec_id")
+    scored = vectors.similarities(_vectors(spark, sf_dir), _probes(spark, sf_dir), id="vec_id").join(_vectors(spark, sf_dir).select("vec_id", "label"), "vec_id")
     return vectors.max_pool(scored, key="label", path="vec_id").select("query_id", "label", F.round("score", 6).alias("score"), "vec_id")
 
 
@@ -556,56 +571,61 @@ def mean_vector(spark, sf_dir):
 
 
 @query(
-    """WITH u AS (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding::DOUBLE[]) AS x FROM embeddings), m AS (SELECT i, avg(x) AS m FROM u WHERE vec_id BETWEEN 10 AND 14 GROUP BY 1), b AS (SELECT u.i, 0.8E0 * x + 0.2E0 * m AS v FROM u JOIN m USING (i) WHERE vec_id = 3)
-    SELECT i::INT AS i, round(v / sqrt((SELECT sum(v * v) FROM b)), 6) AS v FROM b"""
+    """WITH u AS (SELECT vec_id, label, unnest(range(64)) AS i, unnest(embedding::DOUBLE[]) AS x FROM embeddings), m AS (SELECT label, i, avg(x) AS m FROM u GROUP BY 1, 2), b AS (SELECT vec_id, u.i, 0.8E0 * x + 0.2E0 * m AS v FROM u JOIN m ON u.label = m.label AND u.i = m.i WHERE vec_id % 20 = 0)
+    SELECT vec_id AS query_id, i::INT AS i, round(v / sqrt(sum(v * v) OVER (PARTITION BY vec_id)), 6) AS v FROM b"""
 )
 def feedback_blend(spark, sf_dir):
-    asked = _probes(spark, sf_dir, 3).withColumn("session_id", F.lit("s"))
-    clicks = _vectors(spark, sf_dir).where("vec_id between 10 and 14").select(F.lit("s").alias("session_id"), F.col("vec_id").alias("listing_id"))
+    """Sessions are labels: each has clicked all that bears its label."""
+    session = F.col("label").cast("string").alias("session_id")
+    asked = _probes(spark, sf_dir).join(_vectors(spark, sf_dir).select(F.col("vec_id").alias("query_id"), session), "query_id")
+    clicks = _vectors(spark, sf_dir).select(session, F.col("vec_id").alias("listing_id"))
     out = search.feedback(asked, clicks, _vectors(spark, sf_dir).select(F.col("vec_id").alias("listing_id"), "vector"))
-    return out.select(F.posexplode("query_vector").alias("i", "v")).select("i", F.round("v", 6).alias("v"))
+    return out.select("query_id", F.posexplode("query_vector").alias("i", "v")).select("query_id", "i", F.round("v", 6).alias("v"))
 
 
-@query("SELECT vec_id, i::INT AS i, round(x / CASE WHEN n = 0 THEN 1 ELSE n END, 6) AS x FROM (SELECT vec_id, unnest(range(64)) AS i, unnest(list_transform(embedding::DOUBLE[], lambda y: y * (vec_id % 4))) AS x, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) * (vec_id % 4) AS n FROM embeddings WHERE vec_id < 40)")
+@query("SELECT vec_id, i::INT AS i, round(x / CASE WHEN n = 0 THEN 1 ELSE n END, 6) AS x FROM (SELECT vec_id, unnest(range(64)) AS i, unnest(list_transform(embedding::DOUBLE[], lambda y: y * (vec_id % 4))) AS x, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) * (vec_id % 4) AS n FROM embeddings)")
 def l2_normalise(spark, sf_dir):
-    own = _vectors(spark, sf_dir).where("vec_id < 40").withColumn("v", F.transform("vector", lambda x: x.cast("double") * (F.col("vec_id") % 4)))
+    own = _vectors(spark, sf_dir).withColumn("v", F.transform("vector", lambda x: x.cast("double") * (F.col("vec_id") % 4)))
     return own.select("vec_id", F.posexplode(vectors.unit(F.col("v"))).alias("i", "x")).select("vec_id", "i", F.round("x", 6).alias("x"))
 
 
 @query(
-    f"""WITH d AS (SELECT a.vec_id AS id, {_COS} AS s FROM embeddings a, embeddings b WHERE b.vec_id = 3 ORDER BY round(s, 9) DESC, id LIMIT 100), l AS ({_BM25_SCORE} SELECT doc_id AS id, s FROM sc WHERE query_id = 1 ORDER BY round(s, 9) DESC, id LIMIT 100)
+    f"""WITH d AS (SELECT a.vec_id AS id, {_COS} AS s FROM embeddings a, embeddings b WHERE b.vec_id = 20 ORDER BY round(s, 9) DESC, id LIMIT 100), l AS ({_BM25_SCORE} SELECT doc_id AS id, s FROM sc WHERE query_id = 1 ORDER BY round(s, 9) DESC, id LIMIT 100)
     SELECT coalesce(d.id, l.id) AS id, round(0.6E0 * coalesce(d.s / (SELECT max(s) FROM d), 0) + 0.4E0 * coalesce(l.s / (SELECT max(s) FROM l), 0), 6) AS score FROM d FULL JOIN l ON d.id = l.id"""
 )
 def hybrid_full_outer(spark, sf_dir):
-    dense = vectors.best(vectors.similarities(_vectors(spark, sf_dir), _probes(spark, sf_dir, 3), id="vec_id"), 100, id="vec_id").select(F.lit(1).alias("query_id"), F.col("vec_id").alias("id"), F.col("cosine").alias("score"))
+    dense = vectors.best(vectors.similarities(_vectors(spark, sf_dir), _probes(spark, sf_dir).where("query_id = 20"), id="vec_id"), 100, id="vec_id").select(F.lit(1).alias("query_id"), F.col("vec_id").alias("id"), F.col("cosine").alias("score"))
     lexical = bm25.search(_index(spark, sf_dir), _rows(spark, _TERMS).where("query_id = 1"), 100).select("query_id", F.col("doc_id").alias("id"), "score")
     return vectors.hybrid(dense, lexical, 0.6, id="id").select("id", F.round("score", 6).alias("score"))
 
 
+_STORE = "store AS (SELECT *, CASE vec_id % 3 WHEN 0 THEN 'old' ELSE 'new' END AS model_id FROM embeddings)"
+
+
 def _store(spark, sf_dir) -> DataFrame:
     return _vectors(spark, sf_dir).select(F.col("vec_id").cast("string").alias("listing_id"), F.when(F.col("vec_id") % 3 == 0, "old").otherwise("new").alias("model_id"), "vector")
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS listing_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id % 3 <> 0)")
+@query(f"WITH {_STORE} SELECT CAST(doc_id AS VARCHAR) AS listing_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM store WHERE model_id = 'new')")
 def embedding_backlog(spark, sf_dir):
     own = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("listing_id"))
     return vectors.backlog(own, _store(spark, sf_dir), "new")
 
 
-@query("SELECT CAST(vec_id AS VARCHAR) AS listing_id, CASE WHEN vec_id BETWEEN 5 AND 9 THEN 'next' WHEN vec_id % 3 = 0 THEN 'old' ELSE 'new' END AS model_id FROM embeddings")
+@query(f"WITH {_STORE} SELECT CAST(vec_id AS VARCHAR) AS listing_id, CASE label WHEN 3 THEN 'next' ELSE model_id END AS model_id FROM store")
 def vector_upsert(spark, sf_dir):
-    fresh = _store(spark, sf_dir).where("cast(listing_id as int) between 5 and 9").withColumn("model_id", F.lit("next"))
+    fresh = _vectors(spark, sf_dir).where("label = 3").select(F.col("vec_id").cast("string").alias("listing_id"), F.lit("next").alias("model_id"), "vector")
     return vectors.upsert(_store(spark, sf_dir), fresh).select("listing_id", "model_id")
 
 
-@query("SELECT (SELECT count(*) FROM embeddings WHERE vec_id % 3 = 0) AS n, (SELECT count(*) FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id WHERE vec_id % 3 = 0) AS found")
+@query(f"WITH {_STORE} SELECT (SELECT count(*) FROM store WHERE model_id = 'old') AS n, (SELECT count(*) FROM store e JOIN documents d ON d.doc_id = e.vec_id WHERE model_id = 'old') AS found")
 def vector_counts(spark, sf_dir):
     ids = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("listing_id"))
     return vectors.count_vectors(_store(spark, sf_dir), "old").join(vectors.fetch(_store(spark, sf_dir), ids, "old").agg(F.count("*").alias("found")), F.lit(True))
 
 
 @query(
-    f"""WITH q AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id IN (3, 7)), im AS (SELECT vec_id, CASE WHEN vec_id % 3 = 2 THEN NULL ELSE vec_id % 50 END AS lid, embedding FROM embeddings)
+    f"""WITH q AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 20 = 0), im AS (SELECT vec_id, CASE WHEN vec_id % 3 = 2 THEN NULL ELSE vec_id % 50 END AS lid, embedding FROM embeddings)
     SELECT query_id, CAST(lid AS VARCHAR) AS listing_id, round(max(list_inner_product(a.embedding::DOUBLE[], q.embedding::DOUBLE[])), 6) AS vlm FROM im a, q WHERE lid IN (SELECT doc_id FROM documents) GROUP BY 1, 2"""
 )
 def image_signal(spark, sf_dir):
@@ -613,7 +633,7 @@ def image_signal(spark, sf_dir):
     lid = (k % 50).cast("string")
     path = F.when(k % 3 == 0, F.concat(F.lit("comparis/platform_id="), (100000 + k % 50).cast("string"), F.lit("/x.jpg"))).when(k % 3 == 1, F.concat(F.lit("sred/"), lid, F.lit("_tile2"))).otherwise(F.concat(F.lit("elsewhere/"), lid))
     images = _vectors(spark, sf_dir).select(path.alias("path"), "vector")
-    found = vectors.score_images(images, _probes(spark, sf_dir, 3, 7), listings(spark, sf_dir).select("listing_id", "platform_id"))
+    found = vectors.score_images(images, _probes(spark, sf_dir), listings(spark, sf_dir).select("listing_id", "platform_id"))
     return found.select("query_id", "listing_id", F.round("vlm", 6).alias("vlm"))
 
 
@@ -780,7 +800,7 @@ def intent_reconcile(spark, sf_dir):
     return intent.reconcile(first, second).select("query_id", F.concat_ws(",", "city").alias("city"), "canton", "max_price", "min_rooms")
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS id, concat('SRED listing ', doc_id) AS title, CAST(n_chars AS VARCHAR) AS rent_gross, 'SRED' AS scrape_source FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT CAST(doc_id AS VARCHAR), source, CAST(n_chars AS VARCHAR), 'SRED' FROM documents WHERE doc_id % 2 = 1")
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, CASE doc_id % 2 WHEN 0 THEN concat('SRED listing ', doc_id) ELSE source END AS title, CAST(n_chars AS VARCHAR) AS rent_gross, 'SRED' AS scrape_source FROM documents")
 def foreign_source(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
     own = d.select(F.concat(F.lit(" "), F.col("doc_id").cast("string"), F.lit(".0")).alias("listing_id"), F.when(F.col("doc_id") % 2 == 1, F.col("source")).otherwise("  ").alias("header"), F.col("text").alias("ad_description"), F.col("n_chars").cast("string").alias("price"), *(F.lit("").alias(c) for c in ("living_space", "rooms", "lat", "lon")))
@@ -797,9 +817,9 @@ def image_backlog(spark, sf_dir):
     return stores.pending_tiles(images, done).select(F.regexp_extract("path", r"(\d+)\.", 1).alias("id"), "tile")
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS listing_id, concat('https://b.example/img/', doc_id, '/a%20b.jpg,https://b.example/img/', doc_id, '/z.PNG') AS urls FROM documents WHERE doc_id < 50")
+@query("SELECT CAST(doc_id AS VARCHAR) AS listing_id, concat('https://b.example/img/', doc_id, '/a%20b.jpg,https://b.example/img/', doc_id, '/z.PNG') AS urls FROM documents")
 def image_object_urls(spark, sf_dir):
-    own = read(spark, sf_dir, "documents").where("doc_id < 50").select(F.explode(F.array(*(F.concat(F.lit("img/"), F.col("doc_id").cast("string"), F.lit(n)) for n in ("/z.PNG", "/a b.jpg", "/readme.txt")))).alias("key"))
+    own = read(spark, sf_dir, "documents").select(F.explode(F.array(*(F.concat(F.lit("img/"), F.col("doc_id").cast("string"), F.lit(n)) for n in ("/z.PNG", "/a b.jpg", "/readme.txt")))).alias("key"))
     return stores.image_objects(own, "https://b.example").select("listing_id", F.concat_ws(",", "urls").alias("urls"))
 
 
