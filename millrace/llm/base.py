@@ -35,10 +35,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """df written as Parquet to the shared folder and read back, so that no later step computes it again."""
+    """df written as Parquet to the shared folder and read back, so that no later step computes it again; it goes when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/millrace/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out.millrace_path = path  # for discard()
     return out

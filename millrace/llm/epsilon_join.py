@@ -89,7 +89,7 @@ def near_vectors(vectors: DataFrame, *, id: str = "vec_id", vector: str = "embed
     that repeat a vector are links of each other.
     """
     spark = vectors.sparkSession
-    n_parts = spark.sparkContext.defaultParallelism
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def digest(batches):
         for batch in batches:
