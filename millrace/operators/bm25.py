@@ -38,11 +38,12 @@ class Bm25Index:
 
 
 def build_index(documents: DataFrame, *, id: str, text: str, stem=None) -> Bm25Index:
-    """Statistics over all documents; those without a token count too, with length 0. stem maps a token array on, by default to itself."""
+    """Statistics over all documents, by distinct ids; those without a token count too, with length 0. stem maps a token array on, by default to itself."""
     split = documents.select(F.col(id).alias("doc_id"), tokens(F.col(text), stem).alias("tokens"))
-    docs = split.select("doc_id", F.size("tokens").alias("dl"))
-    # Counted by document first: a common word's postings are one row a document.
-    postings = split.select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    # Counted by document first: a common word's postings are one row a document. All else follows from this table, so texts are split once.
+    counted = split.select("doc_id", F.explode_outer("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count("term").alias("tf")).persist()
+    postings = counted.where("term is not null")
+    docs = counted.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
     corpus = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     raw = df.join(F.broadcast(corpus), how="cross").select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw_idf"))  # one row

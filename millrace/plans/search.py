@@ -77,7 +77,8 @@ def search(listings: DataFrame, intents: DataFrame, index: bm25.Bm25Index, store
     query_vector, and listings without a vector, go without that signal.
     """
     intents = weights.with_weights(intents, overrides).withColumns({"page_limit": F.coalesce("limit", F.lit(20)), "page_offset": F.coalesce("offset", F.lit(0))})
-    pool = candidates(listings, intents)
+    # A few hundred rows a query that take a scan of the listings to find, and are met four times below.
+    pool = candidates(listings, intents).persist()
     ids = pool.select("query_id", "listing_id")
     lexical = bm25.score(index, intents, ids.withColumnRenamed("listing_id", "doc_id")).withColumnRenamed("doc_id", "listing_id")
     asked = intents.where("query_vector is not null")
