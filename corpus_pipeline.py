@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import packing, quality_gam, quality_rules, simhash, suffix_dedup
+from millrace.llm import packing, quality_gam, quality_rules, similar, suffix_dedup
 from millrace.llm.base import discard, held_out, materialize, table
 
 
@@ -24,8 +24,8 @@ def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    return simhash.keep_first(docs)
+    """Of each group of near-duplicates, by SimHash over five-word shingles and a similarity of 0.8 or more, the document with the smallest id stays."""
+    return similar.keep_first(docs)
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,29 +10,15 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from millrace.llm import epsilon_join, langid, packing, quality_gam, quality_rules, queries, simhash, suffix_dedup
+from millrace.llm import epsilon_join, langid, packing, quality_gam, quality_rules, queries, simhash, similar, suffix_dedup
 from millrace.llm.components import connected_components
 from millrace.llm.text_stats import rule_counts
+from tests_brute_groups import groups
 
 SF = "/root/testdata/sf0.001"
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
 
 
-def groups(nodes, links):
-    root = {n: n for n in nodes}
-
-    def find(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for a, b in links:
-        a, b = find(a), find(b)
-        root[max(a, b)] = min(a, b)
-    return {n: find(n) for n in nodes}
-
-
 @pytest.fixture(scope="module")
 def docs(spark):
     return spark.read.parquet(f"{SF}/documents.parquet")
@@ -244,11 +230,13 @@ def test_pipeline(spark):
             assert after.columns == docs.columns
             assert after.join(before, "doc_id", "left_anti").count() == 0
         if name == "near_dedup":
-            fps = {r.doc_id: r.fp & (2**64 - 1) for r in simhash.fingerprints(after, keep=["doc_id"]).collect()}
-            values = np.array(list(fps.values()), dtype=np.uint64)
-            gaps = np.bitwise_count(values[:, None] ^ values[None, :])
-            np.fill_diagonal(gaps, 64)
-            assert gaps.min() > 2
+            sets = {r.doc_id: set(similar.shingle_hashes(r.text.encode(), 5).tolist()) for r in after.collect()}
+            holders = {}
+            for d, own in sets.items():
+                for h in own:
+                    holders.setdefault(h, []).append(d)
+            for a, b in {(a, b) for ds in holders.values() for a in ds for b in ds if a < b}:
+                assert len(sets[a] & sets[b]) < 0.8 * len(sets[a] | sets[b])
         if name == "suffix_dedup":
             assert not any(_passages({r.doc_id: r.text for r in after.collect()}, 50)[0].values())
             ids = {r.doc_id for r in after.select("doc_id").collect()}
