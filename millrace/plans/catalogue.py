@@ -334,12 +334,20 @@ def backfill_counts(spark, sf_dir):
     return sources.backfill_counts(listings(spark, sf_dir))
 
 
-@query()
+_STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+_MARKUP = _STRIP.format("regexp_replace(replace(regexp_replace({}, '<[^>]+>', ' ', 'g'), '*', ''), '[ \\t]{{2,}}', ' ', 'g')")
+
+
+@query(
+    f"""WITH {L} SELECT listing_id, {_STRIP.format('title')} AS title, md5({_MARKUP.format(_STRIP.format('description'))}) AS description, city, canton, CASE WHEN price > 0 THEN price + 150 END AS price, coalesce(nullif(rooms, 0), {_ROOMS}) AS rooms, latitude, feature_balcony = 1 AS feature_balcony,
+    CASE WHEN feature_balcony = 1 THEN 'balcony' ELSE '' END AS features, offer_type FROM L"""
+)
 def typed_listings(spark, sf_dir):
     """The row parser over raw rows made from the fixture."""
     own = listings(spark, sf_dir)
     given = {"id": F.concat(F.lit(" "), F.col("listing_id")), "title": F.col("title"), "object_city": F.col("city"), "object_state": F.lower("canton"), "rent_net": F.col("price").cast("string"), "rent_extra": F.lit("150"), "number_of_rooms": F.col("rooms").cast("string"), "geo_lat": F.col("latitude").cast("string"), "object_description": F.col("description"), "prop_balcony": F.when(F.col("feature_balcony") == 1, "true").when(F.col("feature_balcony") == 0, "false"), "offer_type": F.lower("offer_type")}
-    return sources.prepare(own.select(*(given.get(c, F.lit(None).cast("string")).alias(c) for c in V.RAW_COLUMNS))).drop("raw", "orig_data", "location_address")
+    out = sources.prepare(own.select(*(given.get(c, F.lit(None).cast("string")).alias(c) for c in V.RAW_COLUMNS)))
+    return out.select("listing_id", "title", F.md5("description").alias("description"), "city", "canton", "price", "rooms", "latitude", "feature_balcony", F.concat_ws(",", "features").alias("features"), "offer_type")
 
 
 # ---- Signals, weights, fusion ----
@@ -775,9 +783,14 @@ def feature_coverage(spark, sf_dir):
 # ---- Intents, sources ----
 
 
-@query()
+@query(
+    """SELECT * FROM (VALUES (1::BIGINT, 'Zürich', 'ZH', 2500, 3.5::DOUBLE, NULL, 'bright,balcony or terrace', NULL, 'ETH', 'bm25,brightness,dense_text,feature_match,geo_anchor'),
+    (2, 'Genève', 'GE', NULL, 3.0, 'parking', 'parking', 'cheap', '', 'bm25,dense_text,feature_match,price_band'), (3, NULL, NULL, NULL, NULL, NULL, '', NULL, '', 'bm25,dense_text,feature_match')) t(query_id, city, canton, max_price, min_rooms, features, descriptors, price_intent, anchors, weights)"""
+)
 def heuristic_intent(spark, sf_dir):
-    return intent.understand(_rows(spark, values_sql.QUERIES))
+    said = lambda c: F.when(F.col(c).isNotNull(), F.concat_ws(",", c)).alias(c)
+    out = intent.understand(_rows(spark, values_sql.QUERIES))
+    return out.select("query_id", said("city"), "canton", "max_price", "min_rooms", said("features"), said("descriptors"), "price_intent", said("anchors"), F.concat_ws(",", F.array_sort(F.map_keys("weights"))).alias("weights"))
 
 
 @query("SELECT * FROM (VALUES (1::BIGINT, 'Zürich', '8008,8049', 3.0::DOUBLE), (2, 'Genève,Bern', NULL, 2.0), (3, 'Biel/Bienne', '2500', 4.5)) t(query_id, city, postal_code, min_rooms)")
