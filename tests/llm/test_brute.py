@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from millrace.llm import epsilon_join, langid, packing, quality_gam, quality_rules, queries, simhash, similar, suffix_dedup
 from millrace.llm.components import connected_components
 from millrace.llm.text_stats import rule_counts
-from tests_brute_groups import groups
+from plain_groups import groups
 
 SF = "/root/testdata/sf0.001"
 BYTES = public_tokenizers.path("byte_bpe_50k.json")

@@ -5,7 +5,7 @@ import random
 import pytest
 
 from millrace.llm import similar
-from tests_brute_groups import groups
+from plain_groups import groups
 
 
 @pytest.mark.parametrize(("tile", "text_tile"), [(16, 4), (32_768, 512)])
