@@ -65,6 +65,11 @@ def with_weights(intents: DataFrame, overrides: Column | None = None) -> DataFra
     return raw.withColumns({f"w_{k}": F.when(F.col("_w") > 0, F.col(f"_w_{k}") / F.col("_w")).otherwise(F.lit(V.SIGNALS[k] / rest if k in V.ALWAYS_ON else 0.0)) for k in V.SIGNALS}).drop("_w", *(f"_w_{k}" for k in V.SIGNALS))
 
 
+def parse_overrides(text: Column) -> Column:
+    """Weights by signal of a text `dense=0.5,bm25=0.2`; what is no number is left out."""
+    return F.map_filter(F.transform_values(F.str_to_map(text, F.lit(","), F.lit("=")), lambda k, v: F.trim(v).try_cast("double")), lambda k, v: v.isNotNull())
+
+
 def derived_weights(prefix: str = "") -> Column:
     """A weight map from soft flags alone, for intents that came without."""
     c = lambda name: F.col(prefix + name)

@@ -639,7 +639,7 @@ def vector_counts(spark, sf_dir):
 def image_signal(spark, sf_dir):
     k = F.col("vec_id")
     lid = (k % 50).cast("string")
-    path = F.when(k % 3 == 0, F.concat(F.lit("comparis/platform_id="), (100000 + k % 50).cast("string"), F.lit("/x.jpg"))).when(k % 3 == 1, F.concat(F.lit("sred/"), lid, F.lit("_tile2"))).otherwise(F.concat(F.lit("elsewhere/"), lid))
+    path = F.when(k % 3 == 0, F.concat(F.lit("shots/platform_id="), (100000 + k % 50).cast("string"), F.lit("/x.jpg"))).when(k % 3 == 1, F.concat(F.lit("sred/"), lid, F.lit("_tile2"))).otherwise(F.concat(F.lit("elsewhere/"), lid))
     images = _vectors(spark, sf_dir).select(path.alias("path"), "vector")
     found = vectors.score_images(images, _probes(spark, sf_dir), listings(spark, sf_dir).select("listing_id", "platform_id"))
     return found.select("query_id", "listing_id", F.round("vlm", 6).alias("vlm"))

@@ -24,6 +24,14 @@ def candidates(listings: DataFrame, intents: DataFrame, *, cap: int = V.CANDIDAT
     return quality.locality_filter(kept, F.col("q_locality_hints"))
 
 
+def trace(listings: DataFrame, intents: DataFrame, *, cap: int = V.CANDIDATE_CAP) -> DataFrame:
+    """(query_id, stage, rows, state): what the stages before scoring leave of each query."""
+    asked = intents.withColumns({"limit": F.lit(cap), "offset": F.lit(0)})
+    found = filters.hard_filter(listings, asked, cap=cap, page=False).persist()
+    good = quality.quality_filter(found, F.col("q_raw_query"), F.col("q_availability_hint"))
+    return ranking.stage_trace({"hard_filter": found, "quality": good, "locality": quality.locality_filter(good, F.col("q_locality_hints"))}, intents)
+
+
 def feedback(intents: DataFrame, clicks: DataFrame, store: DataFrame) -> DataFrame:
     """Intents, with session_id, whose query vector moved a fifth towards the mean of what the session clicked (session_id, listing_id)."""
     mean = vectors.mean_vector(clicks.join(store.select("listing_id", "vector"), "listing_id"), "session_id")

@@ -176,6 +176,17 @@ def test_search_end_to_end(spark):
         assert [r["rank"] for r in own] == list(range(1, len(own) + 1)) and all(a.score >= b.score for a, b in zip(own, own[1:], strict=False))
 
 
+def test_trace_and_overrides(spark):
+    from millrace.plans import fixture
+
+    own = fixture.listings(spark, "/root/testdata/sf0.001")
+    asked = intents(spark, [{"query_id": 1, "raw_query": "x"}, {"query_id": 2, "raw_query": "x", "city": ["nowhere"]}])
+    got = {(r.query_id, r.stage): (r.rows, r.state) for r in search.trace(own, asked).collect()}
+    assert got[(2, "hard_filter")] == (0, "empty") and got[(1, "quality")][0] <= got[(1, "hard_filter")][0] and len(got) == 6
+    text = spark.sql("select 'dense=0.5,vlm=x,bm25= 0.2' as t").select(weights.parse_overrides(F.col("t")).alias("m"))
+    assert text.first().m == {"dense": 0.5, "bm25": 0.2}
+
+
 def test_library_does_not_need_the_llm_subpackage():
     import pathlib
 
