@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts of one slice that a Python function holds at once, in bytes.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 #: Code points of the white space that separates words, as bytes.split() has it: \x20 and \x09-\x0D.
 WORD_SPACE = b" \t\n\v\f\r"
 
