@@ -19,8 +19,9 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the additive model scores under a half go; it learns from the labelled documents that are left."""
-    return quality_gam.keep_good(docs, quality_gam.fit(*quality_gam.labelled_features(docs, table(spark, sf_dir, "labels"), ~held_out())))
+    """Documents that the additive model scores under a half go. It learns from the labelled ones of all documents: those that earlier stages left may bear one label only."""
+    known = quality_gam.labelled_features(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out())
+    return quality_gam.keep_good(docs, quality_gam.fit(*known))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
