@@ -20,6 +20,12 @@ WORD_SPACE = b" \t\n\v\f\r"
 _own_dir: list[str] = []
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand rows to Python workers some megabytes at a time: Spark holds a batch twice outside its heap for each task, and its own limit is 64 MB."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -37,6 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """df written as Parquet to the shared folder and read back, so that no later step computes it again; it goes when the application ends."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/millrace/{uuid.uuid4().hex}"
     df.write.parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -83,6 +90,7 @@ def map_texts(df: DataFrame, keep: list[str], text: str, make: Callable[[], Call
 
     make is called once in each task. The other columns of df stay behind, whatever their names.
     """
+    small_batches(df.sparkSession)
     made = [x.split()[0] for x in schema.split(",")]
     names = [*keep, *made]
 
@@ -99,6 +107,7 @@ def map_texts(df: DataFrame, keep: list[str], text: str, make: Callable[[], Call
 
 def filter_texts(df: DataFrame, text: str, make: Callable[[], Callable[[pa.Array], pa.Array]]) -> DataFrame:
     """Rows of df, with all their columns, whose text the function from make() marks true."""
+    small_batches(df.sparkSession)
     at = df.columns.index(text)
 
     def run(batches):
