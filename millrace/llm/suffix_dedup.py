@@ -2,16 +2,15 @@
 
 Of all suffixes of a text, at word positions, those are kept whose first words
 have the least hash among their neighbours: two texts that share
-a passage keep the same positions in it. The kept suffixes of all texts are
-sorted by those first words, then by text, and each is compared
-with its neighbour from another text; a match is extended word by word to the left
-and to the right, and counts from the least number of words up.
+a passage keep the same positions in it. Each stretch of the least number of
+words belongs to one kept suffix in it, chosen by its words alone. Kept suffixes
+that begin alike in several texts meet with all stretches around them, and
+those of equal words are compared all with all: by hash, then by text. A text's
+stretches that others hold are joined to passages.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -19,8 +18,9 @@ from pyspark.sql import functions as F
 
 from millrace.llm.base import discard, materialize, slices
 
-_WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Kept suffixes with one key that a Python worker holds at once, about; keys with more are dealt out by the hashes of their stretches.
+BUCKET = 20_000
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -89,80 +89,155 @@ def suffixes(docs: DataFrame, *, key: int, least: int) -> DataFrame:
     return docs.where("doc_id is not null and text is not null").mapInArrow(run, "doc_id bigint, pos int, key bigint")
 
 
-def neighbours(kept: DataFrame, parts: int) -> DataFrame:
-    """(doc_b, doc_a, pos_b, pos_a): each kept suffix beside the last one, in sorted order, with an equal key from the text before it.
+def _edges(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of all words, in characters."""
+    x = np.frombuffer(text, dtype=np.uint8)
+    gap = (x == 0x20) | ((x >= 0x09) & (x <= 0x0D))
+    step = np.diff(np.concatenate([[True], gap, [True]]).astype(np.int8))
+    char = np.concatenate([[0], np.cumsum((x & 0xC0) != 0x80)])
+    return char[np.flatnonzero(step == -1)], char[np.flatnonzero(step == 1)]
+
+
+def _stretches(words: np.ndarray, key: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, keys) of the minimisers; hashes of all stretches of least words and the number of the minimiser that each belongs to: of those with the least hash in it the first."""
+    at, keys = minimisers(words, key, least)
+    with np.errstate(over="ignore"):
+        low = _slide(_runs(words, key), least - key + 1, np.minimum)
+        whole = _runs(words, least)
+    own = np.searchsorted(at, np.arange(len(low)))
+    while len(off := np.flatnonzero(keys[own] != low)):
+        own[off] += 1
+    return at, keys, whole, own
+
+
+def _packed(x: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """A binary for each row: so many of x's items."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)]) * x.itemsize * (x.shape[1] if x.ndim > 1 else 1)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
+
+
+def _unpacked(column: pa.Array, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """(items of all rows, bytes by row)."""
+    column = column.cast(pa.large_binary())
+    buffers = column.buffers()
+    offsets = np.frombuffer(buffers[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(buffers[2], dtype=np.uint8)[offsets[0] : offsets[-1]].view(dtype), np.diff(offsets)
+
 
-    The suffixes are range-partitioned by key and text, so that a key that
-    many texts share spreads over partitions; the last rows of a partition are
-    what its successor's first rows meet.
+def _with_stretches(placed: DataFrame, *, key: int, least: int) -> DataFrame:
+    """A row for each kept suffix (and part, where its key is dealt out): its stretches' hashes, steps from the first one, and edges from the first one's start.
+
+    placed has doc_id, text, and arrays pos and parts of the kept suffixes that matter.
     """
-    order = ["key", "doc_id", "pos"]
+    small = np.uint8 if least - key < 256 else np.uint32
 
     def run(batches):
-        from pyspark import TaskContext
+        for batch in batches:
+            for cut in slices(batch, 1):
+                out = {2: [], 4: []}  # by bytes of an edge
+                for doc_id, content, pos, parts in zip(cut.column(0).to_pylist(), cut.column(1).cast(pa.large_binary()).to_pylist(), cut.column(2), cut.column(3), strict=True):
+                    words = word_hashes(content)
+                    if len(words) < least:
+                        continue
+                    at, keys, whole, own = _stretches(words, key, least)
+                    dealt = np.zeros(len(at), dtype=np.uint64)
+                    pos, parts = pos.values.to_numpy(), parts.values.to_numpy()
+                    there = np.isin(pos, at)  # all, unless ids repeat
+                    dealt[np.searchsorted(at, pos[there])] = parts[there]
+                    win = np.flatnonzero(dealt[own])
+                    if not len(win):
+                        continue
+                    part = whole[win] % dealt[own[win]]
+                    if dealt.max() > 1:
+                        order = np.lexsort((win, part, own[win]))
+                        win, part = win[order], part[order]
+                    of = own[win]
+                    lead = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (part[1:] != part[:-1])]))
+                    sizes = np.diff(np.append(lead, len(win)))
+                    starts, ends = _edges(content)
+                    first, base = win[lead], starts[win[lead]]
+                    edges = np.stack([starts[win], ends[win + least - 1]], 1) - np.repeat(base, sizes)[:, None]
+                    width = 2 if edges.max() < 1 << 16 else 4
+                    out[width].append((keys[of[lead]].view(np.int64), part[lead].astype(np.int32), np.full(len(lead), doc_id), first.astype(np.int32), base, sizes, whole[win], (win - np.repeat(first, sizes)).astype(small), edges.astype(f"<u{width}")))
+                for width, rows in out.items():
+                    if rows:
+                        k, part, doc, first, base, sizes, whole, steps, edges = (np.concatenate(x) for x in zip(*rows, strict=True))
+                        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(part), pa.array(doc, pa.int64()), pa.array(first), pa.array(base, pa.int64()), pa.array(np.full(len(k), width, np.int32)), _packed(whole, sizes), _packed(steps, sizes), _packed(edges, sizes)], names=["key", "part", "doc_id", "first", "base", "width", "whole", "steps", "edges"])
+
+    return placed.mapInArrow(run, "key bigint, part int, doc_id bigint, first int, base bigint, width int, whole binary, steps binary, edges binary")
+
+
+def _meet(t: pa.RecordBatch, least: int, small) -> pa.RecordBatch | None:
+    """Passages of kept suffixes, from rows that hold all stretches equal to any of theirs."""
+    doc_id, first, base, width = (t.column(t.schema.names.index(c)).to_numpy() for c in ("doc_id", "first", "base", "width"))
+    column = lambda c: t.column(t.schema.names.index(c))
+    whole, size = _unpacked(column("whole"), np.uint64)
+    row = np.repeat(np.arange(t.num_rows), size // 8)
+    steps = _unpacked(column("steps"), small)[0].astype(np.int64)
+    edges = np.empty((len(row), 2), dtype=np.int64)
+    for w in (2, 4):
+        own = np.flatnonzero(width == w)
+        if len(own):
+            edges[width[row] == w] = _unpacked(column("edges").take(pa.array(own)), f"<u{w}")[0].reshape(-1, 2)
+    # Equal stretches side by side, by text.
+    doc = doc_id[row]
+    order = np.lexsort((doc, whole))
+    h, d = whole[order], doc[order]
+    new_h = np.concatenate([[True], h[1:] != h[:-1]])
+    lead = np.flatnonzero(new_h | np.concatenate([[True], d[1:] != d[:-1]]))  # runs of one stretch and text
+    least_doc = d[np.flatnonzero(new_h)][np.cumsum(new_h) - 1]
+    after = np.append(lead[1:], -1)
+    more = (after >= 0) & (h[after] == h[lead])
+    sizes = np.diff(np.append(lead, len(h)))
+    found = []
+    for is_later, flag, other in ((True, d > least_doc, least_doc), (False, np.repeat(more, sizes), np.repeat(d[after], sizes))):
+        flagged, others = np.empty(len(h), dtype=bool), np.empty(len(h), dtype=np.int64)
+        flagged[order], others[order] = flag, other
+        f = np.flatnonzero(flagged)
+        if len(f):
+            r, at = row[f], steps[f]
+            begin = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (at[1:] != at[:-1] + 1)]))
+            end = np.append(begin[1:], len(f)) - 1
+            own = r[begin]
+            start = edges[f[begin], 0]
+            found.append((doc_id[own], first[own] + at[begin], first[own] + at[end] + least, base[own] + start, edges[f[end], 1] - start, np.minimum.reduceat(others[f], begin), np.full(len(begin), is_later)))
+    if not found:
+        return None
+    columns = (np.concatenate(x) for x in zip(*found, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()], strict=True)], names=["doc_id", "first", "last", "start", "length", "other_id", "later"])
+
+
+def meetings(rows: DataFrame, parts: int, *, key: int, least: int) -> DataFrame:
+    """doc_id, first, last, start, length, other_id, later: what each kept suffix shares, from rows of _with_stretches().
+
+    All rows of one key and part are in one partition side by side, and are never divided.
+    """
+    small = np.uint8 if least - key < 256 else np.uint32
 
-        part = TaskContext.get().partitionId()
-        last = None  # (key, doc, pos) of the row before
-        prior = None  # of the last row of the text before, if its key is the same
-        names = ["doc_b", "doc_a", "pos_b", "pos_a", "edge", "part", "key"]
+    def run(batches):
+        held, count, limit = [], 0, BUCKET
 
-        def edge(rows, side):
-            k, d, p = zip(*rows, strict=True)
-            nulls = [None] * len(rows)
-            return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(nulls, pa.int64()), pa.array(p, pa.int32()), pa.array(nulls, pa.int32()), pa.array([side] * len(rows), pa.int32()), pa.array([part] * len(rows), pa.int64()), pa.array(k, pa.int64())], names=names)
+        def whole():
+            return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
         for batch in batches:
-            n = batch.num_rows
-            if not n:
+            if not batch.num_rows:
                 continue
-            key, doc, pos = (batch.column(batch.schema.names.index(c)).to_numpy() for c in ("key", "doc_id", "pos"))
-            if last is None:
-                yield edge([(int(key[0]), int(doc[0]), int(pos[0]))], 0)
-                last = (int(key[0]), int(doc[0]), int(pos[0]))
-            k = np.concatenate([[last[0]], key])
-            d = np.concatenate([[last[1]], doc])
-            p = np.concatenate([[last[2]], pos])
-            same_key = k[1:] == k[:-1]
-            new_doc = same_key & (d[1:] != d[:-1])
-            # Row before each run of rows of one text and key.
-            start = np.where(~same_key | new_doc, np.arange(n), -1)
-            start = np.maximum.accumulate(start)
-            use = start >= 0
-            ok = use & new_doc[np.maximum(start, 0)]
-            b = np.flatnonzero(ok)
-            a = start[b]
-            doc_a, pos_a = d[a], p[a]
-            if prior is not None:  # rows that go on with the text of the batch before
-                b0 = np.flatnonzero(~use)
-                b, doc_a, pos_a = np.concatenate([b0, b]), np.concatenate([np.full(len(b0), prior[1]), doc_a]), np.concatenate([np.full(len(b0), prior[2]), pos_a])
-            m = len(b)
-            if m:
-                yield pa.RecordBatch.from_arrays([pa.array(doc[b]), pa.array(doc_a), pa.array(pos[b]), pa.array(pos_a.astype(np.int32)), pa.array(np.full(m, -1, np.int32)), pa.array(np.full(m, part, np.int64)), pa.array(key[b])], names=names)
-            if start[-1] >= 0:
-                s = start[-1]
-                prior = (int(k[s]), int(d[s]), int(p[s])) if new_doc[s] else None
-            last = (int(key[-1]), int(doc[-1]), int(pos[-1]))
-        if last is not None:
-            yield edge([last], 1)
-
-    found = kept.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, "doc_b bigint, doc_a bigint, pos_b int, pos_a int, edge int, part bigint, key bigint")
-    found = materialize(found)
-    # Two rows for each partition that has any.
-    ends = found.where("edge >= 0")
-    w = Window.orderBy("part", "edge")
-    met = ends.withColumn("k0", F.lag("key").over(w)).withColumn("d0", F.lag("doc_b").over(w)).withColumn("p0", F.lag("pos_b").over(w)).where("edge = 0 and k0 = key and d0 <> doc_b")
-    return found.where("edge < 0").select("doc_b", "doc_a", "pos_b", "pos_a").unionByName(met.select("doc_b", F.col("d0").alias("doc_a"), "pos_b", F.col("p0").alias("pos_a")))
-
-
-def _extend(b: np.ndarray, a: np.ndarray, pos_b: int, pos_a: int) -> tuple[int, int]:
-    """The words of b from-to that equal a's around the given positions."""
-    m = min(pos_b, pos_a)
-    back = np.flatnonzero(b[pos_b - m : pos_b] != a[pos_a - m : pos_a])
-    left = m if not len(back) else m - 1 - back[-1]
-    m = min(len(b) - pos_b, len(a) - pos_a)
-    on = np.flatnonzero(b[pos_b : pos_b + m] != a[pos_a : pos_a + m])
-    right = m if not len(on) else on[0]
-    return pos_b - left, pos_b + right
+            held.append(batch)
+            count += batch.num_rows
+            if count >= limit:
+                t = whole()
+                k, p = (t.column(t.schema.names.index(c)).to_numpy() for c in ("key", "part"))
+                border = np.flatnonzero((k != k[-1]) | (p != p[-1]))
+                cut = border[-1] + 1 if len(border) else 0
+                if cut and (found := _meet(t.slice(0, cut), least, small)) is not None:
+                    yield found
+                held, count = [t.slice(cut)], t.num_rows - cut
+                limit = max(BUCKET, 2 * count)
+        if count and (found := _meet(whole(), least, small)) is not None:
+            yield found
+
+    return rows.repartition(parts, "key", "part").sortWithinPartitions("key", "part").mapInArrow(run, "doc_id bigint, first int, last int, start bigint, length bigint, other_id bigint, later boolean")
 
 
 def shared_passages(docs: DataFrame, *, id: str = "doc_id", text: str = "text", least: int = 50, key: int = 24) -> DataFrame:
@@ -170,54 +245,23 @@ def shared_passages(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
 
     later marks the passages that a text with a smaller id holds as well: of a
     passage's copies the one with the smallest id is not later. Overlapping
-    passages of a text are merged if both are later or neither is. Texts that are null, without id or shorter than least words share nothing;
+    passages of a text are merged if both are later or neither is; other_id is the
+    smallest of the texts before (later) or after it (not later) that share a part. Texts that are null, without id or shorter than least words share nothing;
     repeated ids are one text (the row whose text sorts first).
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     kept = materialize(suffixes(docs, key=key, least=least))
-    # Most keys occur in one text only; these go before the sort.
-    common = kept.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select(F.col("key").alias("k"))
+    # Most keys occur in one text only; these go before the texts are looked at again.
+    common = kept.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select(F.col("key").alias("k"), F.ceil(F.col("n") / BUCKET).cast("int").alias("parts"))
     common = materialize(common)
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    shared = materialize(kept.join(common, F.col("key") == F.col("k"), "left_semi"))
+    shared = materialize(kept.join(common, F.col("key") == F.col("k")).select(F.col("doc_id").alias("id"), "pos", "parts"))
     discard(kept, common)
-    pairs = neighbours(shared, parts)
-    # A pair of texts once, with all places where they met: as many as the text has kept suffixes at most.
-    anchors = materialize(pairs.groupBy("doc_b", "doc_a").agg(F.sort_array(F.collect_list(F.struct("pos_b", "pos_a"))).alias("at")))
-    a = docs.where("doc_id is not null and text is not null").withColumnsRenamed({"doc_id": "id_a", "text": "text_a"})
-    b = docs.where("doc_id is not null and text is not null").withColumnsRenamed({"doc_id": "id_b", "text": "text_b"})
-    both = anchors.join(a, F.col("doc_a") == F.col("id_a")).join(b, F.col("doc_b") == F.col("id_b")).select("doc_b", "doc_a", F.col("at.pos_b").alias("at_b"), F.col("at.pos_a").alias("at_a"), "text_b", "text_a")
-
-    def run(batches):
-        names = ["doc_id", "first", "last", "start", "length", "other_id", "later"]
-        for batch in batches:
-            for i in range(batch.num_rows):
-                doc_b, doc_a, at_b, at_a = (batch.column(k)[i].as_py() for k in range(4))
-                raw = [batch.column(k)[i].as_py().encode() for k in (4, 5)]
-                wb, wa = map(word_hashes, raw)
-                spans, end = [], -1
-                for p, r in zip(at_b, at_a, strict=True):
-                    if p >= end and p < len(wb) and r < len(wa):  # else inside of what was found
-                        lo, hi = _extend(wb, wa, p, r)
-                        if hi - lo >= least:
-                            spans.append((lo, hi, p - r))
-                            end = hi
-                if not spans:
-                    continue
-                out = []
-                for side, own, other in ((0, doc_b, doc_a), (1, doc_a, doc_b)):
-                    edges = [m.span() for m in _WORD.finditer(raw[side])]
-                    for lo, hi, shift in spans:
-                        by = side * shift
-                        s, e = edges[lo - by][0], edges[hi - by - 1][1]
-                        start = len(raw[side][:s].decode())
-                        out.append((own, lo - by, hi - by, start, len(raw[side][s:e].decode()), other, own > other))
-                columns = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()], strict=True)], names=names)
-
-    schema = "doc_id bigint, first int, last int, start bigint, length bigint, other_id bigint, later boolean"
-    found = both.mapInArrow(run, schema)
+    # A text's places: as many as it has kept suffixes at most.
+    places = shared.groupBy("id").agg(F.collect_list(F.struct("pos", "parts")).alias("at"))
+    placed = docs.where("doc_id is not null and text is not null").join(places, F.col("doc_id") == F.col("id")).select("doc_id", "text", F.col("at.pos").alias("pos"), F.col("at.parts").alias("parts"))
+    spread = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found = meetings(_with_stretches(placed, key=key, least=least), spread, key=key, least=least)
     # A text's passages: as many as it has kept suffixes at most.
     w = Window.partitionBy("doc_id", "later").orderBy("start", "length", "other_id")
     reach = F.max(F.col("start") + F.col("length")).over(w.rowsBetween(Window.unboundedPreceding, -1))
