@@ -42,3 +42,12 @@ def test_a_third_text_or_a_second_place_with_the_first_words_only(spark, size):
         again = sum((other[p : p + 24] + _words(rng, 30) for p in at), [])
         texts |= {10 * n + 5: _words(rng, 30) + other + _words(rng, 30) + again, 10 * n + 6: _words(rng, 30) + other + _words(rng, 30)}
     _check(spark, texts)
+
+
+def test_passages_that_overlap_on_different_shifts(spark):
+    rng = random.Random(2)
+    texts = {}
+    for n in range(6):
+        x, z = _words(rng, 70), _words(rng, 24 + n)
+        texts |= {2 * n: x + _words(rng, 40) + x[-45:] + z + _words(rng, 20), 2 * n + 1: _words(rng, 20) + x + z + _words(rng, 20)}
+    _check(spark, texts)
