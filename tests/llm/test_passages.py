@@ -51,3 +51,22 @@ def test_passages_that_overlap_on_different_shifts(spark):
         x, z = _words(rng, 70), _words(rng, 24 + n)
         texts |= {2 * n: x + _words(rng, 40) + x[-45:] + z + _words(rng, 20), 2 * n + 1: _words(rng, 20) + x + z + _words(rng, 20)}
     _check(spark, texts)
+
+
+def test_a_key_that_texts_have_many_times(spark, monkeypatch):
+    """Rows of one key fill more than a partition and are dealt out."""
+    monkeypatch.setattr(suffix_dedup, "BUCKET", 7, raising=False)
+    rng = random.Random(3)
+    line, texts = _words(rng, 24), {}
+    around = [(_words(rng, 20), _words(rng, 20)) for _ in range(12)]
+    for d in range(14):
+        texts[d] = sum((_words(rng, 10) + a + line + b for a, b in rng.sample(around, 6)), [])
+    _check(spark, texts)
+
+
+def test_a_key_that_crosses_partitions(spark):
+    """All places of a passage with one kept suffix: wherever a border may fall, each has its match."""
+    rng = random.Random(4)
+    least = lambda w: int(suffix_dedup.minimisers(suffix_dedup.word_hashes(" ".join(w).encode()), 24, 50)[1].min())
+    passage = min((_words(rng, 50) for _ in range(3000)), key=least)
+    _check(spark, {d: sum((_words(rng, 9) + passage for _ in range(6)), _words(rng, 5)) for d in range(12)})
