@@ -10,10 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.base import materialize
+from millrace.llm.base import discard, materialize
 
 #: verdict, host, path: a rule fits its host and all subdomains where the url's path starts with the rule's.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+#: Rounds of propagation between two looks at what is left.
+ROUNDS = 8
 
 
 def _ascii_lower(c: Column) -> Column:
@@ -42,30 +44,38 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return found.select("src", _ascii_lower(F.col("dst")).alias("dst")).where("src <> dst and dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rounds: int = 8) -> DataFrame:
-    """(host, trust, distrust) after so many rounds from seeds (host, trust, distrust).
+def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, tolerance: float = 1e-10) -> DataFrame:
+    """(host, trust, distrust) from seeds (host, trust, distrust): each rank is below its limit by the tolerance at most.
 
-    Each round a host passes damping times its rank on, in shares of the link
-    counts, and gets (1 - damping) times its seed anew: trust along links,
-    distrust against them. Edges with nothing to carry drop out of the joins.
+    A host's rank is (1 - damping) times its seed and damping times the ranks that
+    others pass on to it, in shares of the link counts: trust along links, distrust
+    against them. Each round passes on what the round before brought, until all
+    that can still come, to all hosts together, is within the tolerance. Edges with
+    nothing to carry drop out of the joins.
     """
     out = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("at"), F.col("dst").alias("to"), "links").unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("at"), F.col("src").alias("to"), "links"))
     totals = out.groupBy("kind", "at").agg(F.sum("links").alias("total"))
-    shares = materialize(out.join(totals, ["kind", "at"]).select("kind", "at", "to", (F.col("links") / F.col("total")).alias("share")))
     start = seeds.select(F.explode(F.array(F.struct(F.lit("trust").alias("kind"), "host", F.col("trust").alias("seed")), F.struct(F.lit("distrust").alias("kind"), "host", F.col("distrust").alias("seed")))).alias("s")).select("s.*").where("seed > 0")
-    start = materialize(start)
-    rank = start.withColumn("rank", F.col("seed"))
-    any_edge = bool(shares.take(1))
-    for _ in range(rounds if any_edge else 0):
-        passed = shares.join(rank.select("kind", F.col("host").alias("at"), "rank"), ["kind", "at"]).select("kind", F.col("to").alias("host"), (damping * F.col("share") * F.col("rank")).alias("rank"))
-        again = start.select("kind", "host", ((1 - damping) * F.col("seed")).alias("rank"))
-        rank = materialize(passed.union(again).groupBy("kind", "host").agg(F.sum("rank").alias("rank")))
-    if not any_edge:  # nothing is passed on: what the rounds would come to
-        rank = start.select("kind", "host", ((1 - damping) * F.col("seed")).alias("rank"))
+    rank = materialize(start.select("kind", "host", ((1 - damping) * F.col("seed")).alias("rank"), ((1 - damping) * F.col("seed")).alias("fresh")))
+    shares = out.join(totals, ["kind", "at"]).select("kind", "at", "to", (F.col("links") / F.col("total")).alias("share"))
+    shares = materialize(shares)
+    if shares.take(1):
+        # A row without share for each host keeps what it has, so that a round is one join and one sum.
+        stay = shares.select("kind", "at").union(shares.select("kind", "to")).union(rank.select("kind", "host")).distinct()
+        steps = materialize(shares.unionByName(stay.select("kind", "at", F.col("at").alias("to"), F.lit(None).cast("double").alias("share"))))
+        # What is fresh comes to damping / (1 - damping) times as much in all later rounds, at most.
+        while (rank.agg(F.sum("fresh")).first()[0] or 0.0) * damping > tolerance * (1 - damping):
+            before = rank
+            for _ in range(ROUNDS):
+                met = steps.join(rank.withColumnRenamed("host", "at"), ["kind", "at"]).where("share is null or fresh > 0")
+                passed = met.select("kind", F.col("to").alias("host"), F.when(F.col("share").isNull(), F.col("rank")).otherwise(0.0).alias("rank"), F.coalesce(damping * F.col("share") * F.col("fresh"), F.lit(0.0)).alias("fresh"))
+                rank = passed.groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("fresh").alias("fresh")).select("kind", "host", (F.col("rank") + F.col("fresh")).alias("rank"), "fresh")
+            rank = materialize(rank)
+            discard(before)
     return rank.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("rank"))).alias("trust"), F.sum(F.when(F.col("kind") == "distrust", F.col("rank"))).alias("distrust"))
 
 
-def judge_pages(pages: DataFrame, *, id: str = "page_id", url: str = "url", html: str = "html", rules=RULES, damping: float = 0.85, rounds: int = 8, least: float = 0.5) -> DataFrame:
+def judge_pages(pages: DataFrame, *, id: str = "page_id", url: str = "url", html: str = "html", rules=RULES, damping: float = 0.85, least: float = 0.5) -> DataFrame:
     """page_id, host, path, rule and verdict of every page.
 
     Where no rule fits, a host is blocked whose distrust exceeds its trust by
@@ -80,7 +90,7 @@ def judge_pages(pages: DataFrame, *, id: str = "page_id", url: str = "url", html
     own = own.withColumns({"rule": rule, "by_rule": by_rule})
     # Sums by host are made in each task before they meet.
     seeds = own.where("host <> ''").groupBy("host").agg(F.avg((F.coalesce("by_rule", F.lit("")) == "allow").cast("double")).alias("trust"), F.avg((F.coalesce("by_rule", F.lit("")) == "block").cast("double")).alias("distrust"))
-    ranks = propagate(host_edges(own.select("host", "html")), seeds, damping=damping, rounds=rounds)
+    ranks = propagate(host_edges(own.select("host", "html")), seeds, damping=damping)
     bad = materialize(ranks.where(F.round(F.coalesce("distrust", F.lit(0.0)) - F.coalesce("trust", F.lit(0.0)), 9) >= round((1 - damping) * least, 9)).select(F.col("host").alias("bad")))
     own = own.drop("html", "url")
     judged = own.join(bad, own["host"] == bad["bad"], "left")
