@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,13 +18,27 @@ SLICE_BYTES = 2 << 20
 #: Code points of the white space that separates words, as bytes.split() has it: \x20 and \x09-\x0D.
 WORD_SPACE = b" \t\n\v\f\r"
 
+#: Most that a Python worker is handed at once, by session setting: rows, and bytes.
+BATCH = (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20))
+
 _own_dir: list[str] = []
+_scratch: list[list[DataFrame]] = []  # tables written in each open scratch()
+
+
+def _bytes(value: str) -> int:
+    unit = value[-1:].lower() if value[-1:].isalpha() and value[-1:].lower() != "b" else value[-2:-1].lower()
+    digits = "".join(c for c in value if c.isdigit() or c == "-")
+    return int(digits) << {"k": 10, "m": 20, "g": 30, "t": 40}.get(unit, 0)
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Hand rows to Python workers some megabytes at a time: Spark holds a batch twice outside its heap for each task, and its own limit is 64 MB."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    """Hand rows to Python workers some megabytes at a time: Spark holds a batch twice outside its heap for each task, and its own limit is 64 MB.
+
+    The settings are read when a plan runs, so they stay on the session; smaller ones that a user made are left as they are.
+    """
+    for name, most in BATCH:
+        if not 0 < _bytes(spark.conf.get(name)) <= most:
+            spark.conf.set(name, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,9 +46,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
+    """The folder that driver and executors share. Where none is configured a local master gets a temporary one; on a cluster that is an error, since executors don't see each other's folders."""
     if path := spark.conf.get("spark.checkpoint.dir", None):
         return path
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="millrace-"))
         atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
@@ -50,6 +67,37 @@ def materialize(df: DataFrame) -> DataFrame:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out.millrace_path = path  # for discard()
+    if _scratch:
+        _scratch[-1].append(out)
+    return out
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables written inside the block go at its end, but for those handed to what it yields.
+
+    What operators return reads such tables: write or collect it inside the block.
+    """
+    own: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    _scratch.append(own)
+    try:
+        yield lambda df: kept.append(df) or df
+    finally:
+        _scratch.remove(own)
+        discard(*(t for t in own if all(t is not k for k in kept)))
+        if _scratch:
+            _scratch[-1].extend(kept)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores as it takes to clash with no column of df."""
+    held, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
     return out
 
 

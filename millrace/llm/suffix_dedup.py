@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.base import discard, materialize, slices
+from millrace.llm.base import discard, fresh, materialize, slices
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-#: Kept suffixes with one key that a Python worker holds at once, about; keys with more are dealt out by the hashes of their stretches.
+#: Kept suffixes with one key that a Python worker holds at once, about; keys with more are hot, and no task holds all of one.
 BUCKET = 20_000
 
 
@@ -124,52 +124,65 @@ def _unpacked(column: pa.Array, dtype) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(buffers[2], dtype=np.uint8)[offsets[0] : offsets[-1]].view(dtype), np.diff(offsets)
 
 
+def _chosen(content: bytes, pos: np.ndarray, keys: np.ndarray, *, key: int, least: int):
+    """Of one text, the stretches that belong to the kept suffixes at pos with keys: (their numbers, their suffixes' numbers, keys of all its suffixes, hashes of all its stretches, starts and ends of its words); None without any."""
+    words = word_hashes(content)
+    if len(words) < least:
+        return None
+    at, own_keys, whole, own = _stretches(words, key, least)
+    there = np.minimum(np.searchsorted(at, pos), len(at) - 1)
+    asked = np.zeros(len(at), dtype=bool)
+    # Rows that repeat an id are handed the suffixes of all its texts.
+    asked[there[(at[there] == pos) & (own_keys[there].view(np.int64) == keys)]] = True
+    win = np.flatnonzero(asked[own])
+    return (win, own[win], own_keys, whole, *_edges(content)) if len(win) else None
+
+
+def _texts_of(batches, key: int, least: int):
+    """(doc_id, digest and _chosen() of each text, grouped by slices) of batches of doc_id, text, digest, pos and keys."""
+    for batch in batches:
+        for cut in slices(batch, 1):
+            found = []
+            for doc_id, content, digest, pos, keys in zip(cut.column(0).to_pylist(), cut.column(1).cast(pa.large_binary()).to_pylist(), cut.column(2).to_pylist(), cut.column(3), cut.column(4), strict=True):
+                got = _chosen(content, pos.values.to_numpy(), keys.values.to_numpy(), key=key, least=least)
+                if got is not None:
+                    found.append((doc_id, digest, got))
+            if found:
+                yield found
+
+
 def _with_stretches(placed: DataFrame, *, key: int, least: int) -> DataFrame:
-    """A row for each kept suffix (and part, where its key is dealt out): its stretches' hashes, steps from the first one, and edges from the first one's start.
+    """A row for each kept suffix: its stretches' hashes, steps from the first one, and edges from the first one's start.
 
-    placed has doc_id, text, and arrays pos and parts of the kept suffixes that matter.
+    placed has doc_id, text, digest, and arrays pos and keys of the kept suffixes that matter.
     """
     small = np.uint8 if least - key < 256 else np.uint32
 
     def run(batches):
-        for batch in batches:
-            for cut in slices(batch, 1):
-                out = {2: [], 4: []}  # by bytes of an edge
-                for doc_id, content, pos, parts in zip(cut.column(0).to_pylist(), cut.column(1).cast(pa.large_binary()).to_pylist(), cut.column(2), cut.column(3), strict=True):
-                    words = word_hashes(content)
-                    if len(words) < least:
-                        continue
-                    at, keys, whole, own = _stretches(words, key, least)
-                    dealt = np.zeros(len(at), dtype=np.uint64)
-                    pos, parts = pos.values.to_numpy(), parts.values.to_numpy()
-                    there = np.isin(pos, at)  # all, unless ids repeat
-                    dealt[np.searchsorted(at, pos[there])] = parts[there]
-                    win = np.flatnonzero(dealt[own])
-                    if not len(win):
-                        continue
-                    part = whole[win] % dealt[own[win]]
-                    if dealt.max() > 1:
-                        order = np.lexsort((win, part, own[win]))
-                        win, part = win[order], part[order]
-                    of = own[win]
-                    lead = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (part[1:] != part[:-1])]))
-                    sizes = np.diff(np.append(lead, len(win)))
-                    starts, ends = _edges(content)
-                    first, base = win[lead], starts[win[lead]]
-                    edges = np.stack([starts[win], ends[win + least - 1]], 1) - np.repeat(base, sizes)[:, None]
-                    width = 2 if edges.max() < 1 << 16 else 4
-                    out[width].append((keys[of[lead]].view(np.int64), part[lead].astype(np.int32), np.full(len(lead), doc_id), first.astype(np.int32), base, sizes, whole[win], (win - np.repeat(first, sizes)).astype(small), edges.astype(f"<u{width}")))
-                for width, rows in out.items():
-                    if rows:
-                        k, part, doc, first, base, sizes, whole, steps, edges = (np.concatenate(x) for x in zip(*rows, strict=True))
-                        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(part), pa.array(doc, pa.int64()), pa.array(first), pa.array(base, pa.int64()), pa.array(np.full(len(k), width, np.int32)), _packed(whole, sizes), _packed(steps, sizes), _packed(edges, sizes)], names=["key", "part", "doc_id", "first", "base", "width", "whole", "steps", "edges"])
-
-    return placed.mapInArrow(run, "key bigint, part int, doc_id bigint, first int, base bigint, width int, whole binary, steps binary, edges binary")
+        for texts in _texts_of(batches, key, least):
+            out = {2: [], 4: []}  # by bytes of an edge
+            for doc_id, digest, (win, of, keys, whole, starts, ends) in texts:
+                lead = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+                sizes = np.diff(np.append(lead, len(win)))
+                first, base = win[lead], starts[win[lead]]
+                edges = np.stack([starts[win], ends[win + least - 1]], 1) - np.repeat(base, sizes)[:, None]
+                width = 2 if edges.max() < 1 << 16 else 4
+                n = len(lead)
+                out[width].append((keys[of[lead]].view(np.int64), np.full(n, doc_id), np.full(n, digest), first.astype(np.int32), base, sizes, whole[win], (win - np.repeat(first, sizes)).astype(small), edges.astype(f"<u{width}")))
+            for width, rows in out.items():
+                if rows:
+                    k, doc, digest, first, base, sizes, whole, steps, edges = (np.concatenate(x) for x in zip(*rows, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(doc, pa.int64()), pa.array(digest, pa.int64()), pa.array(first), pa.array(base, pa.int64()), pa.array(np.full(len(k), width, np.int32)), _packed(whole, sizes), _packed(steps, sizes), _packed(edges, sizes)], names=["key", "doc_id", "digest", "first", "base", "width", "whole", "steps", "edges"])
+
+    return placed.mapInArrow(run, "key bigint, doc_id bigint, digest bigint, first int, base bigint, width int, whole binary, steps binary, edges binary")
+
+
+_FOUND = ["doc_id", "digest", "first", "last", "start", "length", "other_id", "later"]
 
 
 def _meet(t: pa.RecordBatch, least: int, small) -> pa.RecordBatch | None:
     """Passages of kept suffixes, from rows that hold all stretches equal to any of theirs."""
-    doc_id, first, base, width = (t.column(t.schema.names.index(c)).to_numpy() for c in ("doc_id", "first", "base", "width"))
+    doc_id, digest, first, base, width = (t.column(t.schema.names.index(c)).to_numpy() for c in ("doc_id", "digest", "first", "base", "width"))
     column = lambda c: t.column(t.schema.names.index(c))
     whole, size = _unpacked(column("whole"), np.uint64)
     row = np.repeat(np.arange(t.num_rows), size // 8)
@@ -200,17 +213,18 @@ def _meet(t: pa.RecordBatch, least: int, small) -> pa.RecordBatch | None:
             end = np.append(begin[1:], len(f)) - 1
             own = r[begin]
             start = edges[f[begin], 0]
-            found.append((doc_id[own], first[own] + at[begin], first[own] + at[end] + least, base[own] + start, edges[f[end], 1] - start, np.minimum.reduceat(others[f], begin), np.full(len(begin), is_later)))
+            found.append((doc_id[own], digest[own], first[own] + at[begin], first[own] + at[end] + least, base[own] + start, edges[f[end], 1] - start, np.minimum.reduceat(others[f], begin), np.full(len(begin), is_later)))
     if not found:
         return None
     columns = (np.concatenate(x) for x in zip(*found, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()], strict=True)], names=["doc_id", "first", "last", "start", "length", "other_id", "later"])
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=_FOUND)
 
 
 def meetings(rows: DataFrame, parts: int, *, key: int, least: int) -> DataFrame:
-    """doc_id, first, last, start, length, other_id, later: what each kept suffix shares, from rows of _with_stretches().
+    """What each kept suffix shares (columns _FOUND), from rows of _with_stretches(), at most about BUCKET of a key.
 
-    All rows of one key and part are in one partition side by side, and are never divided.
+    All rows of one key are in one partition side by side, and are never divided.
     """
     small = np.uint8 if least - key < 256 else np.uint32
 
@@ -227,8 +241,8 @@ def meetings(rows: DataFrame, parts: int, *, key: int, least: int) -> DataFrame:
             count += batch.num_rows
             if count >= limit:
                 t = whole()
-                k, p = (t.column(t.schema.names.index(c)).to_numpy() for c in ("key", "part"))
-                border = np.flatnonzero((k != k[-1]) | (p != p[-1]))
+                k = t.column(t.schema.names.index("key")).to_numpy()
+                border = np.flatnonzero(k != k[-1])
                 cut = border[-1] + 1 if len(border) else 0
                 if cut and (found := _meet(t.slice(0, cut), least, small)) is not None:
                     yield found
@@ -237,46 +251,105 @@ def meetings(rows: DataFrame, parts: int, *, key: int, least: int) -> DataFrame:
         if count and (found := _meet(whole(), least, small)) is not None:
             yield found
 
-    return rows.repartition(parts, "key", "part").sortWithinPartitions("key", "part").mapInArrow(run, "doc_id bigint, first int, last int, start bigint, length bigint, other_id bigint, later boolean")
+    return rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "doc_id bigint, digest bigint, first int, last int, start bigint, length bigint, other_id bigint, later boolean")
+
+
+def hot_meetings(placed: DataFrame, parts: int, *, key: int, least: int) -> DataFrame:
+    """The same for keys with any number of places: no task holds a key, nor a stretch.
+
+    Stretches are rows in ranges of doc_id. A range finds for each of its
+    places the next text in it with the same stretch; what other ranges hold
+    follows from one row for each stretch and range.
+    """
+
+    def loose(batches):
+        for texts in _texts_of(batches, key, least):
+            for doc_id, digest, (win, _, _, whole, starts, ends) in texts:
+                n = len(win)
+                yield pa.RecordBatch.from_arrays([pa.array(whole[win].view(np.int64)), pa.array(np.full(n, doc_id), pa.int64()), pa.array(np.full(n, digest), pa.int64()), pa.array(win.astype(np.int32)), pa.array(starts[win], pa.int64()), pa.array(ends[win + least - 1] - starts[win], pa.int64())], names=["whole", "doc_id", "digest", "first", "start", "length"])
+
+    shape = "whole bigint, doc_id bigint, digest bigint, first int, start bigint, length bigint"
+
+    def following(batches):
+        from pyspark import TaskContext
+
+        part, last_h, last_d, after_last = TaskContext.get().partitionId(), None, None, None
+        for batch in batches:  # by stretch, the largest id first
+            if not batch.num_rows:
+                continue
+            h, d = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            lead = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])))
+            before = np.append(0, d[lead[:-1]])
+            known = np.append(False, h[lead[1:]] == h[lead[:-1]])
+            if last_h is not None and h[0] == last_h:
+                before[0], known[0] = (last_d, True) if d[0] != last_d else (after_last or 0, after_last is not None)
+            sizes = np.diff(np.append(lead, len(h)))
+            last_h, last_d, after_last = h[-1], d[-1], before[-1] if known[-1] else None
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.repeat(before, sizes), pa.int64(), mask=~np.repeat(known, sizes)), pa.array(np.full(len(h), part, np.int32))], names=[*batch.schema.names, "after", "part"])
+
+    rows = placed.mapInArrow(loose, shape).repartitionByRange(parts, "doc_id").sortWithinPartitions("whole", F.desc("doc_id"))
+    rows = materialize(rows.mapInArrow(following, f"{shape}, after bigint, part int"))
+    of = Window.partitionBy("h").orderBy("p")  # a row for each range that holds the stretch
+    ranges = rows.groupBy(F.col("whole").alias("h"), F.col("part").alias("p")).agg(F.min("doc_id").alias("lo"))
+    ranges = ranges.select("h", "p", F.min("lo").over(Window.partitionBy("h")).alias("least_doc"), F.lead("lo").over(of).alias("beyond"))
+    known = rows.join(ranges, (F.col("whole") == F.col("h")) & (F.col("part") == F.col("p")))
+    after = F.coalesce("after", "beyond")
+    both = F.array(F.when(F.col("doc_id") > F.col("least_doc"), F.struct(F.col("least_doc").alias("other_id"), F.lit(True).alias("later"))), F.when(after.isNotNull(), F.struct(after.alias("other_id"), F.lit(False).alias("later"))))
+    return known.select("doc_id", "digest", "first", (F.col("first") + least).alias("last"), "start", "length", F.explode(F.array_compact(both)).alias("o")).select(*_FOUND[:6], "o.other_id", "o.later")
 
 
 def shared_passages(docs: DataFrame, *, id: str = "doc_id", text: str = "text", least: int = 50, key: int = 24) -> DataFrame:
-    """A row for each passage of at least least words that a text shares with another text: doc_id, first, last (word numbers, last exclusive), start, length (characters), other_id, later.
+    """A row for each passage of at least least words that a text shares with another text: doc_id, first, last (word numbers, last exclusive), start, length (characters), other_id, later, digest.
 
     later marks the passages that a text with a smaller id holds as well: of a
     passage's copies the one with the smallest id is not later. Overlapping
     passages of a text are merged if both are later or neither is; other_id is the
-    smallest of the texts before (later) or after it (not later) that share a part. Texts that are null, without id or shorter than least words share nothing;
-    repeated ids are one text (the row whose text sorts first).
+    smallest of the texts before (later) or after it (not later) that share a part. Texts that are null, without id or shorter than least words share nothing.
+    Rows that repeat an id are one document: they share nothing with each
+    other, and where their texts differ, digest (xxhash64 of the text) says whose passage it is.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     kept = materialize(suffixes(docs, key=key, least=least))
     # Most keys occur in one text only; these go before the texts are looked at again.
-    common = kept.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select(F.col("key").alias("k"), F.ceil(F.col("n") / BUCKET).cast("int").alias("parts"))
+    common = kept.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select(F.col("key").alias("k"), "n")
     common = materialize(common)
-    shared = materialize(kept.join(common, F.col("key") == F.col("k")).select(F.col("doc_id").alias("id"), "pos", "parts"))
+    shared = materialize(kept.join(common, F.col("key") == F.col("k")).select(F.col("doc_id").alias("id"), "pos", "key", (F.col("n") > BUCKET).alias("hot")))
+    n_hot = common.where(F.col("n") > BUCKET).agg(F.sum("n")).first()[0] or 0
     discard(kept, common)
-    # A text's places: as many as it has kept suffixes at most.
-    places = shared.groupBy("id").agg(F.collect_list(F.struct("pos", "parts")).alias("at"))
-    placed = docs.where("doc_id is not null and text is not null").join(places, F.col("doc_id") == F.col("id")).select("doc_id", "text", F.col("at.pos").alias("pos"), F.col("at.parts").alias("parts"))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        # A text's places: as many as it has kept suffixes at most.
+        places = rows.groupBy("id").agg(F.collect_set(F.struct("pos", "key")).alias("at"))
+        return docs.where("doc_id is not null and text is not null").join(places, F.col("doc_id") == F.col("id")).select("doc_id", "text", F.xxhash64("text").alias("digest"), F.col("at.pos").alias("pos"), F.col("at.key").alias("keys"))
+
     spread = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = meetings(_with_stretches(placed, key=key, least=least), spread, key=key, least=least)
-    # A text's passages: as many as it has kept suffixes at most.
-    w = Window.partitionBy("doc_id", "later").orderBy("start", "length", "other_id")
+    found = meetings(_with_stretches(placed(shared.where("not hot")), key=key, least=least), spread, key=key, least=least)
+    if n_hot:
+        found = found.unionByName(hot_meetings(placed(shared.where("hot")), max(spread, -(-n_hot // BUCKET)), key=key, least=least))
+    # A text's passages: as many as it has stretches at most.
+    w = Window.partitionBy("doc_id", "digest", "later").orderBy("start", "length", "other_id")
     reach = F.max(F.col("start") + F.col("length")).over(w.rowsBetween(Window.unboundedPreceding, -1))
     grouped = found.withColumn("new", F.when(F.col("start") <= reach, 0).otherwise(1)).withColumn("run", F.sum("new").over(w))
-    merged = grouped.groupBy("doc_id", "later", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("end"), F.min("other_id").alias("other_id"))
-    return merged.select("doc_id", "first", "last", "start", (F.col("end") - F.col("start")).alias("length"), "other_id", "later")
+    merged = grouped.groupBy("doc_id", "digest", "later", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("end"), F.min("other_id").alias("other_id"))
+    return merged.select("doc_id", "first", "last", "start", (F.col("end") - F.col("start")).alias("length"), "other_id", "later", "digest")
 
 
 def cut_later(docs: DataFrame, *, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs, with all their columns, each later copy of a passage cut out of its text; texts left without a word go. A column n_chars is counted anew in texts that were cut."""
-    spans = shared_passages(docs, id=id, text=text, **options).where("later").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("__cut")).withColumnRenamed("doc_id", "__id")
-    joined = docs.join(spans, docs[id] == spans["__id"], "left")
-    pieces = F.expr(f"""concat_ws('', transform(sequence(0, size(__cut)), i -> substring(`{text}`,
-        CAST(if(i = 0, 1, __cut[i - 1].start + __cut[i - 1].length + 1) AS INT),
-        CAST(if(i = size(__cut), 2147483647, __cut[i].start - if(i = 0, 0, __cut[i - 1].start + __cut[i - 1].length)) AS INT))))""")
-    made = joined.withColumn("__text", F.when(F.col("__cut").isNull(), F.col(text)).otherwise(pieces)).where(F.col("__cut").isNull() | F.col("__text").rlike(r"[^\x20\x09-\x0d]"))
-    values = [F.when(F.col("__cut").isNull(), F.col(f"`{c}`")).otherwise(F.length("__text")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("__text").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    return made.select(*values)
+    """docs, with all their columns, each later copy of a passage cut out of its text; texts left without a word go. A column n_chars is counted anew in texts that were cut.
+
+    A row is cut by the passages of its own text, whether or not its id repeats; all other rows stay as they are.
+    """
+    own, of, cut, left = fresh(docs, "own", "of", "cut", "left")
+    spans = shared_passages(docs, id=id, text=text, **options).where("later").groupBy(F.col("doc_id").alias(own), F.col("digest").alias(of)).agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias(cut))
+    whole = F.col(f"`{text}`").cast("string")
+    joined = docs.join(spans, (F.col(f"`{id}`").cast("bigint") == F.col(own)) & (F.xxhash64(whole) == F.col(of)), "left")
+    n, spans_of = F.size(cut), F.col(cut)
+    end = lambda i: spans_of[i]["start"] + spans_of[i]["length"]
+    begin = lambda i: F.when(i == 0, 0).otherwise(end(i - 1))
+    piece = lambda i: F.substring(whole, begin(i).cast("int") + 1, F.when(i == n, 2147483647).otherwise(spans_of[i]["start"] - begin(i)).cast("int"))
+    kept = F.array_join(F.transform(F.sequence(F.lit(0), n), piece), "")
+    made = joined.withColumn(left, F.when(F.col(cut).isNull(), whole).otherwise(kept)).where(F.col(cut).isNull() | F.col(left).rlike(r"[^\x20\x09-\x0d]"))
+    uncut = F.col(cut).isNull()
+    values = {text: F.col(left)} | ({"n_chars": F.when(uncut, F.col("n_chars")).otherwise(F.length(left))} if "n_chars" in docs.columns else {})
+    return made.select(*(values[c].cast(docs.schema[c].dataType).alias(c) if c in values else F.col(f"`{c}`") for c in docs.columns))

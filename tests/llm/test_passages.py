@@ -70,3 +70,34 @@ def test_a_key_that_crosses_partitions(spark):
     least = lambda w: int(suffix_dedup.minimisers(suffix_dedup.word_hashes(" ".join(w).encode()), 24, 50)[1].min())
     passage = min((_words(rng, 50) for _ in range(3000)), key=least)
     _check(spark, {d: sum((_words(rng, 9) + passage for _ in range(6)), _words(rng, 5)) for d in range(12)})
+
+
+def test_rows_that_repeat_an_id_and_columns_that_clash(spark):
+    """No word goes but those of a passage that a text with a smaller id holds, whatever the row's id and the columns' names."""
+    rng = random.Random(6)
+    p, q = _words(rng, 60), _words(rng, 55)
+    rows = [(1, p), (2, p), (2, _words(rng, 70)), (2, _words(rng, 10) + q), (3, q + _words(rng, 5)), (3, q + _words(rng, 5)), (3, p[:55] + _words(rng, 4)), (4, _words(rng, 80)), (1, _words(rng, 7) + p + _words(rng, 3))]
+    names = "doc_id bigint, text string, __cut int, __id int, __text string, own int, of string, cut int, `left` string, n_chars int, at int"
+    df = spark.createDataFrame([(d, " ".join(w), 1, 2, "x", 3, "y", 4, "z", 7, n) for n, (d, w) in enumerate(rows)], names).repartition(4)
+    out = {r.at: r for r in suffix_dedup.cut_later(df).collect()}
+    earlier = {n: {i + k for m, (e, v) in enumerate(rows) if e < d for i in range(len(w) - 49) for j in range(len(v) - 49) if w[i : i + 50] == v[j : j + 50] for k in range(50)} for n, (d, w) in enumerate(rows)}
+    want = {n: [x for i, x in enumerate(w) if i not in earlier[n]] for n, (_, w) in enumerate(rows)}
+    assert {n: r.text.split() for n, r in out.items()} == {n: w for n, w in want.items() if w}
+    for n, r in out.items():
+        assert (r.doc_id, r["__cut"], r["__id"], r["__text"], r.own, r.of, r.cut, r["left"]) == (rows[n][0], 1, 2, "x", 3, "y", 4, "z")
+        assert r.n_chars == (len(r.text) if earlier[n] else 7)
+    spans = {(r.doc_id, r.digest) for r in suffix_dedup.shared_passages(df).collect()}
+    assert len(spans) == 7  # two texts each of ids 1 and 2, three of id 3
+
+
+def test_a_stretch_in_most_texts(spark, monkeypatch):
+    """One passage that fills many buckets, beside others, in ranges of ids that meet by their borders."""
+    monkeypatch.setattr(suffix_dedup, "BUCKET", 5)
+    rng = random.Random(12)
+    hot, warm = _words(rng, 64), _words(rng, 52)
+    texts = {7 * d: _words(rng, rng.randrange(9)) + (hot if d % 5 else hot[:51]) + _words(rng, 3) + (warm if d % 9 == 0 else []) + (hot if d % 11 == 0 else []) for d in range(60)}
+    _check(spark, texts)
+    others = {(r.doc_id, r.later): r.other_id for r in suffix_dedup.shared_passages(spark.createDataFrame([(d, " ".join(w)) for d, w in texts.items()], "doc_id bigint, text string")).collect()}
+    ids = sorted(texts)
+    assert {d: others[d, True] for d in ids[1:]} == dict.fromkeys(ids[1:], 0)
+    assert {d: others[d, False] for d in ids[:-1]} == {a: b for a, b in zip(ids, ids[1:], strict=False)}
