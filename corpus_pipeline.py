@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import packing, quality_gam, quality_rules, similar, suffix_dedup
-from millrace.llm.base import discard, held_out, materialize, table
+from millrace.llm.base import discard, held_out, materialize, scratch, table
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,6 +54,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        before, docs = docs, materialize(stage(spark, docs, sf_dir))
+        with scratch() as keep:  # what a stage writes on its way goes with it
+            before, docs = docs, keep(materialize(stage(spark, docs, sf_dir)))
         discard(before)
     return docs
