@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.base import flat_utf8, map_texts
@@ -81,8 +81,12 @@ def _automaton(text: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def build_model(samples: dict[str, list[str]], *, sample_chars: int = 64_000, alphabet: int = 96) -> LanguageModel:
-    """A model from texts per language: at most sample_chars letters of each, over the commonest letters of all."""
+def build_model(samples: dict[str, list[str]], *, sample_chars: int = 64_000, most_letters: int = 256_000, alphabet: int = 96, shared: int = 16) -> LanguageModel:
+    """A model from texts per language: at most sample_chars letters of each and most_letters of all.
+
+    The commonest letters of all samples, alphabet of them, are told apart; rarer
+    ones share so many classes by code point, and letters that no sample has are one class.
+    """
     languages = tuple(sorted(k for k, v in samples.items() if any(c.isalpha() for t in v for c in t)))
     counts: dict[str, int] = {}
     for k in languages:
@@ -92,8 +96,11 @@ def build_model(samples: dict[str, list[str]], *, sample_chars: int = 64_000, al
                     counts[c] = counts.get(c, 0) + 1
     letters = sorted(counts, key=lambda c: (-counts[c], c))[:alphabet]
     of = {c: i + 2 for i, c in enumerate(letters)}
+    spare = min(shared, len(counts) - len(letters))
+    of |= {c: 2 + len(letters) + sum(map(ord, c)) % spare for c in counts if c not in of}
+    sample_chars = min(sample_chars, most_letters // max(1, len(languages)))
     classes = np.fromiter((of.get(chr(i).lower(), 1) if chr(i).isalpha() else 0 for i in range(0x110000)), dtype=np.uint8, count=0x110000)
-    width, tables, starts, charge = len(letters) + 2, [], [], []
+    width, tables, starts, charge = len(letters) + spare + 2, [], [], []
     size = 0
     for k in languages:
         joined = "\n".join(samples[k]).encode()
@@ -113,10 +120,13 @@ def build_model(samples: dict[str, list[str]], *, sample_chars: int = 64_000, al
     return LanguageModel(languages, classes, width, np.concatenate(tables) if tables else np.zeros((1, width), np.int32), np.array(starts, dtype=np.int32), np.array(charge))
 
 
-def phrases(model: LanguageModel, texts: pa.Array, block: int = 1024):
+def phrases(model: LanguageModel, texts: pa.Array, block: int = 1024, window: int = 1 << 20):
     """(phrases needed: a row for each text, a column for each language; letters of each text).
 
-    A text of over block letters is parsed in blocks of that length, each of which begins a phrase.
+    Blocks of a text are parsed side by side, each as if a phrase began with it.
+    Then each is parsed again from where the block before it really ends, until
+    both parses are in one state; mostly a word or two. So the phrases are those
+    of the whole text. Texts of over window letters go by windows of that length.
     """
     data, offsets = flat_utf8(texts)
     kinds, at = _normalised(data, offsets, model.classes)
@@ -124,51 +134,70 @@ def phrases(model: LanguageModel, texts: pa.Array, block: int = 1024):
     total = np.zeros((n, langs), dtype=np.int64)
     size = np.diff(at)
     parts = -(-size // block)
-    owner = np.repeat(np.arange(n), parts)
-    nth = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
-    start = at[:-1][owner] + nth * block
-    length = np.minimum(block, size[owner] - nth * block)
-    order = np.argsort(-length, kind="stable")
-    start, length, owner = start[order], length[order], owner[order]
     flat = model.table.ravel()
-    states = [np.full(len(start), s, dtype=np.int64) for s in model.starts]
-    found = np.zeros((langs, len(start)), dtype=np.int64)
-    live = np.searchsorted(-length, -np.arange(1, block + 1), side="right") if len(length) else []
-    for step, m in enumerate(live):
-        if not m:
-            break
-        c = kinds[start[:m] + step].astype(np.int64)
+    carried = np.repeat(model.starts.astype(np.int64)[:, None], n, axis=1)  # each text's state before its next block
+    for begun in range(0, int(parts.max(initial=0)), window // block):
+        own = np.clip(parts - begun, 0, window // block)
+        owner = np.repeat(np.arange(n), own)
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(own) - own, own)
+        start = at[:-1][owner] + (begun + nth) * block
+        length = np.minimum(block, size[owner] - (begun + nth) * block)
+        place = np.cumsum(length) - length  # of a block's letters among all here
+        symbols = kinds[np.repeat(start - place, length) + np.arange(length.sum())].astype(np.int64)
+        order = np.argsort(-length, kind="stable")
+        live = np.searchsorted(-length[order], -np.arange(1, block + 1), side="right")
+        last, later = place + length - 1, np.flatnonzero(nth > 0)
         for k in range(langs):
-            to = flat[states[k][:m] * model.width + c]
-            found[k, :m] += to & 1
-            states[k][:m] = to >> 1
-    for k in range(langs):
-        total[:, k] = np.bincount(owner, weights=found[k], minlength=n).astype(np.int64)
+            came = np.where(nth > 0, model.starts[k], carried[k][owner])  # the state each block is parsed from
+            states, begins = np.empty(len(symbols), dtype=np.int32), np.zeros(len(symbols), dtype=bool)
+            state, to_place = came[order], place[order]
+            for step, m in enumerate(live):
+                if not m:
+                    break
+                here = to_place[:m] + step
+                to = flat[state[:m] * model.width + symbols[here]]
+                begins[here], state[:m] = to & 1, to >> 1
+                states[here] = state[:m]
+            while len(todo := later[states[last[later - 1]] != came[later]]):
+                came[todo] = states[last[todo - 1]]
+                state, here, end = came[todo], place[todo], last[todo]
+                while len(here):
+                    to = flat[state * model.width + symbols[here]]
+                    state = (to >> 1).astype(np.int64)
+                    apart = (states[here] != state) & (here < end)
+                    begins[here], states[here] = to & 1, state
+                    state, here, end = state[apart], here[apart] + 1, end[apart]
+            total[:, k] += np.bincount(owner, weights=np.add.reduceat(begins.astype(np.int64), place), minlength=n).astype(np.int64)
+            carried[k][owner] = states[last]  # the last of a text's blocks stands
     letters = np.add.reduceat(np.concatenate([kinds != 0, [False]]).astype(np.int64), at[:-1]) * (size > 0) if n else np.zeros(0, np.int64)
     return total, letters
 
 
-def labelled_sample(docs: DataFrame, where: Column, *, id: str = "doc_id", text: str = "text", lang: str = "lang", sample_chars: int = 64_000, most_texts: int = 400) -> dict[str, list[str]]:
-    """At most most_texts whole texts for each language, by the order of a hash of their ids, until they hold sample_chars characters.
+def labelled_sample(docs: DataFrame, where: Column, *, id: str = "doc_id", text: str = "text", lang: str = "lang", sample_chars: int = 64_000, most_texts: int = 400, most_languages: int = 64) -> dict[str, list[str]]:
+    """Texts for each language, by the order of a hash of their ids: most_texts at most, until they hold sample_chars characters.
 
-    Only texts of up to a quarter of sample_chars are taken, so that several texts speak for a language.
+    Of a text of over a sixteenth of sample_chars a stretch of that length is
+    taken, from a place that the hash chooses, so that several texts speak for a
+    language and none is left out for the length of its texts. Of more languages than most_languages the commonest are learnt.
     """
-    rows = docs.where(where).select(F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(id).cast("string"), F.length(text)).alias("h"), F.col(text).alias("text")).where(F.col("lang").isNotNull() & (F.length("text") > 0) & (F.length("text") <= sample_chars // 4))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    most = max(1, sample_chars // 16)
+    size = F.length("text")
+    rows = docs.where(where).select(F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(id).cast("string"), F.length(text)).alias("h"), F.col(text).alias("text")).where(F.col("lang").isNotNull() & (size > 0))
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
     if not counts:
         return {}
     # Thin each language out by the hash first, so that the sort sees about twice what it keeps.
     share = F.lit(0)
     for k, n in counts.items():
         share = F.when(F.col("lang") == k, F.lit(min(1 << 20, (2 * most_texts << 20) // n + 1))).otherwise(share)
-    found = rows.where(F.pmod("h", F.lit(1 << 20)) < share).orderBy(F.pmod("h", F.lit(1 << 20)), "h", "lang", F.crc32("text")).limit(2 * most_texts * len(counts)).collect()
+    begin = F.pmod(F.shiftrightunsigned("h", 20), F.greatest(F.lit(1), size - most + 1)).cast("int") + 1
+    few = rows.where(F.pmod("h", F.lit(1 << 20)) < share).select("lang", "h", F.substring("text", begin, F.lit(most)).alias("text"))
+    w = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 20)), "h", F.crc32("text"))
+    held = F.coalesce(F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    found = few.select("lang", "text", F.row_number().over(w).alias("nth"), held.alias("held")).where((F.col("nth") <= most_texts) & (F.col("held") < sample_chars)).orderBy("lang", "nth").collect()
     out: dict[str, list[str]] = {}
-    held: dict[str, int] = {}
     for r in found:
-        own = out.setdefault(r.lang, [])
-        if len(own) < most_texts and held.get(r.lang, 0) < sample_chars:
-            own.append(r.text)
-            held[r.lang] = held.get(r.lang, 0) + len(r.text)
+        out.setdefault(r.lang, []).append(r.text)
     return out
 
 

@@ -1,6 +1,7 @@
 """Operators against plain versions, exact round trips and held-out labels."""
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -33,29 +34,46 @@ def test_components(spark):
     assert got == {n: want[n] for n in nodes}
 
 
-def test_language_phrases():
-    samples = {"de": ["der wald und die heide"], "en": ["the wood and the heath"]}
-    model = langid.build_model(samples)
-    texts = ["Die Heide, die!", "the heath 1", "", "und the x", "wald" * 700]
-    counts, letters = langid.phrases(model, pa.array(texts))
+def _norm(t):
+    return re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in t.lower()))
 
-    def norm(t):
-        return " ".join("".join(c if c.isalpha() else " " for c in t.lower()).split(" ")) if t else ""
 
-    import re
+def _phrases(text, sample):
+    n, at, found = _norm(text), 0, 0
+    while at < len(n):
+        m = 1
+        while at + m <= len(n) and n[at : at + m] in sample:
+            m += 1
+        at, found = at + max(1, m - 1), found + 1
+    return found
 
-    for k, lang in enumerate(model.languages):
-        sample = re.sub(" +", " ", norm(samples[lang][0]))
-        for i, t in enumerate(texts[:4]):
-            n = re.sub(" +", " ", norm(t))
-            at = found = 0
-            while at < len(n):
-                m = 1
-                while at + m <= len(n) and n[at : at + m] in sample:
-                    m += 1
-                at, found = at + max(1, m - 1), found + 1
-            assert counts[i, k] == found, (t, lang, counts[i, k], found)
-    assert letters.tolist() == [sum(c.isalpha() for c in t) for t in texts]
+
+def test_language_phrases():
+    samples = {"de": ["der wald und die heide"], "en": ["the wood and the heath"]}
+    model = langid.build_model(samples)
+    rng = random.Random(1)
+    long = " ".join(rng.choice(["wald", "die heide", "wood", "the", "heath", "und", "zzz", "a", "1"]) for _ in range(2500))
+    texts = ["Die Heide, die!", "the heath 1", "", "und the x", "wald" * 700, long, "der wald und die heide " * 300, "d" * 3000, long[::-1]]
+    for block, window in ((1024, 1 << 20), (7, 1 << 20), (64, 256)):
+        counts, letters = langid.phrases(model, pa.array(texts), block, window)
+        for k, lang in enumerate(model.languages):
+            assert counts[:, k].tolist() == [_phrases(t, _norm(samples[lang][0])) for t in texts]
+        assert letters.tolist() == [sum(c.isalpha() for c in t) for t in texts]
+
+
+def test_languages_of_long_texts_and_large_scripts(spark):
+    """A language is learnt however long its texts are, and letters beyond the alphabet still tell languages apart."""
+    rng = random.Random(2)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randrange(2, 6)))
+    scripts = {"de": "abdefgiklmnor", "es": "aeiouñcjlqs", "zh": [chr(0x4E00 + i) for i in range(300)], "ko": [chr(0xAC00 + 7 * i) for i in range(300)]}
+    vocabulary = {k: [word(v) for _ in range(80)] for k, v in scripts.items()}
+    prose = lambda k, n: " ".join(rng.choice(vocabulary[k]) for _ in range(n))
+    rows = [(i, prose(k, 5000 if k == "es" else 60), k) for i, k in enumerate(list(scripts) * 30)]
+    model = langid.build_model(langid.labelled_sample(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), F.lit(True)))
+    assert model.languages == tuple(sorted(scripts))
+    asked = spark.createDataFrame([(i, prose(k, 30), k) for i, k in enumerate(list(scripts) * 10)], "doc_id bigint, text string, lang string")
+    out = langid.identify(asked, model, keep=["lang"]).toPandas()
+    assert (out.lang == out.lang_pred).all()
 
 
 def test_language_held_out(spark):
@@ -89,7 +107,6 @@ def test_additive_model_is_a_sum_of_tables():
 def test_rule_counts(docs):
     texts = [r.text for r in docs.collect()] + [None, "a b c a b c", "x\n\nx\n x\nx", "#* a|b <é>"]
     got = rule_counts(pa.array(texts))
-    import re
 
     for i, t in enumerate(texts):
         t = t or ""
@@ -150,8 +167,6 @@ def test_epsilon_join(spark, interval):
 
 
 def _fingerprint(text):
-    import re
-
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
     h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
