@@ -1,5 +1,6 @@
 """Operators against plain versions, exact round trips and held-out labels."""
 
+import math
 import random
 import re
 import zlib
@@ -166,6 +167,45 @@ def test_epsilon_join(spark, interval):
     assert got == {1000 - i: (int(near[i].sum()), root[1000 - i]) for i in range(len(x))}
 
 
+def test_epsilon_join_of_ids_that_repeat_and_lengths_that_differ(spark):
+    rng = np.random.default_rng(3)
+    base = [rng.normal(size=d) for d in (2, 3, 3, 16, 16)]
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [1.0, 0.02]), (3, [1.0, 0.02])] + [(10 + i % 37, (base[i % 5] + rng.normal(scale=0.2, size=len(base[i % 5]))).tolist()) for i in range(120)]
+    got = sorted(tuple(r)[:3] for r in epsilon_join.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3), interval=16, sample_rows=50).collect())
+    cos = lambda a, b: len(a) == len(b) and np.dot(a, b) / np.sqrt(np.dot(a, a) * np.dot(b, b)) >= 0.9
+    near = [[i != j and cos(a, b) for j, (_, b) in enumerate(rows)] for i, (_, a) in enumerate(rows)]
+    root = groups(range(len(rows)), [(i, j) for i in range(len(rows)) for j in range(i) if near[i][j]])
+    least = {}
+    for i, (v, _) in enumerate(rows):
+        least[root[i]] = min(v, least.get(root[i], v))
+    assert got == sorted((v, sum(near[i]), least[root[i]]) for i, (v, _) in enumerate(rows))
+
+
+def test_no_link_below_the_least_cosine():
+    """Cosines of just 0.9 and just below it, told apart by exact sums."""
+    from fractions import Fraction
+
+    from millrace.llm.epsilon_join import join_intervals
+
+    x = np.array([[1.0, 0.0, 0.0]])
+    sizes = [k * 2.0**-26 for k in range(60_000_000, 60_000_400)]
+    y = np.array([[v, math.sqrt(v * v * (1 / 0.81 - 1)), 0.0] for v in sizes])
+    found = {j for _, js in join_intervals(x, y, False, np.eye(3, 2), 0.9) for j in js.tolist()}
+    exact = [Fraction(p) ** 2 >= Fraction(0.9) ** 2 * (Fraction(p) ** 2 + Fraction(q) ** 2) for p, q, _ in y.tolist()]
+    assert 0 < sum(exact) < len(exact)
+    wrong = [j for j, e in enumerate(exact) if e != (j in found)]
+    assert all(abs(Fraction(y[j][0]) ** 2 / (Fraction(y[j][0]) ** 2 + Fraction(y[j][1]) ** 2) - Fraction(0.9) ** 2) < Fraction(1, 10**15) for j in wrong) and len(wrong) < len(exact) // 2
+
+
+def test_blocks_meet_as_boxes_do(spark):
+    from millrace.llm.epsilon_join import _meeting
+
+    rng = random.Random(7)
+    boxes = [(k, 0.1 * k + rng.random() * 0.05, 0.1 * k + 0.1 + rng.random() * 0.2) for k in range(70)]
+    met = {tuple(r) for r in _meeting(spark.createDataFrame(boxes, "block bigint, lo_p0 double, hi_p0 double"), 70, ["p0"], 0.04, fan=4).collect()}
+    assert met == {(a, b) for a, la, ha in boxes for b, lb, hb in boxes if a <= b and max(0, la - hb, lb - ha) ** 2 <= 0.04}
+
+
 def _fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
