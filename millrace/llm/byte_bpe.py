@@ -1,8 +1,8 @@
 """Ids of the byte-level BPE vocabularies, as the tokenizers library gives them.
 
-Common scripts go through tiktoken, which holds the same merges and is several
-times as fast; texts with rarer characters, about whose class the libraries'
-Unicode tables might differ, go through the library itself.
+Texts go through tiktoken, which holds the same merges and is several times as
+fast, unless they have characters about whose class the libraries' Unicode
+tables might differ; those go through the library itself.
 """
 
 from __future__ import annotations
@@ -10,14 +10,25 @@ from __future__ import annotations
 import os
 import re
 
-#: Letters, marks and punctuation that every Unicode version classifies alike.
-_COMMON = re.compile(r"[^\x00-ɏͰ-ͳΑ-Ρα-ωА-я‐-‧‰-⁞€]")
 #: Fixed value: the pre-token pattern of the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def is_common(text: str) -> bool:
-    return text.isascii() or not _COMMON.search(text)
+def unstable() -> re.Pattern:
+    """Finds characters that Unicode 3.2 lacks or classes otherwise than today, control characters but for white space, and all beyond the basic plane."""
+    import unicodedata
+
+    old = unicodedata.ucd_3_2_0
+    steady = [c in range(9, 14) or (old.category(chr(c))[0] == unicodedata.category(chr(c))[0] != "C") for c in range(0x10000)]
+    runs, at = [], 0
+    while at < len(steady):
+        end = at
+        while end < len(steady) and steady[end] == steady[at]:
+            end += 1
+        if steady[at]:
+            runs.append(f"\\u{at:04x}-\\u{end - 1:04x}")
+        at = end
+    return re.compile(f"[^{''.join(runs)}]")
 
 
 class ByteBpe:
@@ -39,12 +50,13 @@ class ByteBpe:
         special = {x["content"]: x["id"] for x in config["added_tokens"]}
         ranks = {bytes(byte_of[c] for c in piece): i for piece, i in config["model"]["vocab"].items() if piece not in special}
         self.special = special
+        self.unstable = unstable().search
         self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
     def ids(self, text: str):
         """The ids as an array of unsigned 32-bit integers; special strings in the text are their special ids."""
         import numpy as np
 
-        if is_common(text):
+        if text.isascii() or not self.unstable(text):
             return np.asarray(self.fast.encode_to_numpy(text, allowed_special="all"), dtype=np.uint32)
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)

@@ -1,78 +1,103 @@
 """Token counts without ids.
 
-Each block of texts is split into pre-tokens. A table of the block's distinct
-pre-tokens holds how many pieces each has, counted once; the texts' pre-token
-frequencies join it by position and are summed. Blocks are bounded in bytes,
-so that no table outgrows its task and nothing is shuffled.
+Each document's pre-tokens are counted and written as a table. Its distinct
+pre-tokens are cut into pieces once each, over the whole corpus; the number of
+pieces joins the documents' frequencies, and sums by document are the counts.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.base import map_texts
-from millrace.llm.byte_bpe import PATTERN, ByteBpe, is_common
+from millrace.llm.base import materialize, slices, small_batches
+from millrace.llm.byte_bpe import PATTERN, ByteBpe
+
+#: Bytes of the distinct pre-tokens up to which they are broadcast; a larger table meets the frequencies by an exchange.
+MOST_BROADCAST = 32 << 20
 
 
-class PieceCounter:
-    def __init__(self, path: str, most_known: int = 200_000):
+class PreTokens:
+    def __init__(self, path: str):
         import regex
 
         self.bpe = ByteBpe(path)
         self.split = regex.compile(PATTERN).findall
         self.special = regex.compile("|".join(map(regex.escape, self.bpe.special))) if self.bpe.special else None
-        self.known: dict[str, int] = {}  # pieces of distinct pre-tokens, at most most_known of them from earlier blocks
-        self.most_known = most_known
-
-    def counts(self, texts: list[str | None]) -> np.ndarray:
-        out = np.zeros(len(texts), dtype=np.int64)
-        numbers: dict[str, int] = {}  # the block's distinct pre-tokens by first occurrence
-        number = numbers.setdefault
-        places, owners = [], []
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            if not is_common(text):
-                out[i] = len(self.bpe.library.encode(text, add_special_tokens=False).ids)
-                continue
-            parts = [text]
-            if self.special and self.special.search(text):
-                parts = self.special.split(text)
-                out[i] += len(parts) - 1  # a special string is one token
+
+    def of(self, text: str) -> tuple[Counter, int]:
+        """(how often each pre-token occurs, tokens beside those): special strings are one token each, a text with characters of unsteady class is encoded as a whole."""
+        if not text.isascii() and self.bpe.unstable(text):
+            return Counter(), len(self.bpe.library.encode(text, add_special_tokens=False).ids)
+        if self.special and self.special.search(text):
+            parts, out = self.special.split(text), Counter()
             for part in parts:
-                own = [number(w, len(numbers)) for w in self.split(part)]
-                places.append(np.array(own, dtype=np.int64))
-                owners.append(np.full(len(own), i))
-        if places:
-            known, encode = self.known, self.bpe.fast.encode_ordinary
-            if len(known) > self.most_known:
-                known.clear()
-            pieces = np.empty(len(numbers), dtype=np.int64)
-            for w, k in numbers.items():
-                n = known.get(w)
-                if n is None:
-                    n = known[w] = len(encode(w))
-                pieces[k] = n
-            out += np.bincount(np.concatenate(owners), weights=pieces[np.concatenate(places)], minlength=len(texts)).astype(np.int64)
-        return out
-
-
-def count_tokens(docs: DataFrame, path: str, *, keep: list[str], text: str = "text") -> DataFrame:
-    """keep, n_bytes (UTF-8) and n_tokens of every whole text; null texts are empty and have none. Special strings inside a text count as the library's default has them: one token each."""
-
-    def make():
-        counter = PieceCounter(path)
-
-        def run(texts: pa.Array) -> dict:
-            size = pa.compute.fill_null(pa.compute.binary_length(texts), 0).cast(pa.int64())
-            return {"n_bytes": size, "n_tokens": pa.array(counter.counts(texts.to_pylist()))}
-
-        return run
-
-    return map_texts(docs, keep, text, make, "n_bytes bigint, n_tokens bigint")
+                out.update(self.split(part))
+            return out, len(parts) - 1
+        return Counter(self.split(text)), 0
+
+
+def frequencies(docs: DataFrame, path: str, *, keep: list[str], text: str = "text") -> DataFrame:
+    """row, token, n, own, and keep as k0, k1, ...: for each document a row without token (n: its bytes in UTF-8, own: tokens beside pre-tokens), and one for each distinct pre-token (n: how often)."""
+    small_batches(docs.sparkSession)
+    kept = [f"k{i}" for i in range(len(keep))]
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        pre, row, names = PreTokens(path), TaskContext.get().partitionId() << 33, ["row", "token", "n", "own", *kept]
+        for batch in batches:
+            for part in slices(batch, len(keep)):
+                texts, m = part.column(len(keep)), part.num_rows
+                tokens, counts, sizes, own = [], [], np.zeros(m, dtype=np.int64), np.zeros(m, dtype=np.int64)
+                for i, content in enumerate(texts.to_pylist()):
+                    if content:
+                        found, own[i] = pre.of(content)
+                        tokens.extend(found)
+                        counts.extend(found.values())
+                        sizes[i] = len(found)
+                rows = np.arange(row, row + m)
+                row += m
+                size = pa.compute.fill_null(pa.compute.binary_length(texts), 0).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(rows), pa.nulls(m, pa.string()), size, pa.array(own), *(part.column(i) for i in range(len(keep)))], names=names)
+                if tokens:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rows, sizes)), pa.array(tokens, pa.string()), pa.array(counts, pa.int64()), pa.nulls(len(tokens), pa.int64()), *(pa.nulls(len(tokens), part.schema.field(i).type) for i in range(len(keep)))], names=names)
+
+    shape = ", ".join(["row bigint, token string, n bigint, own bigint", *(f"{k} {docs.schema[c].dataType.simpleString()}" for k, c in zip(kept, keep, strict=True))])
+    return docs.select(*(F.col(f"`{c}`").alias(k) for k, c in zip(kept, keep, strict=True)), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, shape)
+
+
+def piece_counts(tokens: DataFrame, path: str) -> DataFrame:
+    """token and pieces, from distinct tokens."""
+
+    def run(batches):
+        encode = ByteBpe(path).fast.encode_ordinary
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(encode(t)) for t in batch.column(0).to_pylist()], pa.int32())], names=["token", "pieces"])
+
+    return tokens.mapInArrow(run, "token string, pieces int")
+
+
+def count_tokens(docs: DataFrame, path: str, *, keep: list[str], text: str = "text", most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """keep, n_bytes (UTF-8) and n_tokens of every whole text; null texts are empty and have none.
+
+    Special strings inside a text count as the library's default has them: one
+    token each. Repeated rows each count.
+    """
+    rows = materialize(frequencies(docs, path, keep=keep, text=text))
+    pieces = materialize(piece_counts(rows.where("token is not null").select("token").distinct(), path))
+    size = pieces.agg(F.sum(F.octet_length("token") + 16)).first()[0] or 0
+    held = pieces.select(F.col("token").alias("t"), "pieces")
+    # A common pre-token has a row for each document: without broadcast both sides are plain exchanges over written tables, so adaptive execution can split it.
+    met = rows.join(F.broadcast(held) if size <= most_broadcast else held, F.col("token") == F.col("t"), "left")
+    first = F.col("token").isNull()
+    sums = [F.sum(F.when(first, F.col("n"))).alias("n_bytes"), F.sum(F.when(first, F.col("own")).otherwise(F.col("n") * F.col("pieces"))).alias("n_tokens")]
+    out = met.groupBy("row").agg(*(F.first(f"k{i}", ignorenulls=True).alias(f"k{i}") for i in range(len(keep))), *sums)
+    return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "n_bytes", "n_tokens")
 
 
 def with_limit(counted: DataFrame, limit: int) -> DataFrame:

@@ -1,72 +1,93 @@
-"""BPE encoding and decoding over tables of distinct words.
+"""BPE encoding and decoding over a table of distinct words.
 
-A block of texts is split into words; each distinct word of the block is
-encoded once, and the ids join back to the texts by position. Decoding joins
-ids to their pieces. Blocks are bounded in bytes, nothing is shuffled.
+Texts are split into words in Spark and counted; the corpus's distinct words,
+the commonest first up to a bound, are encoded once each, and the table joins
+back to the texts' words by position. A word beyond the bound is rare and is
+encoded where it stands. Decoding joins ids to their pieces.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from millrace.llm.base import map_texts
-from millrace.llm.byte_bpe import is_common
+from millrace.llm.base import map_texts, slices, small_batches
+from millrace.llm.byte_bpe import unstable
 
 #: Fixed value: the word pattern of the vocabulary, applied to normalised text.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Characters on which the libraries' ideas of white space or case might differ.
-_ODD = re.compile(r"[\x00-\x08\x0e-\x1f\x7f-\x9fİΣ]")
 
 
-class WordBpe:
+class WordSplitter:
     """path: a tokenizers file of kind BPE whose words end with a mark, that lower-cases, drops white space and has no decoder."""
 
-    def __init__(self, path: str, most_known: int = 150_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    def __init__(self, path: str):
         import regex
+
+        with open(path, encoding="utf-8") as f:
+            special = [x["content"] for x in json.load(f)["added_tokens"]]
+        self.find = regex.compile(WORDS).findall
+        # Left to the library: special strings, characters of unsteady class, and letters whose small form depends on their neighbours.
+        self.odd = re.compile("|".join([*map(re.escape, special), "[İΣ]", unstable().pattern])).search
+
+    def words(self, text: str) -> list[str] | None:
+        """The text's words; None if the library has to see it as a whole."""
+        if self.odd(text):
+            return None
+        return self.find((text if text.isascii() else unicodedata.normalize("NFC", text)).lower())
+
+
+class WordBpe:
+    """table: ids of words as little-endian unsigned 32-bit integers; other words are encoded as they come, and at most most_known of those are held."""
+
+    def __init__(self, path: str, table: dict[str, bytes] | None = None, most_known: int = 100_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.split = regex.compile(WORDS).findall
-        self.special = re.compile("|".join(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()) or r"(?!)")
-        self.known: dict[str, bytes] = {}
+        self.splitter = WordSplitter(path)
+        self.table = table or {}
+        self.rare: dict[str, bytes] = {}
         self.most_known = most_known
         size = self.library.get_vocab_size(with_added_tokens=True)
         #: The id-to-piece table.
         self.pieces = np.array([self.library.id_to_token(i) or "" for i in range(size)], dtype=object)
 
-    def _table(self, words: set[str]) -> dict[str, bytes]:
-        """ids, as bytes, of the distinct words; those of earlier blocks are known, most_known of them at most."""
-        if len(self.known) > self.most_known:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return self.known
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """ids of each text as little-endian unsigned 32-bit integers."""
         out: list = [b""] * len(texts)
         split: list = []
         for i, text in enumerate(texts):
-            if not text:
-                continue
-            if not is_common(text) or _ODD.search(text) or self.special.search(text):
-                out[i] = np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-            else:
-                split.append((i, self.split((text if text.isascii() else unicodedata.normalize("NFC", text)).lower())))
-        table = self._table(set().union(*(words for _, words in split)))
+            if text:
+                words = self.splitter.words(text)
+                if words is None:
+                    out[i] = np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+                else:
+                    split.append((i, words))
+        if len(self.rare) > self.most_known:
+            self.rare.clear()
+        new = [w for w in set().union(*(words for _, words in split)) if w not in self.table and w not in self.rare]
+        self.rare.update(zip(new, self.encode_words(new), strict=True))
+        of = self.table.get
         for i, words in split:
-            out[i] = b"".join(map(table.__getitem__, words))
+            ids = list(map(of, words))
+            if None in ids:
+                ids = [self.rare[w] if x is None else x for w, x in zip(words, ids, strict=True)]
+            out[i] = b"".join(ids)
         return out
 
     def decode(self, ids: bytes) -> str:
@@ -74,11 +95,43 @@ class WordBpe:
         return " ".join(self.pieces[np.frombuffer(ids, dtype="<u4")].tolist())
 
 
+def word_counts(docs: DataFrame, path: str, *, text: str = "text") -> DataFrame:
+    """word and n over all texts, but for those that the library has to see as a whole. Tasks count by blocks before words meet."""
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        words_of = WordSplitter(path).words
+        for batch in batches:
+            for part in slices(batch, 0):
+                count: Counter = Counter()
+                for content in part.column(0).to_pylist():
+                    count.update(words_of(content) or ())
+                yield pa.RecordBatch.from_arrays([pa.array(count.keys(), pa.string()), pa.array(count.values(), pa.int64())], names=["word", "n"])
+
+    own = docs.select(F.col(f"`{text}`").cast("string").alias("text")).where("text is not null")
+    return own.mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def word_table(docs: DataFrame, path: str, *, text: str = "text", most_words: int = 200_000, longest: int = 64) -> dict[str, bytes]:
+    """ids of the commonest distinct words of all texts, each encoded once: most_words words of up to longest bytes at most, which bounds what is sent to tasks."""
+
+    def run(batches):
+        bpe = WordBpe(path)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bpe.encode_words(batch.column(0).to_pylist()), pa.binary())], names=["word", "ids"])
+
+    common = word_counts(docs, path, text=text).where(F.octet_length("word") <= longest).orderBy(F.desc("n"), "word").limit(most_words)
+    found = common.select("word").mapInArrow(run, "word string, ids binary").toArrow()
+    return dict(zip(found.column("word").to_pylist(), found.column("ids").to_pylist(), strict=True))
+
+
 def encode_documents(docs: DataFrame, path: str, *, keep: list[str], text: str = "text") -> DataFrame:
     """keep, and ids (array<int>) of every whole text; null and empty texts have none."""
 
+    held = docs.sparkSession.sparkContext.broadcast(word_table(docs, path, text=text))
+
     def make():
-        bpe = WordBpe(path)
+        bpe = WordBpe(path, held.value)
 
         def run(texts: pa.Array) -> dict:
             return {"ids": pa.array([np.frombuffer(x, dtype="<u4").astype(np.int32) for x in bpe.encode(texts.to_pylist())], pa.list_(pa.int32()))}
@@ -91,8 +144,10 @@ def encode_documents(docs: DataFrame, path: str, *, keep: list[str], text: str =
 def digest_documents(docs: DataFrame, path: str, *, keep: list[str], text: str = "text") -> DataFrame:
     """keep, n_tokens, ids_sha256 and decoded_sha256: encoding and decoding of every whole text, by digest."""
 
+    held = docs.sparkSession.sparkContext.broadcast(word_table(docs, path, text=text))
+
     def make():
-        bpe = WordBpe(path)
+        bpe = WordBpe(path, held.value)
 
         def run(texts: pa.Array) -> dict:
             ids = bpe.encode(texts.to_pylist())

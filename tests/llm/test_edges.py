@@ -1,8 +1,12 @@
 """Every operator on nulls, empties, very long texts, repeated rows, empty tables and clashing columns."""
 
+import hashlib
+from collections import Counter
+
+import numpy as np
 import public_tokenizers
 import pytest
-from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from millrace.llm import epsilon_join, langid, packing, quality_gam, quality_rules, simhash, suffix_dedup, token_counts, url_filter, word_bpe
 from millrace.llm.base import held_out
@@ -79,15 +83,22 @@ def test_suffixes(docs):
     assert cut.count() <= docs.count()
 
 
-def test_tokens(docs):
-    from tokenizers import Tokenizer
+@pytest.mark.parametrize("most_broadcast", [0, token_counts.MOST_BROADCAST])
+def test_token_counts(docs, most_broadcast):
+    tok = Tokenizer.from_file(BYTES)
+    rows = docs.select("doc_id", "text").collect()
+    got = Counter(tuple(r) for r in token_counts.count_tokens(docs, BYTES, keep=["doc_id", "text"], most_broadcast=most_broadcast).collect())
+    assert got == Counter((r.doc_id, r.text, len((r.text or "").encode()), len(tok.encode(r.text or "", add_special_tokens=False).ids)) for r in rows)
+
 
-    tok, words = Tokenizer.from_file(BYTES), Tokenizer.from_file(WORDS)
+def test_words(docs):
+    words = Tokenizer.from_file(WORDS)
     texts = [r.text or "" for r in docs.select("text").collect()]
-    assert [r.n_tokens for r in token_counts.count_tokens(docs, BYTES, keep=["doc_id"]).collect()] == [len(tok.encode(t, add_special_tokens=False).ids) for t in texts]
     got = word_bpe.encode_documents(docs, WORDS, keep=["doc_id"]).collect()
-    assert [list(r.ids) for r in got] == [words.encode(t, add_special_tokens=False).ids for t in texts]
-    assert word_bpe.digest_documents(docs, WORDS, keep=["doc_id"]).count() == len(texts)
+    ids = [words.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [list(r.ids) for r in got] == ids
+    for r, own in zip(word_bpe.digest_documents(docs, WORDS, keep=["doc_id"]).collect(), ids, strict=True):
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(own), hashlib.sha256(np.array(own, dtype="<u4").tobytes()).hexdigest(), hashlib.sha256(words.decode(own, skip_special_tokens=False).encode()).hexdigest())
 
 
 VECTORS = "vec_id bigint, embedding array<float>, label int, rep int, copies int, k string, block int"
