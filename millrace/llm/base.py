@@ -150,7 +150,8 @@ def map_texts(df: DataFrame, keep: list[str], text: str, make: Callable[[], Call
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), *(out[x] for x in made)], names=names)
 
     whole = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), schema])
-    return df.select(*keep, F.col(text).cast("string").alias("text")).mapInArrow(run, whole)
+    kept = df.select(*(F.col(f"`{c}`") for c in keep))
+    return df.select(*kept.columns, F.col(f"`{text}`").cast("string").alias(fresh(kept, "text")[0])).mapInArrow(run, whole)
 
 
 def filter_texts(df: DataFrame, text: str, make: Callable[[], Callable[[pa.Array], pa.Array]]) -> DataFrame:

@@ -1,8 +1,9 @@
 """Token counts without ids.
 
-Each document's pre-tokens are counted and written as a table. Its distinct
-pre-tokens are cut into pieces once each, over the whole corpus; the number of
-pieces joins the documents' frequencies, and sums by document are the counts.
+The corpus's distinct pre-tokens are counted in Spark; the commonest, up to a
+bound, are cut into pieces once each, and their numbers of pieces join each
+document's pre-token frequencies. A pre-token beyond the bound is rare, and is
+cut where it stands. The sums are the counts.
 """
 
 from __future__ import annotations
@@ -14,11 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.base import materialize, slices, small_batches
+from millrace.llm.base import map_texts
 from millrace.llm.byte_bpe import PATTERN, ByteBpe
-
-#: Bytes of the distinct pre-tokens up to which they are broadcast; a larger table meets the frequencies by an exchange.
-MOST_BROADCAST = 32 << 20
+from millrace.llm.word_tables import commonest, word_counts
 
 
 class PreTokens:
@@ -29,10 +28,12 @@ class PreTokens:
         self.split = regex.compile(PATTERN).findall
         self.special = regex.compile("|".join(map(regex.escape, self.bpe.special))) if self.bpe.special else None
 
+    def whole(self, text: str) -> bool:
+        """Whether the library has to see the text as it is, for characters of unsteady class."""
+        return not text.isascii() and self.bpe.unstable(text) is not None
+
     def of(self, text: str) -> tuple[Counter, int]:
-        """(how often each pre-token occurs, tokens beside those): special strings are one token each, a text with characters of unsteady class is encoded as a whole."""
-        if not text.isascii() and self.bpe.unstable(text):
-            return Counter(), len(self.bpe.library.encode(text, add_special_tokens=False).ids)
+        """(how often each pre-token occurs, special strings, which are one token each)."""
         if self.special and self.special.search(text):
             parts, out = self.special.split(text), Counter()
             for part in parts:
@@ -41,63 +42,63 @@ class PreTokens:
         return Counter(self.split(text)), 0
 
 
-def frequencies(docs: DataFrame, path: str, *, keep: list[str], text: str = "text") -> DataFrame:
-    """row, token, n, own, and keep as k0, k1, ...: for each document a row without token (n: its bytes in UTF-8, own: tokens beside pre-tokens), and one for each distinct pre-token (n: how often)."""
-    small_batches(docs.sparkSession)
-    kept = [f"k{i}" for i in range(len(keep))]
+def piece_table(docs: DataFrame, path: str, *, text: str = "text", most_words: int = 200_000, longest: int = 64) -> dict[str, int]:
+    """Numbers of pieces of the commonest distinct pre-tokens of all texts, each cut once: most_words of up to longest bytes at most, which bounds what is sent to tasks."""
 
-    def run(batches):
-        from pyspark import TaskContext
-
-        pre, row, names = PreTokens(path), TaskContext.get().partitionId() << 33, ["row", "token", "n", "own", *kept]
-        for batch in batches:
-            for part in slices(batch, len(keep)):
-                texts, m = part.column(len(keep)), part.num_rows
-                tokens, counts, sizes, own = [], [], np.zeros(m, dtype=np.int64), np.zeros(m, dtype=np.int64)
-                for i, content in enumerate(texts.to_pylist()):
-                    if content:
-                        found, own[i] = pre.of(content)
-                        tokens.extend(found)
-                        counts.extend(found.values())
-                        sizes[i] = len(found)
-                rows = np.arange(row, row + m)
-                row += m
-                size = pa.compute.fill_null(pa.compute.binary_length(texts), 0).cast(pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(rows), pa.nulls(m, pa.string()), size, pa.array(own), *(part.column(i) for i in range(len(keep)))], names=names)
-                if tokens:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rows, sizes)), pa.array(tokens, pa.string()), pa.array(counts, pa.int64()), pa.nulls(len(tokens), pa.int64()), *(pa.nulls(len(tokens), part.schema.field(i).type) for i in range(len(keep)))], names=names)
-
-    shape = ", ".join(["row bigint, token string, n bigint, own bigint", *(f"{k} {docs.schema[c].dataType.simpleString()}" for k, c in zip(kept, keep, strict=True))])
-    return docs.select(*(F.col(f"`{c}`").alias(k) for k, c in zip(kept, keep, strict=True)), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, shape)
-
-
-def piece_counts(tokens: DataFrame, path: str) -> DataFrame:
-    """token and pieces, from distinct tokens."""
+    def make():
+        pre = PreTokens(path)
+        return lambda content: () if pre.whole(content) else pre.of(content)[0]
 
     def run(batches):
         encode = ByteBpe(path).fast.encode_ordinary
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(encode(t)) for t in batch.column(0).to_pylist()], pa.int32())], names=["token", "pieces"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(encode(t)) for t in batch.column(0).to_pylist()], pa.int32())], names=["word", "pieces"])
+
+    found = commonest(word_counts(docs, make, text=text), most_words, longest).mapInArrow(run, "word string, pieces int").toArrow()
+    return dict(zip(found.column("word").to_pylist(), found.column("pieces").to_pylist(), strict=True))
+
 
-    return tokens.mapInArrow(run, "token string, pieces int")
+class PieceCounter:
+    """table: pieces of pre-tokens; others are cut as they come, and at most most_known of those are held."""
 
+    def __init__(self, path: str, table: dict[str, int], most_known: int = 100_000):
+        self.pre, self.table, self.rare, self.most_known = PreTokens(path), table, {}, most_known
 
-def count_tokens(docs: DataFrame, path: str, *, keep: list[str], text: str = "text", most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    def count(self, text: str) -> int:
+        if self.pre.whole(text):
+            return len(self.pre.bpe.library.encode(text, add_special_tokens=False).ids)
+        found, total = self.pre.of(text)
+        pieces = list(map(self.table.get, found))
+        if None in pieces:
+            if len(self.rare) > self.most_known:
+                self.rare.clear()
+            for i, w in enumerate(found):
+                if pieces[i] is None:
+                    pieces[i] = self.rare.get(w)
+                    if pieces[i] is None:
+                        pieces[i] = self.rare[w] = len(self.pre.bpe.fast.encode_ordinary(w))
+        return total + sum(map(int.__mul__, found.values(), pieces))
+
+
+def count_tokens(docs: DataFrame, path: str, *, keep: list[str], text: str = "text", most_words: int = 200_000) -> DataFrame:
     """keep, n_bytes (UTF-8) and n_tokens of every whole text; null texts are empty and have none.
 
     Special strings inside a text count as the library's default has them: one
-    token each. Repeated rows each count.
+    token each. Repeated rows each count. The table of distinct pre-tokens is
+    made when this is called, most_words of them at most.
     """
-    rows = materialize(frequencies(docs, path, keep=keep, text=text))
-    pieces = materialize(piece_counts(rows.where("token is not null").select("token").distinct(), path))
-    size = pieces.agg(F.sum(F.octet_length("token") + 16)).first()[0] or 0
-    held = pieces.select(F.col("token").alias("t"), "pieces")
-    # A common pre-token has a row for each document: without broadcast both sides are plain exchanges over written tables, so adaptive execution can split it.
-    met = rows.join(F.broadcast(held) if size <= most_broadcast else held, F.col("token") == F.col("t"), "left")
-    first = F.col("token").isNull()
-    sums = [F.sum(F.when(first, F.col("n"))).alias("n_bytes"), F.sum(F.when(first, F.col("own")).otherwise(F.col("n") * F.col("pieces"))).alias("n_tokens")]
-    out = met.groupBy("row").agg(*(F.first(f"k{i}", ignorenulls=True).alias(f"k{i}") for i in range(len(keep))), *sums)
-    return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "n_bytes", "n_tokens")
+    held = docs.sparkSession.sparkContext.broadcast(piece_table(docs, path, text=text, most_words=most_words))
+
+    def make():
+        count = PieceCounter(path, held.value).count
+
+        def run(texts: pa.Array) -> dict:
+            size = pa.compute.fill_null(pa.compute.binary_length(texts), 0).cast(pa.int64())
+            return {"n_bytes": size, "n_tokens": pa.array(np.array([count(t) if t else 0 for t in texts.to_pylist()], dtype=np.int64))}
+
+        return run
+
+    return map_texts(docs, keep, text, make, "n_bytes bigint, n_tokens bigint")
 
 
 def with_limit(counted: DataFrame, limit: int) -> DataFrame:

@@ -13,15 +13,14 @@ import json
 import os
 import re
 import unicodedata
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from millrace.llm.base import map_texts, slices, small_batches
+from millrace.llm.base import map_texts
 from millrace.llm.byte_bpe import unstable
+from millrace.llm.word_tables import commonest, word_counts
 
 #: Fixed value: the word pattern of the vocabulary, applied to normalised text.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -95,33 +94,19 @@ class WordBpe:
         return " ".join(self.pieces[np.frombuffer(ids, dtype="<u4")].tolist())
 
 
-def word_counts(docs: DataFrame, path: str, *, text: str = "text") -> DataFrame:
-    """word and n over all texts, but for those that the library has to see as a whole. Tasks count by blocks before words meet."""
-    small_batches(docs.sparkSession)
-
-    def run(batches):
-        words_of = WordSplitter(path).words
-        for batch in batches:
-            for part in slices(batch, 0):
-                count: Counter = Counter()
-                for content in part.column(0).to_pylist():
-                    count.update(words_of(content) or ())
-                yield pa.RecordBatch.from_arrays([pa.array(count.keys(), pa.string()), pa.array(count.values(), pa.int64())], names=["word", "n"])
-
-    own = docs.select(F.col(f"`{text}`").cast("string").alias("text")).where("text is not null")
-    return own.mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-
-
 def word_table(docs: DataFrame, path: str, *, text: str = "text", most_words: int = 200_000, longest: int = 64) -> dict[str, bytes]:
     """ids of the commonest distinct words of all texts, each encoded once: most_words words of up to longest bytes at most, which bounds what is sent to tasks."""
 
+    def make():
+        words_of = WordSplitter(path).words
+        return lambda content: words_of(content) or ()
+
     def run(batches):
         bpe = WordBpe(path)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bpe.encode_words(batch.column(0).to_pylist()), pa.binary())], names=["word", "ids"])
 
-    common = word_counts(docs, path, text=text).where(F.octet_length("word") <= longest).orderBy(F.desc("n"), "word").limit(most_words)
-    found = common.select("word").mapInArrow(run, "word string, ids binary").toArrow()
+    found = commonest(word_counts(docs, make, text=text), most_words, longest).mapInArrow(run, "word string, ids binary").toArrow()
     return dict(zip(found.column("word").to_pylist(), found.column("ids").to_pylist(), strict=True))
 
 

@@ -83,11 +83,11 @@ def test_suffixes(docs):
     assert cut.count() <= docs.count()
 
 
-@pytest.mark.parametrize("most_broadcast", [0, token_counts.MOST_BROADCAST])
-def test_token_counts(docs, most_broadcast):
+@pytest.mark.parametrize("most_words", [0, 5, 200_000])
+def test_token_counts(docs, most_words):
     tok = Tokenizer.from_file(BYTES)
     rows = docs.select("doc_id", "text").collect()
-    got = Counter(tuple(r) for r in token_counts.count_tokens(docs, BYTES, keep=["doc_id", "text"], most_broadcast=most_broadcast).collect())
+    got = Counter(tuple(r) for r in token_counts.count_tokens(docs, BYTES, keep=["doc_id", "text"], most_words=most_words).collect())
     assert got == Counter((r.doc_id, r.text, len((r.text or "").encode()), len(tok.encode(r.text or "", add_special_tokens=False).ids)) for r in rows)
 
 
