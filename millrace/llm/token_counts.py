@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.base import map_texts
 from millrace.llm.byte_bpe import PATTERN, ByteBpe
-from millrace.llm.word_tables import commonest, word_counts
+from millrace.llm.word_tables import commonest_table, word_counts
 
 
 class PreTokens:
@@ -52,10 +52,9 @@ def piece_table(docs: DataFrame, path: str, *, text: str = "text", most_words: i
     def run(batches):
         encode = ByteBpe(path).fast.encode_ordinary
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(encode(t)) for t in batch.column(0).to_pylist()], pa.int32())], names=["word", "pieces"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(encode(t)) for t in batch.column(0).to_pylist()], pa.int32())], names=["word", "value"])
 
-    found = commonest(word_counts(docs, make, text=text), most_words, longest).mapInArrow(run, "word string, pieces int").toArrow()
-    return dict(zip(found.column("word").to_pylist(), found.column("pieces").to_pylist(), strict=True))
+    return commonest_table(word_counts(docs, make, text=text), run, "int", most_words=most_words, longest=longest)
 
 
 class PieceCounter:

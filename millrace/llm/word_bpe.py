@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 
 from millrace.llm.base import map_texts
 from millrace.llm.byte_bpe import unstable
-from millrace.llm.word_tables import commonest, word_counts
+from millrace.llm.word_tables import commonest_table, word_counts
 
 #: Fixed value: the word pattern of the vocabulary, applied to normalised text.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -104,10 +104,9 @@ def word_table(docs: DataFrame, path: str, *, text: str = "text", most_words: in
     def run(batches):
         bpe = WordBpe(path)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bpe.encode_words(batch.column(0).to_pylist()), pa.binary())], names=["word", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bpe.encode_words(batch.column(0).to_pylist()), pa.binary())], names=["word", "value"])
 
-    found = commonest(word_counts(docs, make, text=text), most_words, longest).mapInArrow(run, "word string, ids binary").toArrow()
-    return dict(zip(found.column("word").to_pylist(), found.column("ids").to_pylist(), strict=True))
+    return commonest_table(word_counts(docs, make, text=text), run, "binary", most_words=most_words, longest=longest)
 
 
 def encode_documents(docs: DataFrame, path: str, *, keep: list[str], text: str = "text") -> DataFrame:

@@ -47,3 +47,19 @@ def test_every_steady_character():
     library = Tokenizer.from_file(WORDS)
     for c, got, e in zip(chars, word_bpe.WordBpe(WORDS).encode(asked), library.encode_batch(asked, add_special_tokens=False), strict=True):
         assert np.frombuffer(got, dtype="<u4").tolist() == e.ids, hex(ord(c))
+
+
+def test_the_table_holds_the_commonest_words(spark, texts):
+    from collections import Counter
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    pre = token_counts.PreTokens(BYTES)
+    want = Counter()
+    for t in texts.values():
+        want.update(pre.of(t)[0])
+    for most in (0, 50, 1_000_000):
+        table = token_counts.piece_table(docs, BYTES, most_words=most)
+        assert len(table) <= most and all(n == len(pre.bpe.fast.encode_ordinary(w)) for w, n in table.items())
+        rest = [n for w, n in want.items() if w not in table and len(w.encode()) <= 64]
+        assert not table or min(want[w] for w in table) > max(rest)
+        assert len(table) == sum(n > 1 for w, n in want.items() if len(w.encode()) <= 64) if most > 1000 else len(table) < most + 1
