@@ -124,74 +124,73 @@ def _unpacked(column: pa.Array, dtype) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(buffers[2], dtype=np.uint8)[offsets[0] : offsets[-1]].view(dtype), np.diff(offsets)
 
 
-def _chosen(content: bytes, pos: np.ndarray, keys: np.ndarray, *, key: int, least: int):
-    """Of one text, the stretches that belong to the kept suffixes at pos with keys: (their numbers, their suffixes' numbers, keys of all its suffixes, hashes of all its stretches, starts and ends of its words); None without any."""
+def _chosen(content: bytes, pos: np.ndarray, keys: np.ndarray, hot: np.ndarray, *, key: int, least: int):
+    """Of one text, the stretches that belong to the kept suffixes at pos with keys: (their numbers, their suffixes' numbers, keys of all its suffixes and which are hot, hashes of all its stretches, starts and ends of its words); None without any."""
     words = word_hashes(content)
     if len(words) < least:
         return None
     at, own_keys, whole, own = _stretches(words, key, least)
     there = np.minimum(np.searchsorted(at, pos), len(at) - 1)
-    asked = np.zeros(len(at), dtype=bool)
     # Rows that repeat an id are handed the suffixes of all its texts.
-    asked[there[(at[there] == pos) & (own_keys[there].view(np.int64) == keys)]] = True
+    here = (at[there] == pos) & (own_keys[there].view(np.int64) == keys)
+    asked, is_hot = np.zeros(len(at), dtype=bool), np.zeros(len(at), dtype=bool)
+    asked[there[here]], is_hot[there[here]] = True, hot[here]
     win = np.flatnonzero(asked[own])
-    return (win, own[win], own_keys, whole, *_edges(content)) if len(win) else None
-
-
-def _texts_of(batches, key: int, least: int):
-    """(doc_id, digest and _chosen() of each text, grouped by slices) of batches of doc_id, text, digest, pos and keys."""
-    for batch in batches:
-        for cut in slices(batch, 1):
-            found = []
-            for doc_id, content, digest, pos, keys in zip(cut.column(0).to_pylist(), cut.column(1).cast(pa.large_binary()).to_pylist(), cut.column(2).to_pylist(), cut.column(3), cut.column(4), strict=True):
-                got = _chosen(content, pos.values.to_numpy(), keys.values.to_numpy(), key=key, least=least)
-                if got is not None:
-                    found.append((doc_id, digest, got))
-            if found:
-                yield found
+    return (win, own[win], own_keys, is_hot, whole, *_edges(content)) if len(win) else None
 
 
 def _with_stretches(placed: DataFrame, *, key: int, least: int) -> DataFrame:
     """A row for each kept suffix: its stretches' hashes, steps from the first one, and edges from the first one's start.
 
-    placed has doc_id, text, digest, and arrays pos and keys of the kept suffixes that matter.
+    placed has doc_id, text, digest, and arrays pos, keys and hot of the kept suffixes that matter.
     """
     small = np.uint8 if least - key < 256 else np.uint32
+    names = ["key", "hot", "doc_id", "digest", "first", "base", "width", "whole", "steps", "edges"]
 
     def run(batches):
-        for texts in _texts_of(batches, key, least):
-            out = {2: [], 4: []}  # by bytes of an edge
-            for doc_id, digest, (win, of, keys, whole, starts, ends) in texts:
-                lead = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
-                sizes = np.diff(np.append(lead, len(win)))
-                first, base = win[lead], starts[win[lead]]
-                edges = np.stack([starts[win], ends[win + least - 1]], 1) - np.repeat(base, sizes)[:, None]
-                width = 2 if edges.max() < 1 << 16 else 4
-                n = len(lead)
-                out[width].append((keys[of[lead]].view(np.int64), np.full(n, doc_id), np.full(n, digest), first.astype(np.int32), base, sizes, whole[win], (win - np.repeat(first, sizes)).astype(small), edges.astype(f"<u{width}")))
-            for width, rows in out.items():
-                if rows:
-                    k, doc, digest, first, base, sizes, whole, steps, edges = (np.concatenate(x) for x in zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(doc, pa.int64()), pa.array(digest, pa.int64()), pa.array(first), pa.array(base, pa.int64()), pa.array(np.full(len(k), width, np.int32)), _packed(whole, sizes), _packed(steps, sizes), _packed(edges, sizes)], names=["key", "doc_id", "digest", "first", "base", "width", "whole", "steps", "edges"])
-
-    return placed.mapInArrow(run, "key bigint, doc_id bigint, digest bigint, first int, base bigint, width int, whole binary, steps binary, edges binary")
-
-
-_FOUND = ["doc_id", "digest", "first", "last", "start", "length", "other_id", "later"]
-
-
-def _meet(t: pa.RecordBatch, least: int, small) -> pa.RecordBatch | None:
-    """Passages of kept suffixes, from rows that hold all stretches equal to any of theirs."""
-    doc_id, digest, first, base, width = (t.column(t.schema.names.index(c)).to_numpy() for c in ("doc_id", "digest", "first", "base", "width"))
+        for batch in batches:
+            for cut in slices(batch, 1):
+                out = {2: [], 4: []}  # by bytes of an edge
+                for doc_id, content, digest, *asked in zip(cut.column(0).to_pylist(), cut.column(1).cast(pa.large_binary()).to_pylist(), cut.column(2).to_pylist(), cut.column(3), cut.column(4), cut.column(5), strict=True):
+                    got = _chosen(content, *(x.values.to_numpy(zero_copy_only=False) for x in asked), key=key, least=least)
+                    if got is None:
+                        continue
+                    win, of, keys, hot, whole, starts, ends = got
+                    lead = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+                    sizes = np.diff(np.append(lead, len(win)))
+                    first, base = win[lead], starts[win[lead]]
+                    edges = np.stack([starts[win], ends[win + least - 1]], 1) - np.repeat(base, sizes)[:, None]
+                    width, n = 2 if edges.max() < 1 << 16 else 4, len(lead)
+                    out[width].append((keys[of[lead]].view(np.int64), hot[of[lead]], np.full(n, doc_id), np.full(n, digest), first.astype(np.int32), base, sizes, whole[win], (win - np.repeat(first, sizes)).astype(small), edges.astype(f"<u{width}")))
+                for width, rows in out.items():
+                    if rows:
+                        k, hot, doc, digest, first, base, sizes, whole, steps, edges = (np.concatenate(x) for x in zip(*rows, strict=True))
+                        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(hot), pa.array(doc, pa.int64()), pa.array(digest, pa.int64()), pa.array(first), pa.array(base, pa.int64()), pa.array(np.full(len(k), width, np.int32)), _packed(whole, sizes), _packed(steps, sizes), _packed(edges, sizes)], names=names)
+
+    return placed.mapInArrow(run, "key bigint, hot boolean, doc_id bigint, digest bigint, first int, base bigint, width int, whole binary, steps binary, edges binary")
+
+
+def _opened(t: pa.RecordBatch, small) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all stretches of rows of _with_stretches(): (row, hash, steps, edges)."""
     column = lambda c: t.column(t.schema.names.index(c))
     whole, size = _unpacked(column("whole"), np.uint64)
     row = np.repeat(np.arange(t.num_rows), size // 8)
-    steps = _unpacked(column("steps"), small)[0].astype(np.int64)
+    steps, width = _unpacked(column("steps"), small)[0].astype(np.int64), column("width").to_numpy()
     edges = np.empty((len(row), 2), dtype=np.int64)
     for w in (2, 4):
         own = np.flatnonzero(width == w)
         if len(own):
             edges[width[row] == w] = _unpacked(column("edges").take(pa.array(own)), f"<u{w}")[0].reshape(-1, 2)
+    return row, whole, steps, edges
+
+
+_FOUND = ["doc_id", "digest", "first", "last", "start", "length", "other_id", "later"]
+
+
+def _meet(t: pa.RecordBatch, least: int, small) -> pa.RecordBatch | None:
+    """Passages of kept suffixes, from rows that hold all stretches equal to any of theirs."""
+    doc_id, digest, first, base = (t.column(t.schema.names.index(c)).to_numpy() for c in ("doc_id", "digest", "first", "base"))
+    row, whole, steps, edges = _opened(t, small)
     # Equal stretches side by side, by text.
     doc = doc_id[row]
     order = np.lexsort((doc, whole))
@@ -254,19 +253,20 @@ def meetings(rows: DataFrame, parts: int, *, key: int, least: int) -> DataFrame:
     return rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "doc_id bigint, digest bigint, first int, last int, start bigint, length bigint, other_id bigint, later boolean")
 
 
-def hot_meetings(placed: DataFrame, parts: int, *, key: int, least: int) -> DataFrame:
+def hot_meetings(rows: DataFrame, parts: int, *, key: int, least: int) -> DataFrame:
     """The same for keys with any number of places: no task holds a key, nor a stretch.
 
     Stretches are rows in ranges of doc_id. A range finds for each of its
     places the next text in it with the same stretch; what other ranges hold
     follows from one row for each stretch and range.
     """
+    small = np.uint8 if least - key < 256 else np.uint32
 
     def loose(batches):
-        for texts in _texts_of(batches, key, least):
-            for doc_id, digest, (win, _, _, whole, starts, ends) in texts:
-                n = len(win)
-                yield pa.RecordBatch.from_arrays([pa.array(whole[win].view(np.int64)), pa.array(np.full(n, doc_id), pa.int64()), pa.array(np.full(n, digest), pa.int64()), pa.array(win.astype(np.int32)), pa.array(starts[win], pa.int64()), pa.array(ends[win + least - 1] - starts[win], pa.int64())], names=["whole", "doc_id", "digest", "first", "start", "length"])
+        for batch in batches:
+            row, whole, steps, edges = _opened(batch, small)
+            doc_id, digest, first, base = (batch.column(batch.schema.names.index(c)).to_numpy()[row] for c in ("doc_id", "digest", "first", "base"))
+            yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array(doc_id), pa.array(digest), pa.array((first + steps).astype(np.int32)), pa.array(base + edges[:, 0]), pa.array(edges[:, 1] - edges[:, 0])], names=["whole", "doc_id", "digest", "first", "start", "length"])
 
     shape = "whole bigint, doc_id bigint, digest bigint, first int, start bigint, length bigint"
 
@@ -287,7 +287,7 @@ def hot_meetings(placed: DataFrame, parts: int, *, key: int, least: int) -> Data
             last_h, last_d, after_last = h[-1], d[-1], before[-1] if known[-1] else None
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.repeat(before, sizes), pa.int64(), mask=~np.repeat(known, sizes)), pa.array(np.full(len(h), part, np.int32))], names=[*batch.schema.names, "after", "part"])
 
-    rows = placed.mapInArrow(loose, shape).repartitionByRange(parts, "doc_id").sortWithinPartitions("whole", F.desc("doc_id"))
+    rows = rows.mapInArrow(loose, shape).repartitionByRange(parts, "doc_id").sortWithinPartitions("whole", F.desc("doc_id"))
     rows = materialize(rows.mapInArrow(following, f"{shape}, after bigint, part int"))
     of = Window.partitionBy("h").orderBy("p")  # a row for each range that holds the stretch
     ranges = rows.groupBy(F.col("whole").alias("h"), F.col("part").alias("p")).agg(F.min("doc_id").alias("lo"))
@@ -318,15 +318,16 @@ def shared_passages(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     n_hot = common.where(F.col("n") > BUCKET).agg(F.sum("n")).first()[0] or 0
     discard(kept, common)
 
-    def placed(rows: DataFrame) -> DataFrame:
-        # A text's places: as many as it has kept suffixes at most.
-        places = rows.groupBy("id").agg(F.collect_set(F.struct("pos", "key")).alias("at"))
-        return docs.where("doc_id is not null and text is not null").join(places, F.col("doc_id") == F.col("id")).select("doc_id", "text", F.xxhash64("text").alias("digest"), F.col("at.pos").alias("pos"), F.col("at.key").alias("keys"))
-
+    # A text's places: as many as it has kept suffixes at most.
+    places = shared.groupBy("id").agg(F.collect_set(F.struct("pos", "key", "hot")).alias("at"))
+    placed = docs.where("doc_id is not null and text is not null").join(places, F.col("doc_id") == F.col("id")).select("doc_id", "text", F.xxhash64("text").alias("digest"), F.col("at.pos").alias("pos"), F.col("at.key").alias("keys"), F.col("at.hot").alias("hot"))
+    # Written, so that texts meet their places once for both kinds of keys.
+    rows = materialize(_with_stretches(placed, key=key, least=least))
+    discard(shared)
     spread = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = meetings(_with_stretches(placed(shared.where("not hot")), key=key, least=least), spread, key=key, least=least)
+    found = meetings(rows.where("not hot"), spread, key=key, least=least)
     if n_hot:
-        found = found.unionByName(hot_meetings(placed(shared.where("hot")), max(spread, -(-n_hot // BUCKET)), key=key, least=least))
+        found = found.unionByName(hot_meetings(rows.where("hot"), max(spread, -(-n_hot // BUCKET)), key=key, least=least))
     # A text's passages: as many as it has stretches at most.
     w = Window.partitionBy("doc_id", "digest", "later").orderBy("start", "length", "other_id")
     reach = F.max(F.col("start") + F.col("length")).over(w.rowsBetween(Window.unboundedPreceding, -1))
