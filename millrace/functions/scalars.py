@@ -10,9 +10,18 @@ from pyspark.sql import functions as F
 from millrace.functions import values as V
 
 
-def matches(c: Column, pattern: str) -> Column:
-    """Case-insensitive search with Unicode letters and boundaries; null counts as no match."""
-    return F.coalesce(c.rlike("(?iuU)" + pattern), F.lit(False))
+def matches(c: Column, pattern: str, parts: tuple[str, ...] = ()) -> Column:
+    """Case-insensitive search with Unicode letters and boundaries; null counts as no match.
+
+    parts are small letters one of which any match holds: a text without them is not searched.
+    """
+    found = F.coalesce(c.rlike("(?iuU)" + pattern), F.lit(False))
+    return F.coalesce(holds(c, parts), F.lit(False)) & found if parts else found
+
+
+def holds(c: Column, parts: tuple[str, ...]) -> Column:
+    """Whether c holds one of the parts in any case; the long s counts as one."""
+    return any_of(F.translate(F.lower(c), "ſ", "s"), parts)
 
 
 def any_of(c: Column, words) -> Column:

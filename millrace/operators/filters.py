@@ -124,11 +124,21 @@ def choose_level(found: DataFrame, intents: DataFrame, *, on_total: bool = False
     total = counts.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("level", "n"))).alias("by_level"))  # ten levels at most
     own = named(intents).join(total, "query_id", "left").withColumn("steps", F.concat(F.array(F.lit(0)), active_steps()))
     upto = lambda k: F.aggregate(F.map_entries(F.coalesce("by_level", F.create_map().cast("map<int,bigint>"))), F.lit(0).cast("bigint"), lambda s, e: s + F.when(e["key"] <= k, e["value"]).otherwise(0))
+    chosen, relaxed = _choice(upto, on_total)
+    return own.select("query_id", chosen.alias("chosen"), relaxed.alias("relaxed"))
+
+
+def _choice(upto, on_total: bool) -> tuple[Column, Column]:
+    """(chosen, relaxed) over a column steps; upto(k) is how many rows pass by step k."""
     page = upto if on_total else lambda k: F.least(F.coalesce(q("q_limit"), F.lit(20)).cast("bigint"), F.greatest(F.lit(0).cast("bigint"), upto(k) - F.coalesce(q("q_offset"), F.lit(0))))
     enough = F.filter("steps", lambda k: page(k) >= V.MIN_RESULTS)
     chosen = F.coalesce(F.try_element_at(enough, F.lit(1)), F.element_at("steps", -1))
     names = F.array(*map(F.lit, STEPS))
-    return own.select("query_id", chosen.alias("chosen"), F.transform(F.filter("steps", lambda k: (k > 0) & (k <= chosen)), lambda k: F.element_at(names, k)).alias("relaxed"))
+    return chosen, F.transform(F.filter("steps", lambda k: (k > 0) & (k <= chosen)), lambda k: F.element_at(names, k))
+
+
+def _order() -> list[Column]:
+    return [F.col("sort_value").asc_nulls_last(), F.col("listing_id")]
 
 
 def sort_value() -> Column:
@@ -140,16 +150,31 @@ def sort_value() -> Column:
 
 def numbered(found: DataFrame, most: int | None = None) -> DataFrame:
     """found with cand_ord, its place from 1 on within the query; most keeps the first so many."""
-    w = Window.partitionBy("query_id").orderBy(F.col("sort_value").asc_nulls_last(), "listing_id")
-    out = found.withColumn("sort_value", sort_value()).withColumn("cand_ord", F.row_number().over(w))
+    w = Window.partitionBy("query_id").orderBy(*_order())
+    if "sort_value" not in found.columns:
+        found = found.withColumn("sort_value", sort_value())
+    out = found.withColumn("cand_ord", F.row_number().over(w))
     return out.where(F.col("cand_ord") <= most) if most else out
 
 
 def hard_filter(listings: DataFrame, intents: DataFrame, *, cap: int | None = None, page: bool = True, on_total: bool = False) -> DataFrame:
-    """Candidates of each query: listings that pass at the chosen level, numbered by its order, its page only unless page is false, cap at most; with relaxed."""
-    found = matched(listings, intents)
-    chosen = choose_level(found, intents, on_total=on_total)
-    out = numbered(found.join(F.broadcast(chosen), "query_id").where("level <= chosen"), cap)  # one row for each intent
+    """Candidates of each query: listings that pass at the chosen level, numbered by its order, its page only unless page is false, cap at most; with chosen and relaxed.
+
+    One scan. The batch's last page end, or cap, bounds what a query can show and
+    what the choice of a level looks at, so each level's first rows up to that
+    bound, a literal that partial top-k lists use before any exchange, decide both.
+    """
+    found = matched(listings, intents).withColumn("sort_value", sort_value())
+    if not page and not cap:  # all rows are asked for
+        return numbered(found.join(F.broadcast(choose_level(found, intents, on_total=on_total)), "query_id").where("level <= chosen"))  # one row for each intent
+    end = intents.agg(F.max(F.coalesce("limit", F.lit(20)) + F.coalesce("offset", F.lit(0)))).first()[0] or 0
+    by_level = Window.partitionBy("query_id", "level").orderBy(*_order())
+    few = found.withColumn("_nth", F.row_number().over(by_level)).where(F.col("_nth") <= max(cap or 0, end, V.MIN_RESULTS)).drop("_nth")
+    counts = F.array(*(F.count_if(F.col("level") == k).over(Window.partitionBy("query_id")) for k in range(len(STEPS) + 1)))
+    few = few.withColumns({"_counts": counts, "steps": F.concat(F.array(F.lit(0)), active_steps())})
+    upto = lambda k: F.aggregate(F.slice("_counts", 1, k + 1), F.lit(0).cast("bigint"), lambda s, x: s + x)
+    chosen, relaxed = _choice(upto, on_total)
+    out = numbered(few.withColumns({"chosen": chosen, "relaxed": relaxed}).where("level <= chosen").drop("_counts", "steps"), min(cap or end, end) if page else cap)
     if page:
         out = out.where((F.col("cand_ord") > F.coalesce(q("q_offset"), F.lit(0))) & (F.col("cand_ord") <= F.coalesce(q("q_offset"), F.lit(0)) + F.coalesce(q("q_limit"), F.lit(20))))
     return out

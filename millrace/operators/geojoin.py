@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from millrace.functions import values as V
 from millrace.functions.geo import decay, distance_m
 
-#: Points of interest that are broadcast at most, for rows that the grid leaves open.
-MOST_BROADCAST = 200_000
+#: Points of interest that are broadcast at most, for rows that the grid leaves open: each of those rows meets them all.
+MOST_BROADCAST = 5_000
+#: Points of one request's batch at most.
+MOST_POINTS = 10_000
 
 
 def extract_coordinates(elements: DataFrame) -> DataFrame:
@@ -20,46 +22,53 @@ def extract_coordinates(elements: DataFrame) -> DataFrame:
     return out.where("lat is not null and lon is not null")
 
 
-def nearest(points: DataFrame, pois: DataFrame, *, id: str = "listing_id", cell: float = 0.05) -> DataFrame:
-    """(id, poi_type, metres): for each point and type the distance to the nearest, truncated.
+def _best(carry: list[str]) -> Column:
+    """The least distance with what lies there, the least of that among equals."""
+    return F.min(F.struct(distance_m(F.col("latitude"), F.col("longitude"), F.col("lat"), F.col("lon")).alias("d"), *carry)).alias("s")
+
+
+def nearest(points: DataFrame, pois: DataFrame, *, id: str = "listing_id", cell: float = 0.05, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, poi_type, metres, exact, and the columns carry of the nearest): for each point and type the distance to the nearest, truncated and as it is.
 
     Points meet what lies in their own and the eight cells around; what is
     nearer than the edge of those is certain. The rest, far from any, meets the
     types' whole sets: those are broadcast up to MOST_BROADCAST and met ring by ring of cells beyond.
     """
     own = points.where("latitude is not null and longitude is not null").select(F.col(id).alias("id"), "latitude", "longitude")
-    found = _within(own, pois, cell)
+    held = ["poi_type", "lat", "lon", *carry]
+    found = _within(own, pois, cell, list(carry)).select("id", "poi_type", "s.*")
     types = pois.select("poi_type").distinct()
     asked = own.join(F.broadcast(types), how="cross")  # a handful of types
     joined = asked.join(found, ["id", "poi_type"], "left")
     # The narrowest gap between a point and the edge of its nine cells, less a hundredth for the sphere.
     sure = F.lit(0.99 * cell * 111_000.0) * F.cos(F.radians(F.abs("latitude") + cell))
-    done = joined.where(F.col("d") <= sure).select("id", "poi_type", "d")
+    done = joined.where(F.col("d") <= sure).select("id", "poi_type", "d", *carry)
     rest = joined.where(F.col("d").isNull() | (F.col("d") > sure)).select("id", "poi_type", "latitude", "longitude")
     few = pois.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
     if few:
-        other = F.broadcast(pois.select("poi_type", "lat", "lon"))
-        far = rest.join(other, "poi_type").groupBy("id", "poi_type").agg(F.min(distance_m(F.col("latitude"), F.col("longitude"), F.col("lat"), F.col("lon"))).alias("d"))
+        far = rest.join(F.broadcast(pois.select(*held)), "poi_type").groupBy("id", "poi_type").agg(_best(list(carry))).select("id", "poi_type", "s.*")
     elif cell < 360:
-        far = nearest(rest.select(F.col("id").alias(id), "latitude", "longitude").distinct(), pois, id=id, cell=cell * 8).select(F.col(id).alias("id"), "poi_type", F.col("exact").alias("d")).join(rest.select("id", "poi_type"), ["id", "poi_type"], "left_semi")
+        far = nearest(rest.select(F.col("id").alias(id), "latitude", "longitude").distinct(), pois, id=id, cell=cell * 8, carry=carry).select(F.col(id).alias("id"), "poi_type", F.col("exact").alias("d"), *carry).join(rest.select("id", "poi_type"), ["id", "poi_type"], "left_semi")
     else:
-        far = rest.join(pois.select("poi_type", "lat", "lon"), "poi_type").groupBy("id", "poi_type").agg(F.min(distance_m(F.col("latitude"), F.col("longitude"), F.col("lat"), F.col("lon"))).alias("d"))
-    return done.unionByName(far).select(F.col("id").alias(id), "poi_type", F.col("d").cast("int").alias("metres"), F.col("d").alias("exact"))
+        far = rest.join(pois.select(*held), "poi_type").groupBy("id", "poi_type").agg(_best(list(carry))).select("id", "poi_type", "s.*")
+    return done.unionByName(far).select(F.col("id").alias(id), "poi_type", F.col("d").cast("int").alias("metres"), F.col("d").alias("exact"), *carry)
 
 
-def _within(own: DataFrame, pois: DataFrame, cell: float) -> DataFrame:
+def _within(own: DataFrame, pois: DataFrame, cell: float, carry: list[str]) -> DataFrame:
     at = lambda c: F.floor(F.col(c) / cell)
     around = F.explode(F.flatten(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda i: F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda j: F.struct((at("latitude") + i).alias("x"), (at("longitude") + j).alias("y"))))))
     asked = own.select("*", around.alias("c")).select("id", "latitude", "longitude", F.col("c.x").alias("x"), F.col("c.y").alias("y"))
-    held = pois.select("poi_type", "lat", "lon", at("lat").alias("x"), at("lon").alias("y"))
-    return asked.join(held, ["x", "y"]).groupBy("id", "poi_type").agg(F.min(distance_m(F.col("latitude"), F.col("longitude"), F.col("lat"), F.col("lon"))).alias("d"))
+    held = pois.select("poi_type", "lat", "lon", *carry, at("lat").alias("x"), at("lon").alias("y"))
+    return asked.join(held, ["x", "y"]).groupBy("id", "poi_type").agg(_best(carry))
 
 
 def k_nearest(points: DataFrame, pois: DataFrame, k: int = 5, radius_m: float = 2000.0, *, id: str = "point_id") -> DataFrame:
     """(id, rank, distance_m, lat, lon, name, kind): the k nearest whose truncated distance is within the radius.
 
-    points are one request's batch and are broadcast; only points of interest within a box around one are measured.
+    points are one request's batch, MOST_POINTS at most (more are refused), and are broadcast; only points of interest within a box around one are measured.
     """
+    if len(points.select(id).take(MOST_POINTS + 1)) > MOST_POINTS:
+        raise ValueError(f"a batch has at most {MOST_POINTS} points")
     margin = (radius_m + 1.0) / 111_000.0
     near = (F.abs(F.col("lat") - F.col("latitude")) <= margin) & (F.abs(F.col("lon") - F.col("longitude")) <= margin / F.greatest(F.lit(0.01), F.cos(F.radians(F.abs("latitude") + margin))))
     met = pois.join(F.broadcast(points.select(F.col(id), "latitude", "longitude")), near).withColumn("d", distance_m(F.col("latitude"), F.col("longitude"), F.col("lat"), F.col("lon")))
@@ -79,9 +88,7 @@ def reverse_geocode(points: DataFrame, places: DataFrame, *, id: str = "listing_
     from millrace.functions.scalars import lookup, place_city
 
     held = places.select(F.lit("place").alias("poi_type"), "lat", "lon", F.struct("name", "admin1", "country").alias("place"))
-    near = nearest(points, held.drop("place"), id=id)
-    back = points.join(near, id).join(F.broadcast(held.select("lat", "lon", "place")), F.abs(distance_m(F.col("latitude"), F.col("longitude"), F.col("lat"), F.col("lon")) - F.col("exact")) < 1e-6)
-    one = back.groupBy(id).agg(F.min("place").alias("place"))
+    one = nearest(points, held, id=id, carry=("place",))
     home = F.col("place.country") == "CH"
     return one.select(id, F.when(home, place_city(F.col("place.name"))).alias("city"), F.when(home, lookup(V.PLACE_CANTONS, F.col("place.admin1"))).alias("canton"))
 

@@ -9,8 +9,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import values as V
-from millrace.functions.scalars import any_of, matches
+from millrace.functions.scalars import any_of, holds, matches
 
+#: What any match of a pattern holds: long texts without are not searched by it.
+PARTS = {
+    V.EXCHANGE: ("tausch", "swap"),
+    V.COLIVING: ("living",),
+    V.WG_ROOM: ("zimmer", "camera", "room", "chambre"),
+    V.TEMPORARY_LISTING: ("befristet", "tempor", "fixed", "kurzfristig", "bis"),
+    V.SWAP: ("tausch", "swap", "change", "scambio"),
+    V.WANTED: ("suche", "cherche", "reprise", "cerco", "wanted", "looking"),
+    V.SHORT_TERM: ("befristet", "tempor", "zwischenmiete", "untervermietung", "location", "sublet", "abriss", "demoli", "bis", "jusqu", "fino"),
+}
+
+
+def in_text(text: Column, pattern: str) -> Column:
+    return matches(text, pattern, PARTS[pattern])
 
 
 def text_of(title: Column, description: Column) -> Column:
@@ -45,11 +59,11 @@ def listing_type_filter(df: DataFrame, query: Column, student: Column | None = N
     """Exchanges and wanted ads go, shared living too unless wanted."""
     text = text_of(F.col("title"), F.col("description"))
     shared = wants_shared(query, student)
-    return guarded(df, ~matches(text, V.EXCHANGE) & ~matches(F.col("title"), V.WANTED_TITLE) & (shared | ~(matches(text, V.COLIVING) | matches(text, V.WG_ROOM))))
+    return guarded(df, ~in_text(text, V.EXCHANGE) & ~matches(F.col("title"), V.WANTED_TITLE) & (shared | ~(in_text(text, V.COLIVING) | in_text(text, V.WG_ROOM))))
 
 
 def tenancy_filter(df: DataFrame, query: Column) -> DataFrame:
-    return guarded(df, wants_temporary(query) | ~matches(text_of(F.col("title"), F.col("description")), V.TEMPORARY_LISTING))
+    return guarded(df, wants_temporary(query) | ~in_text(text_of(F.col("title"), F.col("description")), V.TEMPORARY_LISTING))
 
 
 def area_filter(df: DataFrame, min_area: Column) -> DataFrame:
@@ -65,13 +79,14 @@ def soft_filters(df: DataFrame, query: Column, min_area: Column, student: Column
 def drop_reason() -> Column:
     """Why a listing is never shown: swap, wanted, or abroad, in this order; null if it may be."""
     text = text_of(F.col("title"), F.col("description"))
-    return F.when(matches(text, V.SWAP), "swap_listing").when(matches(text, V.WANTED), "wanted_listing").when(matches(F.col("title"), V.NON_SWISS_TITLE), "non_swiss_title")
+    return F.when(in_text(text, V.SWAP), "swap_listing").when(in_text(text, V.WANTED), "wanted_listing").when(matches(F.col("title"), V.NON_SWISS_TITLE), "non_swiss_title")
 
 
 def short_term_phrase() -> Column:
     """The words by which a listing is a short let; null if there are none."""
-    found = F.regexp_extract(text_of(F.col("title"), F.col("description")), f"(?iuU)({V.SHORT_TERM})", 1)
-    return F.when(found != "", F.lower(F.trim(found)))
+    text = text_of(F.col("title"), F.col("description"))
+    found = F.regexp_extract(text, f"(?iuU)({V.SHORT_TERM})", 1)
+    return F.when(holds(text, PARTS[V.SHORT_TERM]), F.when(found != "", F.lower(F.trim(found))))
 
 
 def quality_filter(df: DataFrame, query: Column, availability: Column | None = None, least: int = V.MIN_RESULTS) -> DataFrame:

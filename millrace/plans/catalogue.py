@@ -495,9 +495,40 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(own, asked, index, vec)
 
 
-@query()
+def _unified_sql() -> str:
+    """The three intents of flagship() by hand: their filters, levels, weights and signals."""
+    mm = lambda x: f"CASE WHEN {x} IS NOT NULL THEN CASE WHEN max({x}) OVER w > min({x}) OVER w THEN ({x} - min({x}) OVER w) / (max({x}) OVER w - min({x}) OVER w) ELSE 0 END ELSE 0 END"
+    corpus = "nullif(title, ''), nullif(city, ''), nullif(canton, ''), nullif(object_category, ''), nullif(object_type, ''), nullif(description, '')"
+    signals = [("dense", "s_de", 0.35), ("bm25", "s_bm", 0.2), ("vlm", "0E0", 0.0), ("geo_transit", "s_tr", 0.1), ("geo_school", "0E0", 0.0), ("geo_anchor", "s_an", 0.15), ("price_band", "s_pr", 0.1), ("lang_match", "s_la", 0.05)]
+    gate = {"geo_transit": "query_id = 1", "geo_anchor": "query_id = 3", "price_band": "query_id = 2", "lang_match": "query_id < 3"}
+    share = lambda name, column, weight: f"{column} * CASE WHEN {gate.get(name, 'true')} THEN {weight}E0 / 0.7E0 ELSE 0E0 END"
+    parts = ", ".join(f"{{'c': {share(n, c, w)}, 'at': {i}, 'n': '{n}', 'v': {c}::DOUBLE}}" for i, (n, c, w) in enumerate(signals))
+    return f"""WITH {L}, q AS (SELECT * FROM (VALUES (1::BIGINT, 'the and thing for my family', 'en'), (2, 'der und die wohnung', 'de'), (3, 'les pour dans', 'unknown')) t(query_id, raw_query, language)),
+    lv AS (SELECT query_id, raw_query, language, L.*, CASE query_id WHEN 1 THEN CASE WHEN canton = 'AS' OR canton IS NULL THEN CASE WHEN price <= 2500 THEN 0 WHEN price <= 3000 THEN 4 END END
+        WHEN 2 THEN CASE WHEN rooms >= 2 THEN 0 WHEN rooms >= 1.5 THEN 7 END ELSE CASE WHEN feature_balcony = 1 AND area <= 21 THEN 0 WHEN feature_balcony = 1 THEN 1 ELSE 3 END END AS level FROM L, q WHERE {_PLAIN}),
+    ch AS (SELECT query_id, CASE WHEN count(*) FILTER (level = 0) >= 5 THEN 0 WHEN query_id = 1 THEN 4 WHEN query_id = 2 THEN 7 WHEN count(*) FILTER (level <= 1) >= 5 THEN 1 ELSE 3 END AS chosen FROM lv GROUP BY 1),
+    pool AS (SELECT *, concat_ws(' ', nullif(title, ''), nullif(description, '')) AS x FROM (SELECT lv.*, chosen, row_number() OVER (PARTITION BY query_id ORDER BY listing_id) AS cand_ord FROM lv JOIN ch USING (query_id) WHERE level <= chosen) WHERE cand_ord <= 200),
+    ok AS (SELECT * FROM (SELECT *, query_id <> 1 OR NOT {_BEFRISTET} AS keep, count(*) FILTER (query_id <> 1 OR NOT {_BEFRISTET}) OVER (PARTITION BY query_id) AS kept FROM pool WHERE {_REASON} IS NULL) WHERE keep OR kept < 5),
+    corpus AS (SELECT listing_id AS doc_id, concat_ws('\n', {corpus}) AS text FROM L), {_bm25_sql('corpus')},
+    said AS (SELECT query_id, unnest({values_sql.tokens_sql('raw_query')}) AS term FROM q),
+    lex AS (SELECT query_id, p.doc_id, {_GAIN} AS s FROM said JOIN post p USING (term) JOIN idf USING (term) JOIN tok t ON t.doc_id = p.doc_id CROSS JOIN n GROUP BY 1, 2),
+    den AS (SELECT b.vec_id AS query_id, CAST(a.vec_id AS VARCHAR) AS doc_id, {_COS} AS s FROM embeddings a, embeddings b WHERE b.vec_id IN (1, 2, 3)),
+    raw_s AS (SELECT ok.*, greatest(0E0, den.s) AS de, coalesce(lex.s, 0) AS b0, CASE WHEN ok.query_id = 1 THEN exp(-coalesce(geo_transit_m, distance_public_transport) / 500E0) END AS tr, CASE WHEN ok.query_id = 3 THEN exp(-geo_university_m / 800E0) END AS an,
+        CASE WHEN ok.query_id = 2 THEN -price::DOUBLE END AS pr, CASE WHEN language <> 'unknown' THEN CASE WHEN x = '' THEN 0.5E0 WHEN {values_sql.detect_sql('x')} = language THEN 1E0 ELSE 0E0 END END AS la
+        FROM ok LEFT JOIN den ON den.query_id = ok.query_id AND den.doc_id = listing_id LEFT JOIN lex ON lex.query_id = ok.query_id AND lex.doc_id = listing_id),
+    bm AS (SELECT *, greatest(0E0, b0) AS bm FROM raw_s), sig AS (SELECT *, {mm('de')} AS s_de, {mm('bm')} AS s_bm, {mm('tr')} AS s_tr, {mm('an')} AS s_an, {mm('pr')} AS s_pr, {mm('la')} AS s_la FROM bm WINDOW w AS (PARTITION BY query_id)),
+    sc AS (SELECT *, ({' + '.join(share(*x) for x in signals)}) * CASE WHEN object_category IN ('WG-Zimmer', 'Einzelzimmer') THEN 0.4E0 ELSE 1E0 END AS score FROM sig),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cand_ord)::INT AS rank FROM sc), top AS (SELECT * FROM rk WHERE rank <= 5),
+    pt AS (SELECT query_id AS pq, listing_id AS pl, p, row_number() OVER (PARTITION BY query_id, listing_id ORDER BY p.c DESC, p.at) AS k FROM (SELECT query_id, listing_id, unnest([{parts}]) AS p FROM top)),
+    why AS (SELECT pq, pl, string_agg(p.n || '=' || printf('%.2f', p.v), ', ' ORDER BY k) FILTER (k <= 3) AS reason, coalesce(string_agg(p.n, ',' ORDER BY k) FILTER (k <= 3 AND p.c > 0), '') AS best FROM pt GROUP BY 1, 2)
+    SELECT query_id, rank, listing_id, round(score, 6) AS score, reason, best, city, canton, price, rooms, area, CASE WHEN query_id = 1 AND chosen >= 4 THEN 'max_price' WHEN query_id = 2 AND chosen = 7 THEN 'min_rooms' WHEN query_id = 3 AND chosen = 3 THEN 'max_area,features' WHEN query_id = 3 AND chosen >= 1 THEN 'max_area' ELSE '' END AS relaxed
+    FROM top JOIN why ON pq = query_id AND pl = listing_id"""
+
+
 def unified_search(spark, sf_dir):
-    return flagship(spark, sf_dir)
+    """The flagship's results, with nested columns as text."""
+    best = F.concat_ws(",", F.transform("top_signals", lambda p: p["signal"]))
+    return flagship(spark, sf_dir).select("query_id", "rank", "listing_id", "score", "reason", best.alias("best"), "city", "canton", "price", "rooms", "area", F.concat_ws(",", "relaxed").alias("relaxed"))
 
 
 # ---- Text retrieval ----
@@ -517,12 +548,18 @@ def _index(spark, sf_dir) -> bm25.Bm25Index:
     return bm25.build_index(read(spark, sf_dir, "documents"), id="doc_id", text="text")
 
 
-_BM25 = f"""WITH tok AS (SELECT doc_id, {values_sql.tokens_sql('text')} AS ts FROM documents), n AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM tok),
-    post AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(ts) AS term FROM tok) GROUP BY 1, 2), dfs AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
-    raw AS (SELECT term, df, ln(n - df + 0.5E0) - ln(df + 0.5E0) AS r FROM dfs, n), idf AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25E0 * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw)"""
+def _bm25_sql(corpus: str) -> str:
+    """Statistics of corpus, a table with doc_id and text; each step is made once."""
+    return f"""tok AS MATERIALIZED (SELECT doc_id, {values_sql.tokens_sql('text')} AS ts FROM {corpus}), n AS MATERIALIZED (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM tok),
+    post AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(ts) AS term FROM tok) GROUP BY 1, 2), dfs AS MATERIALIZED (SELECT term, count(*) AS df FROM post GROUP BY 1),
+    raw AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5E0) - ln(df + 0.5E0) AS r FROM dfs CROSS JOIN n), low AS MATERIALIZED (SELECT 0.25E0 * avg(r) AS low FROM raw), idf AS MATERIALIZED (SELECT term, df, CASE WHEN r < 0 THEN low ELSE r END AS idf FROM raw CROSS JOIN low)"""
+
+
+_GAIN = "sum(idf * tf * 2.5E0 / (tf + 1.5E0 * (0.25E0 + 0.75E0 * len(ts) / avgdl)))"
+_BM25 = f"WITH {_bm25_sql('documents')}"
 _TERMS = "(VALUES (1, 'thand the erin erin'), (2, 'der sch heit, ung'), (3, 'qqq')) AS t(query_id, raw_query)"
 _BM25_SCORE = f"""{_BM25}, q AS (SELECT query_id, unnest({values_sql.tokens_sql('raw_query')}) AS term FROM {_TERMS}),
-    sc AS (SELECT query_id, p.doc_id, sum(idf * tf * 2.5E0 / (tf + 1.5E0 * (0.25E0 + 0.75E0 * len(ts) / avgdl))) AS s FROM q JOIN post p USING (term) JOIN idf USING (term) JOIN tok t ON t.doc_id = p.doc_id, n GROUP BY 1, 2)"""
+    sc AS (SELECT query_id, p.doc_id, {_GAIN} AS s FROM q JOIN post p USING (term) JOIN idf USING (term) JOIN tok t ON t.doc_id = p.doc_id, n GROUP BY 1, 2)"""
 
 
 @query(f"{_BM25} SELECT term, df, round(idf, 6) AS idf FROM idf")
@@ -558,6 +595,7 @@ def _probes(spark, sf_dir) -> DataFrame:
 
 
 _COS = "list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
+query(_unified_sql())(unified_search)
 
 
 @query(f"SELECT query_id, vec_id, rank, round(c, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, vec_id)::INT AS rank FROM (SELECT b.vec_id AS query_id, a.vec_id, {_COS} AS c FROM embeddings a, embeddings b WHERE b.vec_id % 20 = 0)) WHERE rank <= 10")
@@ -685,6 +723,33 @@ def geo_enrichment(spark, sf_dir):
     return geojoin.enrich(listings(spark, sf_dir), pois(spark, sf_dir)).select("listing_id", "geo_transit_m", "geo_school_m")
 
 
+_PLACES = "(SELECT s_name AS name, ([{LIST}])[s_suppkey % 4 + 1] AS admin1, CASE WHEN s_suppkey % 5 = 0 THEN 'IT' ELSE 'CH' END AS country, lat, lon FROM supplier JOIN P ON P.name = s_name)".replace("{LIST}", "'Zurich', 'Ticino', 'Wallis', 'nowhere'")
+_HOME = f"h AS (SELECT listing_id, arg_min({{'n': name, 'a': admin1, 'c': country}}, {_M.format(h=_h('latitude', 'longitude', 'lat', 'lon'))}) AS p FROM L, {_PLACES} WHERE latitude IS NOT NULL GROUP BY 1), home AS (SELECT listing_id, CASE WHEN p.c = 'CH' THEN p.n END AS city, CASE WHEN p.c = 'CH' THEN CASE p.a WHEN 'Zurich' THEN 'ZH' WHEN 'Ticino' THEN 'TI' WHEN 'Wallis' THEN 'VS' END END AS canton FROM h)"
+
+
+def _places(spark, sf_dir) -> DataFrame:
+    """Suppliers as a gazetteer of four regions, a fifth of them abroad."""
+    k = F.col("s_suppkey")
+    held = read(spark, sf_dir, "supplier").join(pois(spark, sf_dir), F.col("s_name") == F.col("name"))
+    return held.select("name", F.element_at(F.array(*map(F.lit, ("Zurich", "Ticino", "Wallis", "nowhere"))), (k % 4 + 1).cast("int")).alias("admin1"), F.when(k % 5 == 0, "IT").otherwise("CH").alias("country"), "lat", "lon")
+
+
+@query(f"WITH {L}, {P}, {_HOME} SELECT * FROM home")
+def reverse_geocode(spark, sf_dir):
+    return geojoin.reverse_geocode(listings(spark, sf_dir), _places(spark, sf_dir))
+
+
+@query(
+    f"""WITH {L}, {P}, {_HOME}, n AS (SELECT listing_id, poi_type, trunc(min({_M.format(h=_h('latitude', 'longitude', 'lat', 'lon'))}))::INT AS m FROM L, P WHERE latitude IS NOT NULL AND (geo_transit_m IS NULL OR geo_supermarket_m IS NULL OR geo_school_m IS NULL OR geo_university_m IS NULL) GROUP BY 1, 2),
+    w AS (SELECT listing_id, max(m) FILTER (poi_type = 'transit') AS tr, max(m) FILTER (poi_type = 'supermarket') AS su, max(m) FILTER (poi_type = 'school') AS sc, max(m) FILTER (poi_type = 'university') AS un FROM n GROUP BY 1)
+    SELECT l.listing_id, coalesce(tr, geo_transit_m) AS geo_transit_m, coalesce(su, geo_supermarket_m) AS geo_supermarket_m, coalesce(sc, geo_school_m) AS geo_school_m, coalesce(un, geo_university_m) AS geo_university_m,
+    coalesce(l.city, home.city) AS city, CASE WHEN l.city IS NULL AND home.city IS NOT NULL THEN home.canton ELSE l.canton END AS canton FROM L l LEFT JOIN w USING (listing_id) LEFT JOIN home USING (listing_id)"""
+)
+def geo_enrichment_whole(spark, sf_dir):
+    """All four distances, and city and canton where the city is unknown."""
+    return geojoin.enrich(listings(spark, sf_dir), pois(spark, sf_dir), _places(spark, sf_dir)).select("listing_id", *geojoin.GEO_COLUMNS.values(), "city", "canton")
+
+
 # ---- Sessions ----
 
 
