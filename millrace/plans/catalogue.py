@@ -350,6 +350,24 @@ def typed_listings(spark, sf_dir):
     return out.select("listing_id", "title", F.md5("description").alias("description"), "city", "canton", "price", "rooms", "latitude", "feature_balcony", F.concat_ws(",", "features").alias("features"), "offer_type")
 
 
+_ORIG = """CASE doc_id % 3 WHEN 0 THEN '{"Features":[{"Key":"HasLift","Value":"true"},{"Key":"HasBalconies"},{"Key":"HasParkingIndoor","Value":null}],"MainData":[{"Key":"NumBalconies","Value":"0"},{"Key":"PetsAllowed","Value":"yes"},{"Key":"IsNewBuilding","Value":"false"},{"Key":"PetsAllowed","Value":"no"}]}' WHEN 1 THEN '{"Features":[]}' END"""
+_PLACE = """CASE doc_id % 2 WHEN 0 THEN '{"City":"Bern","PostalCode":"3000","canton":"be","Street":"Gasse","StreetNumber":"7"}' ELSE '{"City":"NULL","Street":"Weg"}' END"""
+_FLAG_CASES = {"balcony": "true, false", "elevator": "true, false", "parking": "false, false", "garage": "false, false", "fireplace": "false, false", "pets_allowed": "false, NULL", "new_build": "false, NULL", "wheelchair_accessible": "false, NULL", "private_laundry": "false, false", "minergie_certified": "false, NULL"}
+_FLAGS_SQL = ", ".join(f"CASE doc_id % 3 WHEN 0 THEN {v.split(', ')[0]} WHEN 1 THEN {v.split(', ')[1]} END AS {k}" for k, v in _FLAG_CASES.items())
+
+
+@query(
+    f"""SELECT doc_id, {_FLAGS_SQL}, doc_id % 7 = 0 AS child_friendly, CASE WHEN doc_id % 7 = 1 THEN true END AS temporary,
+    CASE WHEN doc_id % 5 = 0 THEN 'Chur' WHEN doc_id % 2 = 0 THEN 'Bern' END AS city, CASE WHEN doc_id % 2 = 0 THEN '3000' END AS postal_code, CASE WHEN doc_id % 2 = 0 THEN 'BE' END AS canton, CASE WHEN doc_id % 2 = 0 THEN 'Gasse 7' ELSE 'Weg' END AS street FROM documents"""
+)
+def row_flags(spark, sf_dir):
+    """The twelve features and the address of raw rows from their JSON columns."""
+    k = F.col("doc_id")
+    given = {"id": k.cast("string"), "orig_data": F.expr(_ORIG), "location_address": F.expr(_PLACE), "object_city": F.when(k % 5 == 0, " Chur"), "prop_child_friendly": F.when(k % 7 == 0, "yes").otherwise("0"), "maybe_temporary": F.when(k % 7 == 1, "x")}
+    out = sources.prepare(read(spark, sf_dir, "documents").select(*(given.get(c, F.lit(None).cast("string")).alias(c) for c in V.RAW_COLUMNS)))
+    return out.select(F.col("listing_id").cast("bigint").alias("doc_id"), *(F.col(f"feature_{f}").alias(f) for f in V.FEATURES), "city", "postal_code", "canton", "street")
+
+
 # ---- Signals, weights, fusion ----
 
 _SCORED = f"{L}, s AS (SELECT 1 + CAST(listing_id AS INT) % 4 AS query_id, listing_id, CASE WHEN CAST(listing_id AS INT) % 10 = 9 THEN NULL ELSE area - 60 END AS v, price FROM L)"
@@ -461,6 +479,25 @@ def top3_reason(spark, sf_dir):
     return _fused(spark, sf_dir).select("query_id", "listing_id", F.size(top).alias("n"), F.concat_ws(",", F.transform(top, lambda p: p["signal"])).alias("names")).where("n > 0")
 
 
+@query(
+    _fusion_sql(
+        """, parts AS (SELECT query_id, listing_id, unnest([{'c': 0E0, 'at': 0, 'n': 'dense', 'v': 0E0}, {'c': 0E0, 'at': 1, 'n': 'bm25', 'v': 0E0}, {'c': 0E0, 'at': 2, 'n': 'vlm', 'v': 0E0}, {'c': s_tr * 0.1E0, 'at': 3, 'n': 'geo_transit', 'v': s_tr}, {'c': s_sc * 0.05E0, 'at': 4, 'n': 'geo_school', 'v': s_sc}, {'c': s_an * 0.15E0, 'at': 5, 'n': 'geo_anchor', 'v': s_an}, {'c': s_pr * 0.1E0, 'at': 6, 'n': 'price_band', 'v': s_pr}, {'c': s_la * 0.05E0, 'at': 7, 'n': 'lang_match', 'v': s_la}]) AS p FROM rk WHERE rank <= 30),
+        o AS (SELECT query_id, listing_id, p, row_number() OVER (PARTITION BY query_id, listing_id ORDER BY p.c DESC, p.at) AS k FROM parts)
+        SELECT query_id, listing_id, string_agg(p.n || '=' || printf('%.2f', p.v::DOUBLE), ', ' ORDER BY k) AS reason FROM o WHERE k <= 3 GROUP BY 1, 2"""
+    )
+)
+def reason_text(spark, sf_dir):
+    s, w = search._columns()
+    return _fused(spark, sf_dir).select("query_id", "listing_id", ranking.reason(ranking.contributions(s, w)).alias("reason"))
+
+
+@query("SELECT * FROM (VALUES (1::BIGINT, 0.5E0 / 0.7E0, 0.2E0 / 0.7E0, 0E0), (2, 0.5E0 / 0.75E0, 0.2E0 / 0.75E0, 0.05E0 / 0.75E0)) t(query_id, dense, bm25, lang_match)".replace("SELECT *", "SELECT query_id, round(dense, 6) AS dense, round(bm25, 6) AS bm25, round(lang_match, 6) AS lang_match"))
+def weight_overrides(spark, sf_dir):
+    """Weights given by hand go last: `dense=0.5`, and what is no number counts for nothing."""
+    own = weights.with_weights(intents(spark, _WEIGHT_CASES[:2]), weights.parse_overrides(F.lit("dense=0.5, bm25=x,vlm=-3")))
+    return own.select("query_id", *(F.round(f"w_{k}", 6).alias(k) for k in ("dense", "bm25", "lang_match")))
+
+
 @query("SELECT * FROM (VALUES (1, 'bright airy'), (2, 'Flat with a nice VIEW'), (3, NULL)) t(i, prompt)")
 def visual_prompt(spark, sf_dir):
     own = _rows(spark, "(VALUES (1, 'flat', 'bright;airy'), (2, 'Flat with a nice VIEW', ''), (3, 'flat in Bern', '')) AS t(i, q, d)")
@@ -635,14 +672,25 @@ def l2_normalise(spark, sf_dir):
     return own.select("vec_id", F.posexplode(vectors.unit(F.col("v"))).alias("i", "x")).select("vec_id", "i", F.round("x", 6).alias("x"))
 
 
+_PROBE_TEXT = "CASE vec_id % 3 WHEN 0 THEN 'thand the erin erin' WHEN 1 THEN 'der sch heit, ung' ELSE 'erin sch' END"
+
+
 @query(
-    f"""WITH d AS (SELECT a.vec_id AS id, {_COS} AS s FROM embeddings a, embeddings b WHERE b.vec_id = 20 ORDER BY round(s, 9) DESC, id LIMIT 100), l AS ({_BM25_SCORE} SELECT doc_id AS id, s FROM sc WHERE query_id = 1 ORDER BY round(s, 9) DESC, id LIMIT 100)
-    SELECT coalesce(d.id, l.id) AS id, round(0.6E0 * coalesce(d.s / (SELECT max(s) FROM d), 0) + 0.4E0 * coalesce(l.s / (SELECT max(s) FROM l), 0), 6) AS score FROM d FULL JOIN l ON d.id = l.id"""
+    f"""WITH {_bm25_sql('documents')}, q AS (SELECT query_id, unnest({values_sql.tokens_sql('said')}) AS term FROM (SELECT vec_id AS query_id, {_PROBE_TEXT} AS said FROM embeddings WHERE vec_id % 20 = 0)),
+    sc AS (SELECT query_id, p.doc_id AS id, {_GAIN} AS s FROM q JOIN post p USING (term) JOIN idf USING (term) JOIN tok t ON t.doc_id = p.doc_id CROSS JOIN n GROUP BY 1, 2),
+    de AS (SELECT b.vec_id AS query_id, a.vec_id AS id, {_COS} AS s FROM embeddings a, embeddings b WHERE b.vec_id % 20 = 0),
+    l AS (SELECT * FROM (SELECT *, max(s) OVER (PARTITION BY query_id) AS hi, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, id) AS k FROM sc) WHERE k <= 100),
+    d AS (SELECT * FROM (SELECT *, max(s) OVER (PARTITION BY query_id) AS hi, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, id) AS k FROM de) WHERE k <= 100)
+    SELECT coalesce(d.query_id, l.query_id) AS query_id, coalesce(d.id, l.id) AS id, round(0.6E0 * coalesce(CASE WHEN d.hi > 0 THEN d.s / d.hi ELSE d.s END, 0) + 0.4E0 * coalesce(CASE WHEN l.hi > 0 THEN l.s / l.hi ELSE l.s END, 0), 6) AS score
+    FROM d FULL JOIN l ON d.query_id = l.query_id AND d.id = l.id"""
 )
 def hybrid_full_outer(spark, sf_dir):
-    dense = vectors.best(vectors.similarities(_vectors(spark, sf_dir), _probes(spark, sf_dir).where("query_id = 20"), id="vec_id"), 100, id="vec_id").select(F.lit(1).alias("query_id"), F.col("vec_id").alias("id"), F.col("cosine").alias("score"))
-    lexical = bm25.search(_index(spark, sf_dir), _rows(spark, _TERMS).where("query_id = 1"), 100).select("query_id", F.col("doc_id").alias("id"), "score")
-    return vectors.hybrid(dense, lexical, 0.6, id="id").select("id", F.round("score", 6).alias("score"))
+    """Every probe, with a text of its own beside its vector."""
+    asked = _probes(spark, sf_dir)
+    dense = vectors.best(vectors.similarities(_vectors(spark, sf_dir), asked, id="vec_id"), 100, id="vec_id").select("query_id", F.col("vec_id").alias("id"), F.col("cosine").alias("score"))
+    said = asked.select("query_id", F.expr(_PROBE_TEXT.replace("vec_id", "query_id")).alias("raw_query"))
+    lexical = bm25.search(_index(spark, sf_dir), said, 100).select("query_id", F.col("doc_id").alias("id"), "score")
+    return vectors.hybrid(dense, lexical, 0.6, id="id").select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 _STORE = "store AS (SELECT *, CASE vec_id % 3 WHEN 0 THEN 'old' ELSE 'new' END AS model_id FROM embeddings)"
@@ -901,6 +949,66 @@ def image_object_urls(spark, sf_dir):
     return stores.image_objects(own, "https://b.example").select("listing_id", F.concat_ws(",", "urls").alias("urls"))
 
 
+# ---- Tables written and read back ----
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, md5(concat('\"', source, '\" says' || chr(10), replace(text, chr(13), ' '))) AS remarks, source AS title FROM documents WHERE text IS NOT NULL")
+def csv_scan(spark, sf_dir):
+    """Raw rows from two CSV files whose fields hold quotes, commas and line breaks."""
+    text = F.concat(F.lit('"'), F.col("source"), F.lit('" says\n'), F.replace("text", F.lit("\r"), F.lit(" ")))
+    given = {"id": F.col("doc_id").cast("string"), "title": F.col("source"), "remarks": text}
+    raw = read(spark, sf_dir, "documents").where("text is not null").select(*(given.get(c, F.lit(None).cast("string")).alias(c) for c in V.RAW_COLUMNS))
+    path = stores.new_folder(spark)
+    raw.repartition(2).write.options(header=True, quote='"', escape='"', encoding="UTF-8", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return sources.read_csv(spark, path).select("id", F.md5("remarks").alias("remarks"), "title")
+
+
+@query(f"WITH {L} SELECT canton, count(*) AS n, sum(price)::BIGINT AS prices, false AS again FROM L GROUP BY 1")
+def bootstrap_table(spark, sf_dir):
+    """A table is written once; the second call does nothing."""
+    own, path = listings(spark, sf_dir), stores.new_folder(spark)
+    sources.bootstrap(own, path)
+    again = sources.bootstrap(own.limit(1), path)
+    held = spark.read.parquet(path)
+    if sources.missing_columns(held, own.columns):
+        raise ValueError("columns are missing")
+    return held.groupBy("canton").agg(F.count("*").alias("n"), F.sum("price").cast("bigint").alias("prices")).withColumn("again", F.lit(again))
+
+
+@query("SELECT label, count(*) AS n, round(sum(list_sum(embedding::DOUBLE[])), 6) AS total FROM embeddings GROUP BY 1")
+def shard_round_trip(spark, sf_dir):
+    path = stores.new_folder(spark)
+    own = _vectors(spark, sf_dir)
+    stores.write_shards(own.where("label < 5"), path, 100)
+    stores.write_shards(own.where("label >= 5"), path, 100)
+    return stores.read_shards(spark, path).groupBy("label").agg(F.count("*").alias("n"), F.round(F.sum(F.aggregate(F.col("vector").cast("array<double>"), F.lit(0.0), lambda s, x: s + x)), 6).alias("total"))
+
+
+@query(f"{_BM25_SCORE} SELECT query_id, doc_id, round(s, 6) AS bm25 FROM sc")
+def bm25_saved(spark, sf_dir):
+    """Scores from an index that was written and loaded."""
+    path = stores.new_folder(spark)
+    _index(spark, sf_dir).save(path)
+    return bm25.score(bm25.Bm25Index.load(spark, path), _rows(spark, _TERMS)).select("query_id", "doc_id", F.round("bm25", 6).alias("bm25"))
+
+
+@query("SELECT user_id AS session_id, CASE event_type WHEN 'purchase' THEN 'save' ELSE 'click' END AS event_type, count(*) AS n, count(DISTINCT event_id) AS ids FROM events WHERE event_type IN ('click', 'purchase') GROUP BY 1, 2")
+def event_append(spark, sf_dir):
+    """Two batches appended to one table, each event with an id and a time of its own."""
+    path = stores.new_folder(spark)
+    own = _events(spark, sf_dir).where("event_type in ('click', 'save')").withColumn("dwell_ms", F.lit(None).cast("bigint"))
+    events.append(own.where("id % 2 = 0"), path)
+    events.append(own.where("id % 2 = 1"), path)
+    return spark.read.parquet(path).where("ts is not null").groupBy("session_id", "event_type").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"))
+
+
+@query("SELECT doc_id % 4 AS query_id, doc_id, source FROM documents")
+def json_results(spark, sf_dir):
+    path = stores.new_folder(spark)
+    stores.write_results(read(spark, sf_dir, "documents").select((F.col("doc_id") % 4).alias("query_id"), "doc_id", "source"), path)
+    return spark.read.schema("query_id bigint, doc_id bigint, source string").json(path)
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

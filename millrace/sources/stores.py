@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +15,21 @@ from millrace.functions.scalars import file_slug
 ELEMENT = "type string, lat double, lon double, center struct<lat:double,lon:double>, tags struct<name:string,amenity:string,highway:string,railway:string,shop:string>"
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A path of its own in the folder that driver and executors share; a local master without one gets a temporary folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        own = tempfile.mkdtemp(prefix="millrace-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        shared = f"file://{own}"
+    path = f"{shared}/millrace/{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
 def read_poi_cache(spark: SparkSession, path: str, poi_type: str) -> DataFrame:
     """Elements of one type's JSON cache, a list or an object with `elements`."""
     text = spark.read.text(path, wholetext=True).select("value")
