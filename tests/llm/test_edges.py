@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from millrace.llm import epsilon_join, langid, packing, quality_gam, quality_rules, simhash, suffix_dedup, token_counts, url_filter, word_bpe
+from millrace.llm import epsilon_join, langid, packing, quality_gam, quality_rules, similar, simhash, suffix_dedup, token_counts, url_filter, word_bpe
 from millrace.llm.base import held_out
 
 BYTES, WORDS = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -75,6 +75,13 @@ def test_simhash(docs):
     assert kept.columns == docs.columns
 
 
+def test_similar(docs):
+    kept = similar.keep_first(docs.withColumn("__gone", docs["h"]))
+    assert kept.columns == [*docs.columns, "__gone"]
+    groups = {r.doc_id: r.component_id for r in similar.similar_groups(docs).collect()}
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in docs.collect() if r.doc_id is None or groups[r.doc_id] == r.doc_id)
+
+
 def test_suffixes(docs):
     spans = suffix_dedup.shared_passages(docs).toPandas()
     assert (spans["last"] - spans["first"] >= 50).all() if len(spans) else True
