@@ -195,3 +195,15 @@ def test_library_does_not_need_the_llm_subpackage():
         if "llm" not in path.parts:
             assert "millrace.llm" not in path.read_text(), path
     assert search
+
+
+def test_a_page_is_bounded_before_it_is_sorted(spark):
+    """Partial top-k lists by a literal bound, and one scan of the listings."""
+    from millrace.operators import filters
+    from millrace.plans import catalogue
+    from millrace.plans.schema import intents
+
+    own = catalogue.listings(spark, "/root/testdata/sf0.001")
+    out = filters.hard_filter(own, intents(spark, [{"query_id": 1, "max_price": 900, "offset": 3, "limit": 12}, {"query_id": 2}]))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2 and plan.count("documents.parquet") == 1 and "CartesianProduct" not in plan
