@@ -24,7 +24,9 @@ def extract_coordinates(elements: DataFrame) -> DataFrame:
 
 def _best(carry: list[str]) -> Column:
     """The least distance with what lies there, the least of that among equals."""
-    return F.min(F.struct(distance_m(F.col("latitude"), F.col("longitude"), F.col("lat"), F.col("lon")).alias("d"), *carry)).alias("s")
+    d = distance_m(F.col("latitude"), F.col("longitude"), F.col("lat"), F.col("lon"))
+    # A number alone aggregates by hash, a struct by sorting.
+    return (F.min(F.struct(d.alias("d"), *carry)) if carry else F.struct(F.min(d).alias("d"))).alias("s")
 
 
 def nearest(points: DataFrame, pois: DataFrame, *, id: str = "listing_id", cell: float = 0.05, carry: tuple[str, ...] = ()) -> DataFrame:
