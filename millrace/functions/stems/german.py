@@ -1,17 +1,9 @@
-"""German suffix stripping, after the published Snowball description, as a vectorised function.
-
-Other languages pass as they are: give the index and the queries alike a
-function of your own from token arrays to token arrays.
-"""
+"""German stems, after the published Snowball description."""
 
 from __future__ import annotations
 
 import re
 
-import pandas as pd
-from pyspark.sql import Column
-from pyspark.sql.functions import pandas_udf
-
 _VOWELS = "aeiouyäöü"
 _REGION = re.compile(f"[{_VOWELS}][^{_VOWELS}]")
 _STEP1 = re.compile(r"(ern|em|er)$|(en|es|e)$|(?<=[bdfghklmnrt])(s)$")
@@ -20,7 +12,7 @@ _STEP3 = re.compile(r"(end|ung|isch|ig|ik|lich|heit|keit)$")
 _PLAIN = str.maketrans("äöüUY", "aouuy")
 
 
-def german_stem(word: str) -> str:
+def stem(word: str) -> str:
     w = word.replace("ß", "ss")
     w = re.sub(f"(?<=[{_VOWELS}])([uy])(?=[{_VOWELS}])", lambda m: m[1].upper(), w)
     first = _REGION.search(w)
@@ -46,19 +38,3 @@ def german_stem(word: str) -> str:
             cut = next((e for e in ("lich", "ig") if rest.endswith(e) and len(rest) - len(e) >= r2), "")
             w = rest[: len(rest) - len(cut)]
     return w.translate(_PLAIN)
-
-
-def german(tokens: Column) -> Column:
-    """A token array with each token stemmed; each distinct token of a batch once."""
-    @pandas_udf("array<string>")
-    def stemmed(arrays: pd.Series) -> pd.Series:
-        known: dict[str, str] = {}
-
-        def of(t):
-            if t not in known:
-                known[t] = german_stem(t)
-            return known[t]
-
-        return arrays.map(lambda a: None if a is None else [of(t) for t in a])
-
-    return stemmed(tokens)

@@ -12,10 +12,13 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit("(?U)" + V.TOKEN), F.lit(0))
 
 
-def tokens(c: Column, stem=None) -> Column:
-    """Lower-cased words of two letters up, function words dropped; stem maps the array on, by default to itself."""
+def tokens(c: Column, stem=None, language: Column | None = None) -> Column:
+    """Lower-cased words of two letters up, function words dropped.
+
+    stem, such as stems.by_language, maps the array and the language, by default that of the text, to the stems.
+    """
     kept = F.filter(words(c), lambda t: (F.length(t) > 1) & ~t.isin(*V.STOPWORDS))
-    return F.coalesce(stem(kept) if stem else kept, F.array().cast("array<string>"))
+    return F.coalesce(stem(kept, detect_language(c) if language is None else language) if stem else kept, F.array().cast("array<string>"))
 
 
 def detect_language(c: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions import stems
 from millrace.functions import values as V
 from millrace.functions.text import tokens
 
@@ -23,22 +24,23 @@ def embedding_text() -> Column:
 
 
 class Bm25Index:
-    """postings (doc_id, term, tf), docs (doc_id, dl), terms (term, idf, raw_idf), corpus (n, avgdl)."""
+    """postings (doc_id, term, tf), docs (doc_id, dl), terms (term, df, idf), corpus (n, avgdl); queries are stemmed as the documents were."""
 
-    def __init__(self, postings: DataFrame, docs: DataFrame, terms: DataFrame, corpus: DataFrame):
-        self.postings, self.docs, self.terms, self.corpus = postings, docs, terms, corpus
+    def __init__(self, postings: DataFrame, docs: DataFrame, terms: DataFrame, corpus: DataFrame, stem=stems.by_language):
+        self.postings, self.docs, self.terms, self.corpus, self.stem = postings, docs, terms, corpus, stem
 
     def save(self, path: str) -> None:
         for name in ("postings", "docs", "terms", "corpus"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
     @classmethod
-    def load(cls, spark, path: str) -> Bm25Index:
-        return cls(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "docs", "terms", "corpus")))
+    def load(cls, spark, path: str, stem=stems.by_language) -> Bm25Index:
+        """stem as it was when the index was built."""
+        return cls(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "docs", "terms", "corpus")), stem)
 
 
-def build_index(documents: DataFrame, *, id: str, text: str, stem=None) -> Bm25Index:
-    """Statistics over all documents, by distinct ids; those without a token count too, with length 0. stem maps a token array on, by default to itself."""
+def build_index(documents: DataFrame, *, id: str, text: str, stem=stems.by_language) -> Bm25Index:
+    """Statistics over all documents, by distinct ids; those without a token count too, with length 0. Each is stemmed in the language that its text shows; stem=None leaves tokens as they are."""
     split = documents.select(F.col(id).alias("doc_id"), tokens(F.col(text), stem).alias("tokens"))
     # Counted by document first: a common word's postings are one row a document. All else follows from this table, so texts are split once.
     counted = split.select("doc_id", F.explode_outer("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count("term").alias("tf")).persist()
@@ -49,15 +51,17 @@ def build_index(documents: DataFrame, *, id: str, text: str, stem=None) -> Bm25I
     raw = df.join(F.broadcast(corpus), how="cross").select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw_idf"))  # one row
     floor = raw.agg((F.avg("raw_idf") * V.BM25_EPSILON).alias("floor"))
     terms = raw.join(F.broadcast(floor), how="cross").select("term", "df", F.when(F.col("raw_idf") < 0, F.col("floor")).otherwise(F.col("raw_idf")).alias("idf"))  # one row
-    return Bm25Index(postings, docs, terms, corpus)
+    return Bm25Index(postings, docs, terms, corpus, stem)
 
 
-def score(index: Bm25Index, queries: DataFrame, candidates: DataFrame | None = None, *, text: str = "raw_query", stem=None) -> DataFrame:
+def score(index: Bm25Index, queries: DataFrame, candidates: DataFrame | None = None, *, text: str = "raw_query") -> DataFrame:
     """(query_id, doc_id, bm25) over documents that share a term with the query; a term said twice counts twice.
 
+    Words are stemmed in the query's language where it has such a column, else as German.
     candidates (query_id, doc_id) are joined before anything is scored.
     """
-    asked = queries.select("query_id", F.explode(tokens(F.col(text), stem)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    language = F.col("language") if "language" in queries.columns else F.lit("de")
+    asked = queries.select("query_id", F.explode(tokens(F.col(text), index.stem, language)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     rated = asked.join(index.terms, "term").join(F.broadcast(index.corpus), how="cross")  # one row
     hits = index.postings.join(F.broadcast(rated), "term")  # terms of one batch of intents
     if candidates is not None:

@@ -1,26 +1,18 @@
-"""The caller's functions, and stems."""
+"""The caller's functions."""
 
 import pytest
 from pyspark.sql import functions as F
 
 from millrace import api
-from millrace.functions import stems
 from millrace.operators import bm25
 from millrace.plans import fixture
 
 SF = "/root/testdata/sf0.001"
 
 
-def test_stems(spark):
-    known = {"aufeinander": "aufeinand", "kategorien": "kategori", "wohnungen": "wohnung", "häuser": "haus", "schönes": "schon", "freundlichkeit": "freundlich", "zimmer": "zimm", "strasse": "strass", "ruhige": "ruhig", "balkons": "balkon", "kindern": "kind", "bedürfnissen": "bedurfnis", "lage": "lag"}
-    assert {w: stems.german_stem(w) for w in known} == known
-    df = spark.createDataFrame([(list(known),)], "w array<string>")
-    assert df.select(stems.german(F.col("w")).alias("s")).first().s == list(known.values())
-
-
 def test_text_search(spark, tmp_path):
     own = fixture.listings(spark, SF)
-    bm25.build_index(own.select("listing_id", bm25.corpus_text().alias("text")), id="listing_id", text="text", stem=stems.german).save(str(tmp_path))
+    bm25.build_index(own.select("listing_id", bm25.corpus_text().alias("text")), id="listing_id", text="text").save(str(tmp_path))
     index = bm25.Bm25Index.load(spark, str(tmp_path))
     asked = spark.createDataFrame([(1, "the and thing under 2500, cheap")], "query_id bigint, raw_query string")
     out = api.search_text(own, asked, index, limit=7, offset=2).collect()
