@@ -89,7 +89,7 @@ def _cross(g: np.ndarray, h: np.ndarray, ridge: float) -> tuple[np.ndarray, floa
 
 
 def fit(x: np.ndarray, y: np.ndarray, *, bins: int = 48, leaves: int = 4, rounds: int = 120, rate: float = 0.1, pairs: int = 8, pair_bins: int = 12, pair_rounds: int = 40, ridge: float = 5.0) -> AdditiveModel:
-    """A model of labels y (0 or 1) from features x; with no rows or one label only, that label's share as a constant."""
+    """A model of labels y (0 or 1) from features x; with no rows the constant logit 0, with one label only 3 or -3."""
     m = x.shape[1] if x.ndim == 2 else len(FEATURES)
     if not len(y) or y.min() == y.max():
         base = 0.0 if not len(y) else (3.0 if y[0] else -3.0)
@@ -132,7 +132,7 @@ def fit(x: np.ndarray, y: np.ndarray, *, bins: int = 48, leaves: int = 4, rounds
 
 
 def labelled_features(docs: DataFrame, labels: DataFrame, where: Column, *, most_rows: int = 12_000, id: str = "doc_id", text: str = "text", label: str = "quality") -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of at most most_rows labelled texts, by the order of a hash of their ids; an id labelled both ways takes the rounded mean."""
+    """Features and labels of at most most_rows labelled texts, by the order of a hash of their ids; an id labelled both ways takes the rounded mean, one with several texts the smallest features."""
     chosen = labels.where(where & F.col(label).isNotNull() & F.col(id).isNotNull()).select(F.col(id).alias("id"), F.col(label).cast("int").alias("y")).groupBy("id").agg(F.round(F.avg("y")).cast("int").alias("y")).orderBy(F.xxhash64("id"), "id").limit(most_rows)
     found = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")  # most_rows bounds the broadcast
 
@@ -143,7 +143,7 @@ def labelled_features(docs: DataFrame, labels: DataFrame, where: Column, *, most
 
         return compute
 
-    rows = map_texts(found, ["id", "y"], "text", make, "x array<double>").dropDuplicates(["id"]).orderBy("id").toArrow()
+    rows = map_texts(found, ["id", "y"], "text", make, "x array<double>").groupBy("id", "y").agg(F.min("x").alias("x")).orderBy("id").toArrow()
     if not rows.num_rows:
         return np.zeros((0, len(FEATURES))), np.zeros(0)
     return np.array(rows.column("x").to_pylist()), rows.column("y").to_numpy().astype(float)

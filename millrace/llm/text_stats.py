@@ -97,6 +97,5 @@ def features(texts: pa.Array) -> np.ndarray:
                 seen[w] = seen.get(w, 0) + 1
             lines = text.count(b"\n") + 1
             own[i] = (m, len(text) / m, len(seen) / m**0.8, repeated_words(words) / m, repeated_lines(text) / lines, m / lines, max(map(len, seen)))
-            own[i, 2] += 0.0
     common = np.where(own[:, 0] > 0, own[:, 2] / np.maximum(own[:, 0], 1) ** 0.2, 0)
     return np.column_stack([np.log1p(own[:, 0]), np.minimum(own[:, 1], 1e3), symbol, upper / np.maximum(lower + upper, 1e-9), digit, stop, loud, foreign, own[:, 2], own[:, 3], own[:, 4], np.log1p(own[:, 5]), np.log1p(own[:, 6]), lower + upper + foreign, common]) * (size > 0)[:, None]
