@@ -619,7 +619,7 @@ _STEMS = "(VALUES (1, 'de', 'wohnungen häuser freundlichkeit ruhige'), (2, 'en'
 
 @query("SELECT * FROM (VALUES (1, 'wohnung haus freundlich ruhig'), (2, 'apart bedroom consist hop'), (3, 'appart continuel majestu'), (4, 'appart abbass pront'), (5, 'kind')) t(i, stems)")
 def word_stems(spark, sf_dir):
-    """Published examples of each language's stems; German for an unknown language."""
+    """Examples of each language's stems; German for an unknown language."""
     return _rows(spark, _STEMS).select("i", F.concat_ws(" ", text.tokens(F.col("said"), stems.by_language, F.col("lang"))).alias("stems"))
 
 
