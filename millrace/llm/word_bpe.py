@@ -17,10 +17,11 @@ import unicodedata
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from millrace.llm.base import map_texts
+from millrace.llm.base import discard, map_texts, materialize
 from millrace.llm.byte_bpe import unstable
-from millrace.llm.word_tables import commonest_table, word_counts
+from millrace.llm.word_tables import as_dict, commonest, valued, word_counts
 
 #: Fixed value: the word pattern of the vocabulary, applied to normalised text.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -106,7 +107,10 @@ def word_table(docs: DataFrame, path: str, *, text: str = "text", most_words: in
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bpe.encode_words(batch.column(0).to_pylist()), pa.binary())], names=["word", "value"])
 
-    return commonest_table(word_counts(docs, make, text=text), run, "binary", most_words=most_words, longest=longest)
+    counts = materialize(word_counts(docs, make, text=text).where((F.col("n") > 1) & (F.octet_length("word") <= longest)))
+    held = as_dict(valued(counts.where(commonest(counts, most_words=most_words, longest=longest)), run, "binary"))
+    discard(counts)
+    return held
 
 
 def encode_documents(docs: DataFrame, path: str, *, keep: list[str], text: str = "text") -> DataFrame:

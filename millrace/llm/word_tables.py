@@ -6,10 +6,10 @@ from collections import Counter
 from collections.abc import Callable, Iterable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.base import discard, materialize, slices, small_batches
+from millrace.llm.base import slices, small_batches
 
 
 def word_counts(docs: DataFrame, make: Callable[[], Callable[[str], Iterable[str]]], *, text: str) -> DataFrame:
@@ -29,19 +29,28 @@ def word_counts(docs: DataFrame, make: Callable[[], Callable[[str], Iterable[str
     return own.mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def commonest_table(counts: DataFrame, run, kind: str, *, most_words: int, longest: int) -> dict:
-    """What run (for mapInArrow: word and one column of kind) makes of the commonest words, each once: of those that occur twice or more and have up to longest bytes, most_words at most.
+def commonest(counts: DataFrame, *, most_words: int, longest: int) -> Column:
+    """Which words of a written table of counts are the commonest: of those that occur twice or more and have up to longest bytes, most_words at most.
 
     Where the line falls is read from a histogram of the counts, whose steps are a
     sixteenth of a doubling; words of a step are in or out together, so that no task sorts them.
     """
-    kept = materialize(counts.where((F.col("n") > 1) & (F.octet_length("word") <= longest)).withColumn("step", F.floor(16 * F.log2("n")).cast("int")))
+    able, step = (F.col("n") > 1) & (F.octet_length("word") <= longest), F.floor(16 * F.log2("n")).cast("int")
     line, total = 1 << 30, 0
-    for r in kept.groupBy("step").agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect():  # a thousand rows at most
+    for r in counts.where(able).groupBy(step.alias("step")).agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect():  # a thousand rows at most
         total += r.words
         if total > most_words:
             break
         line = r.step
-    found = kept.where(F.col("step") >= line).select("word").mapInArrow(run, f"word string, value {kind}").toArrow()
-    discard(kept)
-    return dict(zip(found.column("word").to_pylist(), found.column("value").to_pylist(), strict=True))
+    return able & (step >= line)
+
+
+def valued(words: DataFrame, run, kind: str) -> DataFrame:
+    """word and the value, a column of kind, that run (for mapInArrow) gives it."""
+    return words.select("word").mapInArrow(run, f"word string, value {kind}")
+
+
+def as_dict(found: DataFrame) -> dict:
+    """A bounded table of words and values on the driver."""
+    held = found.toArrow()
+    return dict(zip(held.column("word").to_pylist(), held.column("value").to_pylist(), strict=True))
