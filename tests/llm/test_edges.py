@@ -108,6 +108,16 @@ def test_words(docs):
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(own), hashlib.sha256(np.array(own, dtype="<u4").tobytes()).hexdigest(), hashlib.sha256(words.decode(own, skip_special_tokens=False).encode()).hexdigest())
 
 
+@pytest.mark.parametrize("most_words", [0, 5])
+def test_words_beyond_the_table(docs, most_words):
+    words = Tokenizer.from_file(WORDS)
+    rows = docs.select("doc_id", "text").collect()
+    want = Counter((r.doc_id, r.text, tuple(words.encode(r.text or "", add_special_tokens=False).ids)) for r in rows)
+    assert Counter((r.doc_id, r.text, tuple(r.ids)) for r in word_bpe.encode_documents(docs, WORDS, keep=["doc_id", "text"], most_words=most_words).collect()) == want
+    decoded = Counter((r.doc_id, r.text, r.n_tokens, r.decoded_sha256) for r in word_bpe.digest_documents(docs, WORDS, keep=["doc_id", "text"], most_words=most_words).collect())
+    assert decoded == Counter((d, t, len(ids), hashlib.sha256(words.decode(list(ids), skip_special_tokens=False).encode()).hexdigest()) for d, t, ids in want.elements())
+
+
 VECTORS = "vec_id bigint, embedding array<float>, label int, rep int, copies int, k string, block int"
 
 
