@@ -1,9 +1,9 @@
 """BPE encoding and decoding over a table of distinct words.
 
-Texts are split into words in Spark and counted, and the corpus's distinct
-words are encoded once each. Their ids join back to the texts' words by
-position: those of the commonest words, up to a bound, in the tasks that split
-the texts, those of all others by an exchange. Decoding joins ids to their pieces.
+Texts are split into words in Spark and counted; the corpus's distinct words,
+the commonest first up to a bound, are encoded once each, and the table joins
+back to the texts' words by position. A word beyond the bound is rare and is
+encoded where it stands. Decoding joins ids to their pieces.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.base import fresh, map_texts, materialize, slices
+from millrace.llm.base import discard, map_texts, materialize
 from millrace.llm.byte_bpe import unstable
 from millrace.llm.word_tables import as_dict, commonest, valued, word_counts
 
@@ -47,9 +47,9 @@ class WordSplitter:
 
 
 class WordBpe:
-    """table: ids of words as little-endian unsigned 32-bit integers, as all ids here."""
+    """table: ids of words as little-endian unsigned 32-bit integers; other words are encoded as they come, and at most most_known of those are held."""
 
-    def __init__(self, path: str, table: dict[str, bytes] | None = None):
+    def __init__(self, path: str, table: dict[str, bytes] | None = None, most_known: int = 100_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -58,6 +58,8 @@ class WordBpe:
         self.library.no_padding()
         self.splitter = WordSplitter(path)
         self.table = table or {}
+        self.rare: dict[str, bytes] = {}
+        self.most_known = most_known
         size = self.library.get_vocab_size(with_added_tokens=True)
         #: The id-to-piece table.
         self.pieces = np.array([self.library.id_to_token(i) or "" for i in range(size)], dtype=object)
@@ -65,54 +67,36 @@ class WordBpe:
     def encode_words(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
 
-    def known(self, text: str) -> tuple[bytes, list[str], list[int]]:
-        """(ids of the words that the table holds, or of all if the library has to see the text whole; the other words in order; how many of those ids are before each)."""
-        words = self.splitter.words(text)
-        if words is None:
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes(), [], []
-        ids = list(map(self.table.get, words))
-        rest: list[str] = []
-        places: list[int] = []
-        if None in ids:
-            before = 0
-            for i, x in enumerate(ids):
-                if x is None:
-                    rest.append(words[i])
-                    places.append(before)
-                    ids[i] = b""
-                else:
-                    before += len(x) // 4
-        return b"".join(ids), rest, places
-
-    @staticmethod
-    def filled(ids: bytes, rest: list[str], places: list[int], held: dict[str, bytes]) -> bytes:
-        """ids with those of the other words at their places."""
-        if not rest:
-            return ids
-        out, at = [], 0
-        for w, p in zip(rest, places, strict=True):
-            out += (ids[4 * at : 4 * p], held[w])
-            at = p
-        return b"".join([*out, ids[4 * at :]])
-
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """ids of each text, words that the table lacks encoded where they stand."""
-        found = [self.known(t) if t else (b"", [], []) for t in texts]
-        new = list({w for _, rest, _ in found for w in rest})
-        held = dict(zip(new, self.encode_words(new), strict=True))
-        return [self.filled(*x, held) for x in found]
+        """ids of each text as little-endian unsigned 32-bit integers."""
+        out: list = [b""] * len(texts)
+        split: list = []
+        for i, text in enumerate(texts):
+            if text:
+                words = self.splitter.words(text)
+                if words is None:
+                    out[i] = np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+                else:
+                    split.append((i, words))
+        if len(self.rare) > self.most_known:
+            self.rare.clear()
+        new = [w for w in set().union(*(words for _, words in split)) if w not in self.table and w not in self.rare]
+        self.rare.update(zip(new, self.encode_words(new), strict=True))
+        of = self.table.get
+        for i, words in split:
+            ids = list(map(of, words))
+            if None in ids:
+                ids = [self.rare[w] if x is None else x for w, x in zip(words, ids, strict=True)]
+            out[i] = b"".join(ids)
+        return out
 
     def decode(self, ids: bytes) -> str:
         """The library's text for ids, special tokens kept: pieces in order with a blank between."""
         return " ".join(self.pieces[np.frombuffer(ids, dtype="<u4")].tolist())
 
 
-def word_tables(docs: DataFrame, path: str, *, text: str = "text", most_words: int = 200_000, longest: int = 64) -> tuple[dict[str, bytes], DataFrame]:
-    """ids of all distinct words of all texts, each encoded once, in two parts.
-
-    First the commonest, which are sent to tasks: most_words words of up to
-    longest bytes at most. Then a table (word, value) of all others.
-    """
+def word_table(docs: DataFrame, path: str, *, text: str = "text", most_words: int = 200_000, longest: int = 64) -> dict[str, bytes]:
+    """ids of the commonest distinct words of all texts, each encoded once: most_words words of up to longest bytes at most, which bounds what is sent to tasks."""
 
     def make():
         words_of = WordSplitter(path).words
@@ -123,81 +107,44 @@ def word_tables(docs: DataFrame, path: str, *, text: str = "text", most_words: i
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bpe.encode_words(batch.column(0).to_pylist()), pa.binary())], names=["word", "value"])
 
-    counts = materialize(word_counts(docs, make, text=text))
-    first = commonest(counts, most_words=most_words, longest=longest)
-    return as_dict(valued(counts.where(first), run, "binary")), valued(counts.where(~first), run, "binary")
+    counts = materialize(word_counts(docs, make, text=text).where((F.col("n") > 1) & (F.octet_length("word") <= longest)))
+    held = as_dict(valued(counts.where(commonest(counts, most_words=most_words, longest=longest)), run, "binary"))
+    discard(counts)
+    return held
+
 
+def encode_documents(docs: DataFrame, path: str, *, keep: list[str], text: str = "text", most_words: int = 200_000) -> DataFrame:
+    """keep, and ids (array<int>) of every whole text; null and empty texts have none."""
 
-def _encoded(docs: DataFrame, path: str, keep: list[str], text: str, most_words: int, finish, schema: str) -> DataFrame:
-    """keep beside what the function from finish() makes of the ids of some texts: a column for each name of schema."""
-    common, others = word_tables(docs, path, text=text, most_words=most_words)
-    table = docs.sparkSession.sparkContext.broadcast(common)
-    row, ids, rest, places = fresh(docs, "row", "ids", "rest", "places")
+    held = docs.sparkSession.sparkContext.broadcast(word_table(docs, path, text=text, most_words=most_words))
 
     def make():
-        bpe = WordBpe(path, table.value)
-        # Ids are written in two bytes where the vocabulary lets them.
-        kind = "<u2" if len(bpe.pieces) <= 1 << 16 else "<u4"
+        bpe = WordBpe(path, held.value)
 
         def run(texts: pa.Array) -> dict:
-            found = [bpe.known(t) if t else (b"", [], []) for t in texts.to_pylist()]
-            return {
-                ids: pa.array([np.frombuffer(x, dtype="<u4").astype(kind).tobytes() for x, _, _ in found], pa.binary()),
-                rest: pa.array([x for _, x, _ in found], pa.list_(pa.string())),
-                places: pa.array([x for _, _, x in found], pa.list_(pa.int32())),
-            }
+            return {"ids": pa.array([np.frombuffer(x, dtype="<u4").astype(np.int32) for x in bpe.encode(texts.to_pylist())], pa.list_(pa.int32()))}
 
         return run
 
-    # Rows are numbered in the pass that writes them, so repeated and null ids do no harm.
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    split = materialize(map_texts(numbered, [*keep, row], text, make, f"{ids} binary, {rest} array<string>, {places} array<int>"))
-    asked = split.select(F.col(row).alias("at"), F.explode(F.array_distinct(rest)).alias("word"))
-    # A row's own distinct words: no more than its text has.
-    met = asked.join(others, "word").groupBy("at").agg(F.collect_list(F.struct("word", "value")).alias("met"))
-    # Both sides grow with the texts, so neither is broadcast; merging leaves each task's texts in their order.
-    whole = split.join(met.hint("merge"), split[row] == met["at"], "left")
-    sent = whole.select(*(split[f"`{c}`"] for c in keep), split[ids], split[rest], split[places], F.transform("met", lambda x: x["word"]).alias("met_words"), F.transform("met", lambda x: x["value"]).alias("met_values"))
-    k = len(keep)
-    names = [*keep, *(x.split()[0] for x in schema.split(","))]
-
-    def fill(batches):
-        done, kind = None, None
-        for batch in batches:
-            if done is None:
-                bpe = WordBpe(path)
-                done, kind = finish(bpe), "<u2" if len(bpe.pieces) <= 1 << 16 else "<u4"
-            for part in slices(batch, k):
-                out = []
-                for x, words, where, met_words, met_values in zip(*(part.column(k + i).to_pylist() for i in range(5)), strict=True):
-                    out.append(WordBpe.filled(np.frombuffer(x, dtype=kind).astype("<u4").tobytes(), words, where, dict(zip(met_words or (), met_values or (), strict=True))))
-                made = done(out)
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(k)), *(made[c] for c in names[k:])], names=names)
-
-    kept = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), schema])
-    return sent.mapInArrow(fill, kept)
-
+    return map_texts(docs, keep, text, make, "ids array<int>")
 
-def encode_documents(docs: DataFrame, path: str, *, keep: list[str], text: str = "text", most_words: int = 200_000) -> DataFrame:
-    """keep, and ids (array<int>) of every whole text; null and empty texts have none.
-
-    The tables of distinct words are made when this is called, most_words of them sent to tasks at most.
-    """
 
-    def finish(bpe: WordBpe):
-        return lambda found: {"ids": pa.array([np.frombuffer(x, dtype="<u4").astype(np.int32) for x in found], pa.list_(pa.int32()))}
+def digest_documents(docs: DataFrame, path: str, *, keep: list[str], text: str = "text", most_words: int = 200_000) -> DataFrame:
+    """keep, n_tokens, ids_sha256 and decoded_sha256: encoding and decoding of every whole text, by digest."""
 
-    return _encoded(docs, path, keep, text, most_words, finish, "ids array<int>")
+    held = docs.sparkSession.sparkContext.broadcast(word_table(docs, path, text=text, most_words=most_words))
 
+    def make():
+        bpe = WordBpe(path, held.value)
 
-def digest_documents(docs: DataFrame, path: str, *, keep: list[str], text: str = "text", most_words: int = 200_000) -> DataFrame:
-    """keep, n_tokens, ids_sha256 and decoded_sha256: encoding and decoding of every whole text, by digest."""
+        def run(texts: pa.Array) -> dict:
+            ids = bpe.encode(texts.to_pylist())
+            return {
+                "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
+                "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
+                "decoded_sha256": pa.array([hashlib.sha256(bpe.decode(x).encode()).hexdigest() for x in ids], pa.string()),
+            }
 
-    def finish(bpe: WordBpe):
-        return lambda found: {
-            "n_tokens": pa.array([len(x) // 4 for x in found], pa.int64()),
-            "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in found], pa.string()),
-            "decoded_sha256": pa.array([hashlib.sha256(bpe.decode(x).encode()).hexdigest() for x in found], pa.string()),
-        }
+        return run
 
-    return _encoded(docs, path, keep, text, most_words, finish, "n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return map_texts(docs, keep, text, make, "n_tokens bigint, ids_sha256 string, decoded_sha256 string")
