@@ -57,11 +57,16 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir[0]}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """df written as Parquet to the shared folder and read back, so that no later step computes it again; it goes when the application ends."""
+def new_path(spark: SparkSession) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_dir(spark)}/millrace/{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
+    """df written as Parquet to the shared folder, to path if given, and read back, so that no later step computes it again; it goes when the application ends."""
     spark = df.sparkSession
     small_batches(spark)
-    path = f"{shared_dir(spark)}/millrace/{uuid.uuid4().hex}"
+    path = path or new_path(spark)
     df.write.parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
