@@ -12,6 +12,7 @@ from contextlib import contextmanager
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Texts of one slice that a Python function holds at once, in bytes.
 SLICE_BYTES = 2 << 20
@@ -144,7 +145,7 @@ def map_texts(df: DataFrame, keep: list[str], text: str, make: Callable[[], Call
     make is called once in each task. The other columns of df stay behind, whatever their names.
     """
     small_batches(df.sparkSession)
-    made = [x.split()[0] for x in schema.split(",")]
+    made = StructType.fromDDL(schema).names
     names = [*keep, *made]
 
     def run(batches):

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import epsilon_join, langid, merkle, packing, quality_gam, quality_rules, simhash, suffix_dedup, token_counts, url_filter, word_bpe
+from millrace.llm import epsilon_join, langid, licenses, merkle, packing, quality_gam, quality_rules, repair, simhash, suffix_dedup, token_counts, url_filter, word_bpe
 from millrace.llm.base import held_out, table
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -60,6 +60,13 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.shared_passages(table(spark, sf_dir, "documents"), least=50)
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    base, starts = F.filter("spans", lambda s: s["base"]), F.transform(F.filter("spans", lambda s: s["base"]), lambda s: s["word"])
+    named = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+    return found.select("doc_id", "n_words", F.size(base).cast("bigint").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), named(base).alias("base_labels"), named(F.col("spans")).alias("labels"), "score")
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     leaf = lambda text: merkle.digest_of(c("doc_id"), c("source"), c("lang"), c("n_chars"), text)
@@ -71,6 +78,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("verified", c("folded_root") == c("root"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damage(table(spark, sf_dir, "conversations"))).reports()
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -78,7 +89,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    ops = (op1_language_id, op2_quality_gam, op3_packing, op4_epsilon_join, op5_simhash, op6_quality_rules, op7_word_bpe, op8_token_counts, op9_url_filter, op10_suffix_dedup, op12_merkle_manifest)
+    ops = (op1_language_id, op2_quality_gam, op3_packing, op4_epsilon_join, op5_simhash, op6_quality_rules, op7_word_bpe, op8_token_counts, op9_url_filter, op10_suffix_dedup, op11_license_scan, op12_merkle_manifest, op13_conversation_repair)
     return {f.__name__: f for f in ops} | {"pipeline": pipeline}
 
 
