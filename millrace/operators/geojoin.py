@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from millrace.functions import values as V
 from millrace.functions.geo import decay, distance_m
+from millrace.operators import knn
 
 #: Points of interest that are broadcast at most, for rows that the grid leaves open: each of those rows meets them all.
 MOST_BROADCAST = 5_000
-#: Points of one request's batch at most.
+#: Points of one request that are broadcast at most.
 MOST_POINTS = 10_000
 
 
@@ -67,10 +68,10 @@ def _within(own: DataFrame, pois: DataFrame, cell: float, carry: list[str]) -> D
 def k_nearest(points: DataFrame, pois: DataFrame, k: int = 5, radius_m: float = 2000.0, *, id: str = "point_id") -> DataFrame:
     """(id, rank, distance_m, lat, lon, name, kind): the k nearest whose truncated distance is within the radius.
 
-    points are one request's batch, MOST_POINTS at most (more are refused), and are broadcast; only points of interest within a box around one are measured.
+    Points of one request, MOST_POINTS at most, are broadcast, and only points of interest within a box around one are measured. More of them meet by quadtree cells.
     """
     if len(points.select(id).take(MOST_POINTS + 1)) > MOST_POINTS:
-        raise ValueError(f"a batch has at most {MOST_POINTS} points")
+        return knn.k_nearest_join(points, pois, k, radius_m=radius_m, id=id, carry=("name", "kind")).select(id, "rank", F.col("metres").alias("distance_m"), "lat", "lon", "name", "kind")
     margin = (radius_m + 1.0) / 111_000.0
     near = (F.abs(F.col("lat") - F.col("latitude")) <= margin) & (F.abs(F.col("lon") - F.col("longitude")) <= margin / F.greatest(F.lit(0.01), F.cos(F.radians(F.abs("latitude") + margin))))
     met = pois.join(F.broadcast(points.select(F.col(id), "latitude", "longitude")), near).withColumn("d", distance_m(F.col("latitude"), F.col("longitude"), F.col("lat"), F.col("lon")))

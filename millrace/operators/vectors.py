@@ -1,10 +1,12 @@
-"""Dense and image vectors: cosine, pooling, feedback, hybrid fusion, incremental upkeep."""
+"""Dense and image vectors: normalising, feedback, hybrid fusion, upkeep; dense.py has the search itself."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators import dense
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -21,28 +23,6 @@ def checked(df: DataFrame, vector: str, dim: int) -> DataFrame:
     return df.where((F.size(vector) == dim) & ~F.exists(vector, lambda x: x.isNull()))
 
 
-def similarities(vectors: DataFrame, queries: DataFrame, candidates: DataFrame | None = None, *, id: str = "listing_id", vector: str = "vector") -> DataFrame:
-    """(query_id, id, cosine) of unit vectors to each query's, the queries of one batch being broadcast; candidates are joined first."""
-    own = vectors.select(id, F.col(vector).alias("v"))
-    asked = queries.select("query_id", F.col("query_vector").alias("w"))
-    if candidates is not None:
-        pairs = candidates.select("query_id", id).join(own, id).join(F.broadcast(asked), "query_id")
-    else:
-        pairs = own.join(F.broadcast(asked), F.size("v") == F.size("w"))
-    return pairs.select("query_id", id, dot(F.col("v"), F.col("w")).alias("cosine"))
-
-
-def best(scored: DataFrame, k: int, *, id: str = "listing_id", score: str = "cosine") -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round(score, 9)), id)
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def max_pool(scored: DataFrame, *, key: str, path: str, score: str = "cosine") -> DataFrame:
-    """A listing's best image: (query_id, key, score, path), the first path of equals."""
-    top = F.max(F.struct(F.round(score, 9).alias("s"), F.lit(0).alias("z"), F.col(score).alias("score")))
-    return scored.groupBy("query_id", key).agg(top.alias("t"), F.min_by(path, F.struct(-F.round(score, 9), F.col(path))).alias(path)).select("query_id", key, F.col("t.score").alias("score"), path)
-
-
 def mean_vector(df: DataFrame, by: str, vector: str = "vector") -> DataFrame:
     """(by, mean): component by component; partial sums meet, not vectors."""
     parts = df.select(by, F.posexplode(vector).alias("i", "x")).groupBy(by, "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
@@ -95,5 +75,7 @@ def score_images(images: DataFrame, queries: DataFrame, listings: DataFrame, can
     keyed = images.withColumn("shard_key", F.regexp_replace(image_key(F.col("path")), "^platform_id=", "")).join(shard_keys(listings), "shard_key")
     if candidates is not None:
         keyed = keyed.join(candidates.select("listing_id").distinct(), "listing_id", "left_semi")
-    scored = similarities(keyed.select("listing_id", "vector"), queries)
+    if candidates is None:
+        return dense.max_pool(keyed, queries, key="listing_id", path="path").select("query_id", "listing_id", F.col("score").alias("vlm"))
+    scored = dense.of_candidates(keyed, queries, candidates)
     return scored.groupBy("query_id", "listing_id").agg(F.max("cosine").alias("vlm"))

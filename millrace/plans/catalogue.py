@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import geo, scalars, stems, text
 from millrace.functions import values as V
-from millrace.operators import bm25, evaluate, events, filters, geojoin, intent, quality, ranking, signals, vectors, weights
+from millrace.operators import bm25, dense, evaluate, events, filters, geojoin, intent, knn, quality, ranking, signals, vectors, weights
 from millrace.plans import search, values_sql
 from millrace.plans.fixture import L, P, listings, pois, read
 from millrace.plans.schema import intents
@@ -653,14 +653,13 @@ query(_unified_sql())(unified_search)
 
 @query(f"SELECT query_id, vec_id, rank, round(c, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, vec_id)::INT AS rank FROM (SELECT b.vec_id AS query_id, a.vec_id, {_COS} AS c FROM embeddings a, embeddings b WHERE b.vec_id % 20 = 0)) WHERE rank <= 10")
 def cosine_topk(spark, sf_dir):
-    found = vectors.best(vectors.similarities(_vectors(spark, sf_dir), _probes(spark, sf_dir), id="vec_id"), 10, id="vec_id")
+    found = dense.top_k(_vectors(spark, sf_dir), _probes(spark, sf_dir), 10, id="vec_id")
     return found.select("query_id", "vec_id", "rank", F.round("cosine", 6).alias("cosine"))
 
 
 @query(f"SELECT query_id, label, round(c, 6) AS score, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY round(c, 9) DESC, vec_id) AS k FROM (SELECT b.vec_id AS query_id, a.label, a.vec_id, {_COS} AS c FROM embeddings a, embeddings b WHERE b.vec_id % 20 = 0)) WHERE k = 1")
 def maxpool_by_label(spark, sf_dir):
-    scored = vectors.similarities(_vectors(spark, sf_dir), _probes(spark, sf_dir), id="vec_id").join(_vectors(spark, sf_dir).select("vec_id", "label"), "vec_id")
-    return vectors.max_pool(scored, key="label", path="vec_id").select("query_id", "label", F.round("score", 6).alias("score"), "vec_id")
+    return dense.max_pool(_vectors(spark, sf_dir), _probes(spark, sf_dir), key="label", path="vec_id").select("query_id", "label", F.round("score", 6).alias("score"), "vec_id")
 
 
 @query("SELECT label, i::INT AS i, round(avg(x), 6) AS m FROM (SELECT label, unnest(range(len(embedding))) AS i, unnest(embedding::DOUBLE[]) AS x FROM embeddings) GROUP BY 1, 2")
@@ -703,10 +702,10 @@ _PROBE_TEXT = "CASE vec_id % 3 WHEN 0 THEN 'thand the erin erin' WHEN 1 THEN 'de
 def hybrid_full_outer(spark, sf_dir):
     """Every probe, with a text of its own beside its vector."""
     asked = _probes(spark, sf_dir)
-    dense = vectors.best(vectors.similarities(_vectors(spark, sf_dir), asked, id="vec_id"), 100, id="vec_id").select("query_id", F.col("vec_id").alias("id"), F.col("cosine").alias("score"))
+    near = dense.top_k(_vectors(spark, sf_dir), asked, 100, id="vec_id").select("query_id", F.col("vec_id").alias("id"), F.col("cosine").alias("score"))
     said = asked.select("query_id", F.expr(_PROBE_TEXT.replace("vec_id", "query_id")).alias("raw_query"))
     lexical = bm25.search(_index(spark, sf_dir), said, 100).select("query_id", F.col("doc_id").alias("id"), "score")
-    return vectors.hybrid(dense, lexical, 0.6, id="id").select("query_id", "id", F.round("score", 6).alias("score"))
+    return vectors.hybrid(near, lexical, 0.6, id="id").select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 _STORE = "store AS (SELECT *, CASE vec_id % 3 WHEN 0 THEN 'old' ELSE 'new' END AS model_id FROM embeddings)"
@@ -771,6 +770,15 @@ def k_nearest_within_radius(spark, sf_dir):
     return geojoin.k_nearest(points, pois(spark, sf_dir), 5, 25_000.0).select("point_id", "rank", "distance_m", "name", "kind")
 
 
+@query(
+    f"""WITH {L}, {P}, d AS (SELECT listing_id, name, lat, lon, {_M.format(h=_h('latitude', 'longitude', 'lat', 'lon'))} AS m FROM L, P WHERE latitude IS NOT NULL)
+    SELECT listing_id, rank, trunc(m)::INT AS metres, name FROM (SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY m, lat, lon, name)::INT AS rank FROM d) WHERE rank <= 5"""
+)
+def k_nearest_join(spark, sf_dir):
+    """The five nearest points of interest of every listing, both sides being tables."""
+    return knn.k_nearest_join(listings(spark, sf_dir), pois(spark, sf_dir), 5).select("listing_id", "rank", "metres", "name")
+
+
 @query(f"WITH {L} SELECT listing_id, round(exp(-geo_transit_m / 500E0), 6) AS transit, round(exp(-geo_school_m / 1000E0), 6) AS school, round(exp(-geo_university_m / 800E0), 6) AS anchor FROM L")
 def geo_decay(spark, sf_dir):
     return listings(spark, sf_dir).select("listing_id", *(F.round(geo.decay(F.col(c).cast("double"), V.TAU[k]), 6).alias(n) for c, k, n in (("geo_transit_m", "geo_transit", "transit"), ("geo_school_m", "geo_school", "school"), ("geo_university_m", "geo_anchor", "anchor"))))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import values as V
-from millrace.operators import bm25, filters, quality, ranking, signals, vectors, weights
+from millrace.operators import bm25, dense, filters, quality, ranking, signals, vectors, weights
 
 
 def filter_search(listings: DataFrame, intents: DataFrame) -> DataFrame:
@@ -42,10 +42,10 @@ def _columns() -> tuple[dict[str, Column], dict[str, Column]]:
     return {k: F.col(f"s_{k}") for k in V.SIGNALS}, {k: F.col(f"q_w_{k}") for k in V.SIGNALS}
 
 
-def score(pool: DataFrame, dense: DataFrame, lexical: DataFrame, images: DataFrame | None = None) -> DataFrame:
-    """pool, whose intents had their weights, with a column for each signal (s_) and the score. dense, lexical and images carry (query_id, listing_id, value)."""
+def score(pool: DataFrame, near: DataFrame | None, lexical: DataFrame, images: DataFrame | None = None) -> DataFrame:
+    """pool, whose intents had their weights, with a column for each signal (s_) and the score. near, lexical and images carry (query_id, listing_id, value)."""
     out = pool
-    for name, df, value in (("dense", dense, "cosine"), ("bm25", lexical, "bm25"), ("vlm", images, "vlm")):
+    for name, df, value in (("dense", near, "cosine"), ("bm25", lexical, "bm25"), ("vlm", images, "vlm")):
         if df is None:
             out = out.withColumn(f"r_{name}", F.lit(None).cast("double"))
         else:
@@ -91,11 +91,11 @@ def search(listings: DataFrame, intents: DataFrame, index: bm25.Bm25Index, store
     lexical = bm25.score(index, intents, ids.withColumnRenamed("listing_id", "doc_id")).withColumnRenamed("doc_id", "listing_id")
     asked = intents.where("query_vector is not null")
     own = store if store is None or model is None else store.where(F.col("model_id") == model)
-    dense = vectors.similarities(own, asked, ids) if own is not None else None
+    near = dense.of_candidates(own, asked, ids) if own is not None else None
     pictures = vectors.score_images(images, asked, listings, ids) if images is not None else None
     # A listing that no term of the query meets has the score 0, not none.
     lexical = ids.join(lexical, ["query_id", "listing_id"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
-    scored = score(pool, dense, lexical, pictures)
+    scored = score(pool, near, lexical, pictures)
     limit = F.lit(top) if top else F.col("q_page_limit")
     ranked = ranking.top_k(scored, limit)
     return explain(ranking.result_page(ranked, limit, F.col("q_page_offset")))
