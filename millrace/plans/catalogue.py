@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import geo, scalars, stems, text
 from millrace.functions import values as V
-from millrace.operators import bm25, dense, evaluate, events, filters, geojoin, intent, knn, quality, ranking, signals, vectors, weights
+from millrace.operators import bm25, bm25_blocks, bm25_store, dense, evaluate, events, filters, geojoin, intent, knn, quality, ranking, signals, vector_store, vectors, weights
 from millrace.plans import search, values_sql
 from millrace.plans.fixture import L, P, listings, pois, read
 from millrace.plans.schema import intents
@@ -614,6 +614,46 @@ def bm25_topk(spark, sf_dir):
     return bm25.search(_index(spark, sf_dir), _rows(spark, _TERMS), 10).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
+_OPENING = "array_to_string(string_split(text, ' ')[1:8], ' ')"
+
+
+@query(
+    f"""{_BM25}, q AS (SELECT doc_id AS query_id, unnest({values_sql.tokens_sql(_OPENING)}) AS term FROM documents WHERE doc_id % 20 = 0), a AS (SELECT query_id, term, count(*) AS times FROM q GROUP BY 1, 2),
+    sc AS (SELECT query_id, p.doc_id, {_GAIN.replace("sum(idf", "sum(times * idf")} AS s FROM a JOIN post p USING (term) JOIN idf USING (term) JOIN tok t ON t.doc_id = p.doc_id, n GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, doc_id)::INT AS rank, max(s) OVER (PARTITION BY query_id) AS hi FROM sc) SELECT query_id, doc_id, rank, round(CASE WHEN hi > 0 THEN s / hi ELSE s END, 6) AS score FROM r WHERE rank <= 10"""
+)
+def bm25_bounded_topk(spark, sf_dir):
+    """The first words of every document whose id is divisible by 20, searched by bounds over blocks of documents."""
+    asked = read(spark, sf_dir, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.substring_index("text", " ", 8).alias("raw_query"))
+    found = bm25_blocks.Search(bm25_blocks.BlockIndex.build(_index(spark, sf_dir)), asked, 10).found()
+    return found.select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+
+
+_KEPT = "(SELECT doc_id, text FROM documents WHERE doc_id % 7 <> 0)"
+
+
+@query(
+    f"""WITH {_bm25_sql(_KEPT)}, sc AS (SELECT p.doc_id, {_GAIN} AS s FROM (SELECT unnest(['thand', 'the', 'erin', 'der', 'sch']) AS term) q JOIN post p USING (term) JOIN idf USING (term) JOIN tok t ON t.doc_id = p.doc_id, n GROUP BY 1)
+    SELECT stage, doc_id, round(s, 6) AS bm25, (SELECT count(*) FROM idf) AS terms FROM sc, (VALUES ('merged'), ('compacted')) v(stage)"""
+)
+def bm25_incremental(spark, sf_dir):
+    """An index of half the documents, a tenth with other texts, then filled up and set right, thinned out, and compacted."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    store = bm25_store.Bm25Store(spark, stores.new_folder(spark))
+    k = F.col("doc_id")
+    store.add(docs.where(k % 2 == 0).withColumn("text", F.when(k % 10 == 4, F.concat("text", F.lit(" erin once more"))).otherwise(F.col("text"))), id="doc_id", text="text")
+    store.add(docs.where((k % 2 == 1) | (k % 10 == 4)), id="doc_id", text="text")
+    merged = store.delete(docs.where(k % 7 == 0))
+    compacted = store.compact()
+    asked = _rows(spark, "(VALUES (1, 'thand the erin der sch')) AS t(query_id, raw_query)")
+    out = []
+    for stage, version in (("merged", merged), ("compacted", compacted)):
+        index = store.index(version)
+        found = bm25.score(index, asked).join(index.terms.agg(F.count("*").alias("terms")), F.lit(True))
+        out.append(found.select(F.lit(stage).alias("stage"), "doc_id", F.round("bm25", 6).alias("bm25"), "terms"))
+    return out[0].unionByName(out[1])
+
+
 _STEMS = "(VALUES (1, 'de', 'wohnungen häuser freundlichkeit ruhige'), (2, 'en', 'apartments bedrooms consistency hopping'), (3, 'fr', 'appartements continuellement majestueux'), (4, 'it', 'appartamenti abbassamento prontamente'), (5, 'unknown', 'kindern')) AS t(i, lang, said)"
 
 
@@ -733,6 +773,28 @@ def vector_counts(spark, sf_dir):
     return vectors.count_vectors(_store(spark, sf_dir), "old").join(vectors.fetch(_store(spark, sf_dir), ids, "old").agg(F.count("*").alias("found")), F.lit(True))
 
 
+@query(
+    """WITH s AS (SELECT 1 AS version, vec_id, 'a' AS model_id, embedding[1]::DOUBLE AS x FROM embeddings WHERE vec_id % 2 = 0
+    UNION ALL SELECT v, vec_id, CASE WHEN vec_id % 3 = 0 THEN 'b' ELSE 'a' END, CASE WHEN vec_id % 3 = 0 THEN embedding[2] ELSE embedding[1] END::DOUBLE FROM embeddings, (VALUES (2), (3), (4)) t(v) WHERE (vec_id % 2 = 0 OR vec_id % 3 = 0) AND (v = 2 OR vec_id % 5 <> 0))
+    SELECT version::INT AS version, model_id, count(*) AS n, sum(vec_id)::BIGINT AS ids, round(sum(x), 6) AS total FROM s GROUP BY 1, 2"""
+)
+def vector_store_versions(spark, sf_dir):
+    """A store after an upsert, another over it, a deletion and compaction, each version read at the end."""
+    own, k = _vectors(spark, sf_dir), F.col("vec_id")
+    store = vector_store.VectorStore(spark, stores.new_folder(spark))
+    row = lambda model, first: (k.cast("string").alias("listing_id"), F.lit(model).alias("model_id"), F.slice("vector", first, 1).alias("vector"))
+    store.upsert(own.where(k % 2 == 0).select(*row("a", 1)))
+    store.upsert(own.where(k % 3 == 0).select(*row("b", 2)))
+    store.delete(own.where(k % 5 == 0).select(k.cast("string").alias("listing_id")))
+    store.compact()
+    out = None
+    for version in store.log.versions():
+        live = store.read(version).groupBy("model_id").agg(F.count("*").alias("n"), F.sum(F.col("listing_id").cast("bigint")).alias("ids"), F.round(F.sum(F.col("vector")[0].cast("double")), 6).alias("total"))
+        live = live.select(F.lit(version).alias("version"), "model_id", "n", "ids", "total")
+        out = live if out is None else out.unionByName(live)
+    return out
+
+
 @query(
     f"""WITH q AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 20 = 0), im AS (SELECT vec_id, CASE WHEN vec_id % 3 = 2 THEN NULL ELSE vec_id % 50 END AS lid, embedding FROM embeddings)
     SELECT query_id, CAST(lid AS VARCHAR) AS listing_id, round(max(list_inner_product(a.embedding::DOUBLE[], q.embedding::DOUBLE[])), 6) AS vlm FROM im a, q WHERE lid IN (SELECT doc_id FROM documents) GROUP BY 1, 2"""

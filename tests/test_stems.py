@@ -64,7 +64,7 @@ def test_bm25(spark):
     asked = spark.createDataFrame(QUERIES, "query_id int, raw_query string, language string")
     split = [(r.doc_id, r.w, r.l) for r in docs.select("doc_id", text.tokens(F.col("text")).alias("w"), text.detect_language(F.col("text")).alias("l")).collect()]
     said = [(r.query_id, r.w, r.language) for r in asked.select("query_id", text.tokens(F.col("raw_query")).alias("w"), "language").collect()]
-    got = bm25.score(bm25.build_index(docs, id="doc_id", text="text"), asked).collect()
+    got = bm25.score(bm25.build_index(docs, id="doc_id", text="text", stem=stems.by_language), asked).collect()
     want = plain_scores(split, said)
     assert {(r.query_id, r.doc_id): round(r.bm25, 9) for r in got} == want
     assert {(1, 1), (2, 2), (2, 3), (4, 1)} <= set(want)
