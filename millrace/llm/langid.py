@@ -21,16 +21,22 @@ from millrace.llm.base import flat_utf8, map_texts
 UNKNOWN = "und"
 
 
+#: Bytes of the transitions that tasks hold at once; more languages than fit go in several parts.
+TABLE_BYTES = 256 << 20
+#: Letters that are learnt of a language at least, however many there are.
+LEAST_LETTERS = 4_000
+
+
 @dataclass(frozen=True)
 class LanguageModel:
-    """table: for state and letter class, 2 * the next state + 1 if a new phrase begins there; starts: each language's state before a phrase."""
+    """Languages in alphabetical order, and parts: each a dict of plain values for some of them, in that order.
+
+    classes: of each code point, 0 no letter, 1 a letter that no sample has; width: how many classes there are.
+    table: for state and letter class, 2 * the next state + 1 if a new phrase begins there; starts: each language's state before a phrase; charge: bits for a phrase.
+    """
 
     languages: tuple[str, ...]
-    classes: np.ndarray  # of each code point: 0 no letter, 1 a letter that no sample has
-    width: int
-    table: np.ndarray
-    starts: np.ndarray
-    charge: np.ndarray  # bits for a phrase
+    parts: list[dict]
 
 
 def _normalised(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray):
@@ -81,11 +87,17 @@ def _automaton(text: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def build_model(samples: dict[str, list[str]], *, sample_chars: int = 64_000, most_letters: int = 256_000, alphabet: int = 96, shared: int = 16) -> LanguageModel:
-    """A model from texts per language: at most sample_chars letters of each and most_letters of all.
+def letters_each(languages: int, sample_chars: int = 64_000, most_letters: int = 256_000) -> int:
+    """Letters to learn of each language: sample_chars, or its share of most_letters, LEAST_LETTERS at least."""
+    return min(sample_chars, max(LEAST_LETTERS, most_letters // max(1, languages)))
+
+
+def build_model(samples: dict[str, list[str]], *, sample_chars: int = 64_000, most_letters: int = 256_000, alphabet: int = 96, shared: int = 16, table_bytes: int = TABLE_BYTES) -> LanguageModel:
+    """A model from texts per language: letters_each() letters of each are learnt.
 
     The commonest letters of all samples, alphabet of them, are told apart; rarer
     ones share so many classes by code point, and letters that no sample has are one class.
+    Every language with a letter is learnt; as many make a part as table_bytes hold, one at least.
     """
     languages = tuple(sorted(k for k, v in samples.items() if any(c.isalpha() for t in v for c in t)))
     counts: dict[str, int] = {}
@@ -98,30 +110,41 @@ def build_model(samples: dict[str, list[str]], *, sample_chars: int = 64_000, mo
     of = {c: i + 2 for i, c in enumerate(letters)}
     spare = min(shared, len(counts) - len(letters))
     of |= {c: 2 + len(letters) + sum(map(ord, c)) % spare for c in counts if c not in of}
-    sample_chars = min(sample_chars, most_letters // max(1, len(languages)))
+    most = letters_each(len(languages), sample_chars, most_letters)
     classes = np.fromiter((of.get(chr(i).lower(), 1) if chr(i).isalpha() else 0 for i in range(0x110000)), dtype=np.uint8, count=0x110000)
-    width, tables, starts, charge = len(letters) + spare + 2, [], [], []
-    size = 0
-    for k in languages:
-        joined = "\n".join(samples[k]).encode()
-        kinds, _ = _normalised(np.frombuffer(joined, dtype=np.uint8), np.array([0, len(joined)]), classes)
-        kinds = kinds[:sample_chars]
-        go = _automaton(kinds[kinds != 1] if (kinds == 1).any() else kinds, width)
-        # One more state stands before a phrase: whatever comes next begins one. A letter that no state knows is a phrase of its own.
-        between = len(go)
-        root = np.where(go[0] < 0, between, go[0])
-        go = np.vstack([go, np.full(width, -1, dtype=np.int32)])
-        miss = go < 0
-        to = np.where(miss, root[None, :], go).astype(np.int64) + size
-        tables.append((2 * to + miss).astype(np.int32))
-        starts.append(size + between)
-        charge.append(np.log2(max(2, len(kinds))))
-        size += len(go)
-    return LanguageModel(languages, classes, width, np.concatenate(tables) if tables else np.zeros((1, width), np.int32), np.array(starts, dtype=np.int32), np.array(charge))
+    width = len(letters) + spare + 2
+    together = max(1, table_bytes // (2 * most * width * 4))  # an automaton has twice as many states as letters at most
+    parts = []
+    for begin in range(0, max(1, len(languages)), together):
+        own = languages[begin : begin + together]
+        tables, starts, charge, size = [], [], [], 0
+        for k in own:
+            joined = "\n".join(samples[k]).encode()
+            kinds, _ = _normalised(np.frombuffer(joined, dtype=np.uint8), np.array([0, len(joined)]), classes)
+            kinds = kinds[:most]
+            go = _automaton(kinds[kinds != 1] if (kinds == 1).any() else kinds, width)
+            # One more state stands before a phrase: whatever comes next begins one. A letter that no state knows is a phrase of its own.
+            between = len(go)
+            root = np.where(go[0] < 0, between, go[0])
+            go = np.vstack([go, np.full(width, -1, dtype=np.int32)])
+            miss = go < 0
+            to = np.where(miss, root[None, :], go).astype(np.int64) + size
+            tables.append((2 * to + miss).astype(np.int32))
+            starts.append(size + between)
+            charge.append(np.log2(max(2, len(kinds))))
+            size += len(go)
+        parts.append({"classes": classes, "width": width, "table": np.concatenate(tables) if tables else np.zeros((1, width), np.int32), "starts": np.array(starts, dtype=np.int32), "charge": np.array(charge)})
+    return LanguageModel(languages, parts)
 
 
 def phrases(model: LanguageModel, texts: pa.Array, block: int = 1024, window: int = 1 << 20):
-    """(phrases needed: a row for each text, a column for each language; letters of each text).
+    """(phrases needed: a row for each text, a column for each language; letters of each text)."""
+    found = [part_phrases(p, texts, block, window) for p in model.parts]
+    return np.hstack([counts for counts, _ in found]), found[0][1]
+
+
+def part_phrases(part: dict, texts: pa.Array, block: int = 1024, window: int = 1 << 20):
+    """phrases() by one part of a model.
 
     Blocks of a text are parsed side by side, each as if a phrase began with it.
     Then each is parsed again from where the block before it really ends, until
@@ -129,13 +152,13 @@ def phrases(model: LanguageModel, texts: pa.Array, block: int = 1024, window: in
     of the whole text. Texts of over window letters go by windows of that length.
     """
     data, offsets = flat_utf8(texts)
-    kinds, at = _normalised(data, offsets, model.classes)
-    n, langs = len(texts), len(model.languages)
+    kinds, at = _normalised(data, offsets, part["classes"])
+    n, langs, starts, width = len(texts), len(part["starts"]), part["starts"], part["width"]
     total = np.zeros((n, langs), dtype=np.int64)
     size = np.diff(at)
     parts = -(-size // block)
-    flat = model.table.ravel()
-    carried = np.repeat(model.starts.astype(np.int64)[:, None], n, axis=1)  # each text's state before its next block
+    flat = part["table"].ravel()
+    carried = np.repeat(starts.astype(np.int64)[:, None], n, axis=1)  # each text's state before its next block
     for begun in range(0, int(parts.max(initial=0)), window // block):
         own = np.clip(parts - begun, 0, window // block)
         owner = np.repeat(np.arange(n), own)
@@ -148,21 +171,21 @@ def phrases(model: LanguageModel, texts: pa.Array, block: int = 1024, window: in
         live = np.searchsorted(-length[order], -np.arange(1, block + 1), side="right")
         last, later = place + length - 1, np.flatnonzero(nth > 0)
         for k in range(langs):
-            came = np.where(nth > 0, model.starts[k], carried[k][owner])  # the state each block is parsed from
+            came = np.where(nth > 0, starts[k], carried[k][owner])  # the state each block is parsed from
             states, begins = np.empty(len(symbols), dtype=np.int32), np.zeros(len(symbols), dtype=bool)
             state, to_place = came[order], place[order]
             for step, m in enumerate(live):
                 if not m:
                     break
                 here = to_place[:m] + step
-                to = flat[state[:m] * model.width + symbols[here]]
+                to = flat[state[:m] * width + symbols[here]]
                 begins[here], state[:m] = to & 1, to >> 1
                 states[here] = state[:m]
             while len(todo := later[states[last[later - 1]] != came[later]]):
                 came[todo] = states[last[todo - 1]]
                 state, here, end = came[todo], place[todo], last[todo]
                 while len(here):
-                    to = flat[state * model.width + symbols[here]]
+                    to = flat[state * width + symbols[here]]
                     state = (to >> 1).astype(np.int64)
                     apart = (states[here] != state) & (here < end)
                     begins[here], states[here] = to & 1, state
@@ -173,28 +196,27 @@ def phrases(model: LanguageModel, texts: pa.Array, block: int = 1024, window: in
     return total, letters
 
 
-def labelled_sample(docs: DataFrame, where: Column, *, id: str = "doc_id", text: str = "text", lang: str = "lang", sample_chars: int = 64_000, most_texts: int = 400, most_languages: int = 64) -> dict[str, list[str]]:
-    """Texts for each language, by the order of a hash of their ids: most_texts at most, until they hold sample_chars characters.
+def labelled_sample(docs: DataFrame, where: Column, *, id: str = "doc_id", text: str = "text", lang: str = "lang", sample_chars: int = 64_000, most_texts: int = 400) -> dict[str, list[str]]:
+    """Texts for each language, by the order of a hash of their ids: most_texts at most, until they hold letters_each() characters.
 
-    Of a text of over a sixteenth of sample_chars a stretch of that length is
+    Of a text of over a sixteenth of those a stretch of that length is
     taken, from a place that the hash chooses, so that several texts speak for a
-    language and none is left out for the length of its texts. Of more languages than most_languages the commonest are learnt.
+    language and none is left out for the length of its texts. Every language that a row names is learnt.
     """
-    most = max(1, sample_chars // 16)
     size = F.length("text")
     rows = docs.where(where).select(F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(id).cast("string"), F.length(text)).alias("h"), F.col(text).alias("text")).where(F.col("lang").isNotNull() & (size > 0))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row a language
     if not counts:
         return {}
+    each = letters_each(len(counts), sample_chars)
+    most = max(1, each // 16)
     # Thin each language out by the hash first, so that the sort sees about twice what it keeps.
-    share = F.lit(0)
-    for k, n in counts.items():
-        share = F.when(F.col("lang") == k, F.lit(min(1 << 20, (2 * most_texts << 20) // n + 1))).otherwise(share)
+    shares = docs.sparkSession.createDataFrame([(r.lang, min(1 << 20, (2 * most_texts << 20) // r.n + 1)) for r in counts], "lang string, share bigint")
     begin = F.pmod(F.shiftrightunsigned("h", 20), F.greatest(F.lit(1), size - most + 1)).cast("int") + 1
-    few = rows.where(F.pmod("h", F.lit(1 << 20)) < share).select("lang", "h", F.substring("text", begin, F.lit(most)).alias("text"))
+    few = rows.join(F.broadcast(shares), "lang").where(F.pmod("h", F.lit(1 << 20)) < F.col("share")).select("lang", "h", F.substring("text", begin, F.lit(most)).alias("text"))
     w = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 20)), "h", F.crc32("text"))
     held = F.coalesce(F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    found = few.select("lang", "text", F.row_number().over(w).alias("nth"), held.alias("held")).where((F.col("nth") <= most_texts) & (F.col("held") < sample_chars)).orderBy("lang", "nth").collect()
+    found = few.select("lang", "text", F.row_number().over(w).alias("nth"), held.alias("held")).where((F.col("nth") <= most_texts) & (F.col("held") < each)).orderBy("lang", "nth").collect()
     out: dict[str, list[str]] = {}
     for r in found:
         out.setdefault(r.lang, []).append(r.text)
@@ -209,22 +231,28 @@ def identify(docs: DataFrame, model: LanguageModel, *, keep: list[str], text: st
     letter, and any text if no language was learnt: `und` with score 0. Among
     equal languages the first in the alphabet wins. Repeated rows each count.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the samples
+    # Plain arrays: what is broadcast is pickled by reference, and workers may lack this package. TABLE_BYTES a part at most.
+    held = [docs.sparkSession.sparkContext.broadcast(p) for p in model.parts]
+    languages = model.languages
 
     def make():
-        m = held.value
-        names = np.array([*m.languages, UNKNOWN], dtype=object)
+        names = np.array([*languages, UNKNOWN], dtype=object)
 
         def label(texts: pa.Array) -> dict:
-            counts, letters = phrases(m, texts)
-            if not m.languages:
+            every = []
+            for part in held:
+                counts, letters = part_phrases(part.value, texts)
+                every.append(counts * part.value["charge"])
+                if len(held) > 1:  # one part at a time; it is read again for the next texts
+                    vars(part).pop("_value", None)
+            if not languages:
                 return {"lang_pred": pa.array([UNKNOWN] * len(texts), pa.string()), "score": pa.array(np.zeros(len(texts))), "letters": pa.array(letters)}
-            bits = counts * m.charge
+            bits = np.hstack(every)
             best = bits.argmin(axis=1)
             scale = np.minimum(1.0, 32.0 / np.maximum(letters, 1))[:, None]
             share = 1 / np.exp2((bits.min(axis=1, keepdims=True) - bits) * scale).sum(axis=1)
             none = letters == 0
-            return {"lang_pred": pa.array(names[np.where(none, len(m.languages), best)], pa.string()), "score": pa.array(np.where(none, 0.0, share)), "letters": pa.array(letters)}
+            return {"lang_pred": pa.array(names[np.where(none, len(languages), best)], pa.string()), "score": pa.array(np.where(none, 0.0, share)), "letters": pa.array(letters)}
 
         return label
 

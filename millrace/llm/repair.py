@@ -17,7 +17,6 @@ chunk is gone through again between the two states that the chain chose.
 from __future__ import annotations
 
 import hashlib
-from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -43,7 +42,6 @@ CHUNK_ROWS, CHUNK_BYTES = 1024, 1 << 20
 _INITIALS = {"s": 0, "u": 1, "a": 2}
 
 
-@cache
 def _moves(kind: int) -> tuple:
     """For each state, (to, cost, macro) of the best macro to each state it can reach with a row of the kind: 4 * fault + initial."""
     fault, initial = divmod(kind, 4)
@@ -74,13 +72,17 @@ def _moves(kind: int) -> tuple:
     return tuple(out)
 
 
+#: Of each kind of row.
+MOVES = tuple(_moves(kind) for kind in range(16))
+
+
 def _layers(kinds: bytes, begin: int, keep: bool):
     """(costs, ranks, pointers) after all rows: costs None where a state is out of reach, pointers (from, macro) of each layer and state if kept."""
     costs: list[int | None] = [None] * 4
     costs[begin], ranks, pointers = 0, [0] * 4, []
     for kind in kinds:
         best: list[tuple[int, int, int, int] | None] = [None] * 4
-        for state, moves in enumerate(_moves(kind)):
+        for state, moves in enumerate(MOVES[kind]):
             if (had := costs[state]) is not None:
                 rank = ranks[state]
                 for to, cost, macro in moves:
