@@ -55,8 +55,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
         least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = materialize(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("n")).where("u <> n").distinct())
-        low = large.groupBy("u").agg(F.min("n").alias("m"))
+        low = materialize(large.groupBy("u").agg(F.min("n").alias("m")))
         small = large.join(low, "u").where("n <> m").select(F.col("n").alias("a"), F.col("m").alias("b")).union(low.toDF("a", "b")).distinct()
         after = materialize(small)
-        discard(edges, least, large)
+        discard(edges, least, large, low)
         edges = after

@@ -5,7 +5,7 @@ have the least hash among their neighbours: two texts that share
 a passage keep the same positions in it. Each stretch of the least number of
 words belongs to one kept suffix in it, chosen by its words alone. Kept suffixes
 that begin alike in several texts meet with all stretches around them, and
-those of equal words are compared all with all: by hash, then by text. A text's
+those of equal 64-bit hashes are the same: no text is compared. A text's
 stretches that others hold are joined to passages.
 """
 
@@ -318,7 +318,7 @@ def shared_passages(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     n_hot = common.where(F.col("n") > BUCKET).agg(F.sum("n")).first()[0] or 0
     discard(kept, common)
 
-    # A text's places: as many as it has kept suffixes at most.
+    # An id's places: as many as its rows have kept suffixes, so they grow with the rows that repeat one id.
     places = shared.groupBy("id").agg(F.collect_set(F.struct("pos", "key", "hot")).alias("at"))
     placed = docs.where("doc_id is not null and text is not null").join(places, F.col("doc_id") == F.col("id")).select("doc_id", "text", F.xxhash64("text").alias("digest"), F.col("at.pos").alias("pos"), F.col("at.key").alias("keys"), F.col("at.hot").alias("hot"))
     # Written, so that texts meet their places once for both kinds of keys.

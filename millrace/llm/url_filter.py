@@ -14,8 +14,6 @@ from millrace.llm.base import discard, materialize
 
 #: verdict, host, path: a rule fits its host and all subdomains where the url's path starts with the rule's.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Rounds of propagation between two looks at what is left.
-ROUNDS = 8
 
 
 def _ascii_lower(c: Column) -> Column:
@@ -49,7 +47,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, tole
 
     A host's rank is (1 - damping) times its seed and damping times the ranks that
     others pass on to it, in shares of the link counts: trust along links, distrust
-    against them. Each round passes on what the round before brought, until all
+    against them. Each round passes on what the round before brought and is written, until all
     that can still come, to all hosts together, is within the tolerance. Edges with
     nothing to carry drop out of the joins.
     """
@@ -57,6 +55,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, tole
     totals = out.groupBy("kind", "at").agg(F.sum("links").alias("total"))
     start = seeds.select(F.explode(F.array(F.struct(F.lit("trust").alias("kind"), "host", F.col("trust").alias("seed")), F.struct(F.lit("distrust").alias("kind"), "host", F.col("distrust").alias("seed")))).alias("s")).select("s.*").where("seed > 0")
     rank = materialize(start.select("kind", "host", ((1 - damping) * F.col("seed")).alias("rank"), ((1 - damping) * F.col("seed")).alias("fresh")))
+    out, totals = materialize(out), materialize(totals)
     shares = out.join(totals, ["kind", "at"]).select("kind", "at", "to", (F.col("links") / F.col("total")).alias("share"))
     shares = materialize(shares)
     if shares.take(1):
@@ -66,11 +65,10 @@ def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, tole
         # What is fresh comes to damping / (1 - damping) times as much in all later rounds, at most.
         while (rank.agg(F.sum("fresh")).first()[0] or 0.0) * damping > tolerance * (1 - damping):
             before = rank
-            for _ in range(ROUNDS):
-                met = steps.join(rank.withColumnRenamed("host", "at"), ["kind", "at"]).where("share is null or fresh > 0")
-                passed = met.select("kind", F.col("to").alias("host"), F.when(F.col("share").isNull(), F.col("rank")).otherwise(0.0).alias("rank"), F.coalesce(damping * F.col("share") * F.col("fresh"), F.lit(0.0)).alias("fresh"))
-                rank = passed.groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("fresh").alias("fresh")).select("kind", "host", (F.col("rank") + F.col("fresh")).alias("rank"), "fresh")
-            rank = materialize(rank)
+            # Both sides are written tables with plain exchanges, in every round, so that a hub's links are split over tasks.
+            met = steps.join(rank.withColumnRenamed("host", "at"), ["kind", "at"]).where("share is null or fresh > 0")
+            passed = met.select("kind", F.col("to").alias("host"), F.when(F.col("share").isNull(), F.col("rank")).otherwise(0.0).alias("rank"), F.coalesce(damping * F.col("share") * F.col("fresh"), F.lit(0.0)).alias("fresh"))
+            rank = materialize(passed.groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("fresh").alias("fresh")).select("kind", "host", (F.col("rank") + F.col("fresh")).alias("rank"), "fresh"))
             discard(before)
     return rank.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("rank"))).alias("trust"), F.sum(F.when(F.col("kind") == "distrust", F.col("rank"))).alias("distrust"))
 
