@@ -614,17 +614,14 @@ def bm25_topk(spark, sf_dir):
     return bm25.search(_index(spark, sf_dir), _rows(spark, _TERMS), 10).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
-_OPENING = "array_to_string(string_split(text, ' ')[1:8], ' ')"
-
-
 @query(
-    f"""{_BM25}, q AS (SELECT doc_id AS query_id, unnest({values_sql.tokens_sql(_OPENING)}) AS term FROM documents WHERE doc_id % 20 = 0), a AS (SELECT query_id, term, count(*) AS times FROM q GROUP BY 1, 2),
+    f"""{_BM25}, q AS (SELECT item_id AS query_id, unnest({values_sql.tokens_sql('text')}) AS term FROM benchmark), a AS (SELECT query_id, term, count(*) AS times FROM q GROUP BY 1, 2),
     sc AS (SELECT query_id, p.doc_id, {_GAIN.replace("sum(idf", "sum(times * idf")} AS s FROM a JOIN post p USING (term) JOIN idf USING (term) JOIN tok t ON t.doc_id = p.doc_id, n GROUP BY 1, 2),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, doc_id)::INT AS rank, max(s) OVER (PARTITION BY query_id) AS hi FROM sc) SELECT query_id, doc_id, rank, round(CASE WHEN hi > 0 THEN s / hi ELSE s END, 6) AS score FROM r WHERE rank <= 10"""
 )
 def bm25_bounded_topk(spark, sf_dir):
-    """The first words of every document whose id is divisible by 20, searched by bounds over blocks of documents."""
-    asked = read(spark, sf_dir, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.substring_index("text", " ", 8).alias("raw_query"))
+    """Every text of the benchmark as a query, searched by bounds over blocks of documents."""
+    asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("raw_query"))
     found = bm25_blocks.Search(bm25_blocks.BlockIndex.build(_index(spark, sf_dir)), asked, 10).found()
     return found.select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
