@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions import geo, scalars, stems, text
 from millrace.functions import values as V
-from millrace.operators import bm25, bm25_blocks, bm25_store, dense, evaluate, events, filters, geojoin, intent, knn, quality, ranking, signals, vector_store, vectors, weights
-from millrace.plans import search, values_sql
+from millrace.operators import bm25, bm25_blocks, bm25_store, dense, evaluate, events, filters, geojoin, knn, quality, ranking, signals, vector_store, vectors, weights
+from millrace.plans import derived, search, values_sql
 from millrace.plans.fixture import L, P, listings, pois, read
 from millrace.plans.schema import intents
 from millrace.sources import listings as sources
@@ -214,30 +214,9 @@ def soft_filter_chain(spark, sf_dir):
     return quality.soft_filters(pool, F.col("raw_query"), F.col("min_area")).select("query_id", "listing_id")
 
 
-_WISHES = "(VALUES (1, 'Familie mit kinder'), (2, 'möblierte Wohnung befristet'), (3, 'for 3 months'), (4, 'WG room'), (5, ''), (6, 'retired couple, sublet')) AS t(query_id, raw_query)"
-
-
-@query(
-    """SELECT * FROM (VALUES (1, false, true, false, false), (2, true, false, false, false), (3, true, false, true, false), (4, false, false, false, true), (5, false, false, false, false), (6, true, false, false, false)) t(query_id, short_term, long_term, temporary, shared)"""
-)
-def query_wishes(spark, sf_dir):
-    c = F.col("raw_query")
-    return _rows(spark, _WISHES).select("query_id", quality.wants_short_term(c).alias("short_term"), quality.wants_long_term(c).alias("long_term"), quality.wants_temporary(c).alias("temporary"), quality.wants_shared(c).alias("shared"))
-
-
 # ---- Scalars of ingest ----
 
 
-@query(f"SELECT i, CASE WHEN trim(c) <> '' AND upper(trim(c)) <> 'NULL' THEN trim(c) END AS cleaned FROM {values_sql.TEXTS}")
-def clean_null_text(spark, sf_dir):
-    return _rows(spark, values_sql.TEXTS).select("i", scalars.clean_text(F.col("c")).alias("cleaned"))
-
-
-@query(f"SELECT i, CASE WHEN list_contains([a, b, c], true) THEN true WHEN list_contains([a, b, c], false) THEN false END AS any_true FROM {values_sql.FLAGS}")
-def tri_state_or(spark, sf_dir):
-    return _rows(spark, values_sql.FLAGS).select("i", scalars.tri_or(F.col("a"), F.col("b"), F.col("c")).alias("any_true"))
-
-
 @query(
     """WITH r AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_retailprice END AS gross, CASE WHEN p_partkey % 6 = 0 THEN -1E0 ELSE p_retailprice * 2 END AS price, CASE WHEN p_partkey % 12 = 0 THEN NULL ELSE p_retailprice / 2 END AS net, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_size::DOUBLE END AS extra FROM part)
     SELECT p_partkey, CASE WHEN round_even(gross, 0) > 0 THEN round_even(gross, 0) WHEN round_even(price, 0) > 0 THEN round_even(price, 0) WHEN round_even(net, 0) > 0 THEN round_even(net, 0) + coalesce(round_even(extra, 0), 0) END::INT AS price FROM r"""
@@ -264,12 +243,6 @@ def rooms_from_title(spark, sf_dir):
     return listings(spark, sf_dir).select("listing_id", scalars.rooms_in(F.col("title")).alias("rooms"))
 
 
-@query(f"SELECT i, f AS as_float, n AS as_int, b AS as_bool, t AS truthy FROM {values_sql.NUMBERS_OUT}")
-def parse_float_separators(spark, sf_dir):
-    c = F.col("c")
-    return _rows(spark, values_sql.NUMBERS).select("i", scalars.parse_float(c).alias("as_float"), scalars.parse_int(c).alias("as_int"), scalars.parse_bool(c).alias("as_bool"), scalars.truthy(c).alias("truthy"))
-
-
 @query("SELECT page_id, md5(regexp_replace(regexp_replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '*', ''), '[ \\t]{2,}', ' ', 'g'), '^\\s+|\\s+$', '', 'g')) AS digest FROM pages")
 def strip_markup_pages(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", F.md5(scalars.strip_markup(F.col("html"))).alias("digest"))
@@ -281,24 +254,6 @@ def json_props(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", own["k"].alias("k"), own["page"].alias("page"))
 
 
-@query(f"SELECT i, urls, hero FROM {values_sql.IMAGES_OUT}")
-def image_url_lists(spark, sf_dir):
-    urls = scalars.image_urls(F.col("c"))
-    return _rows(spark, values_sql.IMAGES).select("i", F.concat_ws(",", urls).alias("urls"), F.try_element_at(urls, F.lit(1)).alias("hero"))
-
-
-@query(f"SELECT i, CASE WHEN len(l) > 0 THEN array_to_string(l, ',') END AS features FROM (SELECT i, CASE i WHEN 1 THEN ['balcony', 'elevator'] WHEN 2 THEN ['garage'] WHEN 3 THEN []::VARCHAR[] WHEN 4 THEN ['new_build', 'pets_allowed', 'temporary'] END AS l FROM {values_sql.FEATURES})")
-def feature_synonyms(spark, sf_dir):
-    own = scalars.canonical_features(F.split("c", ";"))
-    return _rows(spark, values_sql.FEATURES).select("i", F.when(own.isNotNull(), F.concat_ws(",", own)).alias("features"))
-
-
-@query(f"SELECT i, place, city, slug, file, key FROM {values_sql.NAMES_OUT}")
-def canonical_names(spark, sf_dir):
-    c = F.col("c")
-    return _rows(spark, values_sql.NAMES).select("i", scalars.place_city(c).alias("place"), scalars.canonical_city(c).alias("city"), scalars.slugify(c).alias("slug"), scalars.file_slug(c).alias("file"), scalars.image_key(c).alias("key"))
-
-
 @query("SELECT page_id, left(regexp_replace(trim(regexp_replace(lower(url), '[^a-z0-9_\\s-]', '', 'g')), '[-\\s]+', '_', 'g'), 60) AS slug, left(regexp_replace(lower(url), '[^a-z0-9_]+', '_', 'g'), 60) AS file FROM pages")
 def slugify(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", scalars.slugify(F.col("url")).alias("slug"), scalars.file_slug(F.col("url")).alias("file"))
@@ -410,33 +365,6 @@ def price_band_premium(spark, sf_dir):
     return _band(spark, sf_dir, "premium")
 
 
-_WEIGHT_CASES = [
-    {"query_id": 1},
-    {"query_id": 2, "language": "de"},
-    {"query_id": 3, "near_public_transport": True, "weights": {"bm25": 0.4, "dense_text": 0.5, "feature_match": 0.6, "brightness": 0.7, "transit": 0.6}},
-    {"query_id": 4, "vlm_active": True, "price_intent": "cheap", "anchors": ["ETH"], "family_friendly": True, "weights": {"brightness": 0.2, "modernity": 0.9, "geo_anchor": 0.5, "transit": 3.0}},
-    {"query_id": 5, "weights": {"dense_text": 0.0, "bm25": -1.0}},
-]
-_DENSE3, _SUM3 = "0.35E0 + 0.5E0 * 0.7E0", "(0.35E0 + 0.5E0 * 0.7E0 + 0.4E0 + 0.6E0)"
-_SUM4 = "(0.35E0 + 0.2E0 + 0.9E0 + 0.05E0 + 0.5E0 + 0.1E0)"
-
-
-@query(
-    f"""SELECT query_id, round(dense, 6) AS dense, round(bm25, 6) AS bm25, round(vlm, 6) AS vlm, round(transit, 6) AS geo_transit, round(school, 6) AS geo_school, round(anchor, 6) AS geo_anchor, round(price, 6) AS price_band, round(lang, 6) AS lang_match FROM (VALUES
-    (1::BIGINT, 0.35E0 / 0.55E0, 0.2E0 / 0.55E0, 0E0, 0E0, 0E0, 0E0, 0E0, 0E0), (2, 0.35E0 / 0.6E0, 0.2E0 / 0.6E0, 0, 0, 0, 0, 0, 0.05E0 / 0.6E0), (3, ({_DENSE3}) / {_SUM3}, 0.4E0 / {_SUM3}, 0, 0.6E0 / {_SUM3}, 0, 0, 0, 0),
-    (4, 0.35E0 / {_SUM4}, 0.2E0 / {_SUM4}, 0.9E0 / {_SUM4}, 0, 0.05E0 / {_SUM4}, 0.5E0 / {_SUM4}, 0.1E0 / {_SUM4}, 0), (5, 0.35E0 / 0.55E0, 0.2E0 / 0.55E0, 0, 0, 0, 0, 0, 0)) t(query_id, dense, bm25, vlm, transit, school, anchor, price, lang)"""
-)
-def weights_resolved(spark, sf_dir):
-    return weights.with_weights(intents(spark, _WEIGHT_CASES)).select("query_id", *(F.round(f"w_{k}", 6).alias(k) for k in V.SIGNALS))
-
-
-@query("SELECT * FROM (VALUES (1::BIGINT, 'bm25=0.4,dense_text=0.6'), (2, 'bm25=0.4,dense_text=0.6'), (3, 'bm25=0.4,dense_text=0.6,transit=0.8'), (4, 'bm25=0.4,dense_text=0.6,feature_match=0.6,geo_anchor=0.9,price_band=0.75'), (5, 'bm25=0.4,dense_text=0.6')) t(query_id, weights)")
-def weights_derived(spark, sf_dir):
-    own = weights.derived_weights()
-    said = F.transform(F.array_sort(F.map_entries(own)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
-    return intents(spark, _WEIGHT_CASES).select("query_id", F.concat_ws(",", said).alias("weights"))
-
-
 _WANTS = [{"query_id": 1, "raw_query": "flat near tram", "near_public_transport": True, "price_intent": "cheap", "language": "en", "limit": 30}, {"query_id": 2, "raw_query": "wg close to ETH", "anchors": ["ETH"], "near_schools": True, "limit": 30}]
 
 
@@ -491,25 +419,6 @@ def reason_text(spark, sf_dir):
     return _fused(spark, sf_dir).select("query_id", "listing_id", ranking.reason(ranking.contributions(s, w)).alias("reason"))
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 0.5E0 / 0.7E0, 0.2E0 / 0.7E0, 0E0), (2, 0.5E0 / 0.75E0, 0.2E0 / 0.75E0, 0.05E0 / 0.75E0)) t(query_id, dense, bm25, lang_match)".replace("SELECT *", "SELECT query_id, round(dense, 6) AS dense, round(bm25, 6) AS bm25, round(lang_match, 6) AS lang_match"))
-def weight_overrides(spark, sf_dir):
-    """Weights given by hand go last: `dense=0.5`, and what is no number counts for nothing."""
-    own = weights.with_weights(intents(spark, _WEIGHT_CASES[:2]), weights.parse_overrides(F.lit("dense=0.5, bm25=x,vlm=-3")))
-    return own.select("query_id", *(F.round(f"w_{k}", 6).alias(k) for k in ("dense", "bm25", "lang_match")))
-
-
-@query("SELECT * FROM (VALUES (1, 'bright airy'), (2, 'Flat with a nice VIEW'), (3, NULL)) t(i, prompt)")
-def visual_prompt(spark, sf_dir):
-    own = _rows(spark, "(VALUES (1, 'flat', 'bright;airy'), (2, 'Flat with a nice VIEW', ''), (3, 'flat in Bern', '')) AS t(i, q, d)")
-    return own.select("i", signals.visual_prompt(F.col("q"), F.split("d", ";")).alias("prompt"))
-
-
-@query("SELECT * FROM (VALUES (1::BIGINT, 'a', 3::BIGINT, 'ok'), (1, 'b', 1, 'ok'), (2, 'a', 0, 'empty'), (2, 'b', 0, 'empty')) t(query_id, stage, rows, state)")
-def stage_trace(spark, sf_dir):
-    own = _rows(spark, "(VALUES (1L, 5), (1L, 6), (1L, 7)) AS t(query_id, x)")
-    return ranking.stage_trace({"a": own, "b": own.where("x = 5")}, _rows(spark, "(VALUES (1L), (2L)) AS t(query_id)"))
-
-
 @query(f"WITH {L}, b AS (SELECT listing_id, title, description, row_number() OVER (ORDER BY listing_id) AS o FROM L WHERE {_PLAIN}), p AS (SELECT *, concat_ws(' ', title, description) AS x FROM b WHERE o <= 20) SELECT listing_id, row_number() OVER (ORDER BY o)::INT AS rank, 1E0 AS score, 'Matched hard filters; soft ranking stub.' AS reason FROM p WHERE NOT regexp_matches(x, '(?i)\\b(tauschwohnung|swap\\s+apartment|co-?living|wg[-\\s]?zimmer|befristet)\\b')")
 def filter_search(spark, sf_dir):
     return search.filter_search(listings(spark, sf_dir), intents(spark, [{"query_id": 1}])).select("listing_id", "rank", "score", "reason")
@@ -651,15 +560,6 @@ def bm25_incremental(spark, sf_dir):
     return out[0].unionByName(out[1])
 
 
-_STEMS = "(VALUES (1, 'de', 'wohnungen häuser freundlichkeit ruhige'), (2, 'en', 'apartments bedrooms consistency hopping'), (3, 'fr', 'appartements continuellement majestueux'), (4, 'it', 'appartamenti abbassamento prontamente'), (5, 'unknown', 'kindern')) AS t(i, lang, said)"
-
-
-@query("SELECT * FROM (VALUES (1, 'wohnung haus freundlich ruhig'), (2, 'apart bedroom consist hop'), (3, 'appart continuel majestu'), (4, 'appart abbass pront'), (5, 'kind')) t(i, stems)")
-def word_stems(spark, sf_dir):
-    """Examples of each language's stems; German for an unknown language."""
-    return _rows(spark, _STEMS).select("i", F.concat_ws(" ", text.tokens(F.col("said"), stems.by_language, F.col("lang"))).alias("stems"))
-
-
 @query()
 def bm25_stemmed_topk(spark, sf_dir):
     """Each document stemmed in the language that it shows, each query in its own. SQL has no stems: tests hold it to a plain version."""
@@ -979,36 +879,6 @@ def feature_coverage(spark, sf_dir):
 # ---- Intents, sources ----
 
 
-@query(
-    """SELECT * FROM (VALUES (1::BIGINT, 'Zürich', 'ZH', 2500, 3.5::DOUBLE, NULL, 'bright,balcony or terrace', NULL, 'ETH', 'bm25,brightness,dense_text,feature_match,geo_anchor'),
-    (2, 'Genève', 'GE', NULL, 3.0, 'parking', 'parking', 'cheap', '', 'bm25,dense_text,feature_match,price_band'), (3, NULL, NULL, NULL, NULL, NULL, '', NULL, '', 'bm25,dense_text,feature_match')) t(query_id, city, canton, max_price, min_rooms, features, descriptors, price_intent, anchors, weights)"""
-)
-def heuristic_intent(spark, sf_dir):
-    said = lambda c: F.when(F.col(c).isNotNull(), F.concat_ws(",", c)).alias(c)
-    out = intent.understand(_rows(spark, values_sql.QUERIES))
-    return out.select("query_id", said("city"), "canton", "max_price", "min_rooms", said("features"), said("descriptors"), "price_intent", said("anchors"), F.concat_ws(",", F.array_sort(F.map_keys("weights"))).alias("weights"))
-
-
-@query("SELECT * FROM (VALUES (1::BIGINT, 'Zürich', '8008,8049', 3.0::DOUBLE), (2, 'Genève,Bern', NULL, 2.0), (3, 'Biel/Bienne', '2500', 4.5)) t(query_id, city, postal_code, min_rooms)")
-def intent_assembly(spark, sf_dir):
-    own = intents(
-        spark,
-        [
-            {"query_id": 1, "raw_query": "2 bedrooms in Seefeld", "language": "en", "city": ["Seefeld", "höngg", "zurich"], "min_rooms": 2.0},
-            {"query_id": 2, "raw_query": "2 bedrooms", "language": "de", "city": ["geneva", "", " Bern "], "min_rooms": 2.0},
-            {"query_id": 3, "raw_query": "4.5 rooms", "language": "en", "city": ["biel"], "postal_code": ["2500"], "min_rooms": 4.5},
-        ],
-    )
-    return intent.assemble(own).select("query_id", F.concat_ws(",", "city").alias("city"), F.when(F.col("postal_code").isNotNull(), F.concat_ws(",", "postal_code")).alias("postal_code"), "min_rooms")
-
-
-@query("SELECT * FROM (VALUES (1::BIGINT, 'Bern', 'ZH', 2000, 3.0::DOUBLE)) t(query_id, city, canton, max_price, min_rooms)")
-def intent_reconcile(spark, sf_dir):
-    first = intents(spark, [{"query_id": 1, "raw_query": "2 bedrooms", "language": "en", "city": [], "canton": "", "max_price": 2000}])
-    second = intents(spark, [{"query_id": 1, "city": ["Bern"], "canton": "ZH", "max_price": 900, "min_rooms": 2.0}])
-    return intent.reconcile(first, second).select("query_id", F.concat_ws(",", "city").alias("city"), "canton", "max_price", "min_rooms")
-
-
 @query("SELECT CAST(doc_id AS VARCHAR) AS id, CASE doc_id % 2 WHEN 0 THEN concat('SRED listing ', doc_id) ELSE source END AS title, CAST(n_chars AS VARCHAR) AS rent_gross, 'SRED' AS scrape_source FROM documents")
 def foreign_source(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
@@ -1093,8 +963,8 @@ def json_results(spark, sf_dir):
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    return QUERIES | derived.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | derived.SQL

@@ -1,19 +1,7 @@
-"""Literal tables and expressions in SQL that the catalogue's queries and their oracles share."""
+"""Expressions in SQL that the catalogue's oracles share."""
 
 from millrace.functions import values as V
 
-TEXTS = "(VALUES (1, '  a b '), (2, ''), (3, 'null'), (4, ' NULL '), (5, NULL), (6, 'Nullable'), (7, '   ')) AS t(i, c)"
-FLAGS = "(VALUES (1, true, NULL, false), (2, false, NULL, NULL), (3, NULL, NULL, NULL), (4, false, false, true), (5, NULL, true, NULL), (6, CAST(NULL AS BOOLEAN), false, false)) AS t(i, a, b, c)"
-NUMBERS = "(VALUES (1, '1''234.5'), (2, '2,5'), (3, 'abc'), (4, ' 7 '), (5, '3.5'), (6, 'nan'), (7, NULL), (8, '1e3'), (9, 'true'), (10, 'No'), (11, '0'), (12, 'Ja'), (13, '-4'), (14, '3d'), (15, '.5')) AS t(i, c)".replace("''", "\\'")
-NUMBERS_OUT = """(VALUES (1, 1234.5::DOUBLE, 1234, true, false), (2, 2.5, 2, true, false), (3, NULL, NULL, true, false), (4, 7, 7, true, true), (5, 3.5, 4, true, true), (6, NULL, NULL, true, false), (7, NULL, NULL, NULL, false), (8, 1000, 1000, true, true),
-    (9, NULL, NULL, true, true), (10, NULL, NULL, false, false), (11, 0, 0, false, false), (12, NULL, NULL, true, true), (13, -4, -4, true, false), (14, NULL, NULL, true, false), (15, 0.5, 0, true, false)) t(i, f, n, b, t)"""
-IMAGES = """(VALUES (1, '{"images": [{"url": "u1"}, "u2", {"name": "x"}], "image_paths": ["p1"]}'), (2, '{"image_paths": ["p2"]}'), (3, 'junk'), (4, NULL)) AS t(i, c)"""
-IMAGES_OUT = "(VALUES (1, 'u1,u2,p1', 'u1'), (2, 'p2', 'p2'), (3, '', NULL), (4, '', NULL)) t(i, urls, hero)"
-FEATURES = "(VALUES (1, 'Balkon;LIFT;terrasse'), (2, 'Tiefgarage;sauna'), (3, 'sauna'), (4, 'erstbezug;haustiere erlaubt;Neubau;a termine')) AS t(i, c)"
-NAMES = "(VALUES (1, 'Zuerich (Kreis 1) / Lindenhof'), (2, 'Geneva'), (3, ' seefeld '), (4, 'x/platform_id=42/a.jpg'), (5, 'sred/17_tile2.jpg'), (6, 'Hello,  World - again!'), (7, '!!')) AS t(i, c)"
-NAMES_OUT = """(VALUES (1, 'Zürich', 'Zuerich (Kreis 1) / Lindenhof', 'zuerich_kreis_1_lindenhof', 'zuerich_kreis_1_lindenhof', 'Zuerich (Kreis 1) / Lindenhof'), (2, 'Geneva', 'Genève', 'geneva', 'geneva', 'Geneva'), (3, 'seefeld', 'Zürich', 'seefeld', '_seefeld_', ' seefeld '),
-    (4, 'x', 'x/platform_id=42/a.jpg', 'xplatform_id42ajpg', 'x_platform_id_42_a_jpg', 'platform_id=42'), (5, 'sred', 'sred/17_tile2.jpg', 'sred17_tile2jpg', 'sred_17_tile2_jpg', 'sred_17'), (6, 'Hello,  World - again!', 'Hello,  World - again!', 'hello_world_again', 'hello_world_again_', 'Hello,  World - again!'), (7, '!!', '!!', 'query', '_', '!!')) t(i, place, city, slug, file, key)"""
-QUERIES = "(VALUES (1L, 'Bright 3.5-room apartment in Zürich under CHF 2500, ideally with balcony, close to ETH.'), (2L, '2 bedroom flat in Geneva with parking, cheap'), (3L, '')) AS t(query_id, raw_query)"
 
 _WORD = "[\\p{L}\\p{N}_]+"
 
