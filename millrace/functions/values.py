@@ -13,12 +13,12 @@ AREA_SHARE = 0.97
 # ---- Fixed values: raw listings ----
 
 RAW_COLUMNS = (
-    "id, platform_url, platform_id, title, status, time_of_creation, last_scraped, object_type_text, price, location_address, partner_name, remarks, "
-    "orig_data, images, price_type, area, object_category, object_type, offer_type, number_of_rooms, available_from, object_description, rent_net, "
-    "rent_extra, distance_public_transport, agency_name, agency_phone, agency_email, floor, year_built, prop_balcony, prop_elevator, prop_parking, "
-    "prop_garage, prop_fireplace, prop_child_friendly, geo_lat, geo_lng, scrape_source, distance_shop, distance_kindergarten, distance_school_1, "
-    "distance_school_2, animal_allowed, object_street, object_zip, object_city, object_state, rent_gross, maybe_temporary, is_new_building, supermarket_name"
-).split(", ")
+    "id", "platform_url", "platform_id", "title", "status", "time_of_creation", "last_scraped", "object_type_text", "price", "location_address", "partner_name", "remarks",
+    "orig_data", "images", "price_type", "area", "object_category", "object_type", "offer_type", "number_of_rooms", "available_from", "object_description", "rent_net",
+    "rent_extra", "distance_public_transport", "agency_name", "agency_phone", "agency_email", "floor", "year_built", "prop_balcony", "prop_elevator", "prop_parking", "prop_garage",
+    "prop_fireplace", "prop_child_friendly", "geo_lat", "geo_lng", "scrape_source", "distance_shop", "distance_kindergarten", "distance_school_1", "distance_school_2",
+    "animal_allowed", "object_street", "object_zip", "object_city", "object_state", "rent_gross", "maybe_temporary", "is_new_building", "supermarket_name",
+)
 ROOMS_IN_TITLE = r"(\d+(?:[.,]5)?)\s*[-‑]?\s*(?:Zimmer|Zi\.|pi[eè]ces?|locali?|rooms?)"
 
 # ---- Fixed values: listing-type patterns of the filter path ----
@@ -48,7 +48,11 @@ SHORT_TERM_QUERY = r"\btempor[äae]r|\btemporair|\bshort[\s-]?term\b|\bfew\s+mon
 
 # ---- Fixed values: query understanding ----
 
-CITY_HINTS = ("zürich", "zurich", "winterthur", "basel", "bern", "genève", "geneva", "lausanne", "luzern", "lucerne", "st. gallen", "st gallen", "lugano", "fribourg")
+#: name that a query may hold: city
+CITY_HINTS = {
+    "zürich": "Zürich", "zurich": "Zürich", "winterthur": "Winterthur", "basel": "Basel", "bern": "Bern", "genève": "Genève", "geneva": "Genève", "lausanne": "Lausanne",
+    "luzern": "Luzern", "lucerne": "Luzern", "st. gallen": "St. Gallen", "st gallen": "St. Gallen", "lugano": "Lugano", "fribourg": "Fribourg",
+}
 CITY_CANTONS = {"zurich": "ZH", "zürich": "ZH", "bern": "BE", "basel": "BS", "geneva": "GE", "genève": "GE", "lausanne": "VD", "luzern": "LU", "lucerne": "LU", "winterthur": "ZH"}
 CITY_ALIASES = {"genf": "Genève", "geneva": "Genève", "zurich": "Zürich", "zuerich": "Zürich", "lucerne": "Luzern", "biel": "Biel/Bienne", "bienne": "Biel/Bienne"}
 #: district: parent city and postal codes

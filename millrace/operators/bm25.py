@@ -72,10 +72,12 @@ def build_index(documents: DataFrame, *, id: str, text: str, stem=None) -> Bm25I
     """Statistics over all documents, by distinct ids; those without a token count too, with length 0.
 
     Texts are split once: the counts are written to the shared folder, and all else follows from them.
+    Whole texts are exchanged by id, a third of what their words would be; rows that repeat an id meet in one task, which counts them as a stream.
     stem, such as stems.by_language, maps tokens to stems in the language that each text shows.
     """
     path = new_folder(documents.sparkSession)
-    counted(documents, id=id, text=text, stem=stem).write.parquet(path)
+    own = documents.select(F.col(id).alias("doc_id"), F.col(text).alias("text")).repartition("doc_id")
+    counted(own, id="doc_id", text="text", stem=stem).write.parquet(path)
     counts = documents.sparkSession.read.parquet(path)
     docs = lengths(counts)
     return Bm25Index(counts.where("term is not null"), docs, *weighed(frequencies(counts), docs), stem)

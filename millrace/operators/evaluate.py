@@ -32,13 +32,49 @@ def join_judgements(requests: DataFrame, results: DataFrame) -> DataFrame:
     return requests.join(results, "custom_id")
 
 
+def _lowest(by: list[int], order: int, n: int):
+    """Of a stream of Arrow batches the n rows of each stratum that come first by a column; no more are held than those and a batch."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            own = pa.Table.from_batches([batch])
+            own = own if held is None else pa.concat_tables([held, own])
+            names = own.schema.names
+            ranked = own.take(pc.sort_indices(own, sort_keys=[(names[i], "ascending") for i in (*by, order)]))
+            if len(ranked):
+                edge = np.zeros(len(ranked), dtype=bool)
+                edge[0] = True
+                for i in by:
+                    code = ranked.column(i).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                    edge[1:] |= code[1:] != code[:-1]
+                first = np.maximum.accumulate(np.where(edge, np.arange(len(ranked)), 0))
+                ranked = ranked.filter(pa.array(np.arange(len(ranked)) - first < n))
+            held = ranked
+        if held is not None:
+            yield from held.to_batches()
+
+    return run
+
+
+def bottom_k(df: DataFrame, stratum: str, n: int, order: str) -> DataFrame:
+    """The n rows of each stratum that come first by a column: in each task, then of what tasks found. No task sees a stratum."""
+    by, at = [df.columns.index(stratum)], df.columns.index(order)
+    found = df.mapInArrow(_lowest(by, at, n), df.schema)
+    # n rows a stratum and task at most, streamed through the same heap.
+    return found.repartition(F.col(stratum)).mapInArrow(_lowest(by, at, n), df.schema)
+
+
 def stratified_sample(df: DataFrame, stratum: str, n: int, order: Column) -> DataFrame:
-    """n rows: an equal share of each stratum by order, then more by order until there are n. Stratum shares come first."""
-    per = Window.partitionBy(stratum).orderBy("_o")
-    placed = df.withColumn("_o", order).withColumn("_r", F.row_number().over(per))
-    strata = df.agg(F.count_distinct(stratum).alias("_s"))
-    placed = placed.join(F.broadcast(strata), how="cross").withColumn("_first", F.col("_r") <= F.floor(F.lit(n) / F.col("_s")))  # one row
-    return placed.where(F.col("_r") <= n).orderBy(F.desc("_first"), "_o").limit(n).select(*df.columns)
+    """n rows: an equal share of each stratum by order, then more by order until there are n. Stratum shares come first. Nulls are a stratum of their own without a share of n."""
+    lowest = bottom_k(df.withColumn("_o", order), stratum, n, "_o")
+    per = Window.partitionBy(stratum).orderBy("_o")  # n rows at most
+    strata = lowest.agg(F.count_distinct(stratum).alias("_s"))
+    placed = lowest.withColumn("_r", F.row_number().over(per)).join(F.broadcast(strata), how="cross").withColumn("_first", F.col("_r") <= F.floor(F.lit(n) / F.col("_s")))  # one row
+    return placed.orderBy(F.desc("_first"), "_o").limit(n).select(*df.columns)
 
 
 def counts_by(df: DataFrame, by: str, name: str = "n") -> DataFrame:

@@ -58,9 +58,9 @@ def understand(queries: DataFrame) -> DataFrame:
     """queries (query_id, raw_query) with the fields of an intent; an empty query asks for nothing."""
     q, raw = F.lower("raw_query"), F.col("raw_query")
     city = canton = F.lit(None).cast("string")
-    for name in reversed(V.CITY_HINTS):
+    for name, known in reversed(V.CITY_HINTS.items()):
         here = F.contains(q, F.lit(name))
-        city = F.when(here, canonical_city(F.lit(name.title().replace("St ", "St. ")))).otherwise(city)
+        city = F.when(here, F.lit(known)).otherwise(city)
         canton = F.when(here, F.lit(V.CITY_CANTONS.get(name))).otherwise(canton)
     min_rooms = _number(_group(raw, V.ROOMS_WANTED))
     min_rooms, max_rooms = shifted_rooms(raw, min_rooms, F.lit(None).cast("double"))
