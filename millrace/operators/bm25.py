@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import values as V
 from millrace.functions.text import tokens
-from millrace.sources.stores import new_folder
+from millrace.sources.stores import written
 
 
 def corpus_text() -> Column:
@@ -75,10 +75,8 @@ def build_index(documents: DataFrame, *, id: str, text: str, stem=None) -> Bm25I
     Whole texts are exchanged by id, a third of what their words would be; rows that repeat an id meet in one task, which counts them as a stream.
     stem, such as stems.by_language, maps tokens to stems in the language that each text shows.
     """
-    path = new_folder(documents.sparkSession)
     own = documents.select(F.col(id).alias("doc_id"), F.col(text).alias("text")).repartition("doc_id")
-    counted(own, id="doc_id", text="text", stem=stem).write.parquet(path)
-    counts = documents.sparkSession.read.parquet(path)
+    counts = written(counted(own, id="doc_id", text="text", stem=stem))
     docs = lengths(counts)
     return Bm25Index(counts.where("term is not null"), docs, *weighed(frequencies(counts), docs), stem)
 

@@ -17,7 +17,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from millrace.functions import values as V
 from millrace.functions.geo import distance_m
-from millrace.sources.stores import new_folder
+from millrace.sources.stores import written
 
 #: The finest cells' level, of some metres, and the levels of one split.
 FINEST, STEP = 24, 3
@@ -203,9 +203,7 @@ def k_nearest_join(points: DataFrame, pois: DataFrame, k: int, *, radius_m: floa
     held = pois.select(double("lat"), double("lon"), *carry).where(_known("lat", "lon"))
     at_place = Window.partitionBy("lat", "lon").orderBy(*carry) if carry else Window.partitionBy("lat", "lon").orderBy(F.lit(0))
     held = held.withColumn("at_place", F.row_number().over(at_place)).where(F.col("at_place") <= k).drop("at_place")
-    path = new_folder(spark)
-    _coded(held, "lat", "lon", "code").write.parquet(path)
-    held = spark.read.parquet(path)
+    held = written(_coded(held, "lat", "lon", "code"))
     own = points.select(F.col(id).alias("id"), double("latitude"), double("longitude")).where(_known("latitude", "longitude")).dropDuplicates(["id"])
     nodes = spark.sparkContext.broadcast(_directory(held.select("code"), held.count()))
     schema = f"id {points.schema[id].dataType.simpleString()}, latitude double, longitude double, leaf bigint"

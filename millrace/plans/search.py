@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import values as V
 from millrace.operators import bm25, dense, filters, quality, ranking, signals, vectors, weights
+from millrace.sources.stores import written
 
 
 def filter_search(listings: DataFrame, intents: DataFrame) -> DataFrame:
@@ -27,7 +28,7 @@ def candidates(listings: DataFrame, intents: DataFrame, *, cap: int = V.CANDIDAT
 def trace(listings: DataFrame, intents: DataFrame, *, cap: int = V.CANDIDATE_CAP) -> DataFrame:
     """(query_id, stage, rows, state): what the stages before scoring leave of each query."""
     asked = intents.withColumns({"limit": F.lit(cap), "offset": F.lit(0)})
-    found = filters.hard_filter(listings, asked, cap=cap, page=False).persist()
+    found = written(filters.hard_filter(listings, asked, cap=cap, page=False))
     good = quality.quality_filter(found, F.col("q_raw_query"), F.col("q_availability_hint"))
     return ranking.stage_trace({"hard_filter": found, "quality": good, "locality": quality.locality_filter(good, F.col("q_locality_hints"))}, intents)
 
@@ -85,8 +86,8 @@ def search(listings: DataFrame, intents: DataFrame, index: bm25.Bm25Index, store
     query_vector, and listings without a vector, go without that signal.
     """
     intents = weights.with_weights(intents, overrides).withColumns({"page_limit": F.coalesce("limit", F.lit(20)), "page_offset": F.coalesce("offset", F.lit(0))})
-    # A few hundred rows a query that take a scan of the listings to find, and are met four times below.
-    pool = candidates(listings, intents).persist()
+    # A few hundred rows a query that take a scan of the listings to find, and are met four times below. They are found while the plan is built.
+    pool = written(candidates(listings, intents))
     ids = pool.select("query_id", "listing_id")
     lexical = bm25.score(index, intents, ids.withColumnRenamed("listing_id", "doc_id")).withColumnRenamed("doc_id", "listing_id")
     asked = intents.where("query_vector is not null")

@@ -14,6 +14,8 @@ from millrace.functions.scalars import file_slug
 
 ELEMENT = "type string, lat double, lon double, center struct<lat:double,lon:double>, tags struct<name:string,amenity:string,highway:string,railway:string,shop:string>"
 
+_own: list[str] = []  # this process's temporary folder
+
 
 def new_folder(spark: SparkSession) -> str:
     """A path of its own in the folder that driver and executors share; a local master without one gets a temporary folder."""
@@ -21,15 +23,23 @@ def new_folder(spark: SparkSession) -> str:
     if shared is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        own = tempfile.mkdtemp(prefix="millrace-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        shared = f"file://{own}"
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="millrace-"))
+            atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+        shared = f"file://{_own[0]}"
     path = f"{shared}/millrace/{uuid.uuid4().hex}"
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return path
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df written to a folder of its own and read back, so that nothing computes it again; it goes when the application ends."""
+    path = new_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_poi_cache(spark: SparkSession, path: str, poi_type: str) -> DataFrame:
     """Elements of one type's JSON cache, a list or an object with `elements`."""
     text = spark.read.text(path, wholetext=True).select("value")
