@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,6 +32,30 @@ def in_box(lat: Column, lng: Column, lat0: Column, lng0: Column, radius_km: Colu
     return lat.between(lat0 - dlat, lat0 + dlat) & lng.between(lng0 - dlng, lng0 + dlng)
 
 
+def place_code(lat: Column, lng: Column) -> Column:
+    """Places that are near have near numbers: 16 bits each of latitude and longitude, bit by bit in turn (Z-order). Null without coordinates."""
+
+    def spread(share: Column) -> Column:
+        x = F.floor(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)) * 65535).cast("bigint")
+        for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+            x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask).cast("bigint"))
+        return x
+
+    return F.shiftleft(spread((lat + 90) / 180), 1).bitwiseOR(spread((lng + 180) / 360))
+
+
+def boxes(rows: list[tuple[float, float, float]], lat: Column, lng: Column, most: int = 32) -> Column:
+    """Plain ranges that hold all circles (latitude, longitude, radius in km): one for each of a few, one around all of many. A scan can drop row groups by them."""
+    found = []
+    for lat0, lng0, radius in rows:
+        up = radius / 111.0 * (1 + 1e-9)
+        side = up / math.cos(math.radians(abs(lat0) + up)) if abs(lat0) + up < 89.0 else 360.0
+        found.append((lat0 - up, lat0 + up, lng0 - side, lng0 + side))
+    if len(found) > most:
+        found = [(*(f(x[i] for x in found) for f, i in ((min, 0), (max, 1), (min, 2), (max, 3))),)]
+    return reduce(lambda a, b: a | b, (lat.between(s, n) & lng.between(w, e) for s, n, w, e in found))
+
+
 def decay(metres: Column, tau: float) -> Column:
     """exp(-d / tau); null where the distance is."""
     return F.exp(-metres / F.lit(tau))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import values as V
-from millrace.functions.geo import distance_km, in_box
+from millrace.functions.geo import boxes, distance_km, in_box
 
 #: Intents of one batch at most: the side that is broadcast.
 MOST_INTENTS = 2_000
@@ -104,10 +104,14 @@ def matched(listings: DataFrame, intents: DataFrame) -> DataFrame:
     """Listings beside each intent that they can be made to pass, with level.
 
     One pass over the listings; the intents, a request's batch of at most
-    MOST_INTENTS, ride along as a broadcast. A larger batch is refused.
+    MOST_INTENTS, ride along as a broadcast. A larger batch is refused. Where every intent asks
+    for a radius, ranges around them all go to the scan, which drops the row groups of a table clustered by place.
     """
-    if len(intents.take(MOST_INTENTS + 1)) > MOST_INTENTS:
+    asked = intents.select("latitude", "longitude", "radius_km").take(MOST_INTENTS + 1)
+    if len(asked) > MOST_INTENTS:
         raise ValueError(f"a batch has at most {MOST_INTENTS} intents")
+    if asked and all(x is not None for r in asked for x in r):
+        listings = listings.where(boxes([tuple(r) for r in asked], F.col("latitude"), F.col("longitude")))
     return listings.join(F.broadcast(named(intents)), fixed_filter()).withColumn("level", relaxation_level()).where("level is not null")
 
 

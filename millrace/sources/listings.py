@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from millrace.functions import scalars as S
 from millrace.functions import values as V
+from millrace.functions.geo import place_code
 
 RAW = T.StructType([T.StructField(c, T.StringType()) for c in V.RAW_COLUMNS])
 FOREIGN = T.StructType([T.StructField(c, T.StringType()) for c in ("listing_id", "header", "ad_description", "price", "living_space", "rooms", "lat", "lon")])
@@ -117,15 +118,17 @@ def prepare(raw: DataFrame) -> DataFrame:
     )
 
 
-def bootstrap(listings: DataFrame, path: str) -> bool:
-    """Write the table once, clustered by canton and city; false, and nothing done, if it is there. A repeated id is an error."""
+def bootstrap(listings: DataFrame, path: str, cluster: str = "city", row_group_bytes: int = 16 << 20) -> bool:
+    """Write the table once, clustered by canton and city, or by `place`, so that what is near lies together; false, and nothing done, if it is there. A repeated id is an error."""
     spark = listings.sparkSession
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
         return False
     if twice := listings.groupBy("listing_id").count().where("count > 1").take(1):
         raise ValueError(f"listing_id {twice[0].listing_id!r} is not unique")
-    listings.repartitionByRange("canton", "city", "listing_id").sortWithinPartitions("canton", "city").write.mode("errorifexists").parquet(path)
+    order = {"city": ["canton", "city"], "place": [place_code(F.col("latitude"), F.col("longitude"))]}[cluster]
+    own = listings.repartitionByRange(*order, "listing_id").sortWithinPartitions(*order)
+    own.write.mode("errorifexists").option("parquet.block.size", row_group_bytes).parquet(path)
     return True
 
 
