@@ -41,7 +41,7 @@ def place_code(lat: Column, lng: Column) -> Column:
             x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask).cast("bigint"))
         return x
 
-    return F.shiftleft(spread((lat + 90) / 180), 1).bitwiseOR(spread((lng + 180) / 360))
+    return F.when(lat.isNotNull() & lng.isNotNull(), F.shiftleft(spread((lat + 90) / 180), 1).bitwiseOR(spread((lng + 180) / 360)))
 
 
 def boxes(rows: list[tuple[float, float, float]], lat: Column, lng: Column, most: int = 32) -> Column:

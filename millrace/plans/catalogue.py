@@ -98,6 +98,15 @@ def radius_search(spark, sf_dir):
     return filters.numbered(filters.matched(listings(spark, sf_dir), own)).select("listing_id", "cand_ord", F.round("sort_value", 6).alias("km"))
 
 
+@query(SQL["radius_search"])
+def radius_search_stored(spark, sf_dir):
+    """The same over a table that was written by place, of which the circle's ranges leave most unread."""
+    path = stores.new_folder(spark)
+    sources.bootstrap(listings(spark, sf_dir), path, cluster="place")
+    own = intents(spark, [{"query_id": 1, "latitude": 46.9, "longitude": 7.4, "radius_km": 60.0, "sort_by": "price_asc"}])
+    return filters.numbered(filters.matched(spark.read.parquet(path), own)).select("listing_id", "cand_ord", F.round("sort_value", 6).alias("km"))
+
+
 _PLAIN = _where("$category AND $titles").split("WHERE ")[-1]
 
 
