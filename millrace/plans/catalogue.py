@@ -914,15 +914,28 @@ def image_object_urls(spark, sf_dir):
 # ---- Tables written and read back ----
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS id, md5(concat('\"', source, '\" says' || chr(10), replace(text, chr(13), ' '))) AS remarks, source AS title FROM documents WHERE text IS NOT NULL")
-def csv_scan(spark, sf_dir):
-    """Raw rows from two CSV files whose fields hold quotes, commas and line breaks."""
+_CSV = "SELECT CAST(doc_id AS VARCHAR) AS id, md5(concat('\"', source, '\" says' || chr(10), replace(text, chr(13), ' '))) AS remarks, source AS title FROM documents WHERE text IS NOT NULL"
+
+
+def _csv(spark, sf_dir, files: int, **options) -> DataFrame:
+    """Raw rows from CSV files whose fields hold quotes, commas and line breaks."""
     text = F.concat(F.lit('"'), F.col("source"), F.lit('" says\n'), F.replace("text", F.lit("\r"), F.lit(" ")))
     given = {"id": F.col("doc_id").cast("string"), "title": F.col("source"), "remarks": text}
     raw = read(spark, sf_dir, "documents").where("text is not null").select(*(given.get(c, F.lit(None).cast("string")).alias(c) for c in V.RAW_COLUMNS))
     path = stores.new_folder(spark)
-    raw.repartition(2).write.options(header=True, quote='"', escape='"', encoding="UTF-8", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
-    return sources.read_csv(spark, path).select("id", F.md5("remarks").alias("remarks"), "title")
+    raw.repartition(files).write.options(header=True, quote='"', escape='"', encoding="UTF-8", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return sources.read_csv(spark, path, **options).select("id", F.md5("remarks").alias("remarks"), "title")
+
+
+@query(_CSV)
+def csv_scan(spark, sf_dir):
+    return _csv(spark, sf_dir, 2)
+
+
+@query(_CSV)
+def csv_scan_ranges(spark, sf_dir):
+    """The same, each file in as many tasks as it has ranges."""
+    return _csv(spark, sf_dir, 2, by_ranges=True)
 
 
 @query(f"WITH {L} SELECT canton, count(*) AS n, sum(price)::BIGINT AS prices, false AS again FROM L GROUP BY 1")

@@ -9,14 +9,20 @@ from pyspark.sql import types as T
 from millrace.functions import scalars as S
 from millrace.functions import values as V
 from millrace.functions.geo import place_code
+from millrace.sources.csv_ranges import read_csv_ranges
 
 RAW = T.StructType([T.StructField(c, T.StringType()) for c in V.RAW_COLUMNS])
 FOREIGN = T.StructType([T.StructField(c, T.StringType()) for c in ("listing_id", "header", "ad_description", "price", "living_space", "rooms", "lat", "lon")])
 IMAGE_SUFFIXES = (".jpeg", ".jpg", ".png", ".webp")
 
 
-def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType = RAW) -> DataFrame:
-    """All strings: quoted fields may hold line breaks and doubled quotes. A folder or a pattern reads as the union of its files."""
+def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType = RAW, by_ranges: bool = False) -> DataFrame:
+    """All strings: quoted fields may hold line breaks and doubled quotes. A folder or a pattern reads as the union of its files.
+
+    A file is one task, unless it is read by ranges: then texts are read twice, in as many tasks as there are ranges.
+    """
+    if by_ranges:
+        return read_csv_ranges(spark, path, schema)
     return spark.read.schema(schema).options(header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8").csv(path)
 
 
