@@ -159,12 +159,14 @@ def relaxation_chosen(spark, sf_dir):
 
 # ---- Quality, tenancy, locality ----
 
-_ASKED = "(VALUES (1, 'flat for my family, long-term'), (2, 'furnished studio for 6 months'), (3, 'anything')) AS t(query_id, raw_query)"
+_ASKED = "(VALUES (1, 'flat for my family, long-term'), (2, 'furnished studio for 6 months'), (3, 'anything')) AS t(kind, raw_query)"
+_QUERY = "(CAST(listing_id AS INT) // 200 * 3 + kind)::INT AS query_id"
 
 
-def _pool(spark, sf_dir) -> DataFrame:
-    """Every listing beside the three queries of _ASKED."""
-    return listings(spark, sf_dir).join(F.broadcast(_rows(spark, _ASKED)), F.lit(True))
+def _pools(spark, sf_dir, asked: str) -> DataFrame:
+    """All listings in pools of two hundred, each pool beside three kinds of queries."""
+    own = listings(spark, sf_dir).join(F.broadcast(_rows(spark, asked)), F.lit(True))
+    return own.withColumn("query_id", F.expr("cast(cast(listing_id as int) div 200 * 3 + kind as int)"))
 
 
 _SWAP, _WANT, _FOREIGN = "tauschwohnung|apartment swap", "suche wohnung", "^fr-ferney-voltaire"
@@ -173,19 +175,19 @@ _BEFRISTET = "regexp_matches(x, '(?i)\\bbefristet\\b')"
 
 
 @query(
-    f"""WITH {L}, q AS (SELECT * FROM {_ASKED}), c AS (SELECT query_id, {_REASON} AS why, {_BEFRISTET} AS short FROM (SELECT *, concat_ws(' ', title, description) AS x FROM L), q)
-    SELECT query_id, coalesce(why, CASE WHEN query_id = 1 THEN 'temporary:befristet' ELSE '_short_term_kept_by_intent' END) AS reason, count(*) AS n FROM c WHERE why IS NOT NULL OR (short AND query_id < 3) GROUP BY 1, 2"""
+    f"""WITH {L}, q AS (SELECT * FROM {_ASKED}), c AS (SELECT {_QUERY}, kind, {_REASON} AS why, {_BEFRISTET} AS short FROM (SELECT *, concat_ws(' ', title, description) AS x FROM L), q)
+    SELECT query_id, coalesce(why, CASE WHEN kind = 1 THEN 'temporary:befristet' ELSE '_short_term_kept_by_intent' END) AS reason, count(*) AS n FROM c WHERE why IS NOT NULL OR (short AND kind < 3) GROUP BY 1, 2"""
 )
 def quality_drop_counts(spark, sf_dir):
-    return quality.drop_counts(_pool(spark, sf_dir), F.col("raw_query"))
+    return quality.drop_counts(_pools(spark, sf_dir, _ASKED), F.col("raw_query"))
 
 
 @query(
-    f"""WITH {L}, q AS (SELECT * FROM {_ASKED}), c AS (SELECT query_id, listing_id, {_BEFRISTET} AS short FROM (SELECT *, concat_ws(' ', title, description) AS x FROM L), q WHERE {_REASON} IS NULL),
-    k AS (SELECT *, count(*) FILTER (NOT short OR query_id <> 1) OVER (PARTITION BY query_id) AS n FROM c) SELECT query_id, listing_id FROM k WHERE NOT short OR query_id <> 1 OR n < 5"""
+    f"""WITH {L}, q AS (SELECT * FROM {_ASKED}), c AS (SELECT {_QUERY}, kind, listing_id, {_BEFRISTET} AS short FROM (SELECT *, concat_ws(' ', title, description) AS x FROM L), q WHERE {_REASON} IS NULL),
+    k AS (SELECT *, count(*) FILTER (NOT short OR kind <> 1) OVER (PARTITION BY query_id) AS n FROM c) SELECT query_id, listing_id FROM k WHERE NOT short OR kind <> 1 OR n < 5"""
 )
 def short_term_guard(spark, sf_dir):
-    return quality.quality_filter(_pool(spark, sf_dir), F.col("raw_query")).select("query_id", "listing_id")
+    return quality.quality_filter(_pools(spark, sf_dir, _ASKED), F.col("raw_query")).select("query_id", "listing_id")
 
 
 @query(
@@ -198,29 +200,28 @@ def short_term_restored(spark, sf_dir):
     return quality.quality_filter(pool, F.lit("a home for my family")).select("query_id", "listing_id")
 
 
-_HINTS = "(VALUES (1, 'weg 1'), (2, 'no such street'), (3, 'thandhe')) AS t(query_id, hint)"
+_HINTS = "(VALUES (1, 'weg 1'), (2, 'no such street'), (3, 'thandhe')) AS t(kind, hint)"
 
 
 @query(
-    f"""WITH {L}, q AS (SELECT * FROM {_HINTS}), c AS (SELECT query_id, listing_id, contains(lower(concat_ws(' ', title, description, street, postal_code)), hint) AS hit FROM L, q),
+    f"""WITH {L}, q AS (SELECT * FROM {_HINTS}), c AS (SELECT {_QUERY}, listing_id, contains(lower(concat_ws(' ', title, description, street, postal_code)), hint) AS hit FROM L, q),
     k AS (SELECT *, count(*) FILTER (hit) OVER (PARTITION BY query_id) AS n FROM c) SELECT query_id, listing_id FROM k WHERE hit OR n < 5"""
 )
 def locality_guard(spark, sf_dir):
-    asked = _rows(spark, _HINTS).select("query_id", F.array(F.concat(F.lit("  "), F.upper("hint")), F.lit(" ")).alias("hints"))
-    return quality.locality_filter(listings(spark, sf_dir).join(F.broadcast(asked), F.lit(True)), F.col("hints")).select("query_id", "listing_id")
+    hints = F.array(F.concat(F.lit("  "), F.upper("hint")), F.lit(" "))
+    return quality.locality_filter(_pools(spark, sf_dir, _HINTS).withColumn("hints", hints), F.col("hints")).select("query_id", "listing_id")
 
 
-_SOFT = "(VALUES (1, 'quiet flat', 60), (2, 'room in a shared flat for 3 months', 0), (3, 'wg', 100000)) AS t(query_id, raw_query, min_area)"
+_SOFT = "(VALUES (1, 'quiet flat', 60), (2, 'room in a shared flat for 3 months', 0), (3, 'wg', 100000)) AS t(kind, raw_query, min_area)"
 
 
 @query(
-    f"""WITH {L}, q AS (SELECT * FROM {_SOFT}), c AS (SELECT query_id, listing_id, area, min_area, regexp_matches(x, '(?i)\\b(tauschwohnung|swap\\s+apartment)\\b') AS ex, regexp_matches(x, '(?i)\\b(co-?living|wg[-\\s]?zimmer)\\b') AS sh, regexp_matches(x, '(?i)\\bbefristet\\b') AS te FROM (SELECT *, concat_ws(' ', title, description) AS x FROM L), q),
-    a AS (SELECT * FROM c WHERE NOT ex AND (query_id > 1 OR NOT sh)), b AS (SELECT * FROM a WHERE query_id = 2 OR NOT te),
+    f"""WITH {L}, q AS (SELECT * FROM {_SOFT}), c AS (SELECT {_QUERY}, kind, listing_id, area, min_area, regexp_matches(x, '(?i)\\b(tauschwohnung|swap\\s+apartment)\\b') AS ex, regexp_matches(x, '(?i)\\b(co-?living|wg[-\\s]?zimmer)\\b') AS sh, regexp_matches(x, '(?i)\\bbefristet\\b') AS te FROM (SELECT *, concat_ws(' ', title, description) AS x FROM L), q),
+    a AS (SELECT * FROM c WHERE NOT ex AND (kind > 1 OR NOT sh)), b AS (SELECT * FROM a WHERE kind = 2 OR NOT te),
     d AS (SELECT *, min_area = 0 OR coalesce(area, 0) >= min_area * 0.97E0 AS keep FROM b) SELECT query_id, listing_id FROM (SELECT *, count(*) FILTER (keep) OVER (PARTITION BY query_id) AS n FROM d) WHERE keep OR n = 0"""
 )
 def soft_filter_chain(spark, sf_dir):
-    pool = listings(spark, sf_dir).join(F.broadcast(_rows(spark, _SOFT)), F.lit(True))
-    return quality.soft_filters(pool, F.col("raw_query"), F.col("min_area")).select("query_id", "listing_id")
+    return quality.soft_filters(_pools(spark, sf_dir, _SOFT), F.col("raw_query"), F.col("min_area")).select("query_id", "listing_id")
 
 
 # ---- Scalars of ingest ----
