@@ -135,6 +135,26 @@ def word_stems(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.concat_ws(" ", said).alias("stems"))
 
 
+# ---- Listing types ----
+
+#: A phrase for each alternative of the patterns that say what kind of listing a text is; accents stand inside words, where both engines see the same boundaries.
+_KINDS = [
+    "tausch", "Tauschwohnung", "zum  Tausch", "[tauschwohnung]", "Wohnungen tauschen", "swap apartment", "coliving", "Co-Living", "WG-Zimmer", "Zimmer in einer WG", "camera in appartamento condiviso", "room in shared flat", "chambre en colocation",
+    "befristet", "temporäre", "temporaire", "temporaneo", "fixed-term", "kurzfristig", "bis 01.02.2026", "tausch gegen", "wohnungstausch", "apartment swap", "echange contre", "appartement échange", "scambio di appartamenti",
+    "suche wohnung", "suche 3.5-zimmer", "ich suche", "wir suchen", "cherche studio", "cherche 3 pièces", "a la recherche d'un appartement", "reprise de bail", "cerco monolocale", "wanted: x", "looking for an apartment",
+    "temporary", "temporarily", "temporairement", "temporanea", "zwischenmiete", "untervermietung", "sous-location", "sublet", "abriss", "demolition", "bis zum 1.2.26", "bis Ende 2026", "jusqu'au mai 2026", "fino al 3", "a quiet flat",
+]
+_KIND_TEXT = f"concat(source, ': ', {_pick(_KINDS, 'doc_id')}, CASE WHEN doc_id % 3 = 0 THEN concat(' ', upper({_pick(_KINDS, 'doc_id * 7 + 5')})) ELSE '' END, '. ', text)"
+_KIND_PATTERNS = {"exchange": V.EXCHANGE, "coliving": V.COLIVING, "wg_room": V.WG_ROOM, "temporary": V.TEMPORARY_LISTING, "swap": V.SWAP, "wanted": V.WANTED, "short_term": V.SHORT_TERM}
+
+
+@query(f"SELECT doc_id, {', '.join(f'regexp_matches(x, {_quoted("(?i)" + p)}) AS {k}' for k, p in _KIND_PATTERNS.items())} FROM (SELECT doc_id, {_KIND_TEXT} AS x FROM documents)")
+def listing_kinds(spark, sf_dir):
+    """Every alternative of the listing patterns, put before whole texts, found by literal parts and patterns."""
+    own = read(spark, sf_dir, "documents").select("doc_id", _spark(_KIND_TEXT).alias("x"))
+    return own.select("doc_id", *(quality.in_text(F.col("x"), p).alias(k) for k, p in _KIND_PATTERNS.items()))
+
+
 # ---- Queries as text ----
 
 _PHRASES = ["Familie mit kinder", "möblierte Wohnung befristet", "for 3 months", "WG room", "", "retired couple, sublet", "wohnung auf zeit", "kids and a garden", "short-term stay", "6 Monate", "coliving space", "permanent home", "a family, furnished", "temporär", "relocating", "shared flat for a few"]
