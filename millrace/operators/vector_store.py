@@ -21,7 +21,11 @@ MOST_SEGMENTS = 8
 
 
 class VectorStore:
-    """listing_id, model_id, vector by listing_id. buckets is fixed when the first segment is written."""
+    """listing_id, model_id, vector by listing_id. buckets is fixed when the first segment is written.
+
+    A session knows its segments as external tables `millrace_` and the segment's name; vacuum drops them, a catalogue
+    that outlives the session keeps the rest.
+    """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 8):
         self.spark, self.log, self._buckets = spark, SegmentLog(spark, path), buckets
