@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from millrace.functions import scalars, stems, text
 from millrace.functions import values as V
 from millrace.operators import intent, quality, ranking, signals, weights
+from millrace.operators.intent_cache import IntentCache, soft_facts
 from millrace.plans.fixture import L, listings, read
 from millrace.plans.schema import INTENT
+from millrace.sources.stores import new_folder
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -189,6 +191,29 @@ def heuristic_intent(spark, sf_dir):
     return out.select("query_id", said("city"), "canton", "max_price", "min_rooms", "min_area", "max_area", said("features"), said("descriptors"), "price_intent", said("anchors"), F.concat_ws(",", F.array_sort(F.map_keys("weights"))).alias("weights"))
 
 
+_TOLD = "k % 5 = 0 AS zurich, CASE WHEN k % 2 = 0 THEN 1000 + k % 30 * 100 END::INT AS max_price, k % 3 = 0 AS bright, k % 3 = 1 AS quiet, CASE k % 11 WHEN 0 THEN 'cheap' WHEN 1 THEN 'premium' END AS price_intent"
+
+
+@query(
+    f"""WITH a AS (SELECT doc_id, doc_id % 40 AS k, doc_id % 13 = 5 AS nothing FROM documents), n AS (SELECT count(DISTINCT k) FILTER (NOT nothing AND doc_id % 2 = 0) AS once, count(DISTINCT k) FILTER (NOT nothing) AS every FROM a)
+    SELECT doc_id AS query_id, CASE WHEN NOT nothing AND zurich THEN 'Zürich' END AS city, CASE WHEN NOT nothing THEN max_price END AS max_price, NOT nothing AND bright AS bright, NOT nothing AND quiet AS quiet, CASE WHEN NOT nothing THEN price_intent END AS price_intent, once, every FROM (SELECT *, {_TOLD} FROM a), n"""
+)
+def intent_cache(spark, sf_dir):
+    """Texts that many documents share, asked in two batches; how many were understood after each."""
+    raw = F.when(F.col("doc_id") % 13 == 5, F.lit("  ")).otherwise(F.concat(F.lit(" "), F.expr(_ASKED.replace("doc_id", "(doc_id % 40)")), F.lit("\n")))
+    own = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), raw.alias("raw_query"))
+    cache = IntentCache(spark, new_folder(spark))
+    cache.understand(own.where("query_id % 2 = 0"))
+    counts = []
+    for name in ("once", "every"):
+        out = cache.understand(own) if name == "every" else None
+        known = cache._known(cache.log.read()[1])
+        counts.append(known.agg(F.count("*").alias(name)))
+    facts = soft_facts(out).select("query_id", F.col("soft.bright"), F.col("soft.quiet"), F.col("soft.price_intent"))
+    zurich = out.select("query_id", F.when(F.array_contains("city", "Zürich"), "Zürich").alias("city"), "max_price")
+    return zurich.join(facts, "query_id").join(counts[0], F.lit(True)).join(counts[1], F.lit(True)).select("query_id", "city", "max_price", "bright", "quiet", "price_intent", "once", "every")
+
+
 _WANTED = [f"CASE WHEN doc_id % 4 = 0 THEN concat(' ', upper({_pick([*_CITIES, 'Thun'], 'doc_id')}), ' ') ELSE {_pick([*_CITIES, 'Thun'], 'doc_id')} END", f"CASE WHEN doc_id % 3 = 0 THEN {_pick([*_CITIES, 'Bern'], 'doc_id * 7 + 2')} ELSE ' ' END", "CASE WHEN doc_id % 6 = 0 THEN 'Seefeld' ELSE '' END"]
 _CODES = "(VALUES " + ", ".join(f"({_quoted(k)}, {v[1]})" for k, v in V.DISTRICTS.items()) + ")"
 
