@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import epsilon_join, langid, licenses, merkle, packing, quality_gam, quality_rules, repair, simhash, suffix_dedup, token_counts, url_filter, word_bpe
-from millrace.llm.base import held_out, table
+from millrace.llm.base import held_out, materialize, table
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -39,9 +39,9 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    rules = quality_rules.fit_rules(docs, table(spark, sf_dir, "labels"), ~held_out())
-    return quality_rules.judge(docs, rules, keep=["doc_id"])
+    counts = materialize(quality_rules.counted(table(spark, sf_dir, "documents"), keep=["doc_id"]))
+    rules = quality_rules.fit_counted(counts, table(spark, sf_dir, "labels"), ~held_out())
+    return quality_rules.judge_counted(counts, rules, keep=["doc_id"])
 
 
 def op7_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

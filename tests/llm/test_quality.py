@@ -139,3 +139,31 @@ def test_repeated_ids_learn_alike(spark):
         assert len(one) == 5 and (one == two).all() and (first[1] == second[1]).all()
         want = {i: min(tuple(features(pa.array([t]))[0]) if learn is quality_gam.labelled_features else tuple(rule_counts(pa.array([t]))[c][0] for c in quality_rules.COUNTS) for d, t, _ in rows if d == i) for i in range(5)}
         assert [tuple(r) for r in one] == [want[i] for i in range(5)]
+
+
+def test_rules_learn_from_every_labelled_row(spark):
+    """op6's thresholds come from all labelled texts, 9,000 here, and are those of the plain fit over all of them."""
+    def text(i):
+        if i % 50:
+            return " ".join(f"w{i % 89}x{j}" for j in range(60))
+        return " ".join("#$" if j < 8 + i % 7 else f"v{i % 89}y{j}" for j in range(60))  # labelled bad
+
+    docs = spark.createDataFrame([(i, text(i)) for i in range(9000)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 50 > 0)) for i in range(9000)], "doc_id bigint, quality int")
+    counts, good = quality_rules.labelled_counts(docs, labels, held_out().isNotNull())
+    assert len(good) == 9000
+    passed = ~quality_rules.base_failed(counts)
+    want = quality_rules.fit(quality_rules.statistics(counts)[passed], good[passed])
+    got = quality_rules.fit_rules(docs, labels, held_out().isNotNull())
+    assert want.parts and [(c, t) for c, _, t in got.parts] == [(c, t) for c, _, t in want.parts]
+
+
+def test_threshold_of_a_table_is_that_of_arrays(spark):
+    """Tied scores, odd spreads and one label only."""
+    rng = np.random.default_rng(3)
+    for n, digits, bad in ((3000, 2, 0.1), (3000, 9, 0.1), (5000, 5, 0.001), (40, 9, 0.5), (50, 3, 0.0), (50, 3, 1.0)):
+        good = rng.uniform(size=n) >= bad
+        score = np.round(np.where(good, rng.beta(4, 8, n), rng.beta(9, 4, n)), digits)
+        rows = spark.createDataFrame(list(zip(score.tolist(), good.tolist(), strict=True)), "s0 double, good boolean")
+        for loss in (0.0005, 0.02, 0.3):
+            assert quality_rules.threshold(rows, "s0", loss=loss) == quality_rules.calibrate(score, good, loss=loss)
