@@ -63,3 +63,36 @@ def test_the_table_holds_the_commonest_words(spark, texts):
         rest = [n for w, n in want.items() if w not in table and len(w.encode()) <= 64]
         assert not table or min(want[w] for w in table) > max(rest)
         assert len(table) == sum(n > 1 for w, n in want.items() if len(w.encode()) <= 64) if most > 1000 else len(table) < most + 1
+
+
+def test_words_as_regex_splits_them():
+    import random
+
+    import regex
+
+    odd, split, rng = unstable().search, word_bpe.WordSplitter(WORDS), random.Random(3)
+    chars = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000]
+    asked = [f"a{c}1{c}{c} '{c}s" for c in chars] + ["".join(rng.choices("'stredvlm abz09 .,!_-é一٣Ⅷ 　\x1c\x85", k=60)) for _ in range(5000)]
+    find = word_bpe.word_pattern().findall
+    assert [find(t) for t in asked] == [regex.findall(word_bpe.WORDS, t) for t in asked]
+    assert all((split.words(c) is None) == bool(odd(c) or c in "İΣ") for c in chars)
+    assert split.words("a<|endoftext|>b") is None
+
+
+def test_words_are_encoded_in_blocks():
+    class Counting:
+        def __init__(self, library):
+            self.library, self.asked = library, 0
+
+        def encode_batch_fast(self, texts, **options):
+            self.asked += len(texts)
+            return self.library.encode_batch_fast(texts, **options)
+
+    bpe, words = word_bpe.WordBpe(WORDS), [*(f"wort{chr(97 + i % 26)}{chr(97 + i // 26)}é" for i in range(676)), "'s", "''", "7", "!?", "́"]
+    want = [e.ids for e in bpe.library.encode_batch(words, add_special_tokens=False)]
+    bpe.library = counting = Counting(bpe.library)
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in bpe.encode_words(words)] == want
+    assert counting.asked < 10  # each word was a text of its own before
+    mixed = ["one", "two words", "three"]  # not words: each by itself
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in bpe.encode_words(mixed)] == [e.ids for e in counting.library.encode_batch(mixed, add_special_tokens=False)]
+    assert bpe.encode_words([]) == []
