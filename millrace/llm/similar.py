@@ -4,9 +4,9 @@ A fingerprint of 128 bits has few bits in common by chance, so a radius that
 holds nearly all pairs of the similarity asked for lets few others in. Each
 pair of tiles passes on a tree of its nearest pairs, which holds together all
 that lies within the radius. The texts of what a tree holds together then meet
-in tiles of their own, where every pair within the radius is looked at,
-nearest first, unless pairs before have joined it. What is passed on grows
-with the number of texts, not of pairs.
+in tiles of their own, where the shingles in common are counted for all pairs
+within the radius at once. What is passed on grows with the number of texts,
+not of pairs.
 """
 
 from __future__ import annotations
@@ -157,43 +157,77 @@ def trees(classes: DataFrame, *, least: float, radius: int, tile: int) -> DataFr
     return sent.repartition(*keys).sortWithinPartitions(*keys, "second", "f1", "f2", "rep").mapInArrow(run, "a bigint, b bigint")
 
 
-def _joined(f1, f2, n, texts: list[str], second: np.ndarray, twin: bool, shingle: int, radius: int, least: float):
-    """Index pairs of similar texts that hold together whatever similar pairs within the radius do: each pair is looked at unless pairs before have joined it."""
+def common_counts(x: list[np.ndarray], y: list[np.ndarray], *, most: int = 1 << 20, **options) -> np.ndarray:
+    """How many hashes each set of x has in common with each of y, from about most hashes at a time. Sets are sorted."""
+    out = np.zeros((len(x), len(y)), dtype=np.int64)
+    parts = 1 + sum(map(len, x), sum(map(len, y))) // most
+    edges = np.array([i * 2**64 // parts for i in range(1, parts)], dtype=np.uint64)
+    cut_x, cut_y = ([[0, *np.searchsorted(h, edges).tolist(), len(h)] for h in s] for s in (x, y))
+    for i in range(parts):
+        out += _counted(*([h[c[i] : c[i + 1]] for h, c in zip(s, cut, strict=True)] for s, cut in ((x, cut_x), (y, cut_y))), **options)
+    return out
+
+
+def _counted(x: list[np.ndarray], y: list[np.ndarray], *, rare: int = 8, columns: int = 2048, fold: int = 1 << 20) -> np.ndarray:
+    """common_counts() at once. Hashes that few sets of y hold are counted pair by pair, the others as products of 0-1 matrices, some columns at a time."""
+    own, theirs = (np.repeat(np.arange(len(s)), [len(h) for h in s]) for s in (x, y))
+    names, at = np.unique(np.concatenate([*y, np.zeros(0, np.uint64)]), return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    held = theirs[order]  # the sets of y, by hash
+    start = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(names)))]).astype(np.int64)
+    h = np.concatenate([*x, np.zeros(0, np.uint64)])
+    k = np.searchsorted(names, h)
+    known = np.flatnonzero(k < len(names))
+    known = known[names[k[known]] == h[known]]
+    own, k = own[known], k[known]
+    size = np.diff(start)
+    out = np.zeros(len(x) * len(y), dtype=np.int64)
+    few = np.flatnonzero(size[k] <= rare)
+    for i in range(0, len(few), fold // rare):
+        part = few[i : i + fold // rare]
+        n = size[k[part]]
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        out += np.bincount(np.repeat(own[part], n) * len(y) + held[np.repeat(start[k[part]], n) + nth], minlength=len(out))
+    out = out.reshape(len(x), len(y))
+    many = np.flatnonzero(size[k] > rare)
+    wide, column = np.unique(k[many], return_inverse=True)
+    by = np.argsort(column, kind="stable")
+    row, column = own[many][by], column[by]
+    for i in range(0, len(wide), columns):
+        some = wide[i : i + columns]
+        p, q = np.searchsorted(column, [i, i + len(some)])
+        left, right = np.zeros((len(x), len(some)), np.float32), np.zeros((len(y), len(some)), np.float32)
+        left[row[p:q], column[p:q] - i] = 1
+        for j, c in enumerate(some):
+            right[held[start[c] : start[c + 1]], j] = 1
+        out += (left @ right.T).astype(np.int64)
+    return out
+
+
+def _joined(f1, f2, n, hashes: list[np.ndarray], second: np.ndarray, twin: bool, radius: int, least: float):
+    """Index pairs of similar sets that hold together whatever similar pairs within the radius do."""
     a = np.flatnonzero(~second)
     found = list(near_pairs(f1, f2, n, a, a if twin else np.flatnonzero(second), twin, radius, least))
     if not found:
         return []
     u, v, far = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.argsort(far, kind="stable")
-    u, v = u[order], v[order]
-    root, sets, out = np.arange(len(texts)), {}, []
-
-    def of(i: int) -> np.ndarray:
-        if i not in sets:
-            sets[i] = shingle_hashes((texts[i] or "").encode(), shingle)
-        return sets[i]
-
-    for at in range(0, len(u), 4096):
-        x, y = u[at : at + 4096], v[at : at + 4096]
-        apart = root[x] != root[y]
-        for i, j in zip(x[apart].tolist(), y[apart].tolist(), strict=True):
-            if root[i] != root[j]:
-                p, q = of(i), of(j)
-                common = len(np.intersect1d(p, q, assume_unique=True))
-                if common >= least * (len(p) + len(q) - common):
-                    out.append((i, j))
-                    low, high = sorted((root[i], root[j]))
-                    root[root == high] = low
-    return out
+    (x, row), (y, column) = np.unique(u, return_inverse=True), np.unique(v, return_inverse=True)
+    common = common_counts([hashes[i] for i in x], [hashes[i] for i in y])[row, column]
+    size = np.array([len(h) for h in hashes])
+    alike = np.flatnonzero(common >= least * (size[u] + size[v] - common))
+    kept = alike[tree(u[alike], v[alike], far[alike], len(hashes))]
+    return list(zip(u[kept].tolist(), v[kept].tolist(), strict=True))
 
 
 def _resolve(members: DataFrame, texts: DataFrame, *, shingle: int, radius: int, least: float, tile: int) -> DataFrame:
     """(a, b): similar pairs of reps over members (part, f1, f2, n, rep); a part of over tile members meets in pairs of tiles."""
     sizes = materialize(members.groupBy("part").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))).withColumnRenamed("part", "p")
     placed = members.join(sizes, F.col("part") == F.col("p")).withColumn("t", F.pmod(F.xxhash64("rep"), "tiles").cast("int"))
-    whole = materialize(placed.join(texts.toDF("id", "text"), F.col("rep") == F.col("id")).select("part", "tiles", "t", "f1", "f2", "n", "rep", "text"))
+    # A text meets as many tiles as its part has: it is cut into shingles once, before.
+    sets = map_texts(texts.toDF("id", "text"), ["id"], "text", lambda: lambda own: {"hashes": pa.array([shingle_hashes(x or b"", shingle).tobytes() for x in own.cast(pa.large_binary()).to_pylist()], pa.binary())}, "hashes binary")
+    whole = materialize(placed.join(sets, F.col("rep") == F.col("id")).select("part", "tiles", "t", "f1", "f2", "n", "rep", "hashes"))
     keys = ["part", "t1", "t2"]
-    sent = whole.withColumn("tt", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("part", F.least("t", "tt").alias("t1"), F.greatest("t", "tt").alias("t2"), (F.col("t") > F.col("tt")).alias("second"), "f1", "f2", "n", "rep", "text")
+    sent = whole.withColumn("tt", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("part", F.least("t", "tt").alias("t1"), F.greatest("t", "tt").alias("t2"), (F.col("t") > F.col("tt")).alias("second"), "f1", "f2", "n", "rep", "hashes")
 
     def run(batches):
         def done(parts):
@@ -201,7 +235,8 @@ def _resolve(members: DataFrame, texts: DataFrame, *, shingle: int, radius: int,
             f1, f2, n, rep = (table.column(c).to_numpy() for c in ("f1", "f2", "n", "rep"))
             twin = table.column("t1")[0].as_py() == table.column("t2")[0].as_py()
             second = np.array(table.column("second").to_pylist(), dtype=bool)
-            found = _joined(f1.view(np.uint64), f2.view(np.uint64), n, table.column("text").to_pylist(), second, twin, shingle, radius, least)
+            hashes = [np.frombuffer(h, np.uint64) for h in table.column("hashes").to_pylist()]
+            found = _joined(f1.view(np.uint64), f2.view(np.uint64), n, hashes, second, twin, radius, least)
             if found:
                 i, j = np.array(found).T
                 yield pa.RecordBatch.from_arrays([pa.array(rep[i]), pa.array(rep[j])], names=["a", "b"])
