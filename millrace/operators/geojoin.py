@@ -1,15 +1,18 @@
-"""Nearest points of interest, by grid cells where they answer and by the whole set where they do not."""
+"""Nearest points of interest: few by grid cells where those answer and by the whole set where they do not, many by quadtree cells."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import values as V
 from millrace.functions.geo import decay, distance_m
 from millrace.operators import knn
+from millrace.sources.stores import written
 
-#: Points of interest that are broadcast at most, for rows that the grid leaves open: each of those rows meets them all.
+#: Points of interest that are broadcast at most, for rows that the grid leaves open: each of those rows meets them all. More of them meet by quadtree cells.
 MOST_BROADCAST = 5_000
 #: Points of one request that are broadcast at most.
 MOST_POINTS = 10_000
@@ -35,11 +38,30 @@ def nearest(points: DataFrame, pois: DataFrame, *, id: str = "listing_id", cell:
 
     Points meet what lies in their own and the eight cells around; what is
     nearer than the edge of those is certain. The rest, far from any, meets the
-    types' whole sets: those are broadcast up to MOST_BROADCAST and met ring by ring of cells beyond.
+    types' whole sets, which are broadcast. Above MOST_BROADCAST points of interest, each type has
+    a quadtree of its own, and points meet what its leaves hold: see knn.meeting().
     """
     own = points.where("latitude is not null and longitude is not null").select(F.col(id).alias("id"), "latitude", "longitude")
-    held = ["poi_type", "lat", "lon", *carry]
-    found = _within(own, pois, cell, list(carry)).select("id", "poi_type", "s.*")
+    held = pois.select("poi_type", "lat", "lon", *carry)
+    if held.limit(MOST_BROADCAST + 1).count() > MOST_BROADCAST:
+        found = _by_leaves(own, held, carry)
+    else:
+        found = _by_grid(own, held, cell, list(carry))
+    return found.select(F.col("id").alias(id), "poi_type", F.col("d").cast("int").alias("metres"), F.col("d").alias("exact"), *carry)
+
+
+def _by_leaves(own: DataFrame, pois: DataFrame, carry: tuple[str, ...]) -> DataFrame:
+    own, pois = written(own), written(pois.where("poi_type is not null"))  # read once a type
+    each = []
+    for (kind,) in pois.select("poi_type").distinct().collect():  # a handful of types
+        met = knn.meeting(own, pois.where(F.col("poi_type") == F.lit(kind)), 1, id="id", carry=carry)
+        best = F.min(F.struct("d", *carry)) if carry else F.struct(F.min("d").alias("d"))
+        each.append(met.groupBy("id").agg(best.alias("s")).select("id", F.lit(kind).alias("poi_type"), "s.*"))
+    return reduce(DataFrame.unionByName, each)
+
+
+def _by_grid(own: DataFrame, pois: DataFrame, cell: float, carry: list[str]) -> DataFrame:
+    found = _within(own, pois, cell, carry).select("id", "poi_type", "s.*")
     types = pois.select("poi_type").distinct()
     asked = own.join(F.broadcast(types), how="cross")  # a handful of types
     joined = asked.join(found, ["id", "poi_type"], "left")
@@ -47,14 +69,8 @@ def nearest(points: DataFrame, pois: DataFrame, *, id: str = "listing_id", cell:
     sure = F.lit(0.99 * cell * 111_000.0) * F.cos(F.radians(F.abs("latitude") + cell))
     done = joined.where(F.col("d") <= sure).select("id", "poi_type", "d", *carry)
     rest = joined.where(F.col("d").isNull() | (F.col("d") > sure)).select("id", "poi_type", "latitude", "longitude")
-    few = pois.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    if few:
-        far = rest.join(F.broadcast(pois.select(*held)), "poi_type").groupBy("id", "poi_type").agg(_best(list(carry))).select("id", "poi_type", "s.*")
-    elif cell < 360:
-        far = nearest(rest.select(F.col("id").alias(id), "latitude", "longitude").distinct(), pois, id=id, cell=cell * 8, carry=carry).select(F.col(id).alias("id"), "poi_type", F.col("exact").alias("d"), *carry).join(rest.select("id", "poi_type"), ["id", "poi_type"], "left_semi")
-    else:
-        far = rest.join(pois.select(*held), "poi_type").groupBy("id", "poi_type").agg(_best(list(carry))).select("id", "poi_type", "s.*")
-    return done.unionByName(far).select(F.col("id").alias(id), "poi_type", F.col("d").cast("int").alias("metres"), F.col("d").alias("exact"), *carry)
+    far = rest.join(F.broadcast(pois), "poi_type").groupBy("id", "poi_type").agg(_best(carry)).select("id", "poi_type", "s.*")
+    return done.unionByName(far)
 
 
 def _within(own: DataFrame, pois: DataFrame, cell: float, carry: list[str]) -> DataFrame:

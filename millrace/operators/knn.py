@@ -191,11 +191,10 @@ def _known(lat: str, lon: str) -> Column:
     return finite(lat) & finite(lon) & F.col(lat).between(-90, 90) & F.col(lon).between(-1e6, 1e6)
 
 
-def k_nearest_join(points: DataFrame, pois: DataFrame, k: int, *, radius_m: float = float("inf"), id: str = "listing_id", carry: tuple[str, ...] = ("name",)) -> DataFrame:
-    """(id, rank, metres, lat, lon, carry): of every point the k nearest of pois (lat, lon, carry) no farther than the radius, whole metres counting.
+def meeting(points: DataFrame, pois: DataFrame, k: int, *, radius_m: float = float("inf"), id: str = "listing_id", carry: tuple[str, ...] = ("name",)) -> DataFrame:
+    """(id, d, lat, lon, carry): every point with all that can be among its k nearest of pois within the radius, and with others nearby.
 
-    Equally near ones stand by lat, lon and carry, nulls first. Points and pois without coordinates, or with
-    a latitude beyond a pole, are left out; points that repeat an id are one. Of pois at one place k take part, which
+    Points and pois without coordinates, or with a latitude beyond a pole, are left out. Of pois at one place k take part, which
     is as many as can be among the nearest. The directory is built while the plan is.
     """
     spark = points.sparkSession
@@ -204,12 +203,22 @@ def k_nearest_join(points: DataFrame, pois: DataFrame, k: int, *, radius_m: floa
     at_place = Window.partitionBy("lat", "lon").orderBy(*carry) if carry else Window.partitionBy("lat", "lon").orderBy(F.lit(0))
     held = held.withColumn("at_place", F.row_number().over(at_place)).where(F.col("at_place") <= k).drop("at_place")
     held = written(_coded(held, "lat", "lon", "code"))
-    own = points.select(F.col(id).alias("id"), double("latitude"), double("longitude")).where(_known("latitude", "longitude")).dropDuplicates(["id"])
+    own = points.select(F.col(id).alias("id"), double("latitude"), double("longitude")).where(_known("latitude", "longitude"))
     nodes = spark.sparkContext.broadcast(_directory(held.select("code"), held.count()))
     schema = f"id {points.schema[id].dataType.simpleString()}, latitude double, longitude double, leaf bigint"
     asked = own.mapInArrow(_to_leaves(nodes, 0, 1, 2, k, radius_m + 1.0), schema)
     there = held.mapInArrow(_in_leaf(nodes, held.columns.index("code")), _with(held.drop("code"), "leaf"))
     met = asked.join(there, "leaf").withColumn("d", distance_m(F.col("latitude"), F.col("longitude"), F.col("lat"), F.col("lon")))
-    w = Window.partitionBy("id").orderBy("d", "lat", "lon", *carry)
+    return met.select(F.col("id").alias(id), "d", "lat", "lon", *carry)
+
+
+def k_nearest_join(points: DataFrame, pois: DataFrame, k: int, *, radius_m: float = float("inf"), id: str = "listing_id", carry: tuple[str, ...] = ("name",)) -> DataFrame:
+    """(id, rank, metres, lat, lon, carry): of every point the k nearest of pois (lat, lon, carry) no farther than the radius, whole metres counting.
+
+    Equally near ones stand by lat, lon and carry, nulls first. Points that repeat an id are one; see meeting() for what is left out.
+    """
+    once = points.where(_known("latitude", "longitude")).dropDuplicates([id])
+    met = meeting(once, pois, k, radius_m=radius_m, id=id, carry=carry)
+    w = Window.partitionBy(id).orderBy("d", "lat", "lon", *carry)
     best = met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("metres", F.col("d").cast("int")).where(F.col("metres") <= radius_m)
-    return best.select(F.col("id").alias(id), "rank", "metres", "lat", "lon", *carry)
+    return best.select(id, "rank", "metres", "lat", "lon", *carry)

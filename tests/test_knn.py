@@ -92,3 +92,15 @@ def test_empty_and_many_points(spark, monkeypatch):
     many = {tuple(r) for r in geojoin.k_nearest(points, pois, 2, 1500.0).collect()}
     monkeypatch.setattr(geojoin, "MOST_POINTS", 10)
     assert many == {tuple(r) for r in geojoin.k_nearest(points, pois, 2, 1500.0).collect()} and many
+
+
+def test_plan_of_many_stays_small(spark, monkeypatch):
+    """Above MOST_BROADCAST points of interest the plan has a join a type, and ties fall as they do for few."""
+    rng = random.Random(9)
+    points = spark.createDataFrame([(str(i), 46 + rng.randrange(20) / 10, 6 + rng.randrange(40) / 10) for i in range(40)] + [("far", -60.0, -170.0), ("none", None, 7.0)], "listing_id string, latitude double, longitude double")
+    pois = spark.createDataFrame([(rng.choice(["a", "b", None]), 46 + rng.randrange(20) / 10, 6 + rng.randrange(40) / 10, f"n{rng.randrange(1000)}") for _ in range(150)], "poi_type string, lat double, lon double, name string")
+    few = {tuple(r) for r in geojoin.nearest(points, pois, carry=("name",)).collect()}
+    monkeypatch.setattr(geojoin, "MOST_BROADCAST", 10)
+    many = geojoin.nearest(points, pois, carry=("name",))
+    assert many._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
+    assert {tuple(r) for r in many.collect()} == few and len(few) == 2 * 41
