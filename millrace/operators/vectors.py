@@ -68,11 +68,22 @@ def shard_keys(listings: DataFrame) -> DataFrame:
     return listings.select(F.explode(keys).alias("shard_key"), "listing_id")
 
 
+def _image_keys(listings: DataFrame) -> DataFrame:
+    """(image_key, listing_id): the keys of shard_keys(), with the platform's number also as paths name it."""
+    own = F.nullif("platform_id", F.lit(""))
+    keys = F.array_distinct(F.array_compact(F.array(F.concat(F.lit("platform_id="), F.coalesce(own, "listing_id")), F.concat(F.lit("sred_"), F.col("listing_id")), own, F.col("listing_id"))))
+    return listings.select(F.explode(keys).alias("image_key"), "listing_id")
+
+
 def score_images(images: DataFrame, queries: DataFrame, listings: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
-    """(query_id, listing_id, vlm): a listing's best image for each query; images (path, vector) lie under any of a listing's keys."""
+    """(query_id, listing_id, vlm): a listing's best image for each query; images (path, vector) lie under any of a listing's keys.
+
+    Numbers of platforms and ids of listings may be the same: what lies under `platform_id=` is of the listing with that number
+    at its platform, and of one with that id only if it has no such number.
+    """
     from millrace.functions.scalars import image_key
 
-    keyed = images.withColumn("shard_key", F.regexp_replace(image_key(F.col("path")), "^platform_id=", "")).join(shard_keys(listings), "shard_key")
+    keyed = images.withColumn("image_key", image_key(F.col("path"))).join(_image_keys(listings), "image_key").drop("image_key")
     if candidates is not None:
         keyed = keyed.join(candidates.select("listing_id").distinct(), "listing_id", "left_semi")
     if candidates is None:

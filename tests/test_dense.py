@@ -79,3 +79,14 @@ def test_plan_scores_in_blocks(spark):
     vectors, queries = _frames(spark, *_data(1))
     plan = dense.top_k(vectors, queries, 3, id="id")._jdf.queryExecution().executedPlan().toString()
     assert "lambda" not in plan and "MapInArrow" in plan and "WindowGroupLimit" in plan
+
+
+def test_platform_numbers_are_not_ids(spark):
+    """An image under a platform's number is not of a listing whose id is the same number."""
+    from millrace.operators import vectors
+
+    listings = spark.createDataFrame([("5", "100005"), ("100005", "200005"), ("7", None), ("8", "")], "listing_id string, platform_id string")
+    paths = ["shots/platform_id=100005/x.jpg", "platform_id=200005/y.jpg", "sred/100005_tile1", "platform_id=7/z.jpg", "platform_id=8/z.jpg", "5", "platform_id=5/x.jpg"]
+    images = spark.createDataFrame([(p, [i + 1.0]) for i, p in enumerate(paths)], "path string, vector array<double>")
+    queries = spark.createDataFrame([(1, [1.0])], "query_id int, query_vector array<double>")
+    assert {(r.listing_id, r.vlm) for r in vectors.score_images(images, queries, listings).collect()} == {("5", 6.0), ("100005", 3.0), ("7", 4.0), ("8", 5.0)}
