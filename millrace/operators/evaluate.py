@@ -32,8 +32,8 @@ def join_judgements(requests: DataFrame, results: DataFrame) -> DataFrame:
     return requests.join(results, "custom_id")
 
 
-def _lowest(by: list[int], order: int, n: int):
-    """Of a stream of Arrow batches the n rows of each stratum that come first by a column; no more are held than those and a batch."""
+def _lowest(by: list[int], order: int, n: int, ties: tuple[int, ...] = ()):
+    """Of a stream of Arrow batches the n rows of each stratum that come first by a column, then by columns ties, nulls last; no more are held than those and a batch."""
     import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc
@@ -44,7 +44,7 @@ def _lowest(by: list[int], order: int, n: int):
             own = pa.Table.from_batches([batch])
             own = own if held is None else pa.concat_tables([held, own])
             names = own.schema.names
-            ranked = own.take(pc.sort_indices(own, sort_keys=[(names[i], "ascending") for i in (*by, order)]))
+            ranked = own.take(pc.sort_indices(own, sort_keys=[(names[i], "ascending") for i in (*by, order, *ties)]))
             if len(ranked):
                 edge = np.zeros(len(ranked), dtype=bool)
                 edge[0] = True
@@ -60,21 +60,25 @@ def _lowest(by: list[int], order: int, n: int):
     return run
 
 
-def bottom_k(df: DataFrame, stratum: str, n: int, order: str) -> DataFrame:
-    """The n rows of each stratum that come first by a column: in each task, then of what tasks found. No task sees a stratum."""
-    by, at = [df.columns.index(stratum)], df.columns.index(order)
-    found = df.mapInArrow(_lowest(by, at, n), df.schema)
+def bottom_k(df: DataFrame, stratum: str, n: int, order: str, ties: tuple[str, ...] = ()) -> DataFrame:
+    """The n rows of each stratum that come first by a column, equals by ties: in each task, then of what tasks found. No task sees a stratum."""
+    by, at, then = [df.columns.index(stratum)], df.columns.index(order), tuple(map(df.columns.index, ties))
+    found = df.mapInArrow(_lowest(by, at, n, then), df.schema)
     # n rows a stratum and task at most, streamed through the same heap.
-    return found.repartition(F.col(stratum)).mapInArrow(_lowest(by, at, n), df.schema)
+    return found.repartition(F.col(stratum)).mapInArrow(_lowest(by, at, n, then), df.schema)
 
 
-def stratified_sample(df: DataFrame, stratum: str, n: int, order: Column) -> DataFrame:
-    """n rows: an equal share of each stratum by order, then more by order until there are n. Stratum shares come first. Nulls are a stratum of their own without a share of n."""
-    lowest = bottom_k(df.withColumn("_o", order), stratum, n, "_o")
-    per = Window.partitionBy(stratum).orderBy("_o")  # n rows at most
+def stratified_sample(df: DataFrame, stratum: str, n: int, order: Column, ties: tuple[str, ...] = ()) -> DataFrame:
+    """n rows: an equal share of each stratum by order, then more by order until there are n. Stratum shares come first. Nulls are a stratum of their own without a share of n.
+
+    Rows that are equal by order stand by the columns ties, nulls of both last; what those leave equal is drawn as it lies in the partitions.
+    """
+    lowest = bottom_k(df.withColumn("_o", order), stratum, n, "_o", ties)
+    by_order = [F.col(c).asc_nulls_last() for c in ("_o", *ties)]
+    per = Window.partitionBy(stratum).orderBy(*by_order)  # n rows at most
     strata = lowest.agg(F.count_distinct(stratum).alias("_s"))
     placed = lowest.withColumn("_r", F.row_number().over(per)).join(F.broadcast(strata), how="cross").withColumn("_first", F.col("_r") <= F.floor(F.lit(n) / F.col("_s")))  # one row
-    return placed.orderBy(F.desc("_first"), "_o").limit(n).select(*df.columns)
+    return placed.orderBy(F.desc("_first"), *by_order).limit(n).select(*df.columns)
 
 
 def counts_by(df: DataFrame, by: str, name: str = "n") -> DataFrame:
