@@ -93,9 +93,14 @@ def rooms_in(title: Column) -> Column:
     return F.replace(F.nullif(F.regexp_extract(title, "(?iu)" + V.ROOMS_IN_TITLE, 1), F.lit("")), F.lit(","), F.lit(".")).cast("double")
 
 
-def strip_markup(c: Column) -> Column:
+def markup_dropped(c: Column) -> Column:
     """Tags become blanks, stars go, runs of blanks and tabs become one; new lines stay."""
-    return strip(F.regexp_replace(F.replace(F.regexp_replace(c, r"<[^>]+>", " "), F.lit("*"), F.lit("")), r"[ \t]{2,}", " "))
+    return F.regexp_replace(F.replace(F.regexp_replace(c, r"<[^>]+>", " "), F.lit("*"), F.lit("")), r"[ \t]{2,}", " ")
+
+
+def strip_markup(c: Column) -> Column:
+    """Without markup, and trimmed."""
+    return strip(markup_dropped(c))
 
 
 def listing_id(c: Column) -> Column:

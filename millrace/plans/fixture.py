@@ -9,8 +9,9 @@ from millrace.functions import values as V
 _FLAG = {f: i for i, f in enumerate(V.FEATURES)}
 _FLAGS = ",\n".join(f" CASE WHEN (d.doc_id + {i}) % 4 = 0 THEN NULL ELSE CAST((d.doc_id * {2 * i + 3}) % 5 < 2 AS INT) END AS feature_{f}" for f, i in _FLAG.items())
 
-TITLE = """concat(CASE WHEN d.doc_id % 41 = 0 THEN 'Tauschwohnung: ' WHEN d.doc_id % 43 = 0 THEN 'Suche Wohnung ' WHEN d.doc_id % 47 = 0 THEN 'FR-Ferney-Voltaire ' WHEN d.doc_id % 37 = 0 THEN 'Wohnung befristet bis 30.06.2026 '
-  WHEN d.doc_id % 31 = 0 THEN 'WG-Zimmer ' WHEN d.doc_id % 53 = 0 THEN 'Coliving ' WHEN d.doc_id % 29 = 0 THEN '3.5-Zimmer ' WHEN d.doc_id % 59 = 0 THEN 'Untermiete ' WHEN d.doc_id % 61 = 0 THEN 'apartment swap ' ELSE '' END, split_part(d.text, chr(10), 1))"""
+_LINE = "split_part(d.text, chr(10), 1)"
+TITLE = f"""concat(CASE WHEN d.doc_id % 41 = 0 THEN 'Tauschwohnung: ' WHEN d.doc_id % 43 = 0 THEN 'Suche Wohnung ' WHEN d.doc_id % 47 = 0 THEN 'FR-Ferney-Voltaire ' WHEN d.doc_id % 37 = 0 THEN 'Wohnung befristet bis 30.06.2026 '
+  WHEN d.doc_id % 31 = 0 THEN 'WG-Zimmer ' WHEN d.doc_id % 53 = 0 THEN 'Coliving ' WHEN d.doc_id % 29 = 0 THEN '3.5-Zimmer ' WHEN d.doc_id % 59 = 0 THEN 'Untermiete ' WHEN d.doc_id % 61 = 0 THEN 'apartment swap ' ELSE '' END, {_LINE})"""
 
 LISTINGS = f"""SELECT CAST(d.doc_id AS {{STR}}) AS listing_id, CAST(100000 + d.doc_id AS {{STR}}) AS platform_id, d.source AS scrape_source, {TITLE} AS title, d.text AS description,
  CASE WHEN d.doc_id % 3 = 0 THEN NULL ELSE concat('Weg ', CAST(d.doc_id % 80 AS {{STR}})) END AS street,
@@ -49,7 +50,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = ("documents", "part", "nation", "region")
-    sql = LISTINGS.replace("{STR}", "STRING")
+    sql = LISTINGS.replace("{STR}", "STRING").replace(_LINE, f"coalesce({_LINE}, '')")  # Spark's concat is null if a part is
     for t in tables:
         sql = sql.replace(f"FROM {t} ", f"FROM {{{t}}} ").replace(f"JOIN {t} ", f"JOIN {{{t}}} ")
     return spark.sql(sql, **{t: read(spark, sf_dir, t) for t in tables})

@@ -104,8 +104,8 @@ def feature_flags() -> dict[str, Column]:
     }
 
 
-def prepare(raw: DataFrame) -> DataFrame:
-    """Typed listings from raw rows: cleaned, with fallbacks from the JSON columns, derived price, rooms and features."""
+def prepare(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Typed listings from raw rows: cleaned, with fallbacks from the JSON columns, derived price, rooms and features. Columns keep of raw go along as they are."""
     place = F.from_json(S.clean_text(F.col("location_address")), "City string, PostalCode string, canton string, Street string, StreetNumber string")
     clean = lambda c: S.clean_text(F.col(c))
     at = lambda k: S.clean_text(place[k])
@@ -120,7 +120,7 @@ def prepare(raw: DataFrame) -> DataFrame:
         S.derive_price(F.col("rent_gross"), F.col("price"), F.col("rent_net"), F.col("rent_extra")).alias("price"), F.coalesce(F.nullif(S.parse_float(F.col("number_of_rooms")), F.lit(0.0)), S.rooms_in(clean("title"))).alias("rooms"), S.parse_float(F.col("area")).alias("area"),
         S.parse_date(F.col("available_from")).alias("available_from"), S.parse_float(F.col("geo_lat")).alias("latitude"), S.parse_float(F.col("geo_lng")).alias("longitude"), *(S.parse_int(F.col(c)).alias(c) for c in ints), *(F.col(f"_f_{k}").alias(f"feature_{k}") for k in flags),
         F.array_compact(F.array(*(F.when(F.col(f"_f_{k}"), F.lit(k)) for k in flags))).alias("features"), F.upper(clean("offer_type")).alias("offer_type"), clean("object_category").alias("object_category"), clean("object_type").alias("object_type"), clean("platform_url").alias("original_url"),
-        images.alias("image_urls"), F.try_element_at(images, F.lit(1)).alias("hero_image_url"), F.col("location_address"), F.col("orig_data"), F.to_json(F.struct(*(F.col(c) for c in raw.columns))).alias("raw"),
+        images.alias("image_urls"), F.try_element_at(images, F.lit(1)).alias("hero_image_url"), F.col("location_address"), F.col("orig_data"), F.to_json(F.struct(*(F.col(c) for c in raw.columns if c not in keep))).alias("raw"), *keep,
     )
 
 
