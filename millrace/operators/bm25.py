@@ -105,8 +105,11 @@ def score(index: Bm25Index, queries: DataFrame, candidates: DataFrame | None = N
 
     candidates (query_id, doc_id) are joined before anything is scored.
     """
-    asked = sent(asked_terms(queries, index.stem, text))
-    hits = index.postings.join(asked, "term")
+    return _score(index, asked_terms(queries, index.stem, text), candidates)
+
+
+def _score(index: Bm25Index, asked: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+    hits = index.postings.join(sent(asked), "term")
     if candidates is not None:
         hits = hits.join(candidates.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
     hits = hits.join(index.terms, "term").join(F.broadcast(index.corpus), how="cross").join(index.docs, "doc_id")  # corpus: one row
@@ -121,6 +124,13 @@ def best(found: DataFrame, k: int) -> DataFrame:
     return top.withColumn("score", F.when(high > 0, F.col("bm25") / high).otherwise(F.col("bm25"))).select("query_id", "doc_id", "score", "rank")
 
 
-def search(index: Bm25Index, queries: DataFrame, k: int, candidates: DataFrame | None = None, **options) -> DataFrame:
-    """The best k of each query."""
-    return best(score(index, queries, candidates, **options), k)
+def search(index: Bm25Index, queries: DataFrame, k: int, candidates: DataFrame | None = None, *, text: str = "raw_query") -> DataFrame:
+    """The best k of each query. Without candidates, queries of the same words are one until theirs are found."""
+    asked = asked_terms(queries, index.stem, text)
+    if candidates is not None:
+        return best(_score(index, asked, candidates), k)
+    bags = asked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", "times"))).alias("bag"))  # a query's words
+    alike = bags.select("query_id", F.min("query_id").over(Window.partitionBy("bag")).alias("first"))
+    once = asked.join(alike.where("query_id = first"), "query_id", "left_semi")
+    found = best(_score(index, once), k).withColumnRenamed("query_id", "first")
+    return found.join(alike, "first").select("query_id", "doc_id", "score", "rank")

@@ -142,9 +142,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, *, id: str = "listing_
     query_type, id_type = _types((queries, "query_id"), (vectors, id))
     own = vectors.select(F.col(id).alias("id"), F.col(vector).alias("v"))
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {vectors.schema[id].dataType.simpleString()}, cosine double, key double"
-    found = in_blocks(queries, lambda held: own.mapInArrow(_best(held, k, query_type, id_type), schema))
     w = Window.partitionBy("query_id").orderBy(F.desc("key"), "id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("id").alias(id), "cosine", "rank")
+
+    def ranked(held) -> DataFrame:
+        found = own.mapInArrow(_best(held, k, query_type, id_type), schema)
+        return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("id").alias(id), "cosine", "rank")
+
+    return in_blocks(queries, ranked)  # of a part no more is written than its result
 
 
 def _pooled(held, query_type: pa.DataType, key_type: pa.DataType, path_type: pa.DataType):

@@ -87,3 +87,16 @@ def test_many_terms_are_not_broadcast(spark):
     plan = lambda most: bm25.sent(asked, most)._jdf.queryExecution().logical().toString()
     assert "ResolvedHint" in plan(9) or "UnresolvedHint" in plan(9)
     assert "Hint" not in plan(8)
+
+
+def test_queries_of_the_same_words_are_one(spark, monkeypatch):
+    """Each is answered as if alone, and the words are scored once."""
+    rng = random.Random(3)
+    index = bm25.build_index(_frame(spark, _docs(rng, range(120))), id="doc_id", text="text")
+    texts = ["w0 w1 w1", "w1 w0 w1", "w0 w1", "w39", "unknown", "", None]
+    asked = spark.createDataFrame([(i, texts[i % len(texts)]) for i in range(50)], "query_id bigint, raw_query string")
+    want = {tuple(r) for r in bm25.best(bm25.score(index, asked), 7).collect()}
+    sent, seen = bm25.sent, []
+    monkeypatch.setattr(bm25, "sent", lambda df, most=None: seen.append(df.select("query_id").distinct().count()) or sent(df, most))
+    got = bm25.search(index, asked, 7)
+    assert {tuple(r) for r in got.collect()} == want and seen == [4]

@@ -90,3 +90,13 @@ def test_platform_numbers_are_not_ids(spark):
     images = spark.createDataFrame([(p, [i + 1.0]) for i, p in enumerate(paths)], "path string, vector array<double>")
     queries = spark.createDataFrame([(1, [1.0])], "query_id int, query_vector array<double>")
     assert {(r.listing_id, r.vlm) for r in vectors.score_images(images, queries, listings).collect()} == {("5", 6.0), ("100005", 3.0), ("7", 4.0), ("8", 5.0)}
+
+
+def test_parts_write_their_result(spark, monkeypatch):
+    """Queries that go in several passes leave k rows each, not k rows a task."""
+    monkeypatch.setattr(dense, "MOST_QUERIES", 8)
+    rows, queries = _data(5)
+    vectors, asked = _frames(spark, rows, queries)
+    out = dense.top_k(vectors.repartition(6), asked, 3, id="id")
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == dense.top_k(vectors, asked, 3, id="id").count() <= 3 * len(queries)
