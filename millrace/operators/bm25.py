@@ -93,11 +93,11 @@ def sent(asked: DataFrame, most: int | None = None) -> DataFrame:
     return F.broadcast(asked) if len(asked.take(most + 1)) <= most else asked
 
 
-def gain(tf: Column | None = None, dl: Column | None = None) -> Column:
-    """What one occurrence of a word in a query adds to a document's score, beside columns idf and avgdl; by default of columns tf and dl."""
+def gain(tf: Column | None = None, dl: Column | None = None, idf: Column | None = None) -> Column:
+    """What one occurrence of a word in a query adds to a document's score, beside a column avgdl; by default of columns tf, dl and idf."""
     k, b = V.BM25_K1, V.BM25_B
-    tf, dl = F.col("tf") if tf is None else tf, F.col("dl") if dl is None else dl
-    return F.col("idf") * tf * (k + 1) / (tf + k * (1 - b + b * dl / F.col("avgdl")))
+    tf, dl, idf = (F.col(name) if c is None else c for name, c in (("tf", tf), ("dl", dl), ("idf", idf)))
+    return idf * tf * (k + 1) / (tf + k * (1 - b + b * dl / F.col("avgdl")))
 
 
 def score(index: Bm25Index, queries: DataFrame, candidates: DataFrame | None = None, *, text: str = "raw_query") -> DataFrame:

@@ -100,3 +100,24 @@ def test_queries_of_the_same_words_are_one(spark, monkeypatch):
     monkeypatch.setattr(bm25, "sent", lambda df, most=None: seen.append(df.select("query_id").distinct().count()) or sent(df, most))
     got = bm25.search(index, asked, 7)
     assert {tuple(r) for r in got.collect()} == want and seen == [4]
+
+
+def test_bounded_search_scores_in_tasks(spark, monkeypatch):
+    """Blocks are scored where they meet, whatever the batches and the parts of the queries: no pair of query and document is joined."""
+    monkeypatch.setattr(bm25_blocks, "MOST_QUERIES", 7)
+    rng = random.Random(12)
+    docs = {f"d{i}": t for i, t in _docs(rng, range(200)).items()}
+    index = bm25.build_index(spark.createDataFrame(list(docs.items()), "doc_id string, text string"), id="doc_id", text="text")
+    asked = spark.createDataFrame([(i, " ".join(rng.choices(WORDS, k=rng.randint(0, 6)))) for i in range(30)], "query_id int, raw_query string")
+    rows = lambda df: {(r.query_id, r.doc_id, r["rank"], round(r.score, 9)) for r in df.collect()}
+    want = rows(bm25.search(index, asked, 4))
+    few = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        search = bm25_blocks.Search(bm25_blocks.BlockIndex.build(index, block=8), asked, 4)
+        assert rows(search.found()) == want
+        assert "Join" not in search.found()._jdf.queryExecution().optimizedPlan().toString()
+        none = bm25_blocks.Search(bm25_blocks.BlockIndex.build(index, block=8), asked.where("query_id < 0"), 4)
+        assert none.found().count() == none.work().count() == 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", few)
